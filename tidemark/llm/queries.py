@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import mixing, quality, urls
+from tidemark.llm import linededup, mixing, quality, simhash, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_line_dedup": linededup.op1_line_dedup,
     "op3_url_filters": urls.op3_url_filters,
+    "op6_simhash_dedup": simhash.op6_simhash_dedup,
     "op7_mix_sources": mixing.op7_mix_sources,
     "op10_quality_rules": quality.op10_quality_rules,
 }
