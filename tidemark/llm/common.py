@@ -5,10 +5,13 @@ from __future__ import annotations
 import functools
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 #: Spaces between words: U+0020 and U+0009 to U+000D.
 SPACES = " \t\n\x0b\x0c\r"
@@ -57,3 +60,28 @@ def written(df: DataFrame) -> DataFrame:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+#: Rows that Python operators gather before they hand a batch on.
+BATCH_ROWS = 10_000
+
+
+def map_rows(df: DataFrame, rows_of: Callable[[Iterator[tuple]], Iterator[tuple]], ddl: str) -> DataFrame:
+    """``rows_of`` over the rows of each partition, in order, as tuples in and out; strings come as str."""
+    out = StructType.fromDDL(ddl)
+    schema = to_arrow_schema(out)
+
+    def batch(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        for row in rows_of(row for b in batches for row in zip(*(c.to_pylist() for c in b.columns), strict=True)):
+            held.append(row)
+            if len(held) >= BATCH_ROWS:
+                yield batch(held)
+                held = []
+        if held:
+            yield batch(held)
+
+    return df.mapInArrow(run, out)

@@ -18,17 +18,14 @@ are treated alike; lines without a word are no lines, and go only where another
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
-import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import StructType
 
-from tidemark.llm.common import let, table, trimmed, written
+from tidemark.llm.common import let, map_rows, table, trimmed, written
 
 MIN_WORDS = 10
 #: Lines still in question up to which their digests are broadcast to the second pass over the texts.
@@ -96,31 +93,15 @@ def within_one_edit(a: list[str], b: list[str]) -> bool:
     return a[i:] == b[i + 1 :] if len(a) < len(b) else a[i + 1 :] == b[i:]
 
 
-def _emit(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+def _over_lines(texts: DataFrame, ddl: str, rows_of: Callable[[object, int, bytes], Iterator[tuple]]) -> DataFrame:
+    """Rows that ``rows_of(id, digest of text, text)`` gives of each text."""
 
+    def of(rows: Iterator[tuple]) -> Iterator[tuple]:
+        for id_, text in rows:
+            if text is not None:
+                yield from rows_of(id_, text_digest(text), text)
 
-def _over_lines(texts: DataFrame, ddl: str, rows_of) -> DataFrame:
-    """Rows that ``rows_of(id, digest of text, text)`` gives of each text, in batches of bounded size."""
-    out = StructType.fromDDL(ddl)
-    schema = to_arrow_schema(out)
-
-    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            held: list[tuple] = []
-            for id_, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True):
-                if text is None:
-                    continue
-                th = text_digest(text)
-                for row in rows_of(id_, th, text):
-                    held.append(row)
-                    if len(held) >= _BATCH:
-                        yield _emit(held, schema)
-                        held = []
-            if held:
-                yield _emit(held, schema)
-
-    return texts.mapInArrow(of, out)
+    return map_rows(texts.select("id", F.col("text").cast("binary").alias("text")), of, ddl)
 
 
 def _first() -> Column:

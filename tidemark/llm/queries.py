@@ -6,18 +6,22 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import linededup, mixing, quality, simhash, urls
+from tidemark.llm import chat, language, linededup, mixing, quality, secrets, simhash, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": linededup.op1_line_dedup,
     "op3_url_filters": urls.op3_url_filters,
+    "op5_language_id": language.op5_language_id,
     "op6_simhash_dedup": simhash.op6_simhash_dedup,
     "op7_mix_sources": mixing.op7_mix_sources,
+    "op8_secret_scan": secrets.op8_secret_scan,
+    "op9_chat_formatting": chat.op9_chat_formatting,
     "op10_quality_rules": quality.op10_quality_rules,
 }
 
 SQL: dict[str, str] = {
     "op3_url_filters": urls.OP3_SQL,
     "op7_mix_sources": mixing.OP7_SQL,
+    "op9_chat_formatting": chat.OP9_SQL,
     "op10_quality_rules": quality.OP10_SQL,
 }
