@@ -15,7 +15,6 @@ learned; ties go to the first language by name; a null id is not held out and no
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,11 +23,11 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import map_rows, table
 
-DIMENSIONS, ORDER, SEED = 1024, 3, 5
+DIMENSIONS, ORDER, SEED = 512, 3, 5
 TRAIN_ROWS = 20_000
 UNKNOWN = "und"
 LETTERS = re.compile(r"[^\W\d_]+")
-_CACHED_LETTERS, _TRIGRAMS_AT_ONCE = 20_000, 4096
+_CACHED_LETTERS, _CELLS, _DENSE_LETTERS = 20_000, 1 << 20, 128
 
 
 class Encoder:
@@ -42,8 +41,9 @@ class Encoder:
         if v is None:
             if len(self.letters) >= _CACHED_LETTERS:
                 self.letters.clear()
-            bits = np.random.Generator(np.random.Philox(key=[SEED, ord(c)])).integers(0, 2, self.dimensions, dtype=np.int8)
-            v = self.letters[c] = np.stack([np.roll(2 * bits - 1, ORDER - 1 - place) for place in range(ORDER)])
+            bits = np.random.Generator(np.random.Philox(key=[SEED, ord(c)])).integers(0, 2, self.dimensions)
+            v = (2 * bits - 1).astype(np.float32)
+            v = self.letters[c] = np.stack([np.roll(v, ORDER - 1 - place) for place in range(ORDER)])
         return v
 
     def encode(self, text: str | None) -> np.ndarray | None:
@@ -52,18 +52,27 @@ class Encoder:
         if not words:
             return None
         run = " " + " ".join(words) + " "
-        grams = Counter(zip(run, run[1:], run[2:], strict=False)) if len(run) > 2 else {}
-        kinds = sorted({c for g in grams for c in g})
-        if not any(map(str.isalpha, kinds)):  # such as a superscript digit
+        points, code = np.unique(np.frombuffer(run.encode("utf-32-le", "surrogatepass"), "<u4"), return_inverse=True)
+        letters = [chr(x) for x in points]
+        if not any(map(str.isalpha, letters)):  # such as a superscript digit
             return None
+        k = len(letters)
+        first, second, third = np.moveaxis(np.stack([self.letter(c) for c in letters]), 1, 0)
+        pairs, pair = np.unique(code[:-2] * k + code[1:-1], return_inverse=True)
         out = np.zeros(self.dimensions, np.float32)
-        at = {c: k for k, c in enumerate(kinds)}
-        vectors = np.stack([self.letter(c) for c in kinds])
-        which = np.array([[at[c] for c in g] for g in grams])
-        n = np.array(list(grams.values()), np.float32)
-        for k in range(0, len(n), _TRIGRAMS_AT_ONCE):
-            w = which[k : k + _TRIGRAMS_AT_ONCE]
-            out += n[k : k + _TRIGRAMS_AT_ONCE] @ (vectors[w[:, 0], 0] * vectors[w[:, 1], 1] * vectors[w[:, 2], 2]).astype(np.float32)
+        # a pair's vector multiplies the bundle of the letters that follow it
+        step = max(1, _CELLS // max(k, self.dimensions))
+        for at in range(0, len(pairs), step):
+            own = (pair >= at) & (pair < at + step) if len(pairs) > step else slice(None)
+            some = pairs[at : at + step]
+            if k <= _DENSE_LETTERS:
+                follow = np.bincount((pair[own] - at) * k + code[2:][own], minlength=len(some) * k).reshape(-1, k).astype(np.float32)
+                bundles = follow @ third
+            else:
+                grams, n = np.unique((pair[own] - at) * k + code[2:][own], return_counts=True)
+                bundles = np.zeros((len(some), self.dimensions), np.float32)
+                np.add.at(bundles, grams // k, third[grams % k] * n[:, None].astype(np.float32))
+            out += np.einsum("ij,ij,ij->j", first[some // k], second[some % k], bundles)
         return out
 
 
