@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidemark.llm import mixing, quality
+from tidemark.llm import decontaminate, linededup, mixing, quality, simhash
 from tidemark.llm.common import table, written
 
 
@@ -13,6 +14,25 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return quality.quality_filter(docs)
 
 
+def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Line dedup: lines that an earlier one goes before leave the texts; documents of which no line stays go."""
+    out = linededup.dedup_lines(docs).filter("n_kept > 0 or n_lines = 0")
+    changed = F.col("n_kept") < F.col("n_lines")
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.when(changed, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return out.select(*docs.columns)
+
+
+def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """SimHash near-dedup: of each group of near copies the document with the smallest id stays."""
+    return simhash.keep_one(docs)
+
+
+def decontaminate_docs(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Benchmark decontamination: documents that hold a test item go."""
+    return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Mixing sources to target weights: documents with the copies that the mix takes, those without any go."""
     return mixing.mix_sources(docs).filter("copies > 0")
@@ -20,6 +40,9 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [
     ("quality_rules", keep_quality),
+    ("line_dedup", dedup_lines),
+    ("simhash_dedup", dedup_near),
+    ("decontamination", decontaminate_docs),
     ("mix_sources", mix),
 ]
 

@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import chat, language, linededup, mixing, quality, secrets, simhash, urls
+from tidemark.llm import chat, decontaminate, language, licenses, linededup, mixing, quality, secrets, simhash, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": linededup.op1_line_dedup,
+    "op2_license_scan": licenses.op2_license_scan,
     "op3_url_filters": urls.op3_url_filters,
+    "op4_decontamination": decontaminate.op4_decontamination,
     "op5_language_id": language.op5_language_id,
     "op6_simhash_dedup": simhash.op6_simhash_dedup,
     "op7_mix_sources": mixing.op7_mix_sources,
@@ -20,6 +22,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 SQL: dict[str, str] = {
+    "op2_license_scan": licenses.OP2_SQL,
     "op3_url_filters": urls.OP3_SQL,
     "op7_mix_sources": mixing.OP7_SQL,
     "op9_chat_formatting": chat.OP9_SQL,
