@@ -1,10 +1,523 @@
-"""Registered queries over the given tables, with the SQL that checks them."""
+"""Registered queries over the given tables, with the SQL that checks them.
+
+Events serve as metric samples (source ``prod/<type>``), as log lines (template ``<type> <k>``), signups as
+changes and errors as signals of a user; texts' lines serve as log lines.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from tidemark.functions import series, templates, text
+from tidemark.operators import correlate, dampening, incidents, log_detector, metric_detector, mining, readapi
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").withColumn("source", F.concat(F.lit("prod/"), "event_type"))
+
+
+def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return events(spark, sf_dir).select("event_id", "ts", "value", F.lit("value").alias("metric"), F.concat("source", F.lit("/value")).alias("series"))
+
+
+def k_of(props: str = "props"):
+    return F.get_json_object(props, "$.k").cast("bigint")
+
+
+def log_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as matched log lines: template is type and k."""
+    name = F.concat_ws(" ", "event_type", k_of().cast("string"))
+    return events(spark, sf_dir).select(F.lit("prod/app").alias("source"), F.col("event_id").alias("seq"), "ts", name.alias("template_id"), name.alias("template"))
+
+
+def user_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Errors as signals of their users."""
+    e = table(spark, sf_dir, "events").filter("event_type = 'error'")
+    kind = F.when(F.col("value") > 60, "log.rare_template").otherwise("metric.zscore")
+    return e.select(
+        F.concat(F.lit("user/"), "user_id").alias("source"), F.col("event_id").alias("seq"), "ts", kind.alias("kind"),
+        F.split(kind, r"\.")[0].alias("modality"), F.least(F.lit(0.95), 0.3 + F.col("value") / 100).alias("score"),
+        F.concat_ws("/", kind, (k_of() % 3).cast("string")).alias("merge_key"),
+    )
+
+
+def user_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events").filter("event_type = 'signup'")
+    return e.select(F.concat(F.lit("user/"), "user_id").alias("source"), F.col("event_id").alias("change_id"), "ts")
+
+
+# ---- lines and fields
+
+
+@query("""SELECT event_id, 'prod/' || event_type AS source, 'prod' AS environment, event_type AS service, 'metric' AS modality, ts AS timestamp,
+  CAST(NULL AS VARCHAR) AS rejected FROM events""")
+def obs_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events")
+    none = lambda kind: F.lit(None).cast(kind)
+    rows = e.select(
+        "event_id", none("string").alias("id"), none("string").alias("source"), F.col("event_type").alias("service"), F.lit("prod").alias("environment"),
+        F.lit("metric").alias("modality"), F.col("ts").alias("timestamp"), F.col("ts").alias("ingested_at"),
+        none("struct<raw: string, message: string>").alias("log"), F.struct(F.lit("value").alias("name"), "value").alias("metric"), none("struct<type: string>").alias("change"),
+    )
+    return text.normalize(rows).select("event_id", "source", "environment", "service", "modality", "timestamp", "rejected")
+
+
+@query("""SELECT event_id, 'k is ' || json_extract_string(props, '$.k') AS message, 'error' AS level, ts AS timestamp FROM events""")
+def json_envelope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events")
+    micros = F.unix_micros(F.col("ts").cast("timestamp"))
+    raw = F.to_json(F.struct(F.concat(F.lit("k is "), k_of().cast("string")).alias("msg"), F.lit(3).alias("severity"), micros.alias("ts")))
+    lines = e.select("event_id", raw.alias("raw"), *[F.lit(None).cast(k).alias(n) for n, k in (("message", "string"), ("level", "string"), ("timestamp", "timestamp"))])
+    return text.parse_lines(lines).select("event_id", "message", "level", F.col("timestamp").cast("timestamp_ntz").alias("timestamp"))
+
+
+def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents")
+    return d.select("doc_id", "source", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).filter(F.trim("line") != "")
+
+
+_LINES = """SELECT doc_id, source, CAST(i - 1 AS INTEGER) AS line_no, ls[i] AS line
+  FROM (SELECT doc_id, source, string_split(text, chr(10)) AS ls, unnest(generate_series(1, len(string_split(text, chr(10))))) AS i FROM documents) WHERE trim(ls[i]) <> ''"""
+
+
+@query(f"WITH l AS ({_LINES}) SELECT doc_id, line_no, length(line) AS n_chars, md5(line) AS line_md5 FROM l")
+def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _lines(spark, sf_dir).select("doc_id", "line_no", F.length("line").cast("long").alias("n_chars"), F.md5(F.col("line").cast("binary")).alias("line_md5"))
+
+
+def _mask_sql(column: str) -> str:
+    for name, pattern in templates.MASKS:
+        column = f"regexp_replace({column}, '{pattern}', '<{name}>', 'g')"
+    return column
+
+
+@query(f"WITH l AS ({_LINES}) SELECT doc_id, line_no, {_mask_sql('line')} AS masked FROM l")
+def mask_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _lines(spark, sf_dir).select("doc_id", "line_no", templates.mask(F.col("line")).alias("masked"))
+
+
+_TOKENS = r"""list_filter(string_split_regex(masked, '\s+'), lambda x: x <> '')"""
+
+
+@query(f"""WITH l AS ({_LINES}), m AS (SELECT doc_id, line_no, {_mask_sql('line')} AS masked FROM l), t AS (SELECT doc_id, line_no, {_TOKENS} AS ws FROM m)
+  SELECT doc_id, line_no, CAST(len(ws) AS INTEGER) AS n_words, array_to_string(CASE WHEN len(ws) > 32 THEN list_append(ws[1:31], '<TRUNCATED>') ELSE ws END, ' ') AS tokens FROM t""")
+def tokenize_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = _lines(spark, sf_dir).withColumn("masked", templates.mask(F.col("line")))
+    return m.select("doc_id", "line_no", F.size(templates.tokens(F.col("masked"), 0)).alias("n_words"), F.array_join(templates.tokens(F.col("masked")), " ").alias("tokens"))
+
+
+@query(f"""WITH l AS ({_LINES}), m AS (SELECT DISTINCT {_mask_sql('line')} AS masked FROM l), t AS (SELECT masked, {_TOKENS} AS ws FROM m)
+  , f AS (SELECT masked, CAST(length(regexp_replace(regexp_replace(masked, '<[^>]{{0,7}}>', '', 'g'), '[^A-Za-z0-9]', '', 'g')) AS INTEGER) AS literals,
+    round(len(list_filter(ws, lambda x: regexp_full_match(x, '<[^<>]+>'))) / CAST(len(ws) AS DOUBLE), 9) AS ratio FROM t)
+  SELECT md5(masked) AS template_md5, literals, ratio, literals >= 8 AND ratio <= 0.6 AS informative FROM f""")
+def informative_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = _lines(spark, sf_dir).select(templates.mask(F.col("line")).alias("masked")).distinct()
+    t = F.col("masked")
+    return m.select(
+        F.md5(t.cast("binary")).alias("template_md5"), templates.literals(t).alias("literals"),
+        F.round(templates.placeholder_ratio(t), 9).alias("ratio"), templates.informative(t).alias("informative"),
+    )
+
+
+@query("""SELECT 'prod/' || event_type || '/value{k=' || json_extract_string(props, '$.k') || '}{user=' || user_id || '}' AS series, 'value' AS metric, count(*) AS n
+  FROM events GROUP BY ALL""")
+def series_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = F.create_map(F.lit("user"), F.col("user_id").cast("string"), F.lit("k"), k_of().cast("string"))
+    e = events(spark, sf_dir).select(series.series_key(F.col("source"), F.lit("value"), labels).alias("series"))
+    return e.groupBy("series", series.metric_name(F.col("series")).alias("metric")).agg(F.count("*").alias("n"))
+
+
+MARKINGS = {"error 3": "symptomatic"}
+PATTERNS = {"error*": "ignore", "err*": "normal", "view 1*": "heartbeat", "*7": "normal"}
+
+
+@query("""WITH t AS (SELECT event_type || ' ' || json_extract_string(props, '$.k') AS template, count(*) AS n FROM events GROUP BY 1),
+  p(pattern, marking) AS (VALUES ('error*', 'ignore'), ('err*', 'normal'), ('view 1*', 'heartbeat'), ('*7', 'normal'))
+  SELECT template, n, CASE WHEN template = 'error 3' THEN 'symptomatic' ELSE
+    (SELECT arg_min(marking, (-length(pattern), pattern)) FROM p WHERE template GLOB pattern) END AS marking FROM t""")
+def marking_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = log_rows(spark, sf_dir).groupBy("template").agg(F.count("*").alias("n"))
+    return t.withColumn("marking", templates.best_marking(F.col("template"), MARKINGS, PATTERNS))
+
+
+@query("""SELECT level, CASE WHEN TRY_CAST(level AS BIGINT) IS NOT NULL THEN
+    CASE WHEN CAST(level AS BIGINT) <= 2 THEN 'fatal' WHEN CAST(level AS BIGINT) = 3 THEN 'error' WHEN CAST(level AS BIGINT) = 4 THEN 'warn'
+      WHEN CAST(level AS BIGINT) <= 6 THEN 'info' WHEN CAST(level AS BIGINT) = 7 THEN 'debug' END
+    ELSE CASE lower(level) WHEN 'error' THEN 'error' END END AS normalized, n
+  FROM (SELECT unnest([event_type, CAST(json_extract(props, '$.k') AS VARCHAR), upper(event_type)]) AS level, count(*) AS n FROM events GROUP BY 1)""")
+def level_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events")
+    levels = e.select(F.explode(F.array("event_type", k_of().cast("string"), F.upper("event_type"))).alias("level"))
+    return levels.groupBy("level").agg(F.count("*").alias("n")).select("level", text.level_of(F.col("level")).alias("normalized"), "n")
+
+
+@query("""SELECT event_id, 'event_value' AS name, event_type AS type_label, 'a"b\\\\c' || chr(10) || user_id AS user_label, value, ts FROM events""")
+def prometheus_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Samples written as exposition lines and parsed again."""
+    e = table(spark, sf_dir, "events")
+    user = F.concat(F.lit('a\\"b\\\\\\\\c\\n'), F.col("user_id").cast("string"))
+    millis = F.unix_millis(F.date_trunc("second", F.col("ts").cast("timestamp")))
+    line = F.concat(F.lit('event_value{type="'), "event_type", F.lit('", user="'), user, F.lit('"} '), F.col("value").cast("string"), F.lit(" "), millis.cast("string"))
+    s = e.select("event_id", F.col("ts").alias("own"), series.prometheus_sample(line).alias("s"))
+    exact = F.when(F.date_trunc("second", F.col("own").cast("timestamp")) == F.col("s.timestamp"), F.col("own"))
+    return s.select("event_id", "s.name", F.col("s.labels")["type"].alias("type_label"), F.col("s.labels")["user"].alias("user_label"), "s.value", exact.alias("ts"))
+
+
+# ---- metric detector
+
+_EWMA = """WITH RECURSIVE s AS (
+  SELECT 'prod/' || event_type || '/value' AS series, event_id, ts, value, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS rn FROM events
+), f AS (
+  SELECT series, rn, event_id, ts, value, 0 AS n, 0.0::DOUBLE AS mean, 0.0::DOUBLE AS variance, 0.0::DOUBLE AS fast, 0.0::DOUBLE AS slow,
+    1 AS n2, value AS mean2, 0.0::DOUBLE AS variance2, value AS fast2, value AS slow2 FROM s WHERE rn = 1
+  UNION ALL
+  SELECT s.series, s.rn, s.event_id, s.ts, s.value, f.n2, f.mean2, f.variance2, f.fast2, f.slow2, f.n2 + 1,
+    f.mean2 + 0.05::DOUBLE * (s.value - f.mean2),
+    (1 - 0.05::DOUBLE) * (f.variance2 + 0.05::DOUBLE * (s.value - f.mean2) * (s.value - f.mean2)),
+    f.fast2 + 0.3::DOUBLE * (s.value - f.fast2), f.slow2 + 0.05::DOUBLE * (s.value - f.slow2)
+  FROM f JOIN s ON s.series = f.series AND s.rn = f.rn + 1
+)"""
+
+
+@query(f"""{_EWMA}, z AS (SELECT *, (value - mean) / sqrt(variance) AS z FROM f WHERE n >= 30 AND variance > 0)
+  SELECT series, event_id, ts, value, round(mean, 6) AS mean, round(z, 6) AS z, round(least(0.95, 0.5 + abs(z) / 10), 6) AS score FROM z WHERE abs(z) >= 3""")
+def metric_zscore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = metric_detector.judge(samples(spark, sf_dir), metric_detector.MetricConfig(daily=False))
+    found = metric_detector.signals(judged).filter(F.col("kind") == metric_detector.ZSCORE)
+    return found.select(
+        "series", "event_id", F.timestamp_micros("ts_us").cast("timestamp_ntz").alias("ts"), "value", F.round("mean", 6).alias("mean"), F.round("z", 6).alias("z"), F.round("score", 6).alias("score")
+    )
+
+
+@query(f"""{_EWMA}, last AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY series ORDER BY rn DESC) = 1)
+  SELECT series, CAST(n2 AS BIGINT) AS samples, round(mean2, 6) AS mean, round(sqrt(variance2), 6) AS std_dev, round(fast2, 6) AS recent, n2 < 30 AS warmup FROM last""")
+def metric_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = metric_detector.series_table(samples(spark, sf_dir))
+    return t.select("series", "samples", F.round("mean", 6).alias("mean"), F.round("std_dev", 6).alias("std_dev"), F.round("recent", 6).alias("recent"), "warmup")
+
+
+@query(f"""{_EWMA}, d AS (SELECT *, abs(fast - slow) / greatest(abs(slow), 1e-9) >= 0.5 AS drifts FROM f WHERE n >= 30)
+  SELECT series, event_id, value FROM (SELECT *, coalesce(lag(drifts) OVER (PARTITION BY series ORDER BY rn), false) AS before FROM d) WHERE drifts AND NOT before""")
+def metric_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = metric_detector.judge(samples(spark, sf_dir), metric_detector.MetricConfig(daily=False))
+    return metric_detector.signals(judged).filter(F.col("kind") == metric_detector.DRIFT).select("series", "event_id", "value")
+
+
+@query("""SELECT 'prod/' || event_type || '/value' AS series, event_id, value, 0.9 ::DOUBLE AS score FROM events WHERE value > 150 UNION ALL
+  SELECT 'prod/' || event_type || '/value', event_id, value, 0.9 FROM events WHERE value < 0.5""")
+def metric_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = F.explode(F.filter(F.array(F.when(F.col("value") > 150, F.lit(0.9)), F.when(F.col("value") < 0.5, F.lit(0.9))), lambda x: x.isNotNull()))
+    return samples(spark, sf_dir).select("series", "event_id", "value", rules.alias("score"))
+
+
+@query("""WITH d AS (SELECT event_type, event_id, ts FROM events WHERE value > 150)
+  SELECT a.event_type, a.event_id, CAST(CASE WHEN NOT bool_or(coalesce(b.ts BETWEEN a.ts - INTERVAL 25 HOUR AND a.ts - INTERVAL 23 HOUR, false)) THEN 0
+    WHEN NOT bool_or(coalesce(b.ts BETWEEN a.ts - INTERVAL 49 HOUR AND a.ts - INTERVAL 47 HOUR, false)) THEN 1 ELSE 2 END AS INTEGER) AS days
+  FROM d a LEFT JOIN d b ON a.event_type = b.event_type AND b.ts < a.ts GROUP BY 1, 2""")
+def metric_recurrence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Days in a row before a high value with another at that hour, by meeting on hours."""
+    d = table(spark, sf_dir, "events").filter("value > 150").select("event_type", "event_id", correlate.seconds(F.col("ts")).alias("s"))
+    seen = d.select(F.col("event_type").alias("t"), F.col("s").alias("bs"), F.floor(F.col("s") / 3600).alias("slot"))
+
+    def day(n: int) -> DataFrame:
+        at = F.col("s") - 86400 * n
+        mine = d.withColumn("slot", F.explode(F.sequence(F.floor((at - 3600) / 3600), F.floor((at + 3600) / 3600))))
+        near = mine.join(seen, (F.col("event_type") == F.col("t")) & (mine["slot"] == seen["slot"]) & F.col("bs").between(at - 3600, at + 3600), "left_semi")
+        return near.select("event_id", F.lit(n).alias("n")).distinct()
+
+    found = day(1).union(day(2)).groupBy("event_id").agg(F.sum("n").alias("which"))
+    days = F.when(F.col("which") == 3, 2).when(F.col("which") == 1, 1).otherwise(0)
+    return d.join(found, "event_id", "left").select("event_type", "event_id", days.alias("days"))
+
+
+@query("""SELECT event_type, k, n, value FROM (SELECT event_type, CAST(json_extract(props, '$.k') AS BIGINT) AS k, count(*) AS n, round(max(value), 6) AS value FROM events GROUP BY 1, 2)
+  WHERE value >= CASE WHEN event_type LIKE '%up' THEN 100 WHEN event_type = 'error' THEN 150 ELSE 0 END""")
+def metric_min_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = table(spark, sf_dir, "events").groupBy("event_type", k_of().alias("k")).agg(F.count("*").alias("n"), F.round(F.max("value"), 6).alias("value"))
+    return g.filter(F.col("value") >= series.min_delta(F.col("event_type"), {"*up": 100.0, "error": 150.0}))
+
+
+@query("""SELECT user_id, event_id, round(value - lag(value) OVER w, 6) AS delta, round(100 * (value - lag(value) OVER w) / (epoch_us(ts) - lag(epoch_us(ts)) OVER w) * 1e6, 6) AS rate
+  FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id) QUALIFY lag(ts) OVER w IS NOT NULL""")
+def counter_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Change of a counter against time, from each sample to the next of its host."""
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    e = table(spark, sf_dir, "events").withColumn("us", F.unix_micros(F.col("ts").cast("timestamp")))
+    e = e.withColumns({"delta": F.col("value") - F.lag("value").over(w), "passed": F.col("us") - F.lag("us").over(w)}).filter("passed is not null")
+    return e.select("user_id", "event_id", F.round("delta", 6).alias("delta"), F.round(100 * F.col("delta") / F.col("passed") * 1e6, 6).alias("rate"))
+
+
+# ---- log detector
+
+
+@query("""SELECT event_type, time_bucket(INTERVAL 1 HOUR, ts) AS bucket, count(*) AS n FROM events GROUP BY 1, 2""")
+def bucket_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").groupBy("event_type", F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("bucket")).agg(F.count("*").alias("n"))
+
+
+@query("""SELECT event_type, CAST(hour(ts) AS INTEGER) AS hour, count(*) AS n, count(DISTINCT CAST(ts AS DATE)) AS days FROM events GROUP BY 1, 2""")
+def hourly_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").groupBy("event_type", F.hour("ts").alias("hour")).agg(F.count("*").alias("n"), F.countDistinct(F.to_date("ts")).alias("days"))
+
+
+_TEMPLATE = "event_type || ' ' || json_extract_string(props, '$.k')"
+
+
+@query(f"""WITH t AS (SELECT {_TEMPLATE} AS template, min((ts, event_id)) AS f FROM events GROUP BY 1), s AS (SELECT min(ts) AS start FROM events)
+  SELECT template, f[2] AS event_id, f[1] AS ts FROM t, s WHERE f[1] >= start + INTERVAL 5 MINUTE""".replace("f[2]", "struct_extract(f, 2)").replace("f[1]", "struct_extract(f, 1)"))
+def new_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First occurrences after the learning period of their source."""
+    rows = log_rows(spark, sf_dir)
+    first = rows.groupBy("source", "template").agg(F.min(F.struct("ts", "seq")).alias("f"))
+    start = rows.groupBy("source").agg(F.min("ts").alias("start"))
+    return first.join(start, "source").filter(F.col("f.ts") >= F.col("start") + F.expr("INTERVAL 5 MINUTES")).select("template", F.col("f.seq").alias("event_id"), F.col("f.ts").alias("ts"))
+
+
+@query(f"""SELECT event_id, template, n FROM (SELECT event_id, {_TEMPLATE} AS template, row_number() OVER (PARTITION BY {_TEMPLATE} ORDER BY ts, event_id) AS n,
+    row_number() OVER (ORDER BY ts, event_id) AS total FROM events) WHERE n BETWEEN 2 AND 3 AND total >= 500""")
+def rare_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Second and third occurrences once their source has 500 rows; the row that makes it 500 is found by counting up time slots."""
+    rows = log_rows(spark, sf_dir)
+    few = rows.withColumn("n", F.row_number().over(Window.partitionBy("source", "template").orderBy("ts", "seq"))).filter("n between 2 and 3")
+    hourly = rows.groupBy("source", F.date_trunc("hour", "ts").alias("slot")).agg(F.count("*").alias("c"))
+    upto = Window.partitionBy("source").orderBy("slot")
+    slots = hourly.withColumn("before", F.sum("c").over(upto) - F.col("c"))
+    ranked = rows.join(slots.filter("before < 500 and before + c >= 500"), ["source"]).filter(F.date_trunc("hour", "ts") == F.col("slot"))
+    ranked = ranked.withColumn("total", F.col("before") + F.row_number().over(Window.partitionBy("source").orderBy("ts", "seq")))
+    reached = ranked.filter("total = 500").select("source", F.struct("ts", "seq").alias("reached"))
+    return few.join(reached, "source").filter(F.struct("ts", "seq") >= F.col("reached")).select(F.col("seq").alias("event_id"), "template", F.col("n").cast("long").alias("n"))
+
+
+@query("""SELECT user_id, event_id, gap_s FROM (SELECT user_id, event_id, epoch_us(lead(ts) OVER w) / 1e6 - epoch_us(ts) / 1e6 AS gap_s FROM events
+    WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)) WHERE gap_s > 86400""".replace("epoch_us(lead(ts) OVER w) / 1e6 - epoch_us(ts) / 1e6", "(epoch_us(lead(ts) OVER w) - epoch_us(ts)) / 1e6"))
+def silent_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    us = F.unix_micros(F.col("ts").cast("timestamp"))
+    return table(spark, sf_dir, "events").select("user_id", "event_id", ((F.lead(us).over(w) - us) / 1e6).alias("gap_s")).filter("gap_s > 86400")
+
+
+@query()
+def log_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All signals of the log detector over events as log lines, each type and user a source's templates."""
+    rows = log_rows(spark, sf_dir)
+    change = F.when(F.row_number().over(Window.partitionBy("source", "template").orderBy("ts", "seq")) == 1, mining.CREATED).otherwise(mining.SAME)
+    found = log_detector.detect(rows.withColumn("change_type", change), markings={"error 3": "symptomatic"}, patterns={"view*": "heartbeat"}, min_literals=4)
+    return found.select("source", "seq", F.timestamp_micros("ts_us").cast("timestamp_ntz").alias("ts"), "kind", "score", "template", "marking")
+
+
+@query()
+def drain_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Templates mined from the lines of all documents, one miner a source."""
+    mined = mining.mine(_lines(spark, sf_dir).withColumnRenamed("line", "message").withColumn("seq", F.struct("doc_id", "line_no")).withColumn("at", F.col("doc_id")), ["at", "line_no"], "seq")
+    return mining.template_table(mined, F.struct("cluster_size", "template"))
+
+
+# ---- dampening and correlation
+
+
+@query()
+def dampen_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = user_signals(spark, sf_dir).withColumn("pattern", F.col("merge_key"))
+    found = dampening.dampen(s)
+    return found.filter("reported").select("kind", "source", "pattern", "seq", F.round("score", 6).alias("score"), "suppressed", "repeats", F.round("escalated_from", 6).alias("escalated_from"))
+
+
+_SIGNALS = """SELECT 'user/' || user_id AS source, event_id AS seq, ts, CASE WHEN value > 60 THEN 'log.rare_template' ELSE 'metric.zscore' END AS kind,
+  CASE WHEN value > 60 THEN 'log' ELSE 'metric' END AS modality, least(0.95, 0.3 + value / 100) AS score,
+  CASE WHEN value > 60 THEN 'log.rare_template' ELSE 'metric.zscore' END || '/' || (CAST(json_extract(props, '$.k') AS BIGINT) % 3) AS merge_key
+  FROM events WHERE event_type = 'error'"""
+
+
+@query(f"""WITH s AS ({_SIGNALS}) SELECT source, time_bucket(INTERVAL 1 DAY, ts) AS day, merge_key, arg_min(seq, (-score, ts, seq)) AS seq, round(max(score), 6) AS score, count(*) AS occurrences
+  FROM s GROUP BY 1, 2, 3""")
+def merge_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = user_signals(spark, sf_dir).withColumn("day", F.date_trunc("day", "ts").cast("timestamp_ntz"))
+    return correlate.merge_signals(s, ["source", "day"]).select("source", "day", "merge_key", "seq", F.round("score", 6).alias("score"), "occurrences")
+
+
+@query(f"""WITH s AS ({_SIGNALS}), m AS (SELECT source, time_bucket(INTERVAL 1 DAY, ts) AS day, merge_key, max(score) AS score, any_value(modality) AS modality FROM s GROUP BY 1, 2, 3),
+  c AS (SELECT source, day, least(0.99, 1 - exp(sum(ln(1 - least(score, 0.99))))) AS confidence, bool_or(modality = 'log') AND bool_or(modality = 'metric') AS multimodal, count(*) AS n FROM m GROUP BY 1, 2)
+  SELECT source, day, round(confidence, 6) AS confidence, multimodal, CASE WHEN confidence < 0.6 THEN 'info' WHEN confidence < 0.85 THEN 'warning' WHEN multimodal THEN 'critical' ELSE 'warning' END AS severity, n FROM c""")
+def combine_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = user_signals(spark, sf_dir).withColumn("day", F.date_trunc("day", "ts").cast("timestamp_ntz"))
+    c = correlate.combine(correlate.merge_signals(s, ["source", "day"]), ["source", "day"])
+    level = correlate.severity(F.col("confidence"), F.col("multimodal"), F.lit(False), F.col("has_log"), F.col("asked_for"))
+    return c.select("source", "day", F.round("confidence", 6).alias("confidence"), "multimodal", level.alias("severity"), F.size("signals").cast("long").alias("n"))
+
+
+@query("""SELECT e.event_id, c.event_id AS change_id, round((epoch_us(c.ts) - epoch_us(e.ts)) / 1e6, 6) AS offset_seconds
+  FROM events e JOIN events c ON c.user_id = e.user_id AND c.event_type = 'signup' AND c.ts BETWEEN e.ts - INTERVAL 24 HOUR AND e.ts + INTERVAL 30 SECOND WHERE e.event_type = 'error'""")
+def related_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Changes of the same user from a day before to half a minute after an error."""
+    s = user_signals(spark, sf_dir).withColumnRenamed("seq", "event_id")
+    return correlate.related_changes(s, user_changes(spark, sf_dir), horizon_s=86400)
+
+
+@query("""WITH s AS (SELECT event_id AS seq, user_id, ts FROM events WHERE event_type = 'error'), c AS (SELECT event_id AS change_id, user_id, ts FROM events WHERE event_type = 'signup'),
+  free AS (SELECT * FROM s WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.user_id = s.user_id AND c.ts BETWEEN s.ts - INTERVAL 15 MINUTE AND s.ts)),
+  p AS (SELECT seq, change_id, 'user/' || c.user_id AS echo_source, round((epoch_us(free.ts) - epoch_us(c.ts)) / 1e6, 6) AS delay_seconds
+    FROM free JOIN c ON c.user_id <> free.user_id AND c.ts BETWEEN free.ts - INTERVAL 10 MINUTE AND free.ts)
+  SELECT seq, change_id, echo_source, delay_seconds FROM p QUALIFY row_number() OVER (PARTITION BY seq ORDER BY delay_seconds, echo_source, change_id) = 1""")
+def change_echoes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return correlate.echoes(user_signals(spark, sf_dir), user_changes(spark, sf_dir))
+
+
+@query("""WITH g AS (SELECT user_id, ts, CASE WHEN ts <= lag(ts) OVER w + INTERVAL 6 HOUR THEN 0 ELSE 1 END AS opens FROM events WHERE event_type = 'signup' WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+  n AS (SELECT *, sum(opens) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM g)
+  SELECT 'user/' || user_id AS source, min(ts) AS session_start, max(ts) + INTERVAL 6 HOUR AS session_end, count(*) AS n_changes FROM n GROUP BY user_id, k""")
+def change_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = correlate.change_sessions(user_changes(spark, sf_dir), echo_s=6 * 3600)
+    return found.select("source", F.col("session_start").cast("timestamp_ntz").alias("session_start"), F.col("session_end").cast("timestamp_ntz").alias("session_end"), "n_changes")
+
+
+@query("""SELECT user_id, event_id, array_to_string(list(event_id) OVER (w ROWS BETWEEN 9 PRECEDING AND CURRENT ROW), ',') AS before,
+  coalesce(array_to_string(list(event_id) OVER (w ROWS BETWEEN 1 FOLLOWING AND 10 FOLLOWING), ','), '') AS after FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)""")
+def context_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "events").select("user_id", F.col("user_id").alias("source"), "ts", F.col("event_id").alias("seq"))
+    return correlate.context(rows).select(
+        "user_id", F.col("seq").alias("event_id"), F.array_join("before", ",").alias("before"), F.array_join("after", ",").alias("after")
+    )
+
+
+@query()
+def anomaly_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From errors as signals to events of windows of an hour, with changes and severity."""
+    built = correlate.build_events(user_signals(spark, sf_dir), user_changes(spark, sf_dir), window_s=3600)
+    return built.select("event_id", "kind", "source", "ts", "severity", F.round("confidence", 6).alias("confidence"), "n_signals", F.size(F.coalesce("related_changes", F.array())).alias("n_changes"))
+
+
+# ---- incidents
+
+
+def _anomalies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events").filter("event_type = 'error' and value > 60")
+    return e.select(
+        "event_id", "ts", F.concat(F.lit("user/"), (F.col("user_id") % 20).cast("string")).alias("service"),
+        F.when(k_of() % 10 == 0, F.array(F.concat(F.lit("deploy "), F.to_date("ts").cast("string")))).alias("change_keys"),
+        F.when(F.col("value") > 150, "critical").when(F.col("value") > 100, "warning").otherwise("info").alias("severity"),
+        F.least(F.lit(0.99), F.col("value") / 300).alias("confidence"), F.concat(F.lit("value "), F.round("value", 1).cast("string"), F.lit(" (high)")).alias("summary"),
+    )
+
+
+@query()
+def incident_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return incidents.group_events(_anomalies(spark, sf_dir))
+
+
+@query()
+def incident_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = _anomalies(spark, sf_dir)
+    found = incidents.incident_table(a, incidents.group_events(a))
+    return incidents.incident_list(found, least="warning").select("incident_id", "start", "end", "severity", F.round("confidence", 6).alias("confidence"), "n_events", F.array_join("services", ",").alias("services"), "title")
+
+
+@query("""SELECT 'day ' || CAST(ts AS DATE) AS incident_id, event_type AS kind, 'user/' || user_id % 20 AS source, count(*) AS n_signals, round(max(value), 6) AS score,
+    'event ' || arg_max(event_id, (value, event_id)) AS summary, min(ts) AS first_seen, max(ts) AS last_seen FROM events GROUP BY 1, 2, 3""")
+def evidence_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events").select(
+        F.concat(F.lit("day "), F.to_date("ts").cast("string")).alias("incident_id"), F.col("event_type").alias("kind"), F.concat(F.lit("user/"), (F.col("user_id") % 20).cast("string")).alias("source"),
+        F.col("value").alias("score"), F.concat(F.lit("event "), F.col("event_id").cast("string")).alias("summary"), "ts", F.col("event_id").alias("seq"),
+    )
+    return incidents.evidence(e).withColumn("score", F.round("score", 6))
+
+
+# ---- reads
+
+
+@query("""SELECT * FROM (SELECT event_id, ts, event_type, value FROM events WHERE ts BETWEEN TIMESTAMP '2024-01-10' AND TIMESTAMP '2024-01-20' ORDER BY ts DESC, event_id DESC LIMIT 500)""")
+def events_newest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events").select("event_id", "ts", "event_type", "value")
+    return readapi.newest(e, F.expr("TIMESTAMP_NTZ '2024-01-10'"), F.expr("TIMESTAMP_NTZ '2024-01-20'"))
+
+
+@query("""SELECT o_orderkey, o_orderdate, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 50 OFFSET 100""")
+def orders_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return readapi.page(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate", "o_totalprice"), [F.col("o_totalprice").desc(), F.col("o_orderkey")], 100, 50)
+
+
+@query("""SELECT p_partkey, p_name, p_type FROM part WHERE contains(lower(p_name), '99') OR contains(lower(p_type), 'steel')""")
+def parts_containing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_type")
+    return readapi.containing(p, ["p_name"], "99").union(readapi.containing(p, ["p_type"], "Steel")).distinct()
+
+
+@query("""WITH u AS (SELECT user_id, avg(value) AS mean, stddev_pop(value) AS std_dev, arg_max(value, (ts, event_id)) AS recent FROM events GROUP BY 1), s AS (SELECT *, CASE WHEN std_dev > 0 THEN (recent - mean) / std_dev ELSE 0 END AS sigma FROM u)
+  SELECT 'user/' || user_id AS series, round(sigma, 6) AS sigma, CASE WHEN abs(sigma) >= 3 THEN 'hot' WHEN abs(sigma) >= 1 THEN 'warm' ELSE 'calm' END AS band, round(least(1, abs(sigma) / 12), 6) AS bar FROM s""")
+def series_by_sigma(spark: SparkSession, sf_dir: str) -> DataFrame:
+    u = table(spark, sf_dir, "events").groupBy(F.concat(F.lit("user/"), "user_id").alias("series")).agg(
+        F.avg("value").alias("mean"), F.stddev_pop("value").alias("std_dev"), F.max_by("value", F.struct("ts", "event_id")).alias("recent")
+    )
+    return readapi.series_by_sigma(u).select("series", F.round("sigma", 6).alias("sigma"), "band", F.round("bar", 6).alias("bar"))
+
+
+@query("""WITH o AS (SELECT o_orderkey, 'Cust' || o_custkey % 50 AS identifier, CASE WHEN o_orderstatus <> 'P' AND o_custkey % 3 > 0 THEN 'unit-' || (o_custkey % 50) || CASE WHEN o_custkey % 50 < 5 AND o_orderkey % 2 = 0 THEN 'b' ELSE '' END END AS unit FROM orders),
+  k AS (SELECT lower(identifier) AS id, min(unit) AS only_unit FROM o WHERE unit IS NOT NULL GROUP BY 1 HAVING count(DISTINCT unit) = 1)
+  SELECT o_orderkey, identifier, unit, coalesce(unit, only_unit) AS resolved FROM o LEFT JOIN k ON lower(identifier) = id""")
+def unit_resolver(spark: SparkSession, sf_dir: str) -> DataFrame:
+    group = F.col("o_custkey") % 50
+    unit = F.concat(F.lit("unit-"), group.cast("string"), F.when((group < 5) & (F.col("o_orderkey") % 2 == 0), "b").otherwise(""))
+    o = table(spark, sf_dir, "orders").select(
+        "o_orderkey", F.concat(F.lit("Cust"), group.cast("string")).alias("identifier"), F.when((F.col("o_orderstatus") != "P") & (F.col("o_custkey") % 3 > 0), unit).alias("unit")
+    )
+    return readapi.resolve_units(o, "identifier", "unit")
+
+
+@query("""SELECT c_custkey, coalesce(n_name, 'nation ' || c_nationkey) AS n_name, c_mktsegment FROM customer LEFT JOIN (SELECT * FROM nation WHERE n_nationkey < 20) ON c_nationkey = n_nationkey""")
+def directory_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "nation").filter("n_nationkey < 20").select(F.col("n_nationkey").alias("c_nationkey"), "n_name")
+    c = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")
+    return readapi.lookup(c, d, "c_nationkey", "n_name", F.concat(F.lit("nation "), F.col("c_nationkey").cast("string"))).select("c_custkey", "n_name", "c_mktsegment")
+
+
+@query("""WITH o AS (SELECT o_custkey, o_orderkey, o_orderpriority AS image, o_orderstatus AS restarted, CAST(o_totalprice / 100000 AS BIGINT) AS replicas FROM orders),
+  p AS (SELECT *, lag(image) OVER w AS image0, lag(restarted) OVER w AS restarted0, lag(replicas) OVER w AS replicas0, lag(o_orderkey) OVER w AS key0 FROM o WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey))
+  SELECT o_custkey, o_orderkey, CASE WHEN image <> image0 THEN 'deployment' WHEN restarted <> restarted0 THEN 'restart' WHEN replicas <> replicas0 THEN 'scale' ELSE 'config' END AS type FROM p WHERE key0 IS NOT NULL""")
+def workload_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each generation of a workload against the one before."""
+    w = Window.partitionBy("o_custkey").orderBy("o_orderkey")
+    o = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", F.col("o_orderpriority").alias("image"), F.col("o_orderstatus").alias("restarted"), F.round(F.col("o_totalprice") / 100000).cast("long").alias("replicas"))
+    changed = lambda c: F.col(c) != F.lag(c).over(w)
+    kind = F.when(changed("image"), "deployment").when(changed("restarted"), "restart").when(changed("replicas"), "scale").otherwise("config")
+    return o.select("o_custkey", "o_orderkey", kind.alias("type"), F.lag("o_orderkey").over(w).alias("before")).filter("before is not null").drop("before")
+
+
+@query(f"WITH l AS ({_LINES}) SELECT md5(line) AS line_md5, min(doc_id) AS doc_id, count(*) AS n FROM l GROUP BY line")
+def cursor_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows that a poll reads again at its inclusive border, once."""
+    return _lines(spark, sf_dir).groupBy("line").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n")).select(F.md5(F.col("line").cast("binary")).alias("line_md5"), "doc_id", "n")
+
+
+@query("""SELECT 'event' AS modality, event_id AS id, ts, value FROM events UNION ALL SELECT 'order', o_orderkey, o_orderdate, o_totalprice FROM orders""")
+def union_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events").select(F.lit("event").alias("modality"), F.col("event_id").alias("id"), "ts", "value")
+    o = table(spark, sf_dir, "orders").select(F.lit("order").alias("modality"), F.col("o_orderkey").alias("id"), F.col("o_orderdate").alias("ts"), F.col("o_totalprice").alias("value"))
+    return e.unionByName(o)
+
+
+@query("""WITH g AS (SELECT user_id, epoch_us(max(ts)) - epoch_us(min(ts)) AS us FROM events GROUP BY 1), s AS (SELECT user_id, us / 1e6 AS s, CAST(round(us / 3.6e9) AS BIGINT) AS h FROM g)
+  SELECT user_id, h // 24 || 'd' || CASE WHEN h % 24 > 0 THEN ' ' || h % 24 || 'h' ELSE '' END AS span FROM s WHERE s >= 86400""")
+def active_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    us = F.unix_micros(F.col("ts").cast("timestamp"))
+    g = table(spark, sf_dir, "events").groupBy("user_id").agg(((F.max(us) - F.min(us)) / 1e6).alias("s"))
+    return g.filter("s >= 86400").select("user_id", series.humanized(F.col("s")).alias("span"))
