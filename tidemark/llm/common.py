@@ -85,3 +85,11 @@ def map_rows(df: DataFrame, rows_of: Callable[[Iterator[tuple]], Iterator[tuple]
             yield batch(held)
 
     return df.mapInArrow(run, out)
+
+
+def without_keys(df: DataFrame, key: str, gone: DataFrame) -> DataFrame:
+    """The rows of ``df`` whose key isn't among those of ``gone`` (one column); null counts as a key."""
+    name = "_gone"
+    while name in df.columns:
+        name += "_"
+    return df.join(gone.toDF(name).distinct(), F.col(key).eqNullSafe(F.col(name)), "left_anti")

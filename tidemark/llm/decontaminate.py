@@ -29,7 +29,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import map_rows, table
+from tidemark.llm.common import map_rows, table, without_keys
 
 K1, B = 1.2, 0.75
 THRESHOLD = 0.6
@@ -259,8 +259,7 @@ def contaminated(
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` whose key isn't that of a text with a test item."""
-    gone = contaminated(docs, benchmark, key, text).select(F.col("key").alias("_gone_key")).distinct()
-    return docs.join(gone, F.col(key).eqNullSafe(F.col("_gone_key")), "left_anti")
+    return without_keys(docs, key, contaminated(docs, benchmark, key, text).select("key"))
 
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

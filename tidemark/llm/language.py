@@ -100,7 +100,7 @@ def learn(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
     sums = map_rows(drawn, bundle, "lang string, place int, x double").groupBy("lang", "place").agg(F.sum("x").alias("x"))
     sums = sums.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("place", "x"))).alias("v")).orderBy("lang").collect()
     names = [r["lang"] for r in sums]
-    profiles = np.array([[x["x"] for x in r["v"]] for r in sums], np.float32).reshape(len(names), -1)
+    profiles = np.array([[x["x"] for x in r["v"]] for r in sums], np.float32).reshape(len(names), DIMENSIONS)
     return names, profiles / np.maximum(np.linalg.norm(profiles, axis=1, keepdims=True), 1e-9)
 
 

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import table, written
+from tidemark.llm.common import table, without_keys, written
 from tidemark.llm.components import components
 
 SHINGLE, SEED, RADIUS = 3, 42, 3
@@ -163,8 +163,7 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
 
     Rows with a null key stay only in components of such rows.
     """
-    gone = near_duplicates(docs, key, text).filter(~F.col("key").eqNullSafe(F.col("component"))).select(F.col("key").alias("_gone_key")).distinct()
-    return docs.join(gone, F.col(key).eqNullSafe(F.col("_gone_key")), "left_anti")
+    return without_keys(docs, key, near_duplicates(docs, key, text).filter(~F.col("key").eqNullSafe(F.col("component"))).select("key"))
 
 
 def op6_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
