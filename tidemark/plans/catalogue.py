@@ -456,10 +456,10 @@ def orders_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readapi.page(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate", "o_totalprice"), [F.col("o_totalprice").desc(), F.col("o_orderkey")], 100, 50)
 
 
-@query("""SELECT p_partkey, p_name, p_type FROM part WHERE contains(lower(p_name), '99') OR contains(lower(p_type), 'steel')""")
+@query("""SELECT p_partkey, p_name, p_type FROM part WHERE contains(lower(p_name), 'ring') OR contains(lower(p_type), 'econ')""")
 def parts_containing(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_type")
-    return readapi.containing(p, ["p_name"], "99").union(readapi.containing(p, ["p_type"], "Steel")).distinct()
+    return readapi.containing(p, ["p_name"], "RING").union(readapi.containing(p, ["p_type"], "Econ")).distinct()
 
 
 @query("""WITH u AS (SELECT user_id, avg(value) AS mean, stddev_pop(value) AS std_dev, arg_max(value, (ts, event_id)) AS recent FROM events GROUP BY 1), s AS (SELECT *, CASE WHEN std_dev > 0 THEN (recent - mean) / std_dev ELSE 0 END AS sigma FROM u)
