@@ -72,7 +72,7 @@ def parse_lines(
 ) -> DataFrame:
     """``lines`` (raw, message, level, timestamp, ...) with message, level, timestamp and log_process from raw.
 
-    Rows that already have a message keep it, and only their level is normalized.  Otherwise escape sequences,
+    Rows that already have a message keep it, and only their level is normalized, where it is known.  Otherwise escape sequences,
     a leading time and a bracketed process go from the line, and a JSON object gives up its text, level and time.
     """
     given = blank_to_null(F.col("message"))
@@ -107,7 +107,7 @@ def parse_lines(
     return out.withColumns(
         {
             "message": F.when(own, F.col("message")).otherwise(message),
-            "level": F.coalesce(level_of(F.col("level")), F.when(~own, level)),
+            "level": F.when(own, F.coalesce(level_of(F.col("level")), blank_to_null(F.col("level")))).otherwise(level),
             "timestamp": F.when(own, F.col("timestamp")).otherwise(F.coalesce("timestamp", "_time", time)),
             "log_process": F.when(~own, F.col("_process")),
         }
