@@ -84,6 +84,12 @@ def repeated_words(text: Column) -> Column:
     return let(words_of(text), of)
 
 
+def stutters(text: Column) -> Column:
+    """Words that equal the word before."""
+    of = lambda w: F.when(F.size(w) > 1, F.size(F.filter(F.sequence(F.lit(1), F.size(w) - 1), lambda i: w[i] == w[i - 1]))).otherwise(0)
+    return let(words_of(text), of).cast("long")
+
+
 def shouted(text: Column) -> Column:
     """Runs of two or more exclamation marks."""
     return F.regexp_count(_text(text), F.lit("!!+")).cast("long")
@@ -98,6 +104,7 @@ FEATURES: dict[str, Callable[[Column], Column]] = {
     "n_dup_lines": duplicate_lines,
     "n_repeat_words": repeated_words,
     "n_shouts": shouted,
+    "n_stutters": stutters,
 }
 
 
@@ -126,7 +133,8 @@ RULES = (
     Rule("symbols", ("n_words", "n_symbols"), lambda f: 10 * f["n_symbols"] > f["n_words"]),
     Rule("shouting", ("n_words", "n_shouts"), lambda f: 10 * f["n_shouts"] > f["n_words"]),
     Rule("word_length", ("n_words", "word_chars"), lambda f: (f["word_chars"] < 2 * f["n_words"]) | (f["word_chars"] > 15 * f["n_words"])),
-    Rule("repeated_lines", ("n_lines", "n_dup_lines"), lambda f: 10 * f["n_dup_lines"] > 3 * f["n_lines"]),
+    Rule("stuttering", ("n_words", "n_stutters"), lambda f: 10 * f["n_stutters"] > 3 * f["n_words"]),
+    Rule("repeated_lines", ("n_lines", "n_dup_lines"), lambda f: 2 * f["n_dup_lines"] > f["n_lines"]),
 )
 SAMPLE_ROWS = 1000
 SEED = 17
@@ -227,6 +235,7 @@ WITH w AS (
     CAST(length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g')) AS BIGINT) AS n_symbols,
     list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls,
     CAST(len(regexp_extract_all(t, '!!+')) AS BIGINT) AS n_shouts,
+    len(list_filter(generate_series(2, len(ws)), lambda i: ws[i] = ws[i - 1])) AS n_stutters,
     coalesce(rep.n, 0) AS n_repeat_words
   FROM w LEFT JOIN rep USING (doc_id)
 ), g AS (
@@ -235,6 +244,7 @@ WITH w AS (
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
   n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
   NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words OR 10 * n_symbols > n_words OR 10 * n_shouts > n_words
-    OR word_chars < 2 * n_words OR word_chars > 15 * n_words OR 10 * n_dup_lines > 3 * n_lines) AS kept
+    OR word_chars < 2 * n_words OR word_chars > 15 * n_words OR 10 * n_stutters > 3 * n_words
+    OR 2 * n_dup_lines > n_lines) AS kept
 FROM g
 """
