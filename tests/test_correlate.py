@@ -117,3 +117,18 @@ def test_evidence_last_of_equals(spark):
     rows = [("i", "k", "s", 0.8, "first", at(0), 0), ("i", "k", "s", 0.8, "second", at(5), 1), ("i", "k", "s", 0.3, "third", at(9), 2)]
     got = incidents.evidence(spark.createDataFrame(rows, "incident_id string, kind string, source string, score double, summary string, ts timestamp, seq long")).first()
     assert (got["summary"], got["n_signals"], got["score"]) == ("second", 3, 0.8)
+
+
+def test_reports(spark):
+    from tidemark.operators import reports
+
+    df = events(spark, [("e1", 0, "checkout", None, "critical", 0.9, "timeout"), ("e2", 63, "pay|ment", None, "warning", 0.7, "slow")])
+    members = incidents.group_events(df.withColumn("change_keys", F.array(F.lit("c"))))
+    table = incidents.incident_table(df, members)
+    own = df.join(members, "event_id").select("incident_id", F.lit("log.new_template").alias("kind"), F.col("service").alias("source"), F.col("confidence").alias("score"), "summary", "ts", F.lit(0).alias("seq"))
+    change = F.array(F.struct(F.lit("deployment").alias("type"), F.lit("v1").alias("version"), F.lit(None).cast("string").alias("summary"), F.lit(-60.0).alias("offset_seconds")))
+    changes = reports.incident_changes(df.withColumn("related_changes", change), members)
+    assert [(r["type"], r["at"]) for r in changes.collect()] == [("deployment", at(-60))]
+    text = reports.render(table, incidents.evidence(own), changes).first()["report"]
+    assert text.splitlines()[0] == "[critical] checkout: timeout (+1 service)" and "  +1m 3s  pay|ment" in text and "deployment v1 at 2026-08-24 14:04:00" in text
+    assert "| +1m 3s | pay\\|ment |" in reports.render(table, incidents.evidence(own), changes, markdown=True).first()["report"]

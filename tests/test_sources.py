@@ -96,3 +96,45 @@ def test_reads(spark):
     s = spark.createDataFrame([("a", 10.0, 1.0, 14.0), ("b", 10.0, 0.0, 50.0), ("c", 10.0, 2.0, 6.0)], "series string, mean double, std_dev double, recent double")
     assert [(r["series"], r["band"]) for r in readapi.series_by_sigma(s).collect()] == [("a", "hot"), ("c", "warm"), ("b", "calm")]
     assert readapi.containing(state, ["partition"], "DEV").count() == 1
+
+
+def test_polling_source(spark, tmp_path):
+    from tidemark.sources import polling
+
+    class Numbers:
+        """Gives the numbers from the offset on, three at most at once."""
+
+        def __init__(self, options):
+            self.upto = int(options.get("upto", "5"))
+
+        def read(self, offset):
+            end = min(self.upto, offset + 3)
+            return [(k, f"n{k}") for k in range(offset, end)], end
+
+    polling.register(spark, "numbers", "n long, text string", Numbers)
+    assert [r["n"] for r in spark.read.format("numbers").load().collect()] == [0, 1, 2]
+    q = spark.readStream.format("numbers").load().writeStream.format("memory").queryName("numbers").start()
+    try:
+        q.processAllAvailable()
+    finally:
+        q.stop()
+    assert sorted(r["n"] for r in spark.table("numbers").collect()) == [0, 1, 2, 3, 4]
+
+
+def test_container_rows(spark):
+    df = spark.createDataFrame([("web.1", "web"), ("web.1.upcoming-12", "web"), ("tidemark-x", "own")], "name string, service string")
+    assert documents.excluded(df, ["name"], ["tidemark*"]).count() == 2 and documents.measured(df).count() == 2
+    assert {r["service"]: r["running"] for r in documents.running_counts(df).collect()} == {"web": 2, "own": 1}
+    labels = F.create_map(F.lit("app"), F.lit(""))
+    s = spark.range(1).select(documents.owner_service(labels, ["app"], F.lit("ReplicaSet"), F.lit("api-5d8f"), F.lit("p")), documents.container_service(labels, "app", F.lit("/blog.web.1"))).first()
+    assert tuple(s) == ("api", "blog")
+
+
+def test_listings(spark):
+    t = spark.createDataFrame([("prod/a", "1", "x <*>", 5), ("prod/b", "1", "y", 9)], "source string, template_id string, template string, size long")
+    m = spark.createDataFrame([("template", "y", "ignore")], "kind string, name string, marking string")
+    assert [(r["template"], r["marking"]) for r in readapi.template_rows(t, m).collect()] == [("y", "ignore"), ("x <*>", None)]
+    assert [r["template"] for r in readapi.template_rows(t, m, "PROD/A").collect()] == ["x <*>"] and readapi.template_rows(t, m, marking="any").count() == 1
+    s = spark.createDataFrame([("w", 1, 0.0, 0.0, 9.0, True), ("flat", 99, 1.0, 0.0, 2.0, False), ("z", 99, 1.0, 1.0, 3.0, False)], "series string, samples long, mean double, std_dev double, recent double, warmup boolean")
+    assert [r["series"] for r in readapi.series_rows(s).collect()] == ["flat", "z", "w"]
+    assert tuple(readapi.empty_state(t, t, s).first()) == (2, 2, 1)

@@ -70,3 +70,32 @@ def lookup(rows: DataFrame, directory: DataFrame, key: str, name: str, fallback:
     """``rows`` with name from ``directory`` (key, name), else the fallback."""
     known = directory.select(F.col(key).alias("_key"), F.col(name).alias("_name"))
     return rows.join(known, F.col(key) == F.col("_key"), "left").withColumn(name, F.coalesce("_name", fallback)).drop("_key", "_name")
+
+
+def template_rows(templates: DataFrame, markings: DataFrame, text: str = "", marking: str | None = None) -> DataFrame:
+    """``templates`` (source, template_id, template, size) with their marking, the largest first.
+
+    ``markings`` (kind, name, marking).  ``text`` must be in template or source; ``marking``: one of them, ``none`` or ``any``.
+    """
+    own = markings.filter("kind = 'template'").select(F.col("name").alias("_name"), "marking")
+    out = containing(templates, ["template", "source"], text).join(own, F.col("template") == F.col("_name"), "left").drop("_name")
+    if marking == "none":
+        out = out.filter("marking is null")
+    elif marking == "any":
+        out = out.filter("marking is not null")
+    elif marking:
+        out = out.filter(F.col("marking") == marking)
+    return out.orderBy(F.col("size").desc(), "template")
+
+
+def series_rows(series: DataFrame) -> DataFrame:
+    """``series`` (series, samples, mean, std_dev, recent, warmup): by deviation, the ones that moved off a flat line first, those in warm-up last."""
+    off = F.abs(F.col("recent") - F.col("mean"))
+    deviation = F.when(F.col("warmup"), None).when(F.col("std_dev") > 0, off / F.col("std_dev")).when(off > 0, F.lit(float("inf"))).otherwise(0.0)
+    return series.withColumn("deviation", deviation).orderBy(F.col("deviation").desc_nulls_last(), "series")
+
+
+def empty_state(events: DataFrame, templates: DataFrame, series: DataFrame) -> DataFrame:
+    """One row: how many events, templates and series in warm-up there are."""
+    counts = (events.agg(F.count("*").alias("events")), templates.agg(F.count("*").alias("templates")), series.agg(F.count_if("warmup").alias("warming")))
+    return counts[0].join(counts[1]).join(counts[2])

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.templates import path_glob
 from tidemark.functions.text import level_of, time_of
 
 #: Endings of unit names, and units that come and go, with the name that stands for them.
@@ -147,3 +148,28 @@ def routed(rows: DataFrame, routes: list[tuple[str, str]]) -> DataFrame:
     for pattern, name in reversed(routes):
         service = F.when(F.col("message").rlike(pattern), name).otherwise(service)
     return rows.withColumn("service", service)
+
+
+def excluded(rows: DataFrame, columns: list[str], patterns: list[str]) -> DataFrame:
+    """``rows`` without those of which one of ``columns`` fits one of the shell globs."""
+    test = F.lit(False)
+    for c in columns:
+        for p in patterns:
+            test = test | F.coalesce(path_glob(F.col(c), p), F.lit(False))
+    return rows.filter(~test)
+
+
+def owner_service(labels: Column, names: list[str], owner_kind: Column, owner: Column, pod: Column) -> Column:
+    """Of a pod: the first of its labels that is there, its owner (a replica set without its hash), its own name."""
+    full = lambda c: F.when(c != "", c)
+    return F.coalesce(*[full(labels[n]) for n in names], full(F.when(owner_kind == "ReplicaSet", F.regexp_replace(owner, "-[^-]*$", "")).otherwise(owner)), pod)
+
+
+def running_counts(containers: DataFrame) -> DataFrame:
+    """Running containers of each service, those that a deployment is about to switch to included."""
+    return containers.groupBy("service").agg(F.count("*").alias("running"))
+
+
+def measured(containers: DataFrame) -> DataFrame:
+    """Containers whose usage counts: not those that a deployment is about to switch to."""
+    return containers.filter(~F.col("name").rlike(r"\.upcoming-[0-9]+$"))

@@ -8,7 +8,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from tidemark.functions.series import min_delta
 from tidemark.functions.templates import best_marking, informative, mask, tokens
-from tidemark.operators import dampening, log_detector, metric_detector, mining
+from tidemark.operators import correlate, dampening, log_detector, metric_detector, mining
 from tidemark.operators.folds import micros
 from tidemark.sources import event_log
 from tidemark.streaming.folds import stream_fold
@@ -64,3 +64,9 @@ def to_event_log(events: DataFrame, path: str, checkpoint: str) -> StreamingQuer
         .trigger(availableNow=True)
         .start()
     )
+
+
+def windows(signals: DataFrame, width_s: float = correlate.WINDOW_S) -> DataFrame:
+    """``signals`` (source, seq, ts): (source, seq, window_us), the window of 30 seconds that each falls in."""
+    width = int(width_s * 1_000_000)
+    return stream_fold(signals.select("source", "seq", micros("ts")), ["source"], ["ts", "seq"], ["seq", "ts"], lambda: correlate._Anchored(width), "seq long, window_us long")
