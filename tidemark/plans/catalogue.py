@@ -1,7 +1,7 @@
 """Registered queries over the given tables, with the SQL that checks them.
 
-Events serve as metric samples (source ``prod/<type>``), as log lines (template ``<type> <k>``), signups as
-changes and errors as signals of a user; texts' lines serve as log lines.
+Events serve as metric samples (a series a user), as log lines (a source a user, template ``<type> <k mod 3>``),
+signups as changes and errors as signals of a user; texts' lines serve as log lines.  Keys grow with the tables.
 """
 
 from __future__ import annotations
@@ -34,7 +34,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").withColumn("source", F.concat(F.lit("prod/"), "event_type"))
+    return table(spark, sf_dir, "events").withColumn("source", F.concat(F.lit("prod/"), F.col("user_id").cast("string")))
 
 
 def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,9 +46,9 @@ def k_of(props: str = "props"):
 
 
 def log_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events as matched log lines: template is type and k."""
-    name = F.concat_ws(" ", "event_type", k_of().cast("string"))
-    return events(spark, sf_dir).select(F.lit("prod/app").alias("source"), F.col("event_id").alias("seq"), "ts", name.alias("template_id"), name.alias("template"))
+    """Events as matched log lines of their user."""
+    name = F.concat_ws(" ", "event_type", (k_of() % 3).cast("string"))
+    return events(spark, sf_dir).select("source", F.col("event_id").alias("seq"), "ts", name.alias("template_id"), name.alias("template"))
 
 
 def user_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -144,7 +144,7 @@ def informative_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
   FROM events GROUP BY ALL""")
 def series_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = F.create_map(F.lit("user"), F.col("user_id").cast("string"), F.lit("k"), k_of().cast("string"))
-    e = events(spark, sf_dir).select(series.series_key(F.col("source"), F.lit("value"), labels).alias("series"))
+    e = table(spark, sf_dir, "events").select(series.series_key(F.concat(F.lit("prod/"), "event_type"), F.lit("value"), labels).alias("series"))
     return e.groupBy("series", series.metric_name(F.col("series")).alias("metric")).agg(F.count("*").alias("n"))
 
 
@@ -157,7 +157,7 @@ PATTERNS = {"error*": "ignore", "err*": "normal", "view 1*": "heartbeat", "*7":
   SELECT template, n, CASE WHEN template = 'error 3' THEN 'symptomatic' ELSE
     (SELECT arg_min(marking, (-length(pattern), pattern)) FROM p WHERE template GLOB pattern) END AS marking FROM t""")
 def marking_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = log_rows(spark, sf_dir).groupBy("template").agg(F.count("*").alias("n"))
+    t = table(spark, sf_dir, "events").groupBy(F.concat_ws(" ", "event_type", k_of().cast("string")).alias("template")).agg(F.count("*").alias("n"))
     return t.withColumn("marking", templates.best_marking(F.col("template"), MARKINGS, PATTERNS))
 
 
@@ -187,7 +187,7 @@ def prometheus_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- metric detector
 
 _EWMA = """WITH RECURSIVE s AS (
-  SELECT 'prod/' || event_type || '/value' AS series, event_id, ts, value, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS rn FROM events
+  SELECT 'prod/' || user_id || '/value' AS series, event_id, ts, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events
 ), f AS (
   SELECT series, rn, event_id, ts, value, 0 AS n, 0.0::DOUBLE AS mean, 0.0::DOUBLE AS variance, 0.0::DOUBLE AS fast, 0.0::DOUBLE AS slow,
     1 AS n2, value AS mean2, 0.0::DOUBLE AS variance2, value AS fast2, value AS slow2 FROM s WHERE rn = 1
@@ -224,8 +224,8 @@ def metric_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metric_detector.signals(judged).filter(F.col("kind") == metric_detector.DRIFT).select("series", "event_id", "value")
 
 
-@query("""SELECT 'prod/' || event_type || '/value' AS series, event_id, value, 0.9 ::DOUBLE AS score FROM events WHERE value > 150 UNION ALL
-  SELECT 'prod/' || event_type || '/value', event_id, value, 0.9 FROM events WHERE value < 0.5""")
+@query("""SELECT 'prod/' || user_id || '/value' AS series, event_id, value, 0.9 ::DOUBLE AS score FROM events WHERE value > 150 UNION ALL
+  SELECT 'prod/' || user_id || '/value', event_id, value, 0.9 FROM events WHERE value < 0.5""")
 def metric_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = F.explode(F.filter(F.array(F.when(F.col("value") > 150, F.lit(0.9)), F.when(F.col("value") < 0.5, F.lit(0.9))), lambda x: x.isNotNull()))
     return samples(spark, sf_dir).select("series", "event_id", "value", rules.alias("score"))
@@ -281,32 +281,31 @@ def hourly_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").groupBy("event_type", F.hour("ts").alias("hour")).agg(F.count("*").alias("n"), F.countDistinct(F.to_date("ts")).alias("days"))
 
 
-_TEMPLATE = "event_type || ' ' || json_extract_string(props, '$.k')"
+_TEMPLATE = "event_type || ' ' || (CAST(json_extract(props, '$.k') AS BIGINT) % 3)"
 
 
-@query(f"""WITH t AS (SELECT {_TEMPLATE} AS template, min((ts, event_id)) AS f FROM events GROUP BY 1), s AS (SELECT min(ts) AS start FROM events)
-  SELECT template, f[2] AS event_id, f[1] AS ts FROM t, s WHERE f[1] >= start + INTERVAL 5 MINUTE""".replace("f[2]", "struct_extract(f, 2)").replace("f[1]", "struct_extract(f, 1)"))
+@query(f"""WITH t AS (SELECT user_id, {_TEMPLATE} AS template, ts, event_id FROM events), s AS (SELECT user_id, min(ts) AS start FROM events GROUP BY 1)
+  SELECT 'prod/' || user_id AS source, template, event_id, ts FROM (SELECT *, row_number() OVER (PARTITION BY user_id, template ORDER BY ts, event_id) AS n FROM t) JOIN s USING (user_id)
+  WHERE n = 1 AND ts >= start + INTERVAL 5 MINUTE""")
 def new_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """First occurrences after the learning period of their source."""
     rows = log_rows(spark, sf_dir)
     first = rows.groupBy("source", "template").agg(F.min(F.struct("ts", "seq")).alias("f"))
     start = rows.groupBy("source").agg(F.min("ts").alias("start"))
-    return first.join(start, "source").filter(F.col("f.ts") >= F.col("start") + F.expr("INTERVAL 5 MINUTES")).select("template", F.col("f.seq").alias("event_id"), F.col("f.ts").alias("ts"))
+    new = first.join(start, "source").filter(F.col("f.ts") >= F.col("start") + F.expr("INTERVAL 5 MINUTES"))
+    return new.select("source", "template", F.col("f.seq").alias("event_id"), F.col("f.ts").alias("ts"))
 
 
-@query(f"""SELECT event_id, template, n FROM (SELECT event_id, {_TEMPLATE} AS template, row_number() OVER (PARTITION BY {_TEMPLATE} ORDER BY ts, event_id) AS n,
-    row_number() OVER (ORDER BY ts, event_id) AS total FROM events) WHERE n BETWEEN 2 AND 3 AND total >= 500""")
+@query(f"""SELECT source, event_id, template, n FROM (SELECT 'prod/' || user_id AS source, event_id, {_TEMPLATE} AS template, row_number() OVER (PARTITION BY user_id, {_TEMPLATE} ORDER BY ts, event_id) AS n,
+    row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS total FROM events) WHERE n BETWEEN 2 AND 3 AND total >= 30""")
 def rare_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Second and third occurrences once their source has 500 rows; the row that makes it 500 is found by counting up time slots."""
-    rows = log_rows(spark, sf_dir)
-    few = rows.withColumn("n", F.row_number().over(Window.partitionBy("source", "template").orderBy("ts", "seq"))).filter("n between 2 and 3")
-    hourly = rows.groupBy("source", F.date_trunc("hour", "ts").alias("slot")).agg(F.count("*").alias("c"))
-    upto = Window.partitionBy("source").orderBy("slot")
-    slots = hourly.withColumn("before", F.sum("c").over(upto) - F.col("c"))
-    ranked = rows.join(slots.filter("before < 500 and before + c >= 500"), ["source"]).filter(F.date_trunc("hour", "ts") == F.col("slot"))
-    ranked = ranked.withColumn("total", F.col("before") + F.row_number().over(Window.partitionBy("source").orderBy("ts", "seq")))
-    reached = ranked.filter("total = 500").select("source", F.struct("ts", "seq").alias("reached"))
-    return few.join(reached, "source").filter(F.struct("ts", "seq") >= F.col("reached")).select(F.col("seq").alias("event_id"), "template", F.col("n").cast("long").alias("n"))
+    """Second and third occurrences once their source has 30 rows."""
+    order = ("ts", "seq")
+    rows = log_rows(spark, sf_dir).select(
+        "source", F.col("seq").alias("event_id"), "template",
+        F.row_number().over(Window.partitionBy("source", "template").orderBy(*order)).cast("long").alias("n"), F.row_number().over(Window.partitionBy("source").orderBy(*order)).alias("total"),
+    )
+    return rows.filter("n between 2 and 3 and total >= 30").drop("total")
 
 
 @query("""SELECT user_id, event_id, gap_s FROM (SELECT user_id, event_id, epoch_us(lead(ts) OVER w) / 1e6 - epoch_us(ts) / 1e6 AS gap_s FROM events
@@ -319,10 +318,11 @@ def silent_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def log_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All signals of the log detector over events as log lines, each type and user a source's templates."""
+    """All signals of the log detector over events as log lines."""
     rows = log_rows(spark, sf_dir)
     change = F.when(F.row_number().over(Window.partitionBy("source", "template").orderBy("ts", "seq")) == 1, mining.CREATED).otherwise(mining.SAME)
-    found = log_detector.detect(rows.withColumn("change_type", change), markings={"error 3": "symptomatic"}, patterns={"view*": "heartbeat"}, min_literals=4)
+    config = log_detector.LogConfig(rare_total=30, rare_interval_s=0, bucket_us=24 * log_detector.HOUR, spike_count=3, spike_factor=2, missing_count=5, max_cv=2)
+    found = log_detector.detect(rows.withColumn("change_type", change), config, markings={"error 1": "symptomatic"}, patterns={"view*": "heartbeat"}, min_literals=4)
     return found.select("source", "seq", F.timestamp_micros("ts_us").cast("timestamp_ntz").alias("ts"), "kind", "score", "template", "marking")
 
 
@@ -336,19 +336,33 @@ def drain_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- dampening and correlation
 
 
-@query()
-def dampen_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = user_signals(spark, sf_dir).withColumn("pattern", F.col("merge_key"))
-    found = dampening.dampen(s)
-    return found.filter("reported").select("kind", "source", "pattern", "seq", F.round("score", 6).alias("score"), "suppressed", "repeats", F.round("escalated_from", 6).alias("escalated_from"))
-
-
 _SIGNALS = """SELECT 'user/' || user_id AS source, event_id AS seq, ts, CASE WHEN value > 60 THEN 'log.rare_template' ELSE 'metric.zscore' END AS kind,
   CASE WHEN value > 60 THEN 'log' ELSE 'metric' END AS modality, least(0.95, 0.3 + value / 100) AS score,
   CASE WHEN value > 60 THEN 'log.rare_template' ELSE 'metric.zscore' END || '/' || (CAST(json_extract(props, '$.k') AS BIGINT) % 3) AS merge_key
   FROM events WHERE event_type = 'error'"""
 
 
+@query(f"""WITH RECURSIVE s AS (SELECT *, epoch_us(ts) AS us, row_number() OVER (PARTITION BY kind, source, merge_key ORDER BY ts, seq) AS rn FROM ({_SIGNALS})),
+  f AS (
+    SELECT kind, source, merge_key, rn, seq, score, us AS reported_at, us AS last_seen, score AS top, 0 AS streak, CAST(0 AS BIGINT) AS held,
+      true AS reported, CAST(0 AS BIGINT) AS suppressed, CAST(NULL AS DOUBLE) AS escalated_from FROM s WHERE rn = 1
+    UNION ALL
+    SELECT kind, source, merge_key, rn, seq, score, CASE WHEN reported THEN us ELSE reported_at END, us, CASE WHEN reported THEN score ELSE top END,
+      CASE WHEN escalates THEN 0 WHEN quiet AND NOT back THEN streak1 + 1 ELSE streak1 END, CASE WHEN reported THEN 0 ELSE held + 1 END,
+      reported, CASE WHEN reported THEN held ELSE 0 END, CASE WHEN escalates THEN top END
+    FROM (SELECT *, escalates OR quiet AS reported FROM (SELECT *, us - reported_at >= least(43200000000, 3600000000 * (CAST(1 AS BIGINT) << streak1)) AS quiet
+      FROM (SELECT *, CASE WHEN back THEN 0 ELSE streak END AS streak1
+        FROM (SELECT s.kind, s.source, s.merge_key, s.rn, s.seq, s.score, s.us, f.reported_at, f.top, f.streak, f.held, s.score >= f.top + 0.1::DOUBLE AS escalates,
+            s.us - f.last_seen > least(43200000000, 3600000000 * (CAST(1 AS BIGINT) << f.streak)) AS back
+          FROM f JOIN s ON s.kind = f.kind AND s.source = f.source AND s.merge_key = f.merge_key AND s.rn = f.rn + 1))))
+  )
+  SELECT kind, source, merge_key AS pattern, seq, round(score, 6) AS score, suppressed, streak AS repeats, round(escalated_from, 6) AS escalated_from FROM f WHERE reported""")
+def dampen_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = user_signals(spark, sf_dir).withColumn("pattern", F.col("merge_key"))
+    found = dampening.dampen(s)
+    return found.filter("reported").select("kind", "source", "pattern", "seq", F.round("score", 6).alias("score"), "suppressed", "repeats", F.round("escalated_from", 6).alias("escalated_from"))
+
+
 @query(f"""WITH s AS ({_SIGNALS}) SELECT source, time_bucket(INTERVAL 1 DAY, ts) AS day, merge_key, arg_min(seq, (-score, ts, seq)) AS seq, round(max(score), 6) AS score, count(*) AS occurrences
   FROM s GROUP BY 1, 2, 3""")
 def merge_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -400,11 +414,21 @@ def context_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query()
+@query(f"""WITH RECURSIVE s AS (SELECT *, epoch_us(ts) AS us, row_number() OVER (PARTITION BY source ORDER BY ts, seq) AS rn FROM ({_SIGNALS})),
+  a AS (SELECT source, seq, rn, us AS anchor FROM s WHERE rn = 1 UNION ALL
+    SELECT s.source, s.seq, s.rn, CASE WHEN s.us - a.anchor >= 3600000000 THEN s.us ELSE a.anchor END FROM a JOIN s ON s.source = a.source AND s.rn = a.rn + 1),
+  m AS (SELECT s.source, anchor, merge_key, any_value(kind) AS kind, any_value(modality) AS modality, max(score) AS score FROM s JOIN a USING (source, seq) GROUP BY 1, 2, 3),
+  c AS (SELECT source, anchor, least(0.99, 1 - exp(sum(ln(1 - least(score, 0.99))))) AS confidence, bool_or(modality = 'log') AS has_log, bool_or(modality = 'metric') AS has_metric,
+    count(*) AS n, any_value(kind) AS kind FROM m GROUP BY 1, 2),
+  r AS (SELECT c.source, anchor, count(e.event_id) AS changes FROM c LEFT JOIN events e ON e.event_type = 'signup' AND 'user/' || e.user_id = c.source
+    AND epoch_us(e.ts) - anchor BETWEEN -900000000 AND 3600000000 GROUP BY 1, 2)
+  SELECT substr(sha256(source || chr(31) || anchor), 1, 32) AS event_id, CASE WHEN n > 1 THEN 'anomaly.correlated' ELSE 'anomaly.' || kind END AS kind, source, make_timestamp(anchor) AS ts,
+    CASE WHEN confidence < 0.6 THEN 'info' WHEN confidence < 0.85 THEN 'warning' WHEN has_log AND (has_metric OR changes > 0) THEN 'critical' ELSE 'warning' END AS severity,
+    round(confidence, 6) AS confidence, n AS n_signals, CAST(changes AS INTEGER) AS n_changes FROM c JOIN r USING (source, anchor)""")
 def anomaly_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """From errors as signals to events of windows of an hour, with changes and severity."""
     built = correlate.build_events(user_signals(spark, sf_dir), user_changes(spark, sf_dir), window_s=3600)
-    return built.select("event_id", "kind", "source", "ts", "severity", F.round("confidence", 6).alias("confidence"), "n_signals", F.size(F.coalesce("related_changes", F.array())).alias("n_changes"))
+    return built.select("event_id", "kind", "source", F.col("ts").cast("timestamp_ntz").alias("ts"), "severity", F.round("confidence", 6).alias("confidence"), "n_signals", F.coalesce(F.size("related_changes"), F.lit(0)).alias("n_changes"))
 
 
 # ---- incidents
