@@ -444,12 +444,32 @@ def _anomalies(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query()
+_INCIDENTS = """WITH RECURSIVE e AS (
+  SELECT event_id, ts, epoch_us(ts) AS us, 'user/' || user_id % 20 AS service, CASE WHEN CAST(json_extract(props, '$.k') AS BIGINT) % 10 = 0 THEN ['deploy ' || CAST(ts AS DATE)] ELSE CAST([] AS VARCHAR[]) END AS keys,
+    CASE WHEN value > 150 THEN 3 WHEN value > 100 THEN 2 ELSE 1 END AS rank, least(0.99, value / 300) AS confidence, 'value ' || round(value, 1) AS summary, row_number() OVER (ORDER BY ts, event_id) AS rn
+  FROM events WHERE event_type = 'error' AND value > 60
+), f AS (
+  SELECT rn, event_id, event_id AS incident_id, [{'id': event_id, 'start': us, 'last': us, 'services': [service], 'changes': keys}] AS open FROM e WHERE rn = 1
+  UNION ALL
+  SELECT rn, event_id, coalesce(pick, event_id), CASE WHEN pick IS NULL THEN list_append(still, {'id': event_id, 'start': us, 'last': us, 'services': [service], 'changes': keys})
+    ELSE list_transform(still, lambda i: CASE WHEN i.id = pick THEN {'id': i.id, 'start': i.start, 'last': us, 'services': list_append(i.services, service), 'changes': list_concat(i.changes, keys)} ELSE i END) END
+  FROM (SELECT *, list_filter(related, lambda i: i.last = list_max(list_transform(related, lambda j: j.last)))[1].id AS pick
+    FROM (SELECT *, list_filter(still, lambda i: us - i.start <= 3600000000 AND (list_contains(i.services, service) OR list_has_any(i.changes, keys) OR us - i.last <= 30000000)) AS related
+      FROM (SELECT e.*, list_filter(f.open, lambda i: e.us - i.last <= 1800000000) AS still FROM f JOIN e ON e.rn = f.rn + 1)))
+)"""
+
+
+@query(f"{_INCIDENTS} SELECT event_id, incident_id FROM f")
 def incident_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     return incidents.group_events(_anomalies(spark, sf_dir))
 
 
-@query()
+@query(f"""{_INCIDENTS}, r AS (SELECT f.incident_id, e.* FROM f JOIN e USING (event_id)),
+  v AS (SELECT incident_id, service, min(rn) AS first FROM r GROUP BY 1, 2), o AS (SELECT incident_id, list(service ORDER BY first) AS services FROM v GROUP BY 1),
+  i AS (SELECT incident_id, min(ts) AS start, max(ts) AS "end", max(rank) AS rank, round(max(confidence), 6) AS confidence, count(*) AS n_events, arg_min(service, rn) AS service, arg_min(summary, rn) AS summary FROM r GROUP BY 1)
+  SELECT incident_id, start, "end", CASE rank WHEN 3 THEN 'critical' ELSE 'warning' END AS severity, confidence, n_events, array_to_string(services, ',') AS services,
+    service || ': ' || summary || CASE WHEN len(services) = 2 THEN ' (+1 service)' WHEN len(services) > 2 THEN ' (+' || (len(services) - 1) || ' services)' ELSE '' END AS title
+  FROM i JOIN o USING (incident_id) WHERE rank >= 2""")
 def incident_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = _anomalies(spark, sf_dir)
     found = incidents.incident_table(a, incidents.group_events(a))
