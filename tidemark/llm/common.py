@@ -50,10 +50,23 @@ def _own_dir() -> str:
     return f"file://{tempfile.mkdtemp(prefix='tidemark-')}"
 
 
+def _own_tables(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/tidemark-{spark.sparkContext.applicationId}"
+
+
+def clear_written(spark: SparkSession) -> None:
+    """Deletes what ``written`` has left; results that aren't computed yet are lost."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_own_tables(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def written(df: DataFrame) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder: its lineage ends here, and lost executors don't undo it."""
+    """``df`` as a Parquet table in the shared folder: its lineage ends here, and lost executors don't undo it.
+
+    Results are computed later from such tables, so they stay until ``clear_written`` or the folder's owner takes them away.
+    """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tidemark-{uuid.uuid4().hex}"
+    path = f"{_own_tables(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
