@@ -100,9 +100,18 @@ def map_rows(df: DataFrame, rows_of: Callable[[Iterator[tuple]], Iterator[tuple]
     return df.mapInArrow(run, out)
 
 
+#: Keys up to which a list of them is broadcast, after they were counted.
+BROADCAST_KEYS = 500_000
+
+
 def without_keys(df: DataFrame, key: str, gone: DataFrame) -> DataFrame:
-    """The rows of ``df`` whose key isn't among those of ``gone`` (one column); null counts as a key."""
+    """The rows of ``df`` whose key isn't among those of ``gone`` (one column); null counts as a key.
+
+    Up to BROADCAST_KEYS keys, the texts of ``df`` stay where they are; beyond, both sides are dealt by key.
+    """
     name = "_gone"
     while name in df.columns:
         name += "_"
-    return df.join(gone.toDF(name).distinct(), F.col(key).eqNullSafe(F.col(name)), "left_anti")
+    keys = written(gone.toDF(name).distinct())
+    few = keys.count() <= BROADCAST_KEYS
+    return df.join(F.broadcast(keys) if few else keys, F.col(key).eqNullSafe(F.col(name)), "left_anti")
