@@ -18,7 +18,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import let, table, trimmed, word_count, words_of
+from tidemark.llm.common import let, table, trimmed, words_of
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 5
@@ -28,84 +28,59 @@ def _text(text: Column) -> Column:
     return F.coalesce(text, F.lit(""))
 
 
-def word_chars(text: Column) -> Column:
-    return F.length(F.regexp_replace(_text(text), r"[\x20\x09-\x0D]+", "")).cast("long")
-
-
-def symbols(text: Column) -> Column:
-    return F.length(F.regexp_replace(_text(text), r"[^#*$%&|<>]+", "")).cast("long")
-
-
 def lines_with_words(text: Column) -> Column:
-    return F.filter(F.split(_text(text), "\n"), lambda line: trimmed(line) != "")
-
-
-def line_count(text: Column) -> Column:
-    return F.size(lines_with_words(text)).cast("long")
+    return F.filter(F.split(text, "\n"), lambda line: trimmed(line) != "")
 
 
 def duplicate_lines(text: Column) -> Column:
     """Lines that have a word and equal an earlier line."""
-    return let(lines_with_words(text), lambda ls: F.size(ls) - F.size(F.array_distinct(ls))).cast("long")
+    return let(lines_with_words(text), lambda ls: F.size(ls) - F.size(F.array_distinct(ls)))
 
 
-def repeated_words(text: Column) -> Column:
+def repeated_words(w: Column) -> Column:
     """Words that stand in a window of five words found twice or more in the text."""
-
-    def windows(w: Column) -> Column:
-        return F.transform(F.sequence(F.lit(0), F.size(w) - WINDOW), lambda i: F.xxhash64(*[w[i + k] for k in range(WINDOW)]))
-
-    def covered(w: Column) -> Column:
-        # only texts in which two windows hash alike come here; the windows themselves are compared
-        spelled = F.transform(
-            F.sequence(F.lit(0), F.size(w) - WINDOW),
-            lambda i: F.struct(F.array_join(F.slice(w, i + 1, WINDOW), " ").alias("text"), i.alias("at")),
+    starts = F.sequence(F.lit(0), F.size(w) - WINDOW)
+    hashes = F.transform(starts, lambda i: F.xxhash64(*[w[i + k] for k in range(WINDOW)]))
+    # only of texts in which two windows hash alike the windows themselves are compared
+    spelled = F.transform(starts, lambda i: F.struct(F.array_join(F.slice(w, i + 1, WINDOW), " ").alias("text"), i.alias("at")))
+
+    def twice(s: Column) -> Column:
+        equal = lambda e, k: ((k > 0) & (s[F.greatest(k - 1, F.lit(0))]["text"] == e["text"])) | (
+            (k < F.size(s) - 1) & (s[F.least(k + 1, F.size(s) - 1)]["text"] == e["text"])
         )
+        return F.sort_array(F.transform(F.filter(s, equal), lambda e: e["at"]))
 
-        def starts(s: Column) -> Column:
-            twice = lambda e, k: ((k > 0) & (s[F.greatest(k - 1, F.lit(0))]["text"] == e["text"])) | (
-                (k < F.size(s) - 1) & (s[F.least(k + 1, F.size(s) - 1)]["text"] == e["text"])
-            )
-            return F.sort_array(F.transform(F.filter(s, twice), lambda e: e["at"]))
-
-        step = lambda acc, at: F.struct(
-            (acc["n"] + at + WINDOW - F.greatest(acc["end"], at)).cast("long").alias("n"), (at + WINDOW).cast("int").alias("end")
-        )
-        zero = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).alias("end"))
-        return let(F.sort_array(spelled), lambda s: F.aggregate(starts(s), zero, step)["n"])
-
-    def of(w: Column) -> Column:
-        any_twice = lambda h: F.size(F.array_distinct(h)) < F.size(h)
-        return F.when(
-            F.size(w) > WINDOW,
-            F.when(let(windows(w), any_twice), covered(w)).otherwise(F.lit(0).cast("long")),
-        ).otherwise(F.lit(0).cast("long"))
-
-    return let(words_of(text), of)
+    step = lambda acc, at: F.struct(
+        (acc["n"] + at + WINDOW - F.greatest(acc["end"], at)).cast("long").alias("n"), (at + WINDOW).cast("int").alias("end")
+    )
+    zero = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).alias("end"))
+    covered = let(F.sort_array(spelled), lambda s: F.aggregate(twice(s), zero, step)["n"])
+    any_twice = let(hashes, lambda h: F.size(F.array_distinct(h)) < F.size(h))
+    return F.when(F.size(w) > WINDOW, F.when(any_twice, covered).otherwise(F.lit(0).cast("long"))).otherwise(F.lit(0).cast("long"))
 
 
-def stutters(text: Column) -> Column:
+def stutters(w: Column) -> Column:
     """Words that equal the word before."""
-    of = lambda w: F.when(F.size(w) > 1, F.size(F.filter(F.sequence(F.lit(1), F.size(w) - 1), lambda i: w[i] == w[i - 1]))).otherwise(0)
-    return let(words_of(text), of).cast("long")
-
-
-def shouted(text: Column) -> Column:
-    """Runs of two or more exclamation marks."""
-    return F.regexp_count(_text(text), F.lit("!!+")).cast("long")
+    return F.when(F.size(w) > 1, F.size(F.filter(F.sequence(F.lit(1), F.size(w) - 1), lambda i: w[i] == w[i - 1]))).otherwise(0)
+
+
+#: Every feature is an expression of the text and its words.
+FEATURES: dict[str, Callable[[Column, Column], Column]] = {
+    "n_words": lambda t, w: F.size(w),
+    "word_chars": lambda t, w: F.length(F.regexp_replace(t, r"[\x20\x09-\x0D]+", "")),
+    "n_symbols": lambda t, w: F.length(F.regexp_replace(t, f"[^{SYMBOLS}]+", "")),
+    "n_lines": lambda t, w: F.size(lines_with_words(t)),
+    "n_dup_lines": lambda t, w: duplicate_lines(t),
+    "n_repeat_words": lambda t, w: repeated_words(w),
+    "n_shouts": lambda t, w: F.regexp_count(t, F.lit("!!+")),
+    "n_stutters": lambda t, w: stutters(w),
+}
 
 
-#: Every feature is an expression of the text alone.
-FEATURES: dict[str, Callable[[Column], Column]] = {
-    "n_words": word_count,
-    "word_chars": word_chars,
-    "n_symbols": symbols,
-    "n_lines": line_count,
-    "n_dup_lines": duplicate_lines,
-    "n_repeat_words": repeated_words,
-    "n_shouts": shouted,
-    "n_stutters": stutters,
-}
+def with_features(text: Column, body: Callable[[dict[str, Column]], Column]) -> Column:
+    """``body`` of the features of a text; its words are split once, features computed where ``body`` comes to them."""
+    t = F.coalesce(text, F.lit(""))
+    return let(words_of(t), lambda w: body({n: f(t, w).cast("long") for n, f in FEATURES.items()}))
 
 
 @dataclass(frozen=True)
@@ -120,7 +95,7 @@ class Rule:
         return F.coalesce(self.rejects({n: features[n] for n in self.needs}), F.lit(False))
 
     def on_text(self, text: Column) -> Column:
-        return self.on({n: FEATURES[n](text) for n in self.needs})
+        return with_features(text, self.on)
 
 
 BASE_RULES = (
@@ -191,13 +166,14 @@ def verdict(ordered: Sequence[Rule], features: dict[str, Column]) -> Column:
 def quality_filter(docs: DataFrame, text: str = "text", rules: Sequence[Rule] = RULES, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """The rows of ``docs`` that no rule rejects, all columns as they were."""
     ordered = [m.rule for m in measure(docs, text, rules, sample_rows)]
-    return docs.filter(verdict(ordered, {n: f(F.col(text)) for n, f in FEATURES.items()}).isNull())
+    return docs.filter(with_features(F.col(text), lambda f: verdict(ordered, f)).isNull())
 
 
 def quality_features(docs: DataFrame, key: str = "doc_id", text: str = "text", rules: Sequence[Rule] = RULES) -> DataFrame:
     """Key, all features and the cascade's verdict (``failed_rule``: null where kept) of every row."""
     ordered = [m.rule for m in measure(docs, text, rules)]
-    out = docs.select(F.col(key).alias("key"), *[f(F.col(text)).alias(n) for n, f in FEATURES.items()])
+    all_ = with_features(F.col(text), lambda f: F.struct(*[c.alias(n) for n, c in f.items()]))
+    out = docs.select(F.col(key).alias("key"), all_.alias("f")).select("key", "f.*")
     return out.withColumn("failed_rule", verdict(ordered, {n: F.col(n) for n in FEATURES}))
 
 
