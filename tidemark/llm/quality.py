@@ -111,7 +111,7 @@ RULES = (
     Rule("stuttering", ("n_words", "n_stutters"), lambda f: 10 * f["n_stutters"] > 3 * f["n_words"]),
     Rule("repeated_lines", ("n_lines", "n_dup_lines"), lambda f: 2 * f["n_dup_lines"] > f["n_lines"]),
 )
-SAMPLE_ROWS = 1000
+SAMPLE_ROWS = 300
 SEED = 17
 
 
