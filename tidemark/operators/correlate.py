@@ -94,7 +94,7 @@ def _slots(lo: Column, hi: Column, width: int) -> Column:
     return F.sequence(F.floor(lo / width), F.floor(hi / width))
 
 
-def related_changes(events: DataFrame, changes: DataFrame, horizon_s: int = HORIZON_S, window_s: int = WINDOW_S) -> DataFrame:
+def related_changes(events: DataFrame, changes: DataFrame, horizon_s: int = HORIZON_S, window_s: float = WINDOW_S) -> DataFrame:
     """(event_id, change_id, offset_seconds): changes of the event's source from the horizon before to the window after.
 
     Both sides meet on source and slots of time, so that a source with many events and changes is split by time.
@@ -144,7 +144,7 @@ def context(observations: DataFrame, before: int = CONTEXT, after: int = CONTEXT
     )
 
 
-def build_events(signals: DataFrame, changes: DataFrame, window_s: int = WINDOW_S) -> DataFrame:
+def build_events(signals: DataFrame, changes: DataFrame, window_s: float = WINDOW_S) -> DataFrame:
     """From signals to events: windows, merging, combination, related changes and severity."""
     windows = anchored_windows(signals, window_s)
     events = combine(merge_signals(windows, ["source", "window_us"]), ["source", "window_us"])

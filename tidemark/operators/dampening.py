@@ -73,4 +73,5 @@ def pattern_key(template: Column, series: Column, metric: Column, summary: Colum
 def dampen(signals: DataFrame, config: DampenConfig = DampenConfig()) -> DataFrame:
     """``signals`` (kind, source, pattern, seq, ts, score): whether each is reported, and what a report stands for."""
     rows = signals.select("kind", "source", "pattern", "seq", micros("ts"), "score")
-    return keyed_fold(rows, ["kind", "source", "pattern"], ["ts", "seq"], ["seq", "ts", "score"], lambda: Pattern(config), REPORTED)
+    ddl = REPORTED.replace("seq long", f"seq {signals.schema['seq'].dataType.simpleString()}")
+    return keyed_fold(rows, ["kind", "source", "pattern"], ["ts", "seq"], ["seq", "ts", "score"], lambda: Pattern(config), ddl)

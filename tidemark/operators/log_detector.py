@@ -168,6 +168,5 @@ def detect(
         best_marking(F.col("template"), markings or {}, patterns or {}).alias("marking"),
         informative(F.col("template"), min_literals, max_ratio).alias("says"),
     )
-    return keyed_fold(
-        rows, ["source"], ["ts", "seq"], ["seq", "ts", "template_id", "template", "change_type", "marking", "says"], lambda: Source(config), SIGNALS
-    )
+    ddl = SIGNALS.replace("seq long", f"seq {mined.schema['seq'].dataType.simpleString()}")
+    return keyed_fold(rows, ["source"], ["ts", "seq"], ["seq", "ts", "template_id", "template", "change_type", "marking", "says"], lambda: Source(config), ddl)

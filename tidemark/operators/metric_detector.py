@@ -13,7 +13,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.series import min_delta
+from tidemark.functions.series import MIN_DELTAS, min_delta
 from tidemark.operators.folds import keyed_fold, micros
 
 DAY = 86_400_000_000
@@ -112,7 +112,17 @@ class Series:
         self.n += 1
 
 
-def judge(samples: DataFrame, config: MetricConfig = MetricConfig(), rules: dict[str, tuple[float | None, float | None]] | None = None, ignored: list[str] | None = None) -> DataFrame:
+def _sample(samples: DataFrame) -> str:
+    return SAMPLE.replace("event_id long", f"event_id {samples.schema['event_id'].dataType.simpleString()}")
+
+
+def judge(
+    samples: DataFrame,
+    config: MetricConfig = MetricConfig(),
+    rules: dict[str, tuple[float | None, float | None]] | None = None,
+    ignored: list[str] | None = None,
+    deltas: dict[str, float] = MIN_DELTAS,
+) -> DataFrame:
     """``samples`` (series, metric, event_id, ts, value): every sample with the state before it and the signals it gives.
 
     ``rules``: (highest, lowest) allowed value by metric; ``ignored``: metrics that learn but never signal.
@@ -120,10 +130,10 @@ def judge(samples: DataFrame, config: MetricConfig = MetricConfig(), rules: dict
     rules = rules or {}
     limit = lambda k: F.coalesce(*[F.when(F.col("metric") == m, F.lit(r[k]).cast("double")) for m, r in rules.items()], F.lit(None).cast("double"))
     rows = samples.select(
-        "series", "event_id", micros("ts"), "value", min_delta(F.col("metric")).alias("least"), limit(0).alias("high"), limit(1).alias("low"),
+        "series", "event_id", micros("ts"), "value", min_delta(F.col("metric"), deltas).alias("least"), limit(0).alias("high"), limit(1).alias("low"),
         F.col("metric").isin(*(ignored or [""])).alias("ignored"),
     )
-    return keyed_fold(rows, ["series"], ["ts", "event_id"], ["event_id", "ts", "value", "least", "high", "low", "ignored"], lambda: Series(config), SAMPLE)
+    return keyed_fold(rows, ["series"], ["ts", "event_id"], ["event_id", "ts", "value", "least", "high", "low", "ignored"], lambda: Series(config), _sample(samples))
 
 
 def signals(judged: DataFrame) -> DataFrame:
