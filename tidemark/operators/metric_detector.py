@@ -122,25 +122,30 @@ def judge(
     rules: dict[str, tuple[float | None, float | None]] | None = None,
     ignored: list[str] | None = None,
     deltas: dict[str, float] = MIN_DELTAS,
+    keys: tuple[str, ...] = ("series",),
 ) -> DataFrame:
     """``samples`` (series, metric, event_id, ts, value): every sample with the state before it and the signals it gives.
 
+    ``keys``: columns that name a series, all of which come along.
+
     ``rules``: (highest, lowest) allowed value by metric; ``ignored``: metrics that learn but never signal.
     """
     rules = rules or {}
     limit = lambda k: F.coalesce(*[F.when(F.col("metric") == m, F.lit(r[k]).cast("double")) for m, r in rules.items()], F.lit(None).cast("double"))
     rows = samples.select(
-        "series", "event_id", micros("ts"), "value", min_delta(F.col("metric"), deltas).alias("least"), limit(0).alias("high"), limit(1).alias("low"),
+        *keys, "event_id", micros("ts"), "value", min_delta(F.col("metric"), deltas).alias("least"), limit(0).alias("high"), limit(1).alias("low"),
         F.col("metric").isin(*(ignored or [""])).alias("ignored"),
     )
-    return keyed_fold(rows, ["series"], ["ts", "event_id"], ["event_id", "ts", "value", "least", "high", "low", "ignored"], lambda: Series(config), _sample(samples))
+    return keyed_fold(rows, keys, ["ts", "event_id"], ["event_id", "ts", "value", "least", "high", "low", "ignored"], lambda: Series(config), _sample(samples))
 
 
 def signals(judged: DataFrame) -> DataFrame:
     """One row for each signal of ``judge``'s rows."""
     each = F.explode(F.arrays_zip(F.col("kinds").alias("kind"), F.col("scores").alias("score"))).alias("s")
-    return judged.filter(F.size("kinds") > 0).select("series", "event_id", "ts_us", "value", "mean", "z", "recurring_days", each).select(
-        "series", "event_id", "ts_us", F.col("s.kind").alias("kind"), F.col("s.score").alias("score"), "value", "mean", "z", "recurring_days"
+    state = {f.split()[0] for f in SAMPLE.split(", ")}
+    own = [c for c in judged.columns if c not in state] + ["event_id", "ts_us"]
+    return judged.filter(F.size("kinds") > 0).select(*own, "value", "mean", "z", "recurring_days", each).select(
+        *own, F.col("s.kind").alias("kind"), F.col("s.score").alias("score"), "value", "mean", "z", "recurring_days"
     )
 
 

@@ -137,23 +137,26 @@ class _Mining:
     def __init__(self, config: MinerConfig) -> None:
         self.miner = Miner(config)
 
-    def step(self, seq, words: list[str], *_) -> Iterator[tuple]:
+    def step(self, seq, words: list[str], *carried) -> Iterator[tuple]:
         cluster, change = self.miner.add(words)
-        yield seq, words, cluster.id, change, list(cluster.template), cluster.size
+        yield seq, words, cluster.id, change, list(cluster.template), cluster.size, *carried
 
     def finish(self) -> Iterator[tuple]:
         return iter(())
 
 
-def mine(lines: DataFrame, order: list[str], seq: str, config: MinerConfig = MinerConfig(), masks=None) -> DataFrame:
+def mine(lines: DataFrame, order: list[str], seq: str, config: MinerConfig = MinerConfig(), masks=None, carry: tuple[str, ...] = ()) -> DataFrame:
     """``lines`` (source, message, ``order``, ``seq``): per row its template after the row, and its parameters.
 
-    ``seq`` identifies a row within its source.
+    ``seq`` identifies a row within its source; the columns of ``carry`` come along.
     """
     masked = mask(F.col("message")) if masks is None else mask(F.col("message"), masks)
     rows = lines.withColumn("words", F.coalesce(tokens(masked), F.array().cast("array<string>")))
     kind = lines.schema[seq].dataType.simpleString()
-    found = keyed_fold(rows, ["source"], order, [seq, "words"], lambda: _Mining(config), f"{seq} {kind}, words array<string>, {MATCHED}")
+    more = "".join(f", {c} {lines.schema[c].dataType.simpleString()}" for c in carry)
+    found = keyed_fold(
+        rows, ["source"], order, [seq, "words", *carry], lambda: _Mining(config), f"{seq} {kind}, words array<string>, {MATCHED}{more}"
+    )
     return found.select(
         "source",
         seq,
@@ -162,6 +165,7 @@ def mine(lines: DataFrame, order: list[str], seq: str, config: MinerConfig = Min
         parameters(F.col("template"), F.col("words")).alias("parameters"),
         "change_type",
         F.col("size").alias("cluster_size"),
+        *carry,
     )
 
 

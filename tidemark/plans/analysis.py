@@ -12,13 +12,14 @@ from tidemark.functions.series import series_key
 from tidemark.functions.templates import MASKS
 from tidemark.functions.text import normalize
 from tidemark.operators import correlate, dampening, incidents, log_detector, metric_detector, mining
+from tidemark.operators.folds import cut
 
 SECOND = 1_000_000
 
 
 @dataclass(frozen=True)
 class Analysis:
-    """What the steps gave; nothing is computed before an action on one of them."""
+    """What the steps gave: signals and events are computed and kept, the rest is computed when asked for."""
 
     observations: DataFrame
     mined: DataFrame
@@ -53,8 +54,8 @@ def _log_signals(logs: DataFrame, config: Config) -> tuple[DataFrame, DataFrame]
     d = config.logs
     masks = [(m.mask_with, m.pattern) for m in d.drain.masking] or MASKS
     message = F.coalesce(F.when(F.col("log.message") != "", F.col("log.message")), F.col("log.raw"))
-    rows = logs.select("source", F.col("id").alias("seq"), F.col("timestamp").alias("ts"), message.alias("message"))
-    mined = mining.mine(rows, ["ts", "seq"], "seq", miner_config(config), masks).join(rows.select("source", "seq", "ts"), ["source", "seq"])
+    rows = logs.select("source", F.col("id").alias("seq"), F.col("timestamp").cast("timestamp_ntz").alias("ts"), message.alias("message"))
+    mined = mining.mine(rows, ["ts", "seq"], "seq", miner_config(config), masks, carry=("ts",))
     found = log_detector.detect(mined, log_config(config), d.detection.markings, d.detection.patterns, d.detection.min_template_literals, d.detection.max_placeholder_ratio)
     what = F.regexp_replace(F.split_part("kind", F.lit("."), F.lit(2)), "_", " ")
     return mined, found.select(
@@ -69,8 +70,8 @@ def _metric_signals(metrics: DataFrame, config: Config) -> DataFrame:
         "source", series_key(F.col("source"), F.col("metric.name"), F.col("metric.labels")).alias("series"), F.col("metric.name").alias("metric"), F.col("id").alias("event_id"),
         F.col("timestamp").alias("ts"), F.col("metric.value").alias("value"),
     )
-    judged = metric_detector.judge(rows, metric_config(config), {t.metric: (t.max, t.min) for t in d.thresholds}, d.ignored, d.min_deltas)
-    named = metric_detector.signals(judged).join(rows.select(F.col("event_id").alias("_id"), "source", "metric"), F.col("event_id") == F.col("_id"))
+    judged = metric_detector.judge(rows, metric_config(config), {t.metric: (t.max, t.min) for t in d.thresholds}, d.ignored, d.min_deltas, ("source", "metric", "series"))
+    named = metric_detector.signals(judged)
     summary = F.concat(F.col("metric"), F.lit(" = "), F.round("value", 4).cast("string"), F.lit(": "), F.regexp_replace(F.split_part("kind", F.lit("."), F.lit(2)), "_", " "))
     return named.select(
         "source", F.col("event_id").alias("seq"), F.timestamp_micros("ts_us").alias("ts"), "kind", F.lit("metric").alias("modality"), "score", summary.alias("summary"),
@@ -88,15 +89,16 @@ def analyze(observations: DataFrame, config: Config = Config()) -> Analysis:
     signals = parts[0] if parts else from_logs.limit(0)
     for more in parts[1:]:
         signals = signals.unionByName(more)
+    signals = cut(signals)  # few beside the observations, and read more than once
     d = config.dampening
     limits = dampening.DampenConfig(int(d.cooldown * SECOND), int(d.max_cooldown * SECOND), d.escalation)
     told = dampening.dampen(signals, limits).filter("reported").select("kind", "source", "pattern", "seq", "suppressed", "repeats", "escalated_from")
-    signals = signals.join(told, ["kind", "source", "pattern", "seq"])
+    signals = cut(signals.join(told, ["kind", "source", "pattern", "seq"]))
     changes = own.filter("modality = 'change'").select("source", F.col("id").alias("change_id"), F.col("timestamp").alias("ts"))
     # signals that another source's change explains are told as its echo, not as events
     echoed = correlate.echoes(signals, changes, int(config.correlation.change_horizon), int(config.correlation.echo_window)).select("seq")
-    kept = signals.join(echoed, "seq", "left_anti")
-    return Analysis(own, mined, signals, correlate.build_events(kept, changes, config.correlation.window))
+    kept = cut(signals.join(echoed, "seq", "left_anti"))
+    return Analysis(own, mined, signals, cut(correlate.build_events(kept, changes, config.correlation.window)))
 
 
 def incidents_of(events: DataFrame) -> tuple[DataFrame, DataFrame]:
