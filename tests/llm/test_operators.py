@@ -9,7 +9,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat, components, decontaminate, language, licenses, linededup, mixing, quality, secrets, simhash, urls
+from tidemark.llm import chat, common, components, decontaminate, language, licenses, linededup, mixing, quality, secrets, simhash, urls
 
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -244,6 +244,28 @@ def test_keep_one(odd, none):
     assert simhash.keep_one(none).count() == 0
 
 
+def test_keep_one_by_row(spark):
+    """Null and repeated ids beside duplicates: each group keeps one document, and clean documents stay."""
+    rng = np.random.default_rng(11)
+    clean = [" ".join(f"w{x}" for x in rng.integers(0, 10_000, 40)) for _ in range(4)]
+    x, y, z, unnamed = clean
+    rows = [(None, x), (1, x), (None, y), (2, z), (5, z + "\n"), (1, y + " "), (2, y), (5, y + "\n"), (None, unnamed), (None, unnamed), (None, unnamed + " ")]
+    for hot in (500_000, 0):
+        with pytest.MonkeyPatch.context() as m:
+            m.setattr(common, "BROADCAST_KEYS", hot)
+            kept = simhash.keep_one(documents(spark, [(i, t, "s") for i, t in rows])).collect()
+        assert sorted((r["doc_id"] or 0, r["text"].strip()) for r in kept) == sorted([(1, x), (2, z), (1, y), (0, unnamed)])
+
+
+def test_drop_contaminated_by_row(spark):
+    """A contaminated document takes no clean one with it that has its id or, like it, none."""
+    item = "What are the same words in a row? Of ten words or more here."
+    items = spark.createDataFrame([(1, item)], "item_id long, text string")
+    rows = [(None, item), (None, "a clean text"), (None, None), (7, item), (7, "another clean text"), (8, "yes " + item)]
+    left = decontaminate.drop_contaminated(documents(spark, [(i, t, "s") for i, t in rows]), items).collect()
+    assert Counter((r["doc_id"], r["text"]) for r in left) == Counter([rows[1], rows[2], rows[4]])
+
+
 def test_components(spark):
     edges = [(k, k + 1) for k in range(40)] + [(100, 101), (101, 100), (7, 7)]
     got = {r["node"]: r["root"] for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}

@@ -6,6 +6,7 @@ import functools
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -103,18 +104,25 @@ def map_rows(df: DataFrame, rows_of: Callable[[Iterator[tuple]], Iterator[tuple]
     return df.mapInArrow(run, out)
 
 
-#: Keys up to which a list of them is broadcast, after they were counted.
+#: Rows up to which a list of their identities is broadcast, after they were counted.
 BROADCAST_KEYS = 500_000
 
 
-def without_keys(df: DataFrame, key: str, gone: DataFrame) -> DataFrame:
-    """The rows of ``df`` whose key isn't among those of ``gone`` (one column); null counts as a key.
+def row_identity(key: Column, text: Column) -> list[Column]:
+    """What tells documents apart, ids being neither unique nor always there: the key and 128 bits of the text's digest, to be matched null-safe."""
+    return [key, F.xxhash64(text), F.xxhash64(F.lit(1), text)]
 
-    Up to BROADCAST_KEYS keys, the texts of ``df`` stay where they are; beyond, both sides are dealt by key.
+
+def without_rows(df: DataFrame, identity: list[Column], gone: DataFrame) -> DataFrame:
+    """The rows of ``df`` whose ``identity`` isn't among the rows of ``gone`` (a column for each part); nulls are equal.
+
+    Up to BROADCAST_KEYS rows gone, the texts of ``df`` stay where they are; beyond, both sides are dealt by identity.
     """
     name = "_gone"
-    while name in df.columns:
+    while any(c.startswith(name) for c in df.columns):
         name += "_"
-    keys = written(gone.toDF(name).distinct())
-    few = keys.count() <= BROADCAST_KEYS
-    return df.join(F.broadcast(keys) if few else keys, F.col(key).eqNullSafe(F.col(name)), "left_anti")
+    names = [f"{name}{k}" for k in range(len(identity))]
+    rows = written(gone.toDF(*names).distinct())
+    few = rows.count() <= BROADCAST_KEYS
+    same = reduce(Column.__and__, [part.eqNullSafe(F.col(n)) for part, n in zip(identity, names, strict=True)])
+    return df.join(F.broadcast(rows) if few else rows, same, "left_anti")

@@ -29,7 +29,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import map_rows, table, without_keys
+from tidemark.llm.common import map_rows, row_identity, table, without_rows
 
 K1, B = 1.2, 0.75
 THRESHOLD = 0.6
@@ -233,13 +233,12 @@ def _shards(benchmark: DataFrame, item: str, text: str) -> Iterator[Shard]:
         yield Shard(own, df, n, total / max(n, 1))
 
 
-def contaminated(
-    docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text"
-) -> DataFrame:
-    """(key, item, score, question_overlap, answer_overlap) of the texts that hold a test item."""
-    rows = docs.select(F.col(key).alias("key"), F.col(text).cast("binary").alias("text"))
+def _matched(docs: DataFrame, benchmark: DataFrame, key: str, text: str, item: str, item_text: str) -> DataFrame:
+    """(key, t, u, item, score, question_overlap, answer_overlap): each row's matches; key, t and u are its identity."""
+    identity = [c.alias(n) for c, n in zip(row_identity(F.col(key), F.col(text)), ("key", "t", "u"), strict=True)]
+    rows = docs.select(*identity, F.col(text).cast("binary").alias("text"))
     ddl = (
-        f"key {rows.schema['key'].dataType.simpleString()}, item {benchmark.schema[item].dataType.simpleString()}, "
+        f"key {rows.schema['key'].dataType.simpleString()}, t long, u long, item {benchmark.schema[item].dataType.simpleString()}, "
         "score double, question_overlap double, answer_overlap double"
     )
     context, found = docs.sparkSession.sparkContext, []
@@ -247,19 +246,26 @@ def contaminated(
         shared = context.broadcast(shard)
 
         def of(parts: Iterator[tuple], shared=shared) -> Iterator[tuple]:
-            for key_, t in parts:
-                for item_, best in shared.value.matches(t).items():
-                    yield key_, item_, *best
+            for *own, text_ in parts:
+                for item_, best in shared.value.matches(text_).items():
+                    yield *own, item_, *best
 
         found.append(map_rows(rows, of, ddl))
-    pairs = reduce(DataFrame.union, found) if found else docs.sparkSession.createDataFrame([], ddl)
+    return reduce(DataFrame.union, found) if found else docs.sparkSession.createDataFrame([], ddl)
+
+
+def contaminated(
+    docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text"
+) -> DataFrame:
+    """(key, item, score, question_overlap, answer_overlap) of the texts that hold a test item."""
     best = F.max(F.struct("score", "question_overlap", "answer_overlap")).alias("best")
-    return pairs.groupBy("key", "item").agg(best).select("key", "item", "best.*")
+    return _matched(docs, benchmark, key, text, item, item_text).groupBy("key", "item").agg(best).select("key", "item", "best.*")
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose key isn't that of a text with a test item."""
-    return without_keys(docs, key, contaminated(docs, benchmark, key, text).select("key"))
+    """The rows of ``docs`` whose own text holds no test item; another row with their key doesn't count."""
+    found = _matched(docs, benchmark, key, text, "item_id", "text")
+    return without_rows(docs, row_identity(F.col(key), F.col(text)), found.select("key", "t", "u"))
 
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

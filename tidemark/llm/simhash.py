@@ -12,6 +12,7 @@ fingerprints are linked by breadth-first search, which gives one link for each,
 
 Defined results: a null text or one without words has fingerprint 0, linked like any other; a
 component's id is its smallest doc_id, null only where all are; repeated rows are members like any.
+Deletion goes by row (id and text), never by id alone.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import table, without_keys, written
+from tidemark.llm.common import row_identity, table, without_rows, written
 from tidemark.llm.components import components
 
 SHINGLE, SEED, RADIUS = 3, 42, 3
@@ -52,15 +53,16 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """(key, fp) of every row."""
+    """(key, t, u, fp) of every row; key, t and u are its identity."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fp = [0 if t is None else fingerprint(t, shingle) for t in b.column(1).cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp, pa.int64())], names=["key", "fp"])
+            fp = [0 if t is None else fingerprint(t, shingle) for t in b.column(3).cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(fp, pa.int64())], names=["key", "t", "u", "fp"])
 
-    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    return rows.mapInArrow(of, f"key {rows.schema['key'].dataType.simpleString()}, fp bigint")
+    identity = [c.alias(n) for c, n in zip(row_identity(F.col(key), F.col(text)), ("key", "t", "u"), strict=True)]
+    rows = docs.select(*identity, F.col(text).alias("text"))
+    return rows.mapInArrow(of, f"key {rows.schema['key'].dataType.simpleString()}, t bigint, u bigint, fp bigint")
 
 
 def _segment(fp: Column, which: int) -> Column:
@@ -148,22 +150,30 @@ def fingerprint_links(nodes: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """(key, fp, component) of every row; ``component`` is the smallest key that links lead to."""
+    """(key, t, u, fp, component, first) of every row; ``component`` is the smallest key that links lead to.
+
+    ``first``: whether the row is its component's first by key, nulls last, then by the text's digest; only rows with equal keys and texts share it.
+    """
     prints = written(fingerprints(docs, key, text, shingle))
-    nodes = written(prints.groupBy("fp").agg(F.min("key").alias("least")))
+    own = F.struct(F.col("key").isNull().alias("nul"), "key", "t", "u")
+    nodes = written(prints.groupBy("fp").agg(F.min(own).alias("least")))
     roots = written(components(fingerprint_links(nodes.select("fp"))))
     placed = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    least = placed.groupBy("root").agg(F.min("least").alias("component"))
-    named = placed.join(least, "root").select(F.col("fp").alias("of"), "component")
-    return prints.join(named, prints["fp"] == named["of"]).select("key", "fp", "component")
+    least = placed.groupBy("root").agg(F.min("least").alias("least"))
+    named = placed.drop("least").join(least, "root").select(F.col("fp").alias("of"), "least")
+    return prints.join(named, prints["fp"] == named["of"]).select("key", "t", "u", "fp", F.col("least.key").alias("component"), own.eqNullSafe(F.col("least")).alias("first"))
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose key is their component's smallest; of rows that repeat such a key, all.
+    """The first document of each component of ``docs``: that with the smallest key, nulls last, of equal keys that with the smallest digest.
 
-    Rows with a null key stay only in components of such rows.
+    Rows that repeat a key and a text are one document, and all are treated alike.  Rows without a key are documents each: of equal ones, one stays.
     """
-    return without_keys(docs, key, near_duplicates(docs, key, text).filter(~F.col("key").eqNullSafe(F.col("component"))).select("key"))
+    identity = row_identity(F.col(key), F.col(text))
+    kept = without_rows(docs, identity, near_duplicates(docs, key, text).filter(~F.col("first")).select("key", "t", "u"))
+    unnamed = kept.filter(F.col(key).isNull()).select(identity[1].alias("t"), identity[2].alias("u"), F.struct(*docs.columns).alias("row"))
+    one = unnamed.groupBy("t", "u").agg(F.min_by("row", F.xxhash64("row")).alias("row"))
+    return kept.filter(F.col(key).isNotNull()).union(one.select(*[F.col("row")[c].alias(c) for c in docs.columns]))
 
 
 def op6_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
