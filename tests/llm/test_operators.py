@@ -162,6 +162,22 @@ def test_decontamination_odd(spark, odd, none):
     assert decontaminate.contaminated(odd, items.limit(0)).count() == 0 and decontaminate.contaminated(none, items).count() == 0
 
 
+def test_late_passages_of_long_texts():
+    """A passage with just the threshold is found two million words into a text as at its beginning."""
+    item = [f"w{i}" for i in range(40)]
+    index = decontaminate.Shard([(1, " ".join(item))], Counter(item), 1, 40).classes[0]
+    whole, part, gap = np.arange(1, 41), np.append(np.arange(1, 25), [0] * 16), np.zeros(40, int)
+    codes = np.concatenate([part, gap, np.tile(whole, 50_000), gap, part, gap])
+    at = np.flatnonzero(codes)
+    last, before = {}, np.full(len(at), -1)
+    for k, (place, code) in enumerate(zip(at.tolist(), codes[at].tolist(), strict=True)):
+        before[k] = last.get(code, -1)
+        last[code] = place
+    starts = [start for start, _ in index.passages(at, codes[at], before, len(codes))]
+    assert starts[0] == 0 and starts[-1] == len(codes) - 80
+    assert starts == list(range(0, len(codes) - 79, 40))
+
+
 # ---- 5
 
 

@@ -35,6 +35,8 @@ K1, B = 1.2, 0.75
 THRESHOLD = 0.6
 QUESTION_OVERLAP, ANSWER_OVERLAP, NGRAM = 0.5, 0.5, 3
 BLOCK, MOST_BLOCKS, SHORTEST_CLASS, SHARD_ITEMS = 8, 64, 32, 20_000
+#: Passages of a text that are judged at once.
+PASSAGES = 4096
 
 _KEEP = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
@@ -100,20 +102,27 @@ class Index:
         """
         # passage k holds the strides k and k + 1; a term counts once a passage, at its first place there
         k = at // self.stride
-        starts = np.arange(max(1, -(-n_words // self.stride) - 1))
-        edges = np.searchsorted(k, np.arange(len(starts) + 2))
-
-        def sums(impact: np.ndarray) -> np.ndarray:
-            upto = np.zeros((len(k) + 1, impact.shape[1]), np.float32)
-            np.cumsum(impact * (before < k * self.stride)[:, None], axis=0, out=upto[1:])
-            out = upto[edges[1:-1]] - upto[edges[:-2]]
-            np.cumsum(impact * (before < (k - 1) * self.stride)[:, None], axis=0, out=upto[1:])
-            return out + upto[edges[2:]] - upto[edges[1:-1]]
-
-        can = sums(self.most[codes][:, None])[:, 0] >= THRESHOLD - 1e-3
-        if can.any():
-            for start in np.flatnonzero(can & (sums(self.bound[codes]) >= THRESHOLD - 1e-3).any(1)):
-                yield int(start) * self.stride, list(dict.fromkeys(codes[edges[start] : edges[start + 2]].tolist()))
+        n = max(1, -(-n_words // self.stride) - 1)
+        for low in range(0, n, PASSAGES):  # so that the array of words by blocks doesn't grow with the text
+            high = min(low + PASSAGES, n)
+            edges = np.searchsorted(k, np.arange(low, high + 2))
+            own = slice(edges[0], edges[-1])
+            held, first = np.unique(k[own] - low, return_index=True)
+            if not len(held):
+                continue
+            counted = [before[own] < (k[own] - back) * self.stride for back in (0, 1)]
+
+            def sums(impact: np.ndarray, held=held, first=first, counted=counted, n=high - low) -> np.ndarray:
+                # each stride by itself: differences of running sums would lose more the later a passage stands
+                out = np.zeros((2, n + 1, impact.shape[1]))
+                for side, counts in zip(out, counted, strict=True):
+                    side[held] = np.add.reduceat(impact * counts[:, None], first, axis=0, dtype=np.float64)
+                return out[0, :-1] + out[1, 1:]
+
+            can = sums(self.most[codes[own]][:, None])[:, 0] >= THRESHOLD - 1e-3
+            if can.any():
+                for start in np.flatnonzero(can & (sums(self.bound[codes[own]]) >= THRESHOLD - 1e-3).any(1)):
+                    yield (low + int(start)) * self.stride, list(dict.fromkeys(codes[edges[start] : edges[start + 2]].tolist()))
 
     def search(self, terms: list[int]) -> Iterator[tuple[int, float]]:
         """(item, score) of all items at the threshold or more, by block-max WAND over the postings of ``terms``."""
