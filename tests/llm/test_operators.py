@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import string
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -328,6 +329,24 @@ def test_secrets(odd, none):
     assert secrets.find_secrets(none).count() == 0
 
 
+@pytest.mark.parametrize(
+    "alphabet, length, least",
+    [(string.ascii_letters, 12, 0.98), (string.ascii_letters, 20, 0.98), (string.ascii_letters, 40, 0.98), (string.ascii_letters + string.digits, 12, 0.98)]
+    + [(string.ascii_letters + string.digits, n, 0.98) for n in (16, 20)]
+    + [(string.ascii_uppercase, 12, 0.8), (string.ascii_uppercase, 20, 0.98), (string.ascii_lowercase, 12, 0.5), (string.ascii_lowercase, 20, 0.98)],
+)
+def test_random_strings_are_found(alphabet, length, least):
+    rng = np.random.default_rng(5)
+    runs = ["".join(rng.choice(list(alphabet), length)) for _ in range(1000)]
+    found = sum(bool(secrets.random_spans(f"see {r} there", [])) for r in runs) / len(runs)
+    assert found >= least
+
+
+def test_long_words_are_no_secrets():
+    text = "internationalization Characteristically UNDERSTANDINGS well-known-arrangements counterrevolutionary responsibilities 2024-01-01T00:00:00 123456789012"
+    assert secrets.random_spans(text, []) == []
+
+
 def test_secrets_query_brute_force(spark):
     rows = {r["doc_id"]: r for r in secrets.op8_secret_scan(spark, SF).collect()}
     for d in spark.read.parquet(f"{SF}/documents.parquet").collect():

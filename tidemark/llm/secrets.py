@@ -3,8 +3,9 @@
 Base patterns find assigned values, access keys and hexadecimal runs.  The method adds random strings:
 ordinary text takes few tokens of a byte-level BPE vocabulary for its length, random characters take many,
 so a run of ``RUN_CHARS`` or more characters of an encoded value with under ``CHARS_PER_TOKEN`` characters a
-token, letters and digits in it, is a secret unless it is a known digest or identifier (a UUID, a
-hexadecimal digest, a number, a date) or lies in a base span.
+token is a secret unless it is a known digest or identifier (a UUID, a hexadecimal digest, a number, a date)
+or lies in a base span.  Runs of under ``LONG_RUN`` characters that are spelled as words are (letters of one
+case, or with a capital first) need under ``WORDLIKE_PER_TOKEN``, since a rare word can take as many tokens.
 
 Defined results: a null text is empty and has no spans; every row gives a row; offsets count code points.
 """
@@ -23,12 +24,15 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import map_rows, table
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
-RUN_CHARS, CHARS_PER_TOKEN = 20, 2.2
+RUN_CHARS, CHARS_PER_TOKEN = 12, 2.2
+LONG_RUN, WORDLIKE_PER_TOKEN = 20, 1.72
 #: The base patterns.  Only ASCII letters of the names ignore case.
 ASSIGN = re.compile(r"""(?ai:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")
 RUN = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % RUN_CHARS)
+#: Letters as words have them, with any marks between.
+WORDLIKE = re.compile(r"[+/_=-]*[A-Za-z](?:[a-z+/_=-]*|[A-Z+/_=-]*)")
 #: Known digests and identifiers.
 KNOWN = re.compile(
     r"[0-9a-fA-F]{32}|[0-9a-fA-F]{40}|[0-9a-fA-F]{56}|[0-9a-fA-F]{64}|[0-9a-fA-F]{96}|[0-9a-fA-F]{128}"
@@ -62,11 +66,12 @@ def random_spans(text: str, base: list[Span], vocabulary: str = VOCABULARY) -> l
     out = []
     for m in RUN.finditer(text):
         run = m[0]
-        if not (re.search(r"[0-9]", run) and re.search(r"[A-Za-z]", run)) or KNOWN.fullmatch(run):
+        if KNOWN.fullmatch(run):
             continue
         if any(s < m.end() and m.start() < e for s, _, e in base):
             continue
-        if len(run) < CHARS_PER_TOKEN * len(_encoder(vocabulary).encode_ordinary(run)):
+        limit = WORDLIKE_PER_TOKEN if len(run) < LONG_RUN and WORDLIKE.fullmatch(run) else CHARS_PER_TOKEN
+        if len(run) < limit * len(_encoder(vocabulary).encode_ordinary(run)):
             out.append((m.start(), 3, m.end()))
     return out
 
