@@ -107,6 +107,21 @@ def test_licenses_odd(spark, odd, none):
     assert licenses.scan_licenses(odd).count() == odd.count() and licenses.scan_licenses(none).count() == 0
 
 
+def test_licenses_wrapped(spark):
+    """Every template is found however its text is wrapped, at any place of a text; other words in its stead aren't."""
+    rows, want = [], {}
+    for k, (label, t) in enumerate(licenses.TEMPLATES):
+        words = t.split()
+        for n, (size, before) in enumerate(((1, 0), (2, 1), (5, 7), (7, 100), (9, 23))):
+            body = ["filler"] * before + words + ["tail"] * 9
+            rows.append((10 * k + n, "\n * ".join(" ".join(body[i : i + size]) for i in range(0, len(body), size)), "s"))
+            want[10 * k + n] = label
+        rows.append((10 * k + 9, "\n".join(words[: len(words) // 2] + ["filler"] * 200 + words[len(words) // 2 :]), "s"))
+    got = {r["key"]: {m["label"] for m in r["matches"] or []} for r in licenses.scan_licenses(documents(spark, rows)).collect()}
+    assert all(label in got[k] for k, label in want.items())
+    assert not any(licenses.TEMPLATES[k // 10][0] in v for k, v in got.items() if k % 10 == 9)
+
+
 # ---- 3
 
 

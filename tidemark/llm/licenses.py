@@ -7,6 +7,10 @@ must be among the block's first n - t + 1 (prefix filter; n counts the block's w
 has), n must reach t (length filter), and what stands behind two equal words must suffice (positional
 filter).  Blocks and templates meet on such words; candidates are then counted in full.
 
+Files wrap templates over lines, so blocks are also windows of a text's words, line feeds or not: twice as long
+as the template, each starting one length after the one before, so that a whole template lies in one of them.
+Texts that don't hold enough of a template's words at all drop out before they are cut into its windows.
+
 Beside that, the base phrases are found wherever their words stand consecutively in the text.
 
 Defined results: a null text is empty; rows that repeat an id and a text get the same result each;
@@ -16,6 +20,7 @@ no labels make an empty string.
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -141,11 +146,38 @@ def similar_blocks(lines: DataFrame, templates: Sequence[tuple[str, str]] = TEMP
     )
 
 
+def wrapped_blocks(rows: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLATES) -> DataFrame:
+    """``rows`` (id, th, low): (id, th, at, label, containment) of windows and templates that meet the threshold; ``at``: the line of the first of its words."""
+    spark = rows.sparkSession
+    own = [(label, sorted(template_words(t)), len([w for w in re.split(BETWEEN, t.translate(str.maketrans(UPPER, LOWER))) if w])) for label, t in templates]
+    known = spark.createDataFrame(
+        [(label, words, math.ceil(CONTAINMENT * len(words) - 1e-9), len(words), n) for label, words, n in own], "label string, words array<string>, t int, m int, length int"
+    )
+    vocabulary = sorted({w for _, words, _ in own for w in words})
+    # a template with t of its m words in the text has one of any m - t + 1 there
+    starts = sorted({w for _, words, _ in own for w in sorted(words, key=lambda w: (-len(w), w))[: len(words) - math.ceil(CONTAINMENT * len(words) - 1e-9) + 1]})
+    held = (
+        rows.filter(F.col("low").rlike("|".join(map(re.escape, starts))))
+        .withColumn("held", F.array_intersect(_strings(vocabulary), F.split("low", BETWEEN)))
+        .filter(F.size("held") >= min(math.ceil(CONTAINMENT * len(words) - 1e-9) for _, words, _ in own))
+    )
+    pairs = held.join(F.broadcast(known), F.size(F.array_intersect("held", "words")) >= F.col("t"))  # a row for each template
+    placed = F.flatten(F.transform(F.split("low", "\n"), lambda line, at: F.transform(words_of(line), lambda w: F.struct(at.alias("at"), w.alias("word")))))
+    windows = let(
+        placed, lambda ws: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(ws) - F.col("length")), F.col("length")), lambda k: F.slice(ws, k, 2 * F.col("length")))
+    )
+    cut = pairs.select("id", "th", "label", "words", "t", "m", F.explode(windows).alias("window"))
+    found = F.size(F.array_intersect("words", F.transform("window", lambda w: w["word"])))
+    first = F.filter("window", lambda w: F.array_contains(F.col("words"), w["word"]))[0]["at"]
+    return cut.filter(found >= F.col("t")).select("id", "th", first.alias("at"), "label", (found / F.col("m")).alias("containment"))
+
+
 def scan_licenses(docs: DataFrame, key: str = "doc_id", text: str = "text", templates: Sequence[tuple[str, str]] = TEMPLATES) -> DataFrame:
-    """(key, n_words, places, matches) of every row: base phrases, and blocks as array<struct<at, label, containment>>."""
+    """(key, n_words, places, matches) of every row: base phrases, and blocks (lines and windows) as array<struct<at, label, containment>>."""
     rows = docs.select(F.col(key).alias("id"), F.xxhash64(text).alias("th"), lowered(F.col(text)).alias("low"))
     lines = rows.select("id", "th", F.posexplode(F.split("low", "\n")).alias("at", "low"))
-    matches = similar_blocks(lines, templates).groupBy("id", "th").agg(F.sort_array(F.collect_set(F.struct("at", "label", "containment"))).alias("matches"))
+    blocks = similar_blocks(lines, templates).union(wrapped_blocks(rows, templates))
+    matches = blocks.groupBy("id", "th").agg(F.sort_array(F.collect_set(F.struct("at", "label", "containment"))).alias("matches"))
     both = let(words_of(F.col("low")), lambda w: F.struct(F.size(w).cast("bigint").alias("n"), phrase_places(F.col("low"), w).alias("places")))
     base = rows.select("id", "th", both.alias("x")).select("id", "th", F.col("x.n").alias("n_words"), F.col("x.places").alias("places"))
     same = F.col("b.id").eqNullSafe(F.col("m.id")) & (F.col("b.th") == F.col("m.th"))
