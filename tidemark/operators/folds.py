@@ -6,7 +6,6 @@ results.  The order within a key is what the operator is about, so a key can't b
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable, Iterable, Iterator, Sequence
 from typing import Protocol
 
@@ -46,14 +45,6 @@ def map_rows(df: DataFrame, rows_of: Callable[[Iterator[tuple]], Iterator[tuple]
     return df.mapInArrow(run, out)
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` computed once and kept in the shared folder of ``spark.checkpoint.dir``, a temporary one only where none is named."""
-    context = df.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="tidemark-"))
-    return df.checkpoint()
-
-
 def keyed_fold(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], columns: Sequence[str], make: Callable[[], Fold], ddl: str
 ) -> DataFrame:

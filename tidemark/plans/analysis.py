@@ -12,7 +12,7 @@ from tidemark.functions.series import series_key
 from tidemark.functions.templates import MASKS
 from tidemark.functions.text import normalize
 from tidemark.operators import correlate, dampening, incidents, log_detector, metric_detector, mining
-from tidemark.operators.folds import cut
+from tidemark.shared import written
 
 SECOND = 1_000_000
 
@@ -89,16 +89,16 @@ def analyze(observations: DataFrame, config: Config = Config()) -> Analysis:
     signals = parts[0] if parts else from_logs.limit(0)
     for more in parts[1:]:
         signals = signals.unionByName(more)
-    signals = cut(signals)  # few beside the observations, and read more than once
+    signals = written(signals)  # few beside the observations, and read more than once
     d = config.dampening
     limits = dampening.DampenConfig(int(d.cooldown * SECOND), int(d.max_cooldown * SECOND), d.escalation)
     told = dampening.dampen(signals, limits).filter("reported").select("kind", "source", "pattern", "seq", "suppressed", "repeats", "escalated_from")
-    signals = cut(signals.join(told, ["kind", "source", "pattern", "seq"]))
+    signals = written(signals.join(told, ["kind", "source", "pattern", "seq"]))
     changes = own.filter("modality = 'change'").select("source", F.col("id").alias("change_id"), F.col("timestamp").alias("ts"))
     # signals that another source's change explains are told as its echo, not as events
     echoed = correlate.echoes(signals, changes, int(config.correlation.change_horizon), int(config.correlation.echo_window)).select("seq")
-    kept = cut(signals.join(echoed, "seq", "left_anti"))
-    return Analysis(own, mined, signals, cut(correlate.build_events(kept, changes, config.correlation.window)))
+    kept = written(signals.join(echoed, "seq", "left_anti"))
+    return Analysis(own, mined, signals, written(correlate.build_events(kept, changes, config.correlation.window)))
 
 
 def incidents_of(events: DataFrame) -> tuple[DataFrame, DataFrame]:
