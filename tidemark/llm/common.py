@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import functools
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 from functools import reduce
 
@@ -14,6 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
+from tidemark.shared import clear_written, running, written  # noqa: F401  (for the operators)
+
 #: Spaces between words: U+0020 and U+0009 to U+000D.
 SPACES = " \t\n\x0b\x0c\r"
 SPACE_RE = r"[\x20\x09-\x0D]+"
@@ -40,38 +39,6 @@ def word_count(text: Column) -> Column:
     return F.size(words_of(text)).cast("long")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is named (tests)."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    return (named or _own_dir()).rstrip("/")
-
-
-@functools.cache
-def _own_dir() -> str:
-    return f"file://{tempfile.mkdtemp(prefix='tidemark-')}"
-
-
-def _own_tables(spark: SparkSession) -> str:
-    return f"{shared_dir(spark)}/tidemark-{spark.sparkContext.applicationId}"
-
-
-def clear_written(spark: SparkSession) -> None:
-    """Deletes what ``written`` has left; results that aren't computed yet are lost."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(_own_tables(spark))
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def written(df: DataFrame) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder: its lineage ends here, and lost executors don't undo it.
-
-    Results are computed later from such tables, so they stay until ``clear_written`` or the folder's owner takes them away.
-    """
-    spark = df.sparkSession
-    path = f"{_own_tables(spark)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A given table; one that comes in fewer pieces than half the cores, as small files do, is dealt out to all."""
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
