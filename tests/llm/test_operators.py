@@ -321,6 +321,19 @@ def test_mixing_odd(odd, none):
     assert mixing.mix_sources(none).count() == 0
 
 
+@pytest.mark.parametrize("key", [7, None])
+def test_mixing_of_repeated_rows(spark, duck, same, tmp_path, key):
+    """Rows that repeat an id, null too, and a text meet the target as others do, and as the SQL has it."""
+    rows = [(key, "ten words in a row are what this text has", "a")] * 400 + [(key, f"w{i} " * (1 + i % 11), "b") for i in range(400)] + [(i, None, "c") for i in range(3)]
+    df = documents(spark, rows).repartition(3)
+    got = mixing.mix_sources(df)
+    for r in got.groupBy("source").agg(F.sum("taken").alias("taken"), F.max("target").alias("target"), F.max("size").alias("size")).collect():
+        assert abs(r["taken"] - r["target"]) <= max(r["size"], 1)
+    df.coalesce(1).write.parquet(str(tmp_path / "d"))
+    sql = mixing.OP7_SQL.replace("FROM documents", f"FROM '{tmp_path}/d/*.parquet'")
+    same(got.select("doc_id", "size", "source_size", "target", "taken"), duck, sql)
+
+
 def test_inclusion_odds_order():
     """Certain documents come first; of the rest, the share drawn follows size."""
     size = np.array([10, 20, 40])

@@ -5,53 +5,90 @@ to the others by weight.  A source's documents are first taken whole ``floor(tar
 The rest of the target is drawn without replacement with inclusion probabilities in proportion to
 size (1 where that would exceed 1): documents are ranked by the odds of a uniform number over their
 inclusion odds, and the ranking is cut where the words drawn come nearest to the rest.  The uniform
-number is a digest of seed and doc_id, so that reruns and lost executors give the same mix.
-
-Defined results: a null text has size 0; the null source is a source of its own, last; rows that
-repeat a doc_id draw the same number; an empty table gives an empty table.  Windows run over sources,
-over the distinct sizes of a source, and over the documents of the one rank bin in which its cut falls.
+number is a digest of seed, id, text and the row's number among its equals, so that every row draws
+its own, and reruns and lost executors give the same mix.
+
+Defined results: a null text has size 0; the null source is a source of its own, last; rows that repeat an
+id and a text draw numbers of their own, so that as many of them are taken as the target wants, whichever
+they are; a null id is an id; equal ranks go by digest; very long texts are documents like any and can leave
+a source's mix off its target by half their size; columns of ``docs`` don't matter; an empty table gives an
+empty table.  Windows run over ranges of sources, over the distinct sizes of a source, over the documents of
+the one rank bin in which its cut falls, and over a task's rows of one repeated document.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import table, word_count, written
+from tidemark.llm.common import running, table, word_count, written
 
 WEIGHTS = (1, 2, 3)
 CAP = 3
 SEED = "mix-1"
-#: Documents of a source that a rank bin should hold, and the number of sources up to which their table is broadcast.
-BIN_ROWS, BROADCAST_SOURCES = 10_000, 50_000
+#: Documents of a source that a rank bin should hold.
+BIN_ROWS = 10_000
+#: Bytes up to which the table of sources is broadcast, and bytes of its row beside the name.
+BROADCAST_BYTES, SOURCE_BYTES = 8 << 20, 160
+
 
+def digest(key: Column, text_md5: Column, nth: Column, seed: str = SEED) -> Column:
+    """What a row's place in the ranking depends on: seed, id, the text's digest and the row's number among its equals."""
+    return F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(key.cast("string"), F.lit("null")), text_md5, nth.cast("string")).cast("binary"))
 
-def uniform(key: Column, seed: str = SEED) -> Column:
-    """A number in [0, 1) of 52 bits from the digest of seed and key."""
-    digest = F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(key.cast("string"), F.lit("null"))).cast("binary"))
-    return F.conv(F.substring(digest, 1, 13), 16, 10).cast("bigint") / F.lit(2.0**52)
+
+def uniform(digest_: Column) -> Column:
+    """A number in [0, 1) of 52 bits."""
+    return F.conv(F.substring(digest_, 1, 13), 16, 10).cast("bigint") / F.lit(2.0**52)
+
+
+def numbered(rows: DataFrame) -> DataFrame:
+    """``rows`` (doc_id, source, size, text_md5), written, with nth: 0, 1, ... among equal rows.
+
+    Only rows that have equals are looked at: each task's rows of a group are numbered by themselves and set off by
+    the tasks before, so that a group of any size is split as the table is.
+    """
+    same = ["doc_id", "source", "text_md5"]
+    rows = written(rows.withColumn("_row", F.monotonically_increasing_id()))
+    drawn = rows.filter("size > 0").select(*same, "_row", F.shiftright("_row", 33).alias("_task"))
+    counts = drawn.groupBy(*same, "_task").agg(F.count("*").alias("_n"))
+    group = Window.partitionBy(*same)  # a row for each task that has such rows
+    before = group.orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)
+    repeated = written(
+        counts.withColumns({"_all": F.sum("_n").over(group), "_before": F.coalesce(F.sum("_n").over(before), F.lit(0))}).filter("_all > 1").select(*same, "_task", "_before")
+    )
+    if not repeated.head(1):
+        return rows.withColumn("nth", F.lit(0).cast("long")).drop("_row")
+    l, r = drawn.alias("l"), repeated.alias("r")  # noqa: E741
+    equal = (F.col("l._task") == F.col("r._task")) & reduce(Column.__and__, [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in same])
+    inside = Window.partitionBy(*[F.col(f"l.{c}") for c in same], F.col("l._task")).orderBy("_row")
+    places = l.join(r, equal).select(F.col("_row").alias("_at"), (F.col("_before") + F.row_number().over(inside) - 1).alias("nth"))
+    return written(rows.join(places, F.col("_row") == F.col("_at"), "left").withColumn("nth", F.coalesce("nth", F.lit(0)).cast("long")).drop("_row", "_at"))
 
 
 def source_targets(sizes: DataFrame, cap: int = CAP, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
-    """Per source: source_size, target, whole (copies of every document), rest (words still to draw)."""
-    per = sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_docs"))
-    by_name = Window.orderBy(F.col("source").asc_nulls_last())
-    k = (F.row_number().over(by_name) - 1) % len(weights)
-    per = per.withColumn("w", F.element_at(F.array(*[F.lit(x) for x in weights]), (k + 1).cast("int")).cast("long"))
+    """Per source: source_size, n_docs, target, whole (copies of every document), rest (words still to draw)."""
+    per = written(sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_docs")))
+    per = running(per, [F.col("source").asc_nulls_last()], {"k": F.lit(1).cast("long")})
+    w = F.element_at(F.array(*[F.lit(x) for x in weights]), ((F.col("k") - 1) % len(weights) + 1).cast("int")).cast("long")
     # a source is held at its cap if, the fuller ones being so, its share of what is left would pass it
-    fuller = Window.orderBy((cap * F.col("source_size") / F.col("w")).asc(), F.col("source").asc_nulls_last())
-    before = fuller.rowsBetween(Window.unboundedPreceding, -1)
-    everything = Window.partitionBy()
-    per = (
-        per.withColumn("left", F.sum("source_size").over(everything) - F.coalesce(F.sum(cap * F.col("source_size")).over(before), F.lit(0)))
-        .withColumn("w_left", F.sum("w").over(everything) - F.coalesce(F.sum("w").over(before), F.lit(0)))
-        .withColumn("capped", cap * F.col("source_size") * F.col("w_left") <= F.col("w") * F.col("left"))
-    )
-    first = F.min(F.when(~F.col("capped"), F.struct((F.col("w_left") * -1).alias("order"), "left", "w_left"))).over(everything)
-    target = F.when(F.col("capped"), (cap * F.col("source_size")).cast("double")).otherwise(
-        (F.col("w") * F.col("open")["left"]) / F.col("open")["w_left"]
-    )
-    per = per.withColumn("open", first).withColumn("target", target)
+    per = per.withColumn("w", w).withColumn("fullness", cap * F.col("source_size") / F.col("w"))
+    per = running(per, [F.col("fullness").asc(), F.col("source").asc_nulls_last()], {"capped_to": cap * F.col("source_size"), "w_to": F.col("w")})
+    all_size, all_w = per.agg(F.sum("source_size"), F.sum("w")).first()
+    per = per.withColumns(
+        {
+            "left": F.lit(all_size or 0) - (F.col("capped_to") - cap * F.col("source_size")),
+            "w_left": F.lit(all_w or 0) - (F.col("w_to") - F.col("w")),
+        }
+    ).withColumn("capped", cap * F.col("source_size") * F.col("w_left") <= F.col("w") * F.col("left"))
+    per = written(per)
+    open_ = per.filter(~F.col("capped")).agg(F.max(F.struct("w_left", "left")).alias("open")).first()["open"]
+    target = (cap * F.col("source_size")).cast("double")
+    if open_:
+        target = F.when(F.col("capped"), target).otherwise((F.col("w") * F.lit(open_["left"])) / F.lit(open_["w_left"]))
+    per = per.withColumn("target", target)
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0))
     return per.withColumn("whole", whole.cast("long")).select(
         "source", "source_size", "n_docs", "target", "whole", (F.col("target") - F.col("whole") * F.col("source_size")).alias("rest")
@@ -87,20 +124,21 @@ def rank_value(size: Column, scale: Column, u: Column) -> Column:
     return F.when((size <= 0) | (p <= 0), F.lit(1.0)).when(p >= 1, F.lit(0.0)).otherwise(q / (1 + q))
 
 
-def _with_source(rows: DataFrame, sources: DataFrame, n_sources: int) -> DataFrame:
-    """Inner join by source, null with null; ``sources`` has one row each and is broadcast only up to a size."""
+def _with_source(rows: DataFrame, sources: DataFrame, small: bool) -> DataFrame:
+    """Inner join by source, null with null; ``sources`` has one row each and is broadcast if it was found to be small."""
     right = sources.withColumnRenamed("source", "_mix_source")
-    right = F.broadcast(right) if n_sources <= BROADCAST_SOURCES else right
+    right = F.broadcast(right) if small else right
     return rows.join(right, F.col("source").eqNullSafe(F.col("_mix_source"))).drop("_mix_source")
 
 
-def mix_plan(sizes: DataFrame, cap: int = CAP, weights: tuple[int, ...] = WEIGHTS, seed: str = SEED) -> DataFrame:
-    """``sizes`` (doc_id, source, size; a written table) with source_size, target and taken."""
+def mix_plan(sizes: DataFrame, cap: int = CAP, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
+    """``sizes`` (doc_id, source, size, digest, a name for the row's draw; a written table) with source_size, target, taken and copies."""
     sources = written(source_targets(sizes, cap, weights))
-    n_sources = sources.count()
+    n_sources, most, name_bytes = sources.agg(F.count("*"), F.max("n_docs"), F.max(F.octet_length(F.col("source").cast("string")))).first()
     if not n_sources:
-        return sizes.select("*", F.lit(0).cast("long").alias("source_size"), F.lit(0.0).alias("target"), F.lit(0).cast("long").alias("taken"))
-    most = sources.agg(F.max("n_docs")).first()[0]
+        none = F.lit(0).cast("long")
+        return sizes.select("*", none.alias("source_size"), F.lit(0.0).alias("target"), none.alias("taken"), none.alias("copies"))
+    small = n_sources * (SOURCE_BYTES + (name_bytes or 0)) <= BROADCAST_BYTES
     bins = 1 << max(8, min(20, (most // BIN_ROWS).bit_length()))
     scales = inclusion_scale(sizes, sources).withColumnRenamed("source", "_scale_source")
     sources = written(
@@ -108,16 +146,17 @@ def mix_plan(sizes: DataFrame, cap: int = CAP, weights: tuple[int, ...] = WEIGHT
     )
 
     def ranked(rows: DataFrame) -> DataFrame:
-        return rows.withColumn("rank", rank_value(F.col("size"), F.col("scale"), uniform(F.col("doc_id"), seed))).withColumn(
-            "bin", F.least(F.floor(F.col("rank") * bins), F.lit(bins - 1)).cast("long")
+        # certain documents have a bin of their own, -1, in which no cut falls
+        return rows.withColumn("rank", rank_value(F.col("size"), F.col("scale"), uniform(F.col("digest")))).withColumn(
+            "bin", F.when(F.col("rank") > 0, F.least(F.floor(F.col("rank") * bins), F.lit(bins - 1))).otherwise(-1).cast("long")
         )
 
-    drawn = ranked(_with_source(sizes, sources, n_sources)).filter("rest > 0 and size > 0")
+    drawn = ranked(_with_source(sizes, sources, small)).filter("rest > 0 and size > 0")
     by_bin = drawn.groupBy("source", "bin").agg(F.sum("size").alias("words"), F.first("rest").alias("rest"))
     upto = F.sum("words").over(Window.partitionBy("source").orderBy("bin"))
     cut_bin = (
         by_bin.withColumn("upto", upto)
-        .filter(F.col("upto") >= F.col("rest"))
+        .filter((F.col("upto") >= F.col("rest")) & (F.col("bin") >= 0))
         .groupBy("source")
         .agg(F.min(F.struct("bin", (F.col("upto") - F.col("words")).alias("before"))).alias("cut"))
     )
@@ -128,30 +167,36 @@ def mix_plan(sizes: DataFrame, cap: int = CAP, weights: tuple[int, ...] = WEIGHT
         .drop("cut")
     )
     # inside the bin of the cut, documents are ranked one by one
-    inside = ranked(_with_source(sizes, sources, n_sources)).filter("rest > 0 and size > 0 and bin = cut_bin")
-    order = Window.partitionBy("source").orderBy("rank", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
+    inside = ranked(_with_source(sizes, sources, small)).filter("rest > 0 and size > 0 and bin = cut_bin")
+    order = Window.partitionBy("source").orderBy("rank", "digest").rowsBetween(Window.unboundedPreceding, 0)
     last = (
         inside.withColumn("upto", F.col("cut_before") + F.sum("size").over(order))
         .filter(2 * F.col("upto") - F.col("size") <= 2 * F.col("rest"))
         .groupBy("source")
-        .agg(F.max(F.struct("rank", "doc_id")).alias("last"))
+        .agg(F.max(F.struct("rank", "digest")).alias("last"))
     )
     sources = written(
         sources.join(last.withColumnRenamed("source", "_last_source"), F.col("source").eqNullSafe(F.col("_last_source")), "left").drop("_last_source")
     )
     taken_once = (F.col("rest") > 0) & (F.col("size") > 0) & (
         (F.col("bin") < F.col("cut_bin"))
-        | ((F.col("bin") == F.col("cut_bin")) & F.coalesce(F.struct("rank", "doc_id") <= F.col("last"), F.lit(False)))
+        | ((F.col("bin") == F.col("cut_bin")) & F.coalesce(F.struct("rank", "digest") <= F.col("last"), F.lit(False)))
     )
     copies = F.col("whole") + F.when(taken_once, 1).otherwise(0)
-    return ranked(_with_source(sizes, sources, n_sources)).select(
+    return ranked(_with_source(sizes, sources, small)).select(
         *sizes.columns, "source_size", "target", (F.col("size") * copies).cast("long").alias("taken"), copies.cast("long").alias("copies")
     )
 
 
-def mix_sources(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", **how) -> DataFrame:
+def mix_sources(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", seed: str = SEED, **how) -> DataFrame:
     """doc_id, source, size, source_size, target, taken (words) and copies of every row of ``docs``."""
-    return mix_plan(written(docs.select(F.col(key).alias("doc_id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"))), **how)
+    t = F.col(text)
+    rows = docs.select(
+        F.col(key).alias("doc_id"), F.col(source).alias("source"), word_count(t).alias("size"), F.md5(F.coalesce(t, F.lit("")).cast("binary")).alias("text_md5")
+    )
+    named = numbered(rows).withColumn("digest", digest(F.col("doc_id"), F.col("text_md5"), F.col("nth"), seed))
+    plan = mix_plan(written(named.select("doc_id", "source", "size", "digest")), **how)
+    return plan.drop("digest")
 
 
 def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -161,7 +206,8 @@ def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP7_SQL = r"""
 WITH d AS (
   SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
-    CAST(('0x' || substr(md5('mix-1:' || coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 13)) AS BIGINT) / 4503599627370496.0 AS u
+    md5('mix-1:' || coalesce(CAST(doc_id AS VARCHAR), 'null') || ':' || md5(coalesce(text, '')) || ':' || (row_number() OVER (PARTITION BY doc_id, source, text) - 1)) AS digest,
+    CAST(('0x' || substr(digest, 1, 13)) AS BIGINT) / 4503599627370496.0 AS u
   FROM documents
 ), s AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size, [1, 2, 3][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS w
@@ -195,7 +241,7 @@ WITH d AS (
   SELECT *, CASE WHEN size <= 0 OR p <= 0 THEN 1.0 WHEN p >= 1 THEN 0.0
     ELSE ((u / (1 - u)) / (p / (1 - p))) / (1 + (u / (1 - u)) / (p / (1 - p))) END AS rank FROM p
 ), a AS (
-  SELECT *, sum(CASE WHEN size > 0 THEN size END) OVER (PARTITION BY source ORDER BY rank, doc_id ROWS UNBOUNDED PRECEDING) AS upto FROM q
+  SELECT *, sum(CASE WHEN size > 0 THEN size END) OVER (PARTITION BY source ORDER BY rank, digest ROWS UNBOUNDED PRECEDING) AS upto FROM q
 )
 SELECT doc_id, size, source_size, target,
   CAST(size * (whole + CASE WHEN rest > 0 AND size > 0 AND 2 * upto - size <= 2 * rest THEN 1 ELSE 0 END) AS BIGINT) AS taken
