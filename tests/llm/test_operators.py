@@ -130,7 +130,7 @@ def test_urls_odd(spark):
         (1, "http://a.example.com/en/7x?q"), (2, "https://EXAMPLE.net/de/8"), (3, "x://net/de/#a"), (4, None), (5, "no scheme/en/"), (5, "no scheme/en/"), (None, "s://xcom/en/"),
         (7, "http://com"), (8, "http://?"), (9, "a://b://com/en/"), (10, "http://org/es/\nx"),
     ]
-    got = urls.judge_urls(spark.createDataFrame(rows, "page_id long, url string").withColumn("host", F.lit(1)))
+    got = urls.judge_urls(spark.createDataFrame(rows, "page_id long, url string").withColumns({c: F.lit(1) for c in ("host", "path", "key", "row", "short", "rule")}), urls.rule_table(spark))
     want = {
         1: ("a.example.com", "/en/7x", "example.com/en/7", "allow"), 2: ("example.net", "/de/8", "example.net/de/8", "block"), 3: ("net", "/de/", "net/de/", "block"),
         4: ("", "", None, "allow"), 5: ("", "", None, "allow"), None: ("xcom", "/en/", None, "allow"), 7: ("com", "", None, "allow"), 8: ("", "", None, "allow"),
@@ -141,6 +141,32 @@ def test_urls_odd(spark):
     assert {r["key"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in rows_} == want
 
 
+def brute_urls(url, rules):
+    rest = url.split("://", 1)[1] if url and "://" in url else ""
+    host = plain(re.match(r"[^/?#]*", rest)[0])
+    path = re.match(r"[^?#]*", rest[len(host):])[0]
+    fits = [(len(h + p), h + p, v) for v, h, p in rules if (host == h or host.endswith("." + h)) and path.startswith(p)]
+    return max(fits, default=(0, None, "allow"))[1:]
+
+
+@pytest.mark.parametrize("small", [8 << 20, 0])
+def test_urls_long_and_none(spark, monkeypatch, small):
+    """Long hosts and paths, many rules, broadcast or not; no rows; no rules."""
+    monkeypatch.setattr(urls, "BROADCAST_BYTES", small)
+    rng = np.random.default_rng(2)
+    words = ["a", "b", "c", "com", ""]
+    name = lambda n: ".".join(rng.choice(words, n))
+    rules = sorted({(("block", "allow")[k % 2], name(1 + k % 4), "/" + "xy"[k % 2] * (k % 3)) for k in range(60)})
+    pages = [(i, f"s://{name(1 + i % 6)}/{'xy'[i % 2] * (i % 4)}?z") for i in range(300)]
+    pages += [(1000, "s://" + "a." * 100_000 + "com/en/"), (1001, "s://com/en/" + "x" * 3_000_000), (1002, "s://" + "q" * 1_000_000)]
+    df = spark.createDataFrame(pages, "page_id long, url string")
+    for own in (rules, urls.RULES):
+        got = {r["key"]: (r["rule"], r["verdict"]) for r in urls.judge_urls(df, urls.rule_table(spark, own, ())).select("key", "rule", "verdict").collect()}
+        assert got == {i: brute_urls(u, own) for i, u in pages}
+    assert urls.judge_urls(df.limit(0), urls.rule_table(spark)).count() == 0
+    assert {r["verdict"] for r in urls.judge_urls(df, urls.rule_table(spark, (), ())).select("verdict").collect()} == {"allow"}
+
+
 # ---- 4
 
 
