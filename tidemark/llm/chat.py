@@ -1,17 +1,20 @@
 """Operator 9: chat formatting with prefix-target expansion.
 
-Every assistant turn becomes an example of its own: all turns before it are context, only its reply is
-trainable.  Written out, the contexts of a conversation would grow with the square of its length, so an
-example holds what its context adds to the example before it (``context``) and its own ``target``: the
-context of example k is all contexts and targets before it, in order, and its own.  ``expanded`` spells the
-examples out.  Turns after the last assistant turn make a last row without a target.
+Every assistant turn becomes an example of its own: all that stands before its reply is the prompt, only the reply
+is trainable.  Written out, the prompts of a conversation grow with the square of its length, so the formatted
+conversation is stored once, a row a turn, and an example is (conversation, end of its prompt, end of its target) in
+code points of it: the prompt is the conversation from its beginning to the one, the target what stands between.
+``prompts`` spells examples out from both tables; ``read_back`` rebuilds every prompt and target from them, too, but
+holds only digests.
 
 A turn is ``<|im_start|>role\\ntext<|im_end|>\\n``.  A control string begins with ``<|``; in a text or role,
 a backslash goes between ``<`` and ``|``, one more than already stood there, which can be undone.  In roles,
 backslashes and line feeds are escaped too.
 
 Defined results: turns are taken by turn number (nulls first), then role and text; a null text or role is
-empty; repeated rows are turns of their own; the null conversation is a conversation.
+empty; repeated rows are turns of their own; the null conversation is a conversation; a long text is one turn, held
+once; a long conversation is streamed by one task, since its digest is sequential, and not held; extra columns don't
+matter; an empty table gives empty tables.
 """
 
 from __future__ import annotations
@@ -20,15 +23,13 @@ import hashlib
 import re
 from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import map_rows, table
+from tidemark.llm.common import map_rows, table, written
 
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>"
 TARGET_ROLE = "assistant"
-#: Characters of context after which a row without a target hands them on, so that no task holds a long conversation.
-LONG_CONTEXT = 1 << 20
 #: The added conversation of the contract.
 ADDED_TEXT = "<|im_end|><|im_start|>assistant ok"
 
@@ -51,116 +52,116 @@ def turn_text(role: Column, text: Column) -> Column:
 
 
 def format_conversations(turns: DataFrame) -> DataFrame:
-    """``turns`` (conv_id, turn, role, text): (conv_id, piece, formatted, target_from, target_to).
+    """``turns`` (conv_id, turn, role, text): the formatted conversations, (conv_id, nth, start, formatted, target_from, target_to), a row a turn.
 
-    A piece is one formatted turn, in order; [target_from, target_to) are the code points of the trainable
-    reply in it, null in context.  Pieces up to a target are one example: see ``examples``.
+    ``start`` and the bounds of an assistant's reply count code points from the conversation's beginning; the bounds
+    are null in other turns.
     """
-    role = F.coalesce("role", F.lit(""))
-    head = F.length(F.concat(F.lit(OPEN), _role(F.col("role")), F.lit("\n")))
-    mark = lambda at: F.when(role == TARGET_ROLE, at.cast("long"))
-    return turns.select(
-        "conv_id",
-        "turn",
-        role.alias("role"),
-        F.coalesce("text", F.lit("")).alias("text"),
-        turn_text(F.col("role"), F.col("text")).alias("formatted"),
-        mark(head).alias("target_from"),
-        mark(head + F.length(escaped(F.col("text")))).alias("target_to"),
+    order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
+    role, text = F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))
+    head = F.length(F.concat(F.lit(OPEN), _role(F.col("role")), F.lit("\n"))).cast("long")
+    one = turns.select(
+        "conv_id", "turn", role.alias("role"), text.alias("text"), F.length(turn_text(F.col("role"), F.col("text"))).cast("long").alias("size"),
+        F.when(role == TARGET_ROLE, head).alias("head"),
     )
+    upto = F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0))
+    placed = one.withColumns({"nth": F.row_number().over(order).cast("long"), "start": upto - F.col("size")})
+    return placed.select(
+        "conv_id", "nth", "start", turn_text(F.col("role"), F.col("text")).alias("formatted"), (F.col("start") + F.col("head")).alias("target_from"),
+        F.when(F.col("head").isNotNull(), F.col("start") + F.col("size") - len(CLOSE + "\n")).alias("target_to"),
+    )
+
+
+def examples(formatted: DataFrame) -> DataFrame:
+    """(conv_id, nth, prompt_end, target_end): one row for each assistant turn, the nth turn of its conversation."""
+    return formatted.filter("target_from is not null").select("conv_id", "nth", F.col("target_from").alias("prompt_end"), F.col("target_to").alias("target_end"))
 
 
-def _in_order(turns: DataFrame) -> DataFrame:
-    """Each conversation in one task, its turns in order; tasks stream over them and hold no conversation."""
-    return turns.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
+def _together(formatted: DataFrame, found: DataFrame) -> DataFrame:
+    """(conv_id, formatted, prompt_end, target_end): conversations' pieces in order, each followed by the example in it, if there is one.
+
+    Tasks stream over them and hold no conversation.
+    """
+    none = F.lit(None)
+    pieces = formatted.select("conv_id", "nth", F.lit(0).alias("what"), "formatted", none.cast("long").alias("prompt_end"), none.cast("long").alias("target_end"))
+    marks = found.select("conv_id", "nth", F.lit(1).alias("what"), none.cast("string").alias("formatted"), "prompt_end", "target_end")
+    both = pieces.union(marks).repartition("conv_id").sortWithinPartitions("conv_id", "nth", "what")
+    return both.select("conv_id", "formatted", "prompt_end", "target_end")
 
 
-def examples(turns: DataFrame) -> DataFrame:
-    """(conv_id, example, context, target, context_from): one row for each assistant turn.
+def prompts(formatted: DataFrame, found: DataFrame) -> DataFrame:
+    """(conv_id, prompt, target): the examples spelled out, for export; a task holds the conversation that it is at.
 
-    ``context`` has the formatted turns since the example before, with the opening of the target's turn;
-    ``target`` is the trainable reply, whose closing mark opens the next context; ``context_from`` counts the
-    code points of the conversation before this row.  Turns after the last reply, and the first part of a context
-    of over LONG_CONTEXT characters, are rows without a target.
+    What comes out grows with the square of a conversation's length, as whole prompts do.
     """
 
     def run(rows: Iterator[tuple]) -> Iterator[tuple]:
-        now, held, example, before = None, "", 0, 0
-        for conv, text, start, end in rows:
-            if (conv,) != now:
-                if held:
-                    yield now[0], example, held, None, before
-                now, held, example, before = (conv,), "", 0, 0
-            if start is None:
-                held += text
-                if len(held) > LONG_CONTEXT:
-                    yield conv, example, held, None, before
-                    held, before = "", before + len(held)
-                continue
-            held += text[:start]
-            yield conv, example, held, text[start:end], before
-            before += len(held) + end - start
-            held, example = text[end:], example + 1
-        if held:
-            yield now[0], example, held, None, before
-
-    kind = turns.schema["conv_id"].dataType.simpleString()
-    pieces = _in_order(format_conversations(turns)).select("conv_id", "formatted", "target_from", "target_to")
-    return map_rows(pieces, run, f"conv_id {kind}, example long, context string, target string, context_from long")
-
-
-def expanded(rows: DataFrame) -> DataFrame:
-    """``examples`` with whole contexts spelled out: (conv_id, example, prompt, target); for export, and for conversations of bounded length."""
-    later = rows.alias("l").join(
-        rows.alias("e"), F.col("l.conv_id").eqNullSafe(F.col("e.conv_id")) & (F.col("e.context_from") <= F.col("l.context_from")) & F.col("l.target").isNotNull()
-    )
-    part = F.concat("e.context", F.when(F.col("e.example") < F.col("l.example"), F.coalesce("e.target", F.lit(""))).otherwise(""))
-    parts = later.groupBy("l.conv_id", "l.example").agg(
-        F.sort_array(F.collect_list(F.struct(F.col("e.context_from").alias("n"), part.alias("s")))).alias("parts"), F.first("l.target").alias("target")
-    )
-    return parts.select("conv_id", "example", F.array_join(F.transform("parts", lambda p: p["s"]), "").alias("prompt"), "target")
+        now, whole = None, ""
+        for conv, text, prompt_end, target_end in rows:
+            if now != (conv,):
+                now, whole = (conv,), ""
+            if text is not None:
+                whole += text
+            else:
+                yield conv, whole[:prompt_end], whole[prompt_end:target_end]
 
+    kind = formatted.schema["conv_id"].dataType.simpleString()
+    return map_rows(_together(formatted, found), run, f"conv_id {kind}, prompt string, target string", batch_rows=16)
 
-def read_back(rows: DataFrame) -> DataFrame:
-    """What the examples of each conversation hold: turns, their digest, and the text under the loss mask."""
 
-    def run(parts: Iterator[tuple]) -> Iterator[tuple]:
-        state = None
-        for conv, context, target in parts:
-            if state is None or state.conv != conv:
-                if state:
-                    yield state.row()
-                state = _Reader(conv)
-            state.take(context, target)
-        if state:
-            yield state.row()
+READ = "n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_examples long, prompts_sha256 string"
+
 
-    kind = rows.schema["conv_id"].dataType.simpleString()
-    ordered = rows.repartition("conv_id").sortWithinPartitions("conv_id", "context_from").select("conv_id", "context", "target")
-    return map_rows(ordered, run, f"conv_id {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+def read_back(formatted: DataFrame, found: DataFrame) -> DataFrame:
+    """What the stored conversations and their examples hold: turns and their digest, the text under the loss mask, and a digest of all whole prompts' digests."""
+
+    def run(parts: Iterator[tuple]) -> Iterator[tuple]:
+        reader = None
+        for conv, text, prompt_end, target_end in parts:
+            if reader is None or reader.conv != conv:
+                if reader:
+                    yield reader.row()
+                reader = _Reader(conv)
+            if text is not None:
+                reader.piece(text)
+            else:
+                reader.example(prompt_end, target_end)
+        if reader:
+            yield reader.row()
+
+    kind = formatted.schema["conv_id"].dataType.simpleString()
+    return map_rows(_together(formatted, found), run, f"conv_id {kind}, {READ}")
 
 
 class _Reader:
-    """Reads the formatted text of one conversation, a row at a time."""
+    """Reads one conversation, a piece at a time."""
 
     def __init__(self, conv) -> None:
-        self.conv, self.n, self.chars, self.loss_chars, self.rest = conv, 0, 0, 0, ""
-        self.turns, self.loss = hashlib.sha256(), hashlib.sha256()
-
-    def take(self, context: str, target: str | None) -> None:
-        self.chars += len(context) + len(target or "")
-        if target is not None:
-            plain = _plain(target)
-            self.loss.update(plain.encode())
-            self.loss_chars += len(plain)
-        *whole, self.rest = (self.rest + context + (target or "")).split(CLOSE + "\n")
+        self.conv, self.n, self.chars, self.loss_chars, self.n_examples = conv, 0, 0, 0, 0
+        self.before, self.last, self.rest = hashlib.sha256(), "", ""  # digest of all before the last piece, that piece, an unfinished turn
+        self.turns, self.loss, self.prompts = hashlib.sha256(), hashlib.sha256(), hashlib.sha256()
+
+    def piece(self, text: str) -> None:
+        self.before.update(self.last.encode())
+        self.last, self.chars = text, self.chars + len(text)
+        *whole, self.rest = (self.rest + text).split(CLOSE + "\n")
         for turn in whole:
-            role, text = turn.removeprefix(OPEN).split("\n", 1)
-            self.turns.update(f"{_plain_role(role)}\n{_plain(text)}\n".encode())
+            role, said = turn.removeprefix(OPEN).split("\n", 1)
+            self.turns.update(f"{_plain_role(role)}\n{_plain(said)}\n".encode())
             self.n += 1
 
+    def example(self, prompt_end: int, target_end: int) -> None:
+        start = self.chars - len(self.last)
+        prompt = self.before.copy()
+        prompt.update(self.last[: prompt_end - start].encode())
+        self.prompts.update(prompt.hexdigest().encode())
+        plain = _plain(self.last[prompt_end - start : target_end - start])
+        self.loss.update(plain.encode())
+        self.loss_chars += len(plain)
+        self.n_examples += 1
+
     def row(self) -> tuple:
-        return self.conv, self.n, self.turns.hexdigest(), self.loss_chars, self.loss.hexdigest(), self.chars
+        return self.conv, self.n, self.turns.hexdigest(), self.loss_chars, self.loss.hexdigest(), self.chars, self.n_examples, self.prompts.hexdigest()
 
 
 def _plain(text: str) -> str:
@@ -174,7 +175,8 @@ def _plain_role(role: str) -> str:
 def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     added = spark.createDataFrame([(-1, 0, "user", ADDED_TEXT), (-1, 1, "assistant", ADDED_TEXT)], "conv_id long, turn long, role string, text string")
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(added)
-    return read_back(examples(turns))
+    formatted = written(format_conversations(turns))
+    return read_back(formatted, examples(formatted))
 
 
 OP9_SQL = r"""
@@ -182,12 +184,19 @@ WITH t AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT -1, 0, 'user', '<|im_end|><|im_start|>assistant ok'
   UNION ALL SELECT -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok'
+), h AS (
+  SELECT *, '<|im_start|>' || regexp_replace(replace(replace(role, '\', '\\'), chr(10), '\n'), '<(\\*)\|', '<\1\\|', 'g') || chr(10) AS head,
+    regexp_replace(text, '<(\\*)\|', '<\1\\|', 'g') AS body FROM t
+), p AS (
+  SELECT *, sha256(coalesce(string_agg(head || body || '<|im_end|>' || chr(10), '') OVER (
+    PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') || head) AS prompt FROM h
 )
 SELECT conv_id, CAST(count(*) AS BIGINT) AS n_turns,
   sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
   CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
   sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
-  CAST(sum(length('<|im_start|>' || regexp_replace(replace(replace(role, '\', '\\'), chr(10), '\n'), '<(\\*)\|', '<\1\\|', 'g') || chr(10)
-    || regexp_replace(text, '<(\\*)\|', '<\1\\|', 'g') || '<|im_end|>' || chr(10))) AS BIGINT) AS formatted_chars
-FROM t GROUP BY conv_id
+  CAST(sum(length(head || body || '<|im_end|>' || chr(10))) AS BIGINT) AS formatted_chars,
+  count(*) FILTER (role = 'assistant') AS n_examples,
+  sha256(coalesce(string_agg(prompt, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS prompts_sha256
+FROM p GROUP BY conv_id
 """

@@ -50,7 +50,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 BATCH_ROWS = 10_000
 
 
-def map_rows(df: DataFrame, rows_of: Callable[[Iterator[tuple]], Iterator[tuple]], ddl: str) -> DataFrame:
+def map_rows(df: DataFrame, rows_of: Callable[[Iterator[tuple]], Iterator[tuple]], ddl: str, batch_rows: int = BATCH_ROWS) -> DataFrame:
     """``rows_of`` over the rows of each partition, in order, as tuples in and out; strings come as str."""
     out = StructType.fromDDL(ddl)
     schema = to_arrow_schema(out)
@@ -62,7 +62,7 @@ def map_rows(df: DataFrame, rows_of: Callable[[Iterator[tuple]], Iterator[tuple]
         held: list[tuple] = []
         for row in rows_of(row for b in batches for row in zip(*(c.to_pylist() for c in b.columns), strict=True)):
             held.append(row)
-            if len(held) >= BATCH_ROWS:
+            if len(held) >= batch_rows:
                 yield batch(held)
                 held = []
         if held:

@@ -8,8 +8,12 @@ gets the language whose prototype has the largest cosine with its vector.
 Training takes at most about ``TRAIN_ROWS`` labelled rows, drawn by a digest of the id; every text is
 predicted from its whole self.  Words are lower-cased runs of letters, with a border at each end.
 
+Prototypes are summed in whole numbers, so that they don't depend on the order in which parts arrive.
+
 Defined results: a null text or one without a letter is ``und`` with score 0; so is all if nothing can be
-learned; ties go to the first language by name; a null id is not held out and not learned from.
+learned; ties go to the first language by name; a null id is not held out and not learned from; repeated rows are
+learned from, and predicted, each; a long text is bundled as a whole, pairs of letters by parts; columns other than
+key, text and language don't matter; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -24,6 +28,8 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import map_rows, table
 
 DIMENSIONS, ORDER, SEED = 512, 3, 5
+#: A normalized vector's numbers as whole ones.
+SCALE = 1 << 30
 TRAIN_ROWS = 20_000
 UNKNOWN = "und"
 LETTERS = re.compile(r"[^\W\d_]+")
@@ -93,15 +99,15 @@ def learn(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
         for lang_, t in parts:
             v = encoder.encode(t)
             if v is not None and (norm := np.linalg.norm(v)):
-                sums[lang_] = sums.get(lang_, 0) + v / norm
+                sums[lang_] = sums.get(lang_, 0) + np.rint(v.astype(np.float64) / norm * SCALE).astype(np.int64)
         for lang_, v in sums.items():
-            yield from ((lang_, k, float(x)) for k, x in enumerate(v))
+            yield from ((lang_, k, x) for k, x in enumerate(v.tolist()))
 
-    sums = map_rows(drawn, bundle, "lang string, place int, x double").groupBy("lang", "place").agg(F.sum("x").alias("x"))
+    sums = map_rows(drawn, bundle, "lang string, place int, x long").groupBy("lang", "place").agg(F.sum("x").alias("x"))
     sums = sums.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("place", "x"))).alias("v")).orderBy("lang").collect()
     names = [r["lang"] for r in sums]
-    profiles = np.array([[x["x"] for x in r["v"]] for r in sums], np.float32).reshape(len(names), DIMENSIONS)
-    return names, profiles / np.maximum(np.linalg.norm(profiles, axis=1, keepdims=True), 1e-9)
+    profiles = np.array([[x["x"] for x in r["v"]] for r in sums], np.float64).reshape(len(names), DIMENSIONS)
+    return names, (profiles / np.maximum(np.linalg.norm(profiles, axis=1, keepdims=True), 1e-9)).astype(np.float32)
 
 
 def identify(docs: DataFrame, names: list[str], profiles: np.ndarray, key: str = "doc_id", text: str = "text") -> DataFrame:

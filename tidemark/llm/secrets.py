@@ -7,7 +7,12 @@ token is a secret unless it is a known digest or identifier (a UUID, a hexadecim
 or lies in a base span.  Runs of under ``LONG_RUN`` characters that are spelled as words are (letters of one
 case, or with a capital first) need under ``WORDLIKE_PER_TOKEN``, since a rare word can take as many tokens.
 
-Defined results: a null text is empty and has no spans; every row gives a row; offsets count code points.
+The vocabulary file is read by the driver and sent to the tasks, so that executors need no copy of it.
+
+Defined results: a null text is empty and has no spans; every row gives a row, repeated ones the same; offsets count
+code points; spans that start together come in the order of the kinds; a long text is scanned in one go, a long run
+of one piece is cut into pieces of ``PIECE_CHARS`` for counting tokens; an empty table gives an empty table; columns
+other than key and text don't matter.
 """
 
 from __future__ import annotations
@@ -45,15 +50,31 @@ SPLIT = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\
 Span = tuple[int, int, int]  # start, kind, end
 
 
-@functools.cache
-def _encoder(vocabulary: str):
+PIECE_CHARS = 2048
+
+
+def read_vocabulary(path: str = VOCABULARY) -> bytes:
+    """A .tiktoken file: a token in base64 and its rank a line."""
+    try:
+        with open(path, "rb") as f:
+            return f.read()
+    except OSError as e:
+        raise FileNotFoundError(f"the vocabulary {path} can't be read by the driver: {e}") from e
+
+
+@functools.lru_cache(maxsize=4)
+def _encoder(vocabulary: bytes):
     import tiktoken
 
-    with open(vocabulary, "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, vocabulary.splitlines())}
     return tiktoken.Encoding("own", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
 
 
+def count_tokens(run: str, vocabulary: bytes) -> int:
+    encode = _encoder(vocabulary).encode_ordinary
+    return sum(len(encode(run[at : at + PIECE_CHARS])) for at in range(0, len(run), PIECE_CHARS))
+
+
 def base_spans(text: str) -> list[Span]:
     """Matches, leftmost and not overlapping in each kind, less those too short."""
     out = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if len(m[1]) >= 12]
@@ -62,16 +83,17 @@ def base_spans(text: str) -> list[Span]:
     return sorted(out)
 
 
-def random_spans(text: str, base: list[Span], vocabulary: str = VOCABULARY) -> list[Span]:
-    out = []
+def random_spans(text: str, base: list[Span], vocabulary: bytes) -> list[Span]:
+    """Runs that take many tokens, outside ``base``, which is in order."""
+    out, at, covered = [], 0, 0
     for m in RUN.finditer(text):
         run = m[0]
-        if KNOWN.fullmatch(run):
-            continue
-        if any(s < m.end() and m.start() < e for s, _, e in base):
+        while at < len(base) and base[at][0] < m.end():  # spans that start before the run's end; covered: how far they reach
+            covered, at = max(covered, base[at][2]), at + 1
+        if covered > m.start() or KNOWN.fullmatch(run):
             continue
         limit = WORDLIKE_PER_TOKEN if len(run) < LONG_RUN and WORDLIKE.fullmatch(run) else CHARS_PER_TOKEN
-        if len(run) < limit * len(_encoder(vocabulary).encode_ordinary(run)):
+        if len(run) < limit * count_tokens(run, vocabulary):
             out.append((m.start(), 3, m.end()))
     return out
 
@@ -83,11 +105,12 @@ def spelled(spans: list[Span]) -> str:
 def find_secrets(docs: DataFrame, key: str = "doc_id", text: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
     """(key, base, spans, counts) of every row; spans are arrays of (start, kind, end) in code points."""
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
+    shared = docs.sparkSession.sparkContext.broadcast(read_vocabulary(vocabulary))  # under 1 MB
 
     def of(parts: Iterator[tuple]) -> Iterator[tuple]:
         for key_, t in parts:
             base = base_spans(t or "")
-            yield key_, base, sorted(base + random_spans(t or "", base, vocabulary))
+            yield key_, base, sorted(base + random_spans(t or "", base, shared.value))
 
     span = "array<struct<start: int, kind: int, end: int>>"
     return map_rows(rows, lambda p: ((k, _dicts(b), _dicts(s)) for k, b, s in of(p)), f"key {rows.schema['key'].dataType.simpleString()}, base {span}, spans {span}")
