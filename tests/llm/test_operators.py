@@ -47,7 +47,15 @@ def plain(t):
 # ---- 1
 
 
-def brute_lines(rows):
+def one_edit(a, b):
+    """Edit distance of 1 at most: all but one place lie in a common beginning and a common end."""
+    short = min(len(a), len(b))
+    begin = next((k for k in range(short) if a[k] != b[k]), short)
+    end = next((k for k in range(short - begin) if a[-1 - k] != b[-1 - k]), short - begin)
+    return begin + end >= max(len(a), len(b)) - 1
+
+
+def brute_lines(rows, units=10):
     """rows: (doc_id, text); gives {row number: kept places}."""
     seen, of = {}, []
     order = lambda i, t: (i is None, i or 0, linededup.text_digest((t or "").encode()))
@@ -58,7 +66,18 @@ def brute_lines(rows):
                 k = (*order(i, t), at)
                 seen[w] = min(seen.get(w, k), k)
                 of.append((order(i, t), at, w))
-    near = {w for w in seen for x in seen if seen[x] < seen[w] and max(len(x), len(w)) >= 10 and abs(len(x) - len(w)) <= 1 and linededup.within_one_edit(list(x), list(w))}
+    by_size = defaultdict(list)
+    for w in seen:
+        by_size[len(w)].append(w)
+    chars = {w: " ".join(w) for w in seen}
+
+    def close(w, x):
+        if max(len(w), len(x)) >= units:
+            return abs(len(w) - len(x)) <= 1 and one_edit(w, x)
+        a, b = chars[w], chars[x]
+        return max(len(a), len(b)) >= units and abs(len(a) - len(b)) <= 1 and one_edit(a, b)
+
+    near = {w for w in seen for n in (range(max(0, len(w) - 1), len(w) + 2)) for x in by_size[n] if seen[x] < seen[w] and close(w, x)}
     out = defaultdict(set)
     for o, at, w in of:
         if seen[w] == (*o, at) and w not in near:
@@ -66,14 +85,14 @@ def brute_lines(rows):
     return [sorted(out[order(i, t)]) for i, t in rows]
 
 
-def check_lines(df):
+def check_lines(df, units=10):
     rows = [(r["doc_id"], r["text"]) for r in df.select("doc_id", "text").collect()]
     want = Counter()
-    for (i, t), kept in zip(rows, brute_lines(rows), strict=True):
+    for (i, t), kept in zip(rows, brute_lines(rows, units), strict=True):
         lines = (t or "").split("\n")
         n = sum(bool(re.search(r"[^\x20\x09-\x0D]", x)) for x in lines)
         want[(i, t if len(kept) == n else "\n".join(lines[k] for k in kept), n, len(kept))] += 1
-    got = Counter((r["doc_id"], r["text"], r["n_lines"], r["n_kept"]) for r in linededup.dedup_lines(df).collect())
+    got = Counter((r["doc_id"], r["text"], r["n_lines"], r["n_kept"]) for r in linededup.dedup_lines(df, min_units=units).collect())
     assert got == want
 
 
@@ -87,6 +106,43 @@ def test_line_dedup_brute_force(spark):
     check_lines(documents(spark, rows))
 
 
+@pytest.mark.parametrize("units", [1, 6, 10])
+def test_line_dedup_of_short_lines(spark, units):
+    """Lines around the bound, where words and characters take over from each other, chains of edits and other scripts."""
+    rng = np.random.default_rng(7)
+    words = ["a", "bc", "déf", "漢字", "ghij", "k"]
+    lines = [" ".join(rng.choice(words, n)) for n in (1, 2, 3, 4, 5, 6, 8, 9, 10, 11) for _ in range(3)]
+    for line in list(lines):
+        for _ in range(4):
+            k = int(rng.integers(0, len(line) + 1))
+            lines += [line[:k] + line[k + 1 :], line[:k] + "x" + line[k + 1 :], line[:k] + " y" + line[k:]]
+    lines += ["abcdefgh", "abcdefghi", "abcdefghij", "abcdefghik", "abcdefghijk", "Abcdefghij,"]
+    rows = [(int(i), "\n".join(lines[k] for k in rng.integers(0, len(lines), 3)), "s") for i in range(120)]
+    check_lines(documents(spark, rows), units)
+
+
+@pytest.mark.parametrize("bits", [64, 1 << 26])
+def test_line_dedup_filter(spark, monkeypatch, bits):
+    """A filter that is full lets all lines pass, and the result is the same; so is it without any broadcast join."""
+    monkeypatch.setattr(linededup, "BLOOM_BITS", bits)
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        docs = spark.read.parquet(f"{SF}/documents.parquet")
+        assert "BroadcastHashJoin" not in linededup.dedup_lines(docs)._jdf.queryExecution().toString()
+        check_lines(docs)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+
+
+def test_line_dedup_of_a_long_line(spark):
+    """Keys of a line of a hundred thousand words take time in proportion to it."""
+    long = [f"w{k}" for k in range(100_000)]
+    rows = [(1, " ".join(long), "s"), (2, " ".join(long[:70_000] + ["new"] + long[70_001:]), "s"), (3, " ".join(long[:-1]), "s"), (4, " ".join(long[1:] + ["other"]), "s")]
+    got = {r["doc_id"]: r["n_kept"] for r in linededup.dedup_lines(documents(spark, rows)).collect()}
+    assert got == {1: 1, 2: 0, 3: 0, 4: 1}
+
+
 def test_line_dedup_odd(odd, none):
     check_lines(odd)
     assert linededup.dedup_lines(none).count() == 0

@@ -39,13 +39,17 @@ def word_count(text: Column) -> Column:
     return F.size(words_of(text)).cast("long")
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A given table; one that comes in fewer pieces than half the cores, as small files do, is dealt out to all."""
-    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    cores = spark.sparkContext.defaultParallelism
+def dealt(df: DataFrame) -> DataFrame:
+    """``df``, dealt out to all cores where it comes in fewer pieces than half of them."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores / 2 else df
 
 
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A given table; small files come in few pieces."""
+    return dealt(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+
+
 #: Rows that Python operators gather before they hand a batch on.
 BATCH_ROWS = 10_000
 
