@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import math
 import re
 import string
 import zlib
@@ -228,22 +229,57 @@ def test_urls_long_and_none(spark, monkeypatch, small):
 # ---- 4
 
 
+def plain_words(t):
+    return re.findall(r"[a-z0-9\x80-\U0010ffff]+", plain(t))
+
+
+def grams(words, n):
+    return {tuple(words[k : k + n]) for k in range(len(words) - n + 1)}
+
+
+def share(part, passage):
+    if not part:
+        return 1.0
+    n = min(3, len(part))
+    return len(grams(part, n) & grams(passage, n)) / len(grams(part, n))
+
+
 def brute_leaks(docs, items):
-    words = [decontaminate.words_in(t.encode()) for _, t in items]
-    df = Counter(w for ws in words for w in set(ws))
-    shard = decontaminate.Shard(items, df, len(items), sum(map(len, words)) / len(items))
-    out = {}
+    """BM25 of every item against every passage, by its formula, with words, classes and overlaps of its own."""
+    items = [(i, t) for i, t in dict.fromkeys(items) if t is not None]
+    n_items, words = len(items), {x: plain_words(x[1]) for x in items}
+    mean = sum(map(len, words.values())) / n_items
+    df = Counter(w for x in items for w in set(words[x]))
+    classes, out = defaultdict(list), {}
+    for x in items:
+        w = words[x]
+        if not w:
+            continue
+        score = {}
+        for term, tf in Counter(w).items():
+            idf = math.log(1 + (n_items - df[term] + 0.5) / (df[term] + 0.5))
+            score[term] = idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(w) / mean))
+        size = 32
+        while size < len(w):
+            size *= 2
+        sentences = [p for s in re.split(r"(?<=[.!?])\s+|\n+", x[1]) if (p := plain_words(s))]
+        if len(sentences) > 1:
+            question, answer = [v for p in sentences[:-1] for v in p], sentences[-1]
+        else:
+            cut = len(w) - len(w) // 5
+            question, answer = w[:cut], w[cut:]
+        classes[size].append((x[0], {k: v / sum(score.values()) for k, v in score.items()}, question, answer, len(w)))
     for key, text in docs:
-        w = decontaminate.words_in((text or "").encode())
-        for index in shard.classes:
-            for at in range(0, max(1, -(-len(w) // index.stride) - 1) * index.stride, index.stride):
-                passage = w[at : at + 2 * index.stride]
-                terms = {shard.terms[x] for x in passage if x in shard.terms}
-                for k, (question, answer) in enumerate(index.parts):
-                    score = sum(index.impacts[t][index.items[t].index(k)] for t in terms if k in index.items.get(t, ()))
-                    q, a = decontaminate.overlap(question, passage), decontaminate.overlap(answer, passage)
-                    if score >= decontaminate.THRESHOLD and q >= decontaminate.QUESTION_OVERLAP and a >= decontaminate.ANSWER_OVERLAP:
-                        out[(key, index.ids[k])] = max(out.get((key, index.ids[k]), 0), round(score, 9))
+        w = plain_words(text)
+        for members in classes.values():
+            stride = max(m[4] for m in members)
+            starts = range(0, max(1, math.ceil(len(w) / stride) - 1) * stride, stride)
+            for passage in (w[at : at + 2 * stride] for at in starts):
+                held = set(passage)
+                for i, score, question, answer, _ in members:
+                    total = sum(v for k, v in score.items() if k in held)
+                    if total >= 0.6 and share(question, passage) >= 0.5 and share(answer, passage) >= 0.5:
+                        out[(key, i)] = max(out.get((key, i), 0), round(total, 9))
     return out
 
 
@@ -254,6 +290,16 @@ def test_decontamination_brute_force(spark):
     assert got == want and got
 
 
+def test_decontamination_in_shards(spark, monkeypatch):
+    """Many small shards and bounds that share few buckets find what one index finds."""
+    docs, items = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "benchmark"))
+    whole = {tuple(r) for r in decontaminate.contaminated(docs, items).collect()}
+    indexed, bounds = decontaminate.indexed_items, decontaminate.bounds_of
+    monkeypatch.setattr(decontaminate, "indexed_items", lambda b, i, t: indexed(b, i, t, 7))
+    monkeypatch.setattr(decontaminate, "bounds_of", lambda x: bounds(x, 256))
+    assert {tuple(r) for r in decontaminate.contaminated(docs, items).collect()} == whole and whole
+
+
 def test_decontamination_odd(spark, odd, none):
     items = spark.createDataFrame([(1, "What are the same words in a row? Of ten words or more here."), (2, None), (3, ""), (None, "!!"), (1, "What are the same words in a row? Of ten words or more here.")], "item_id long, text string")
     assert {r["key"] for r in decontaminate.contaminated(odd, items).collect()} == {5, 6, 7}
@@ -265,7 +311,7 @@ def test_decontamination_odd(spark, odd, none):
 def test_late_passages_of_long_texts():
     """A passage with just the threshold is found two million words into a text as at its beginning."""
     item = [f"w{i}" for i in range(40)]
-    index = decontaminate.Shard([(1, " ".join(item))], Counter(item), 1, 40).classes[0]
+    index = decontaminate.Shard([(64, 1, " ".join(item), [(w.encode(), 1 / 40) for w in item])]).classes[0]
     whole, part, gap = np.arange(1, 41), np.append(np.arange(1, 25), [0] * 16), np.zeros(40, int)
     codes = np.concatenate([part, gap, np.tile(whole, 50_000), gap, part, gap])
     at = np.flatnonzero(codes)
@@ -409,9 +455,9 @@ def test_keep_one_by_row(spark):
     clean = [" ".join(f"w{x}" for x in rng.integers(0, 10_000, 40)) for _ in range(4)]
     x, y, z, unnamed = clean
     rows = [(None, x), (1, x), (None, y), (2, z), (5, z + "\n"), (1, y + " "), (2, y), (5, y + "\n"), (None, unnamed), (None, unnamed), (None, unnamed + " ")]
-    for hot in (500_000, 0):
+    for size in (32 << 20, 0):
         with pytest.MonkeyPatch.context() as m:
-            m.setattr(common, "BROADCAST_KEYS", hot)
+            m.setattr(common, "BROADCAST_BYTES", size)
             kept = simhash.keep_one(documents(spark, [(i, t, "s") for i, t in rows])).collect()
         assert sorted((r["doc_id"] or 0, r["text"].strip()) for r in kept) == sorted([(1, x), (2, z), (1, y), (0, unnamed)])
 

@@ -75,8 +75,8 @@ def map_rows(df: DataFrame, rows_of: Callable[[Iterator[tuple]], Iterator[tuple]
     return df.mapInArrow(run, out)
 
 
-#: Rows up to which a list of their identities is broadcast, after they were counted.
-BROADCAST_KEYS = 500_000
+#: Bytes up to which a list of rows' identities is broadcast, after they were summed, and bytes of one beside its key.
+BROADCAST_BYTES, IDENTITY_BYTES = 32 << 20, 64
 
 
 def row_identity(key: Column, text: Column) -> list[Column]:
@@ -87,13 +87,14 @@ def row_identity(key: Column, text: Column) -> list[Column]:
 def without_rows(df: DataFrame, identity: list[Column], gone: DataFrame) -> DataFrame:
     """The rows of ``df`` whose ``identity`` isn't among the rows of ``gone`` (a column for each part); nulls are equal.
 
-    Up to BROADCAST_KEYS rows gone, the texts of ``df`` stay where they are; beyond, both sides are dealt by identity.
+    Up to BROADCAST_BYTES of rows gone, the texts of ``df`` stay where they are; beyond, both sides are dealt by identity.
     """
     name = "_gone"
     while any(c.startswith(name) for c in df.columns):
         name += "_"
     names = [f"{name}{k}" for k in range(len(identity))]
     rows = written(gone.toDF(*names).distinct())
-    few = rows.count() <= BROADCAST_KEYS
+    n, keys = rows.agg(F.count("*"), F.sum(F.octet_length(F.col(names[0]).cast("string")))).first()
+    few = n * IDENTITY_BYTES + (keys or 0) <= BROADCAST_BYTES
     same = reduce(Column.__and__, [part.eqNullSafe(F.col(n)) for part, n in zip(identity, names, strict=True)])
     return df.join(F.broadcast(rows) if few else rows, same, "left_anti")

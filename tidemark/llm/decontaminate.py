@@ -4,39 +4,48 @@ The test items are the indexed collection: postings by term, in blocks that know
 Every passage of every text is a query: windows of twice the length of the longest item of a length class,
 each starting in the middle of the one before, so that whole items lie in some window.  An item's impacts
 are divided by its score against itself, so a passage's score is the share of the item that it holds, and
-all items at ``THRESHOLD`` or more are retrieved.  Sums of the largest impact that each term has in a block
-of items rule out most passages, many at a time; for the rest, block-max WAND skips items and blocks that
-can't reach the threshold.  A retrieved item counts if its question and its answer (its last sentence) both
-overlap with the passage in word n-grams.
+all items at ``THRESHOLD`` or more are retrieved.
 
-The index goes to every task in shards of at most ``SHARD_ITEMS`` items, each with its own pass over the
-texts; document frequencies and lengths are those of all items.
+Impacts are computed by Spark from document frequencies over all items.  One pass over all texts then adds up, for
+each passage, the largest impact that each of its terms has in any item of a class; these bounds are kept by a hash
+of the term, in ``BUCKETS`` numbers a class whatever the benchmark's size.  Texts without a passage at the threshold
+are done.  The few others are written, and searched in shards of about ``SHARD_ITEMS`` items, which tasks build:
+sums of block maxima rule out most of their passages, many at a time; for the rest, block-max WAND skips items and
+blocks that can't reach the threshold.  A retrieved item counts if its question and its answer (its last sentence)
+both overlap with the passage in word n-grams.  More items make more shards to go over the texts left, never another
+pass over the corpus.
 
 Defined results: null and empty texts and items match nothing; a pair of text and item is given once, with
-its best passage; repeated rows and repeated items give the same pair once.
+its best passage; repeated rows and repeated items give the same pair once; of tied items all are given; a long text
+is split into words as a whole, its passages are judged ``PASSAGES`` at a time; columns other than key and text
+don't matter; without texts or without items nothing is found.
 """
 
 from __future__ import annotations
 
-import math
+import pickle
 import re
-from collections import Counter, defaultdict
+from collections import defaultdict
 from collections.abc import Iterator
 from functools import reduce
 from itertools import repeat
+from zlib import crc32
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import map_rows, row_identity, table, without_rows
+from tidemark.llm.common import map_rows, row_identity, table, without_rows, written
 
 K1, B = 1.2, 0.75
 THRESHOLD = 0.6
 QUESTION_OVERLAP, ANSWER_OVERLAP, NGRAM = 0.5, 0.5, 3
 BLOCK, MOST_BLOCKS, SHORTEST_CLASS, SHARD_ITEMS = 8, 64, 32, 20_000
-#: Passages of a text that are judged at once.
-PASSAGES = 4096
+#: Passages of a text that are judged at once, and buckets of terms that share a bound.
+PASSAGES, BUCKETS = 512, 1 << 20
+#: What rounding may take from a sum.
+SLACK = 1e-3
 
 _KEEP = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
@@ -67,27 +76,89 @@ def overlap(part: list[bytes], passage: list[bytes]) -> float:
     return len(own & ngrams(passage, len(next(iter(own))))) / len(own) if own else 1.0
 
 
+def first_places(at: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    """For each of the places ``at`` with their terms ``codes``: the term's place before, or -1."""
+    order = np.argsort(codes, kind="stable")
+    before = np.full(len(at), -1)
+    same = codes[order][1:] == codes[order][:-1]
+    before[order[1:][same]] = at[order[:-1][same]]
+    return before
+
+
+class Strides:
+    """Passages over the indexed words of a text, by strides: passage k holds the strides k and k + 1; a term counts once a passage."""
+
+    def __init__(self, stride: int, at: np.ndarray, codes: np.ndarray, before: np.ndarray, n_words: int) -> None:
+        self.stride, self.codes, self.before, self.k = stride, codes, before, at // stride
+        self.n = max(1, -(-n_words // stride) - 1)
+
+    def runs(self) -> Iterator[tuple]:
+        """PASSAGES at a time: (first passage, edges of the strides, slice of words, sum by passage of the impacts of these words)."""
+        for low in range(0, self.n, PASSAGES):  # so that arrays of words by blocks don't grow with the text
+            high = min(low + PASSAGES, self.n)
+            edges = np.searchsorted(self.k, np.arange(low, high + 2))
+            own = slice(edges[0], edges[-1])
+            held, first = np.unique(self.k[own] - low, return_index=True)
+            if not len(held):
+                continue
+            counted = [self.before[own] < (self.k[own] - back) * self.stride for back in (0, 1)]
+
+            def sums(impact: np.ndarray, held=held, first=first, counted=counted, n=high - low) -> np.ndarray:
+                # each stride by itself: differences of running sums would lose more the later a passage stands
+                out = np.zeros((2, n + 1, impact.shape[1]))
+                for side, counts in zip(out, counted, strict=True):
+                    side[held] = np.add.reduceat(impact * counts[:, None], first, axis=0, dtype=np.float64)
+                return out[0, :-1] + out[1, 1:]
+
+            yield low, edges, own, sums
+
+
+class Bounds:
+    """The largest impact of any term of a bucket in any item, for each length class."""
+
+    def __init__(self, strides: dict[int, int], rows: list[tuple[np.ndarray, np.ndarray, np.ndarray]], buckets: int = BUCKETS) -> None:
+        """``strides`` by class; ``rows``: classes, buckets and impacts."""
+        self.strides, self.buckets = strides, buckets
+        self.most = {c: np.zeros(buckets, np.float32) for c in strides}
+        for classes, places, impacts in rows:
+            for c in strides:
+                own = classes == c
+                np.maximum.at(self.most[c], places[own], impacts[own].astype(np.float32) + np.float32(1e-6))
+        self.any = reduce(np.maximum, self.most.values(), np.zeros(buckets, np.float32)) > 0
+
+    def may_match(self, text: bytes | None) -> bool:
+        """Whether some passage of ``text`` could bring an item to the threshold."""
+        words = words_in(text or b"")
+        codes = np.fromiter(map(crc32, words), np.int64, len(words)) & (self.buckets - 1)
+        at = np.flatnonzero(self.any[codes])
+        if not len(at):
+            return False
+        codes = codes[at]
+        before = first_places(at, codes)
+        for c, stride in self.strides.items():
+            impact = self.most[c][codes][:, None]
+            if impact.sum(dtype=np.float64) < THRESHOLD - SLACK:
+                continue
+            for _, _, own, sums in Strides(stride, at, codes, before, len(words)).runs():
+                if (sums(impact[own]) >= THRESHOLD - SLACK).any():
+                    return True
+        return False
+
+
 class Index:
-    """Items of one length class, with impacts normalized by each item's own score; ``terms`` is shared by all classes."""
+    """Items of one length class, (item, text, words and impacts); ``terms`` is shared by all classes."""
 
-    def __init__(self, items: list[tuple[object, str]], terms: dict[bytes, int], df: dict[bytes, int], n_items: int, mean_words: float) -> None:
+    def __init__(self, items: list[tuple[object, str, list[tuple[bytes, float]]]], terms: dict[bytes, int]) -> None:
         items = sorted(items, key=lambda x: str(x[0]))
-        self.ids = [i for i, _ in items]
-        self.parts = [question_and_answer(t) for _, t in items]
+        self.ids = [x[0] for x in items]
+        self.parts = [question_and_answer(x[1]) for x in items]
         self.items: dict[int, list[int]] = defaultdict(list)
         self.impacts: dict[int, list[float]] = defaultdict(list)
-        self.stride = 0
-        for at, (_, text) in enumerate(items):
-            words = words_in(text.encode())
-            self.stride = max(self.stride, len(words))
-            norm = K1 * (1 - B + B * len(words) / mean_words)
-            impact = {
-                w: math.log(1 + (n_items - df[w] + 0.5) / (df[w] + 0.5)) * tf * (K1 + 1) / (tf + norm) for w, tf in Counter(words).items()
-            }
-            whole = sum(impact.values())
-            for w, x in impact.items():
+        self.stride = max(len(words_in(x[1].encode())) for x in items)
+        for at, (_, _, own) in enumerate(items):
+            for w, x in own:
                 self.items[terms[w]].append(at)
-                self.impacts[terms[w]].append(x / whole)
+                self.impacts[terms[w]].append(x)
         # postings' blocks hold the items of so many numbers in a row; a term has its largest impact in each, 0 in the rest
         self.block = max(BLOCK, -(-len(items) // MOST_BLOCKS))
         self.bound = np.zeros((len(terms) + 1, -(-len(items) // self.block)), np.float32)
@@ -100,28 +171,10 @@ class Index:
 
         ``at``, ``codes``: the places and terms of a text's indexed words; ``before``: each term's place before, or -1.
         """
-        # passage k holds the strides k and k + 1; a term counts once a passage, at its first place there
-        k = at // self.stride
-        n = max(1, -(-n_words // self.stride) - 1)
-        for low in range(0, n, PASSAGES):  # so that the array of words by blocks doesn't grow with the text
-            high = min(low + PASSAGES, n)
-            edges = np.searchsorted(k, np.arange(low, high + 2))
-            own = slice(edges[0], edges[-1])
-            held, first = np.unique(k[own] - low, return_index=True)
-            if not len(held):
-                continue
-            counted = [before[own] < (k[own] - back) * self.stride for back in (0, 1)]
-
-            def sums(impact: np.ndarray, held=held, first=first, counted=counted, n=high - low) -> np.ndarray:
-                # each stride by itself: differences of running sums would lose more the later a passage stands
-                out = np.zeros((2, n + 1, impact.shape[1]))
-                for side, counts in zip(out, counted, strict=True):
-                    side[held] = np.add.reduceat(impact * counts[:, None], first, axis=0, dtype=np.float64)
-                return out[0, :-1] + out[1, 1:]
-
-            can = sums(self.most[codes[own]][:, None])[:, 0] >= THRESHOLD - 1e-3
+        for low, edges, own, sums in Strides(self.stride, at, codes, before, n_words).runs():
+            can = sums(self.most[codes[own]][:, None])[:, 0] >= THRESHOLD - SLACK
             if can.any():
-                for start in np.flatnonzero(can & (sums(self.bound[codes[own]]) >= THRESHOLD - 1e-3).any(1)):
+                for start in np.flatnonzero(can & (sums(self.bound[codes[own]]) >= THRESHOLD - SLACK).any(1)):
                     yield (low + int(start)) * self.stride, list(dict.fromkeys(codes[edges[start] : edges[start + 2]].tolist()))
 
     def search(self, terms: list[int]) -> Iterator[tuple[int, float]]:
@@ -179,34 +232,28 @@ class Index:
             lists = [c for c in lists if c[0] is not None]
 
 
-
 class Shard:
-    """The classes of a shard of items, over one vocabulary."""
+    """The classes of a shard of items, over one vocabulary; ``items``: (class, item, text, words and impacts)."""
 
-    def __init__(self, items: list[tuple[object, str]], df: dict[bytes, int], n_items: int, mean_words: float) -> None:
-        classes: dict[int, list[tuple[object, str]]] = defaultdict(list)
+    def __init__(self, items: list[tuple[int, object, str, list[tuple[bytes, float]]]]) -> None:
+        classes: dict[int, list] = defaultdict(list)
         self.terms: dict[bytes, int] = {}  # from 1; 0: in no item
-        for item, text in items:
-            if words := words_in(text.encode()):
-                classes[max(SHORTEST_CLASS, 1 << (len(words) - 1).bit_length())].append((item, text))
-                for w in words:
-                    self.terms.setdefault(w, len(self.terms) + 1)
-        self.classes = [Index(own, self.terms, df, n_items, mean_words) for _, own in sorted(classes.items())]
+        for c, *item in items:
+            classes[c].append(tuple(item))
+            for w, _ in item[2]:
+                self.terms.setdefault(w, len(self.terms) + 1)
+        self.classes = [Index(own, self.terms) for _, own in sorted(classes.items())]
 
     def matches(self, text: bytes | None) -> dict[object, tuple[float, float, float]]:
         """Best (score, question overlap, answer overlap) of each item that a passage of ``text`` holds."""
         out: dict[object, tuple[float, float, float]] = {}
         words = words_in(text or b"")
-        get = self.terms.get
-        codes = np.fromiter(map(get, words, repeat(0)), np.int64, len(words))
+        codes = np.fromiter(map(self.terms.get, words, repeat(0)), np.int64, len(words))
         at = np.flatnonzero(codes)
         if not len(at):
             return out
         codes = codes[at]
-        order = np.argsort(codes, kind="stable")
-        before = np.full(len(at), -1)
-        same = codes[order][1:] == codes[order][:-1]
-        before[order[1:][same]] = at[order[:-1][same]]
+        before = first_places(at, codes)
         for index in self.classes:
             for start, terms in index.passages(at, codes, before, len(words)):
                 for k, score in index.search(terms):
@@ -218,49 +265,95 @@ class Shard:
         return out
 
 
-def _shards(benchmark: DataFrame, item: str, text: str) -> Iterator[Shard]:
-    """The index of each shard of the items."""
-    items = benchmark.select(F.col(item).alias("item"), F.col(text).alias("text")).filter("text is not null").distinct()
-    n = items.count()
-    shards = max(1, -(-n // SHARD_ITEMS))
-    items = items.withColumn("shard", F.pmod(F.xxhash64("item", "text"), F.lit(shards)))
+def length_class(n_words: int) -> int:
+    return max(SHORTEST_CLASS, 1 << (n_words - 1).bit_length())
 
-    def terms(rows: Iterator[tuple]) -> Iterator[tuple]:
-        for (t,) in rows:
-            words = words_in(t.encode())
-            yield from ((w, len(words) if not k else 0) for k, w in enumerate(dict.fromkeys(words)))
 
-    counts = map_rows(items.select("text"), terms, "word binary, n_words long").groupBy("word").agg(
-        F.count("*").alias("df"), F.sum("n_words").alias("words")
+def indexed_items(benchmark: DataFrame, item: str = "item_id", text: str = "text", shard_items: int = SHARD_ITEMS) -> DataFrame:
+    """(shard, class, n_words, item, text, terms: array<struct<word, impact>>) of the items that have a word, written.
+
+    Impacts are BM25's, divided by the item's score against itself.
+    """
+    own = written(benchmark.select(F.col(item).alias("item"), F.col(text).alias("text")).filter("text is not null").distinct().withColumn("no", F.monotonically_increasing_id()))
+    n = own.count()
+    shards = max(1, -(-n // shard_items))
+
+    def counted(rows: Iterator[tuple]) -> Iterator[tuple]:
+        for no, t in rows:
+            words = words_in(t.encode())
+            if words:
+                tf: dict[bytes, int] = defaultdict(int)
+                for w in words:
+                    tf[w] += 1
+                yield no, len(words), length_class(len(words)), [{"word": w, "tf": k} for w, k in tf.items()]
+
+    items = written(map_rows(own.select("no", "text"), counted, "no long, n_words long, class long, tfs array<struct<word: binary, tf: long>>"))
+    total = items.agg(F.sum("n_words")).first()[0] or 0
+    each = items.select("no", "n_words", F.explode("tfs").alias("x")).select("no", "n_words", "x.*")
+    df = each.groupBy("word").agg(F.count("*").alias("df"))
+    tf, n_words = F.col("tf"), F.col("n_words")
+    idf = F.log(1 + (F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    norm = K1 * (1 - B + B * n_words / (total / max(n, 1) or 1.0))
+    scored = each.join(df, "word").withColumn("x", idf * tf * (K1 + 1) / (tf + norm))
+    # an item's terms, in order, so that sums agree between runs
+    gathered = scored.groupBy("no").agg(F.sort_array(F.collect_list(F.struct("word", "x"))).alias("own"))
+    whole = F.aggregate("own", F.lit(0.0), lambda acc, e: acc + e["x"])
+    terms = F.transform("own", lambda e: F.struct(e["word"].alias("word"), (e["x"] / F.col("whole")).alias("impact")))
+    gathered = gathered.withColumn("whole", whole).select("no", terms.alias("terms"))
+    return written(
+        own.join(gathered, "no").join(items.select("no", "n_words", "class"), "no")
+        .select(F.pmod(F.xxhash64("item", "text"), F.lit(shards)).alias("shard"), "class", "n_words", "item", "text", "terms")
     )
-    df, total = {}, 0
-    for r in counts.toLocalIterator():  # the vocabulary of the benchmark
-        df[bytes(r["word"])] = r["df"]
-        total += r["words"]
-    for shard in range(shards):
-        own = [(r["item"], r["text"]) for r in items.filter(F.col("shard") == shard).collect()]  # SHARD_ITEMS items or about that
-        yield Shard(own, df, n, total / max(n, 1))
+
+
+def bounds_of(indexed: DataFrame, buckets: int = BUCKETS) -> Bounds:
+    """A constant number of numbers for each length class: what comes to the driver doesn't grow with the items."""
+    each = indexed.select("class", F.explode("terms").alias("t")).select("class", (F.crc32("t.word") % buckets).alias("bucket"), "t.impact")
+    most = each.groupBy("class", "bucket").agg(F.max("impact").alias("impact")).toArrow()
+    strides = {r["class"]: r["n"] for r in indexed.groupBy("class").agg(F.max("n_words").alias("n")).collect()}
+    return Bounds(dict(sorted(strides.items())), [tuple(most.column(c).to_numpy() for c in ("class", "bucket", "impact"))], buckets)
+
+
+def built_shards(indexed: DataFrame) -> DataFrame:
+    """(shard, index): each shard built by a task, written."""
+
+    def build(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        rows = [(c, i, t, [(bytes(x["word"]), x["impact"]) for x in terms]) for c, i, t, terms in zip(frame["class"], frame["item"], frame["text"], frame["terms"], strict=True)]
+        return pd.DataFrame({"shard": [key[0]], "index": [pickle.dumps(Shard(rows))]})
+
+    return written(indexed.groupBy("shard").applyInPandas(build, "shard long, index binary"))
 
 
 def _matched(docs: DataFrame, benchmark: DataFrame, key: str, text: str, item: str, item_text: str) -> DataFrame:
     """(key, t, u, item, score, question_overlap, answer_overlap): each row's matches; key, t and u are its identity."""
+    spark = docs.sparkSession
     identity = [c.alias(n) for c, n in zip(row_identity(F.col(key), F.col(text)), ("key", "t", "u"), strict=True)]
     rows = docs.select(*identity, F.col(text).cast("binary").alias("text"))
-    ddl = (
-        f"key {rows.schema['key'].dataType.simpleString()}, t long, u long, item {benchmark.schema[item].dataType.simpleString()}, "
-        "score double, question_overlap double, answer_overlap double"
-    )
-    context, found = docs.sparkSession.sparkContext, []
-    for shard in _shards(benchmark, item, item_text):
-        shared = context.broadcast(shard)
+    kinds = f"key {rows.schema['key'].dataType.simpleString()}, t long, u long"
+    ddl = f"{kinds}, item {benchmark.schema[item].dataType.simpleString()}, score double, question_overlap double, answer_overlap double"
+    indexed = indexed_items(benchmark, item, item_text)
+    bounds = spark.sparkContext.broadcast(bounds_of(indexed))
+    shards = built_shards(indexed)
+
+    def left(parts: Iterator[tuple]) -> Iterator[tuple]:
+        for *own, text_ in parts:
+            if bounds.value.may_match(text_):
+                yield *own, text_
+
+    texts = written(map_rows(rows, left, f"{kinds}, text binary", batch_rows=500))
+    found = []
+    for (shard,) in shards.select("shard").orderBy("shard").collect():  # numbers
+        shared = spark.sparkContext.broadcast(shards.filter(F.col("shard") == shard).first()["index"])  # of SHARD_ITEMS items or about that
 
         def of(parts: Iterator[tuple], shared=shared) -> Iterator[tuple]:
+            index = None
             for *own, text_ in parts:
-                for item_, best in shared.value.matches(text_).items():
+                index = index or pickle.loads(shared.value)
+                for item_, best in index.matches(text_).items():
                     yield *own, item_, *best
 
-        found.append(map_rows(rows, of, ddl))
-    return reduce(DataFrame.union, found) if found else docs.sparkSession.createDataFrame([], ddl)
+        found.append(map_rows(texts, of, ddl))
+    return reduce(DataFrame.union, found) if found else spark.createDataFrame([], ddl)
 
 
 def contaminated(
