@@ -7,11 +7,11 @@ are divided by its score against itself, so a passage's score is the share of th
 all items at ``THRESHOLD`` or more are retrieved.
 
 Impacts are computed by Spark from document frequencies over all items.  One pass over all texts then adds up, for
-each passage, the largest impact that each of its terms has in any item of a class; these bounds are kept by a hash
-of the term, in ``BUCKETS`` numbers a class whatever the benchmark's size.  Texts without a passage at the threshold
-are done.  The few others are written, and searched in shards of about ``SHARD_ITEMS`` items, which tasks build:
-sums of block maxima rule out most of their passages, many at a time; for the rest, block-max WAND skips items and
-blocks that can't reach the threshold.  A retrieved item counts if its question and its answer (its last sentence)
+each passage, the largest impact that each of its terms has in a block of items; these bounds are kept by a hash of
+the term, in ``BUCKETS`` times ``MOST_BLOCKS`` numbers a class at most, whatever the benchmark's size.  Texts without a
+passage that reaches the threshold in some block are done.  The few others are written, and searched in shards of
+about ``SHARD_ITEMS`` items, which tasks build: smaller blocks rule out most of their passages, many at a time; for
+the rest, block-max WAND skips items and blocks that can't reach the threshold.  A retrieved item counts if its question and its answer (its last sentence)
 both overlap with the passage in word n-grams.  More items make more shards to go over the texts left, never another
 pass over the corpus.
 
@@ -43,7 +43,7 @@ THRESHOLD = 0.6
 QUESTION_OVERLAP, ANSWER_OVERLAP, NGRAM = 0.5, 0.5, 3
 BLOCK, MOST_BLOCKS, SHORTEST_CLASS, SHARD_ITEMS = 8, 64, 32, 20_000
 #: Passages of a text that are judged at once, and buckets of terms that share a bound.
-PASSAGES, BUCKETS = 512, 1 << 20
+PASSAGES, BUCKETS = 512, 1 << 18
 #: What rounding may take from a sum.
 SLACK = 1e-3
 
@@ -113,39 +113,51 @@ class Strides:
             yield low, edges, own, sums
 
 
+class BlockBounds:
+    """``bound``: the largest impact of each term, a row, in each block of items, a column; row 0 is of no term."""
+
+    def __init__(self, stride: int, bound: np.ndarray) -> None:
+        self.stride, self.bound, self.most = stride, bound, bound.max(1)
+
+    def passages(self, at: np.ndarray, codes: np.ndarray, before: np.ndarray, n_words: int) -> Iterator[tuple[int, list[int]]]:
+        """(start, terms) of the passages that some block of items could bring to the threshold.
+
+        ``at``, ``codes``: the places and terms of a text's indexed words; ``before``: each term's place before, or -1.
+        """
+        for low, edges, own, sums in Strides(self.stride, at, codes, before, n_words).runs():
+            can = sums(self.most[codes[own]][:, None])[:, 0] >= THRESHOLD - SLACK
+            if can.any():
+                for start in np.flatnonzero(can & (sums(self.bound[codes[own]]) >= THRESHOLD - SLACK).any(1)):
+                    yield (low + int(start)) * self.stride, list(dict.fromkeys(codes[edges[start] : edges[start + 2]].tolist()))
+
+
 class Bounds:
-    """The largest impact of any term of a bucket in any item, for each length class."""
-
-    def __init__(self, strides: dict[int, int], rows: list[tuple[np.ndarray, np.ndarray, np.ndarray]], buckets: int = BUCKETS) -> None:
-        """``strides`` by class; ``rows``: classes, buckets and impacts."""
-        self.strides, self.buckets = strides, buckets
-        self.most = {c: np.zeros(buckets, np.float32) for c in strides}
-        for classes, places, impacts in rows:
-            for c in strides:
-                own = classes == c
-                np.maximum.at(self.most[c], places[own], impacts[own].astype(np.float32) + np.float32(1e-6))
-        self.any = reduce(np.maximum, self.most.values(), np.zeros(buckets, np.float32)) > 0
+    """Block bounds of all items by length class, of terms that share a bucket together."""
+
+    def __init__(self, classes: dict[int, tuple[int, int]], entries: dict[str, np.ndarray], buckets: int = BUCKETS) -> None:
+        """``classes``: stride and number of blocks; ``entries``: class, bucket, block and impact of each number that isn't 0."""
+        used, row = np.unique(entries["bucket"], return_inverse=True)
+        self.buckets, self.row = buckets, np.zeros(buckets, np.int32)
+        self.row[used] = np.arange(1, len(used) + 1)
+        self.classes = []
+        for c, (stride, blocks) in sorted(classes.items()):
+            own, bound = entries["class"] == c, np.zeros((len(used) + 1, blocks), np.float32)
+            np.maximum.at(bound, (row[own] + 1, entries["block"][own]), entries["impact"][own].astype(np.float32) + np.float32(1e-6))
+            self.classes.append(BlockBounds(stride, bound))
 
     def may_match(self, text: bytes | None) -> bool:
         """Whether some passage of ``text`` could bring an item to the threshold."""
         words = words_in(text or b"")
-        codes = np.fromiter(map(crc32, words), np.int64, len(words)) & (self.buckets - 1)
-        at = np.flatnonzero(self.any[codes])
+        codes = self.row[np.fromiter(map(crc32, words), np.int64, len(words)) & (self.buckets - 1)]
+        at = np.flatnonzero(codes)
         if not len(at):
             return False
         codes = codes[at]
         before = first_places(at, codes)
-        for c, stride in self.strides.items():
-            impact = self.most[c][codes][:, None]
-            if impact.sum(dtype=np.float64) < THRESHOLD - SLACK:
-                continue
-            for _, _, own, sums in Strides(stride, at, codes, before, len(words)).runs():
-                if (sums(impact[own]) >= THRESHOLD - SLACK).any():
-                    return True
-        return False
+        return any(next(c.passages(at, codes, before, len(words)), None) for c in self.classes)
 
 
-class Index:
+class Index(BlockBounds):
     """Items of one length class, (item, text, words and impacts); ``terms`` is shared by all classes."""
 
     def __init__(self, items: list[tuple[object, str, list[tuple[bytes, float]]]], terms: dict[bytes, int]) -> None:
@@ -154,28 +166,16 @@ class Index:
         self.parts = [question_and_answer(x[1]) for x in items]
         self.items: dict[int, list[int]] = defaultdict(list)
         self.impacts: dict[int, list[float]] = defaultdict(list)
-        self.stride = max(len(words_in(x[1].encode())) for x in items)
         for at, (_, _, own) in enumerate(items):
             for w, x in own:
                 self.items[terms[w]].append(at)
                 self.impacts[terms[w]].append(x)
         # postings' blocks hold the items of so many numbers in a row; a term has its largest impact in each, 0 in the rest
         self.block = max(BLOCK, -(-len(items) // MOST_BLOCKS))
-        self.bound = np.zeros((len(terms) + 1, -(-len(items) // self.block)), np.float32)
+        bound = np.zeros((len(terms) + 1, -(-len(items) // self.block)), np.float32)
         for t, own in self.items.items():
-            np.maximum.at(self.bound[t], np.array(own) // self.block, np.array(self.impacts[t], np.float32) + np.float32(1e-6))
-        self.most = self.bound.max(1)
-
-    def passages(self, at: np.ndarray, codes: np.ndarray, before: np.ndarray, n_words: int) -> Iterator[tuple[int, list[int]]]:
-        """(start, terms) of the passages that some block of items could bring to the threshold.
-
-        ``at``, ``codes``: the places and terms of a text's indexed words; ``before``: each term's place before, or -1.
-        """
-        for low, edges, own, sums in Strides(self.stride, at, codes, before, n_words).runs():
-            can = sums(self.most[codes[own]][:, None])[:, 0] >= THRESHOLD - SLACK
-            if can.any():
-                for start in np.flatnonzero(can & (sums(self.bound[codes[own]]) >= THRESHOLD - SLACK).any(1)):
-                    yield (low + int(start)) * self.stride, list(dict.fromkeys(codes[edges[start] : edges[start + 2]].tolist()))
+            np.maximum.at(bound[t], np.array(own) // self.block, np.array(self.impacts[t], np.float32) + np.float32(1e-6))
+        super().__init__(max(len(words_in(x[1].encode())) for x in items), bound)
 
     def search(self, terms: list[int]) -> Iterator[tuple[int, float]]:
         """(item, score) of all items at the threshold or more, by block-max WAND over the postings of ``terms``."""
@@ -307,11 +307,13 @@ def indexed_items(benchmark: DataFrame, item: str = "item_id", text: str = "text
 
 
 def bounds_of(indexed: DataFrame, buckets: int = BUCKETS) -> Bounds:
-    """A constant number of numbers for each length class: what comes to the driver doesn't grow with the items."""
-    each = indexed.select("class", F.explode("terms").alias("t")).select("class", (F.crc32("t.word") % buckets).alias("bucket"), "t.impact")
-    most = each.groupBy("class", "bucket").agg(F.max("impact").alias("impact")).toArrow()
-    strides = {r["class"]: r["n"] for r in indexed.groupBy("class").agg(F.max("n_words").alias("n")).collect()}
-    return Bounds(dict(sorted(strides.items())), [tuple(most.column(c).to_numpy() for c in ("class", "bucket", "impact"))], buckets)
+    """What comes to the driver is bounded by buckets, blocks and length classes, however many items there are."""
+    sizes = indexed.groupBy("class").agg(F.max("n_words").alias("stride"), F.count("*").alias("n")).collect()
+    classes = {r["class"]: (r["stride"], min(MOST_BLOCKS, -(-r["n"] // BLOCK))) for r in sizes}
+    blocks = F.coalesce(*[F.when(F.col("class") == c, F.lit(b)) for c, (_, b) in classes.items()], F.lit(1))
+    each = indexed.select("class", F.pmod(F.xxhash64("item", "text"), blocks).alias("block"), F.explode("terms").alias("t"))
+    most = each.groupBy("class", (F.crc32("t.word") % buckets).alias("bucket"), "block").agg(F.max("t.impact").alias("impact")).toArrow()
+    return Bounds(classes, {c: most.column(c).to_numpy() for c in ("class", "bucket", "block", "impact")}, buckets)
 
 
 def built_shards(indexed: DataFrame) -> DataFrame:
