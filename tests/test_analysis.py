@@ -58,5 +58,11 @@ def test_threshold_makes_one_event(spark):
 def test_echo_of_another_source(spark):
     rows = [log(k, f"request {k} handled in {k * 7} ms", "kernel") for k in range(100)] + [log(130, "device eth0 entered promiscuous mode", "kernel"), change(100, "automata")]
     frame = spark.createDataFrame(rows, ROW)
-    assert analysis.analyze(frame, CONFIG).events.count() == 0
-    assert analysis.analyze(frame.filter(F.col("modality") == "log"), CONFIG).events.count() == 1
+    echo, *others = analysis.analyze(frame, CONFIG).events.collect()
+    assert not others and (echo["kind"], echo["source"], echo["severity"]) == ("anomaly.change_echo", "prod/automata", "warning")
+    assert echo["summary"] == "1 signals from 1 sources in the wake of deployment prod/automata: prod/kernel"
+    assert [(c["offset_seconds"], c["version"]) for c in echo["related_changes"]] == [(-30.0, "v2")]
+    assert echo["attributes"]["sources"] == "prod/kernel" and echo["attributes"]["signal_instances"] == "1"
+    alone = analysis.analyze(frame.filter(F.col("modality") == "log"), CONFIG).events.collect()
+    assert [(e["service"], e["environment"], len(e["before"]), len(e["after"])) for e in alone] == [("kernel", "prod", 10, 0)]
+    assert analysis.incidents_of(analysis.analyze(frame, CONFIG).events)[1].count() == 1

@@ -59,6 +59,42 @@ def test_echoes(spark):
     assert got == {0: (3, 10.0), 4: (3, 15.0)}
 
 
+def test_echoes_by_brute_force(spark):
+    """Many changes at the same moments and slots, against all pairs."""
+    import random
+
+    rng = random.Random(9)
+    rows = [(f"s{rng.randrange(5)}", rng.randrange(0, 4000), rng.choice(("log.new_template", "metric.threshold", "metric.zscore")), 0.8) for _ in range(200)]
+    made = [(f"s{rng.randrange(5)}", k, 20 * rng.randrange(0, 200)) for k in range(30)]
+    changes = spark.createDataFrame([(s, k, at(t)) for s, k, t in made], "source string, change_id long, ts timestamp")
+    want = {}
+    for seq, (source, t, kind, _) in enumerate(rows):
+        if kind == "metric.threshold" or any(s == source and 0 <= t - c <= 100 for s, _, c in made):
+            continue
+        found = min(((t - c, s, k) for s, k, c in made if s != source and 0 <= t - c <= 60), default=None)
+        if found:
+            want[seq] = (found[2], found[1], float(found[0]))
+    got = {r["seq"]: (r["change_id"], r["echo_source"], r["delay_seconds"]) for r in correlate.echoes(signals(spark, rows), changes, 100, 60).collect()}
+    assert got == want and want
+
+
+def test_echo_events(spark):
+    s = signals(spark, [("kernel", 30, "log.new_template", 0.8), ("udevd", 35, "log.new_template", 0.95), ("udevd", 36, "log.new_template", 0.9), ("far", 2000, "x.y", 0.5)])
+    changes = spark.createDataFrame([("app", 1, at(0), "deployment"), ("app", 2, at(20), "restart"), ("app", 3, at(1990), "scale")], "source string, change_id long, ts timestamp, type string")
+    first, second = sorted(correlate.echo_events(s, changes).collect(), key=lambda r: r["ts"])
+    assert (first["kind"], first["source"], first["ts"], first["severity"], first["n_signals"]) == ("anomaly.change_echo", "app", at(30), "warning", 2)
+    assert first["confidence"] == pytest.approx(0.99) and first["summary"] == "2 signals from 2 sources in the wake of restart app: kernel, udevd"
+    assert [(c["change_id"], c["offset_seconds"]) for c in first["related_changes"]] == [(1, -30.0), (2, -10.0)]
+    assert first["attributes"] == {"signal_count": "2", "signal_instances": "3", "multimodal": "false", "sources": "kernel,udevd"}
+    assert (second["severity"], second["n_signals"], [c["change_id"] for c in second["related_changes"]]) == ("info", 1, [3])
+
+
+def test_events_name_the_latest_changes(spark):
+    s = signals(spark, [("a", 0, "log.new_template", 0.8)])
+    changes = spark.createDataFrame([("a", k, at(-k)) for k in range(100)], "source string, change_id long, ts timestamp")
+    assert [c["change_id"] for c in correlate.build_events(s, changes).first()["related_changes"]] == list(range(63, -1, -1))
+
+
 def test_context(spark):
     rows = spark.createDataFrame([("a", k, at(k)) for k in range(15)], "source string, seq long, ts timestamp")
     got = {r["seq"]: (r["before"], r["after"]) for r in correlate.context(rows, 3, 2).collect()}

@@ -13,8 +13,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.folds import keyed_fold, micros
+from tidemark.shared import running, written
 
 WINDOW_S, HORIZON_S, ECHO_S, CONTEXT = 30, 900, 600, 10
+#: Changes that an event names at most, the latest ones.
+MAX_CHANGES = 64
 INTENDED = ("log.symptomatic_template", "metric.threshold")
 SLOT_S = HORIZON_S
 
@@ -54,7 +57,7 @@ def anchored_windows(signals: DataFrame, width_s: float = WINDOW_S) -> DataFrame
 def merge_signals(signals: DataFrame, by: list[str]) -> DataFrame:
     """One row per group and merge_key: the strongest signal (the first of equals) and how many there were."""
     order = F.struct(-F.col("score"), F.col("ts"), F.col("seq"))
-    rest = [c for c in ("kind", "modality", "score", "ts", "seq") if c in signals.columns]
+    rest = [c for c in ("kind", "modality", "score", "ts", "seq", "summary", "marking") if c in signals.columns]
     return signals.groupBy(*by, "merge_key").agg(F.min_by(F.struct(*rest), order).alias("s"), F.count("*").alias("occurrences")).select(
         *by, "merge_key", "s.*", "occurrences"
     )
@@ -79,12 +82,14 @@ def severity(conf: Column, multimodal: Column, near_change: Column, has_log: Col
 
 def combine(merged: DataFrame, by: list[str]) -> DataFrame:
     """One row per group of merged signals: confidence, multimodal, has_log, asked_for, signals (strongest first)."""
-    each = F.struct((-F.col("score")).alias("order"), "kind", "merge_key", "score", "occurrences", "ts", "modality")
+    more = [c for c in ("summary", "marking") if c in merged.columns]
+    each = F.struct((-F.col("score")).alias("order"), "kind", "merge_key", "score", "occurrences", "ts", "modality", *more)
+    marking = F.col("marking") if "marking" in more else None
     return merged.groupBy(*by).agg(
         confidence(F.collect_list("score")).alias("confidence"),
         (F.bool_or(F.col("modality") == "log") & F.bool_or(F.col("modality") == "metric")).alias("multimodal"),
         F.bool_or(F.col("modality") == "log").alias("has_log"),
-        F.bool_or(intended(F.col("kind"))).alias("asked_for"),
+        F.bool_or(intended(F.col("kind"), marking)).alias("asked_for"),
         F.transform(F.sort_array(F.collect_list(each)), lambda s: s.dropFields("order")).alias("signals"),
     )
 
@@ -106,27 +111,47 @@ def related_changes(events: DataFrame, changes: DataFrame, horizon_s: int = HORI
     return e.join(c, ["source", "slot"]).filter((offset >= -horizon_s) & (offset <= window_s)).select("event_id", "change_id", offset.alias("offset_seconds"))
 
 
+def _latest_change(signals: DataFrame, changes: DataFrame, width_s: float, own: bool) -> DataFrame:
+    """``signals`` (seq, source, us) that have a change within ``width_s`` before, with c_us, change_id and echo_source of the latest.
+
+    ``own``: changes of the signal's source, else of any other; of changes at once, the first by source and id.  Signals and
+    changes are put in order of time, by slots as wide as ``width_s``, and each signal takes what is carried to it, so that
+    the work is in proportion to both, however many fall into a slot.  Of other sources' changes two are carried: the
+    latest, and the latest of a source other than that one's.
+    """
+    width = int(width_s * 1_000_000)
+    none = lambda df, c: F.lit(None).cast(df.schema[c].dataType)
+    slot = F.floor(F.col("us") / max(width, 1))
+    c = changes.select("source", micros("ts").alias("us"), "change_id", none(signals, "seq").alias("seq"), F.lit(0).alias("what"))
+    c = c.withColumn("slot", F.explode(F.array(slot, slot + 1)))
+    s = signals.select("source", "us", none(changes, "change_id").alias("change_id"), "seq", F.lit(1).alias("what"), slot.alias("slot"))
+    by = ["source", "slot"] if own else ["slot"]
+    order = Window.partitionBy(*by).orderBy("us", "what", F.col("source").desc(), F.col("change_id").desc())
+    change = F.when(F.col("what") == 0, F.struct(F.col("us").alias("c_us"), F.col("source").alias("echo_source"), "change_id"))
+    rows = c.union(s.select(*c.columns)).withColumn("latest", F.last(change, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    if own:
+        pick = F.col("latest")
+    else:
+        before = F.last(change, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1))
+        rows = rows.withColumn("before", before)
+        turn = F.when((F.col("what") == 0) & (F.col("before.echo_source") != F.col("source")), F.col("before"))
+        rows = rows.withColumn("other", F.last(turn, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+        pick = F.when(F.col("latest.echo_source") != F.col("source"), F.col("latest")).otherwise(F.col("other"))
+    found = rows.filter("what = 1").select("seq", "source", "us", pick.alias("c"))
+    return found.filter(F.col("us") - F.col("c.c_us") <= width).select("seq", "source", "us", "c.c_us", "c.change_id", "c.echo_source")
+
+
 def echoes(signals: DataFrame, changes: DataFrame, horizon_s: int = HORIZON_S, echo_s: int = ECHO_S) -> DataFrame:
     """(seq, change_id, echo_source, delay_seconds): signals that another source's change explains.
 
     Only signals not asked for, of sources without a change of their own in the horizon before; of the changes of
-    other sources within ``echo_s`` before, the latest counts, ties by source.  Sides meet on slots of time; a slot
-    keeps only each source's latest changes to it, so that its size is that of its sources, not of its rows.
+    other sources within ``echo_s`` before, the latest counts, ties by source.
     """
-    s = signals.filter(~intended(F.col("kind"))).select("seq", "source", seconds(F.col("ts")).alias("s_s"))
-    c = changes.select("change_id", F.col("source").alias("echo_source"), seconds(F.col("ts")).alias("c_s"))
-    own = c.withColumn("slot", F.floor(F.col("c_s") / horizon_s)).withColumnRenamed("c_s", "o_s")
-    mine = s.withColumn("slot", F.explode(_slots(F.col("s_s") - horizon_s, F.col("s_s"), horizon_s)))
-    held = mine.join(
-        own, (F.col("source") == F.col("echo_source")) & (mine["slot"] == own["slot"]) & F.col("o_s").between(F.col("s_s") - horizon_s, F.col("s_s"))
-    ).select("seq")
-    free = s.join(held.distinct(), "seq", "left_anti")
-    near = free.withColumn("slot", F.explode(_slots(F.col("s_s") - echo_s, F.col("s_s"), echo_s)))
-    other = c.withColumn("slot", F.floor(F.col("c_s") / echo_s))
-    delay = F.round(F.col("s_s") - F.col("c_s"), 6)
-    pairs = near.join(other, "slot").filter((F.col("source") != F.col("echo_source")) & (delay >= 0) & (delay <= echo_s))
-    latest = F.min_by(F.struct("change_id", "echo_source", delay.alias("delay_seconds")), F.struct(delay, "echo_source", "change_id"))
-    return pairs.groupBy("seq").agg(latest.alias("x")).select("seq", "x.*")
+    marking = F.col("marking") if "marking" in signals.columns else None
+    s = signals.filter(~intended(F.col("kind"), marking)).select("seq", "source", micros("ts").alias("us"))
+    free = s.join(_latest_change(s, changes, horizon_s, own=True).select("seq"), "seq", "left_anti")
+    found = _latest_change(free, changes, echo_s, own=False)
+    return found.select("seq", "change_id", "echo_source", F.round((F.col("us") - F.col("c_us")) / 1_000_000, 6).alias("delay_seconds"))
 
 
 def change_sessions(changes: DataFrame, echo_s: int = ECHO_S) -> DataFrame:
@@ -136,6 +161,67 @@ def change_sessions(changes: DataFrame, echo_s: int = ECHO_S) -> DataFrame:
     )
 
 
+def session_members(changes: DataFrame, echo_s: int = ECHO_S) -> DataFrame:
+    """``changes`` with session_start, the first of the session that each belongs to."""
+    sessions = change_sessions(changes, echo_s).select("source", "session_start", "session_end")
+    lo, hi = seconds(F.col("session_start")), seconds(F.col("session_end"))
+    sessions = sessions.withColumn("slot", F.explode(_slots(lo, hi, echo_s)))
+    rows = changes.withColumn("slot", F.floor(seconds(F.col("ts")) / echo_s))
+    at = F.col("ts").cast("timestamp")
+    inside = (at >= F.col("session_start").cast("timestamp")) & (at < F.col("session_end").cast("timestamp"))
+    return rows.join(sessions, ["source", "slot"]).filter(inside).select(*changes.columns, "session_start")
+
+
+def _latest_changes(pairs: DataFrame, by: list[str], columns: list[str], most: int = MAX_CHANGES) -> DataFrame:
+    """``pairs`` gathered per ``by``: related_changes, of the latest ``most`` by offset_seconds."""
+    latest = Window.partitionBy(*by).orderBy(F.col("offset_seconds").desc(), F.col("change_id").desc())
+    few = pairs.withColumn("_n", F.row_number().over(latest)).filter(F.col("_n") <= most)
+    return few.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("offset_seconds", "change_id", *columns))).alias("related_changes"))
+
+
+def _told(changes: DataFrame) -> list[str]:
+    return [c for c in ("type", "version", "summary") if c in changes.columns]
+
+
+def _attributes(**values: Column) -> Column:
+    return F.create_map(*[x for k, v in values.items() for x in (F.lit(k), v.cast("string"))])
+
+
+def echo_events(signals: DataFrame, changes: DataFrame, horizon_s: int = HORIZON_S, echo_s: int = ECHO_S) -> DataFrame:
+    """One event for each session of a source's changes that others' signals follow: what happened in its wake.
+
+    The changes explain the signals, so they can't corroborate them: an echo is a warning at most.  Columns are those of
+    ``build_events``; ``source`` is that of the changes.
+    """
+    of = session_members(changes, echo_s)
+    found = echoes(signals, changes, horizon_s, echo_s).join(of.select("change_id", F.col("session_start")), "change_id")
+    own = [c for c in ("summary", "marking") if c in signals.columns]
+    rows = signals.select("seq", F.col("source").alias("from"), "kind", "modality", "score", "ts", *own, F.concat_ws("\0", "source", "merge_key").alias("merge_key"))
+    rows = found.select("seq", F.col("echo_source").alias("source"), "session_start").join(rows, "seq")
+    by = ["source", "session_start"]
+    sources = rows.groupBy(*by).agg(F.array_sort(F.collect_set("from")).alias("sources"), F.min("ts").alias("ts"), F.count("*").alias("instances"))
+    events = combine(merge_signals(rows, by), by).join(sources, by)
+    pairs = of.select(*by, "change_id", F.col("ts").alias("c_ts"), *_told(changes)).join(events.select(*by, "ts"), by)
+    pairs = pairs.withColumn("offset_seconds", F.round(seconds(F.col("c_ts")) - seconds(F.col("ts")), 6))
+    out = events.join(_latest_changes(pairs, by, _told(changes)), by)
+    n, names = F.size("signals"), F.array_join("sources", ", ")
+    latest = F.element_at("related_changes", -1)
+    what = F.concat(F.coalesce(latest["type"], F.lit("change")), F.lit(" ")) if "type" in changes.columns else F.lit("")
+    return out.select(
+        F.substring(F.sha2(F.concat_ws("\x1f", F.lit("echo"), "source", F.unix_micros(F.col("session_start").cast("timestamp")).cast("string")), 256), 1, 32).alias("event_id"),
+        F.lit("anomaly.change_echo").alias("kind"),
+        "source",
+        F.col("ts").cast("timestamp").alias("ts"),
+        F.when(F.col("confidence") < 0.6, "info").otherwise("warning").alias("severity"),
+        "confidence",
+        n.cast("long").alias("n_signals"),
+        "signals",
+        "related_changes",
+        F.concat(n.cast("string"), F.lit(" signals from "), F.size("sources").cast("string"), F.lit(" sources in the wake of "), what, "source", F.lit(": "), names).alias("summary"),
+        _attributes(signal_count=n, signal_instances=F.col("instances"), multimodal=F.col("multimodal"), sources=F.array_join("sources", ",")).alias("attributes"),
+    )
+
+
 def context(observations: DataFrame, before: int = CONTEXT, after: int = CONTEXT) -> DataFrame:
     """``observations`` (source, ts, seq, ...) with the seqs up to and after each, of the same source."""
     w = Window.partitionBy("source").orderBy("ts", "seq")
@@ -144,21 +230,52 @@ def context(observations: DataFrame, before: int = CONTEXT, after: int = CONTEXT
     )
 
 
-def build_events(signals: DataFrame, changes: DataFrame, window_s: float = WINDOW_S) -> DataFrame:
-    """From signals to events: windows, merging, combination, related changes and severity."""
+def event_context(events: DataFrame, observations: DataFrame, window_s: float = WINDOW_S, before: int = CONTEXT, after: int = CONTEXT) -> DataFrame:
+    """(event_id, before, after): seqs of observations of the event's source up to its first signal's, and after it until its window closes.
+
+    ``events`` (event_id, source, ts, first_seq), ``observations`` (source, ts, seq).  Observations are numbered over ranges of source
+    and time, and events fetch the numbers around their own, so that no source is gathered.
+    """
+    rows = written(running(observations.select("source", "ts", "seq"), ["source", "ts", "seq"], {"n": F.lit(1).cast("long")}))
+    own = events.select("event_id", "source", F.col("ts").alias("e_ts"), F.col("first_seq").alias("seq")).join(rows.select("source", "seq", "n"), ["source", "seq"])
+    wanted = own.select("event_id", "source", "e_ts", F.col("n").alias("own"), F.explode(F.sequence(F.col("n") - (before - 1), F.col("n") + after)).alias("n"))
+    near = wanted.join(rows.select("source", "n", "ts", "seq"), ["source", "n"])
+    close = seconds(F.col("ts")) - seconds(F.col("e_ts")) < window_s
+    part = lambda test: F.transform(F.sort_array(F.collect_list(F.when(test, F.struct("n", "seq")))), lambda x: x["seq"])
+    return near.groupBy("event_id").agg(part(F.col("n") <= F.col("own")).alias("before"), part((F.col("n") > F.col("own")) & close).alias("after"))
+
+
+def build_events(signals: DataFrame, changes: DataFrame, window_s: float = WINDOW_S, horizon_s: int = HORIZON_S, observations: DataFrame | None = None) -> DataFrame:
+    """From signals to events: windows, merging, combination, related changes and severity.
+
+    Events carry what their signals do: summary, service and environment if there; with ``observations`` (source, ts, seq) also
+    the context of their first signal's.
+    """
     windows = anchored_windows(signals, window_s)
-    events = combine(merge_signals(windows, ["source", "window_us"]), ["source", "window_us"])
+    by = ["source", "window_us"]
+    named = [c for c in ("service", "environment") if c in signals.columns]
+    firsts = windows.groupBy(*by).agg(F.min(F.struct("ts", "seq", *named)).alias("first"), F.count("*").alias("instances"))
+    events = combine(merge_signals(windows, by), by).join(firsts, by)
     events = events.withColumn("ts", F.timestamp_micros("window_us")).withColumn(
         "event_id", F.substring(F.sha2(F.concat_ws("\x1f", "source", F.col("window_us").cast("string")), 256), 1, 32)
     )
-    near = related_changes(events, changes, window_s=window_s).groupBy("event_id").agg(
-        F.sort_array(F.collect_list(F.struct("offset_seconds", "change_id"))).alias("related_changes")
-    )
-    out = events.join(near, "event_id", "left")
-    n = F.size("signals")
+    pairs = related_changes(events, changes, horizon_s, window_s)
+    told = _told(changes)
+    if told:
+        pairs = pairs.join(changes.select("change_id", *told), "change_id")
+    out = events.join(_latest_changes(pairs, ["event_id"], told), "event_id", "left")
+    if observations is not None:
+        near = event_context(events.select("event_id", "source", "ts", F.col("first.seq").alias("first_seq")), observations, window_s)
+        out = out.join(near, "event_id", "left")
+    n, strongest = F.size("signals"), F.col("signals")[0]
+    more = []
+    if "summary" in signals.columns:
+        more.append(F.when(n > 1, F.concat(strongest["summary"], F.lit(" (+"), (n - 1).cast("string"), F.lit(" correlated signals)"))).otherwise(strongest["summary"]).alias("summary"))
+    more += [F.col(f"first.{c}").alias(c) for c in named]
+    more += ["before", "after"] if observations is not None else []
     return out.select(
         "event_id",
-        F.when(n > 1, "anomaly.correlated").otherwise(F.concat(F.lit("anomaly."), F.col("signals")[0]["kind"])).alias("kind"),
+        F.when(n > 1, "anomaly.correlated").otherwise(F.concat(F.lit("anomaly."), strongest["kind"])).alias("kind"),
         "source",
         "ts",
         severity(F.col("confidence"), F.col("multimodal"), F.col("related_changes").isNotNull(), F.col("has_log"), F.col("asked_for")).alias("severity"),
@@ -166,4 +283,6 @@ def build_events(signals: DataFrame, changes: DataFrame, window_s: float = WINDO
         n.cast("long").alias("n_signals"),
         "signals",
         "related_changes",
+        *more,
+        _attributes(signal_count=n, signal_instances=F.col("instances"), multimodal=F.col("multimodal")).alias("attributes"),
     )

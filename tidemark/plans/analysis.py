@@ -92,20 +92,36 @@ def analyze(observations: DataFrame, config: Config = Config()) -> Analysis:
     signals = written(signals)  # few beside the observations, and read more than once
     d = config.dampening
     limits = dampening.DampenConfig(int(d.cooldown * SECOND), int(d.max_cooldown * SECOND), d.escalation)
+    # a signal belongs to the service and environment of its observation
+    signals = signals.join(own.select(F.col("id").alias("seq"), "service", "environment"), "seq", "left")
     told = dampening.dampen(signals, limits).filter("reported").select("kind", "source", "pattern", "seq", "suppressed", "repeats", "escalated_from")
     signals = written(signals.join(told, ["kind", "source", "pattern", "seq"]))
-    changes = own.filter("modality = 'change'").select("source", F.col("id").alias("change_id"), F.col("timestamp").alias("ts"))
-    # signals that another source's change explains are told as its echo, not as events
-    echoed = correlate.echoes(signals, changes, int(config.correlation.change_horizon), int(config.correlation.echo_window)).select("seq")
+    change = F.col("change")
+    changes = written(
+        own.filter("modality = 'change'").select(
+            "source", F.col("id").alias("change_id"), F.col("timestamp").alias("ts"), change["type"].alias("type"), change["version"].alias("version"), change["summary"].alias("summary")
+        )
+    )
+    c = config.correlation
+    # signals that another source's change explains are told as its echo, not as events of their own
+    echoed = correlate.echoes(signals, changes, int(c.change_horizon), int(c.echo_window)).select("seq")
     kept = written(signals.join(echoed, "seq", "left_anti"))
-    return Analysis(own, mined, signals, written(correlate.build_events(kept, changes, config.correlation.window)))
+    seen = own.select("source", F.col("timestamp").alias("ts"), F.col("id").alias("seq"))
+    events = correlate.build_events(kept, changes, c.window, int(c.change_horizon), seen)
+    wakes = correlate.echo_events(signals, changes, int(c.change_horizon), int(c.echo_window))
+    return Analysis(own, mined, signals, written(events.unionByName(wakes, allowMissingColumns=True)))
+
+
+def anomalies(events: DataFrame) -> DataFrame:
+    """Of an event log's rows, those that incidents are made of: debug events and the like aren't."""
+    return events.filter(F.col("kind").startswith("anomaly."))
 
 
 def incidents_of(events: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(members, incidents) of the events of ``analyze``."""
-    rows = events.select(
-        "event_id", "ts", F.col("source").alias("service"), F.transform(F.coalesce("related_changes", F.array().cast("array<struct<offset_seconds: double, change_id: string>>")), lambda c: c["change_id"]).alias("change_keys"),
-        "severity", "confidence", F.col("signals")[0]["kind"].alias("summary"),
+    rows = anomalies(events).select(
+        "event_id", "ts", F.col("source").alias("service"), F.coalesce(F.transform("related_changes", lambda c: c["change_id"]), F.array().cast("array<string>")).alias("change_keys"),
+        "severity", "confidence", F.coalesce("summary", F.col("signals")[0]["kind"]).alias("summary"),
     )
     members = incidents.group_events(rows)
     return members, incidents.incident_table(rows, members)

@@ -397,6 +397,43 @@ def change_echoes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return correlate.echoes(user_signals(spark, sf_dir), user_changes(spark, sf_dir))
 
 
+_ECHOES = """s AS (SELECT event_id AS seq, user_id, ts, CASE WHEN value > 60 THEN 'log' ELSE 'metric' END AS modality, least(0.95, 0.3 + value / 100) AS score,
+    user_id || (value > 60)::VARCHAR || (CAST(json_extract(props, '$.k') AS BIGINT) % 3) AS key FROM events WHERE event_type = 'error'),
+  c AS (SELECT event_id AS change_id, user_id, ts, CASE WHEN ts <= lag(ts) OVER w + INTERVAL 10 MINUTE THEN 0 ELSE 1 END AS opens FROM events WHERE event_type = 'signup' WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+  n AS (SELECT change_id, user_id, ts, sum(opens) OVER (PARTITION BY user_id ORDER BY ts) AS session FROM c),
+  free AS (SELECT * FROM s WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.user_id = s.user_id AND c.ts BETWEEN s.ts - INTERVAL 15 MINUTE AND s.ts)),
+  e AS (SELECT free.*, n.user_id AS of, session FROM free JOIN n ON n.user_id <> free.user_id AND n.ts BETWEEN free.ts - INTERVAL 10 MINUTE AND free.ts
+    QUALIFY row_number() OVER (PARTITION BY seq ORDER BY free.ts - n.ts, 'user/' || n.user_id, change_id) = 1)"""
+
+
+@query(f"""WITH {_ECHOES}, m AS (SELECT of, session, key, max(score) AS score FROM e GROUP BY 1, 2, 3),
+  x AS (SELECT of, session, least(0.99, 1 - exp(sum(ln(1 - least(score, 0.99))))) AS confidence, count(*) AS n FROM m GROUP BY 1, 2),
+  y AS (SELECT of, session, min(ts) AS ts, count(*) AS instances, array_to_string(list_sort(list(DISTINCT 'user/' || user_id)), ',') AS sources FROM e GROUP BY 1, 2),
+  z AS (SELECT user_id AS of, session, least(count(*), 64) AS n_changes FROM n GROUP BY 1, 2)
+  SELECT 'user/' || of AS source, 'anomaly.change_echo' AS kind, ts, CASE WHEN confidence < 0.6 THEN 'info' ELSE 'warning' END AS severity, round(confidence, 6) AS confidence, n AS n_signals,
+    CAST(instances AS VARCHAR) AS instances, sources, CAST(n_changes AS INTEGER) AS n_changes FROM x JOIN y USING (of, session) JOIN z USING (of, session)""")
+def echo_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Errors in the wake of other users' signups, an event for each session of signups."""
+    found = correlate.echo_events(user_signals(spark, sf_dir), user_changes(spark, sf_dir))
+    return found.select(
+        "source", "kind", F.col("ts").cast("timestamp_ntz").alias("ts"), "severity", F.round("confidence", 6).alias("confidence"), "n_signals",
+        F.col("attributes")["signal_instances"].alias("instances"), F.col("attributes")["sources"].alias("sources"), F.size("related_changes").alias("n_changes"),
+    )
+
+
+@query("""WITH o AS (SELECT user_id, event_id, event_type, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+  f AS (SELECT * FROM o WHERE event_type = 'error')
+  SELECT f.event_id, coalesce(string_agg(CAST(o.event_id AS VARCHAR), ',' ORDER BY o.n) FILTER (o.n <= f.n), '') AS before,
+    coalesce(string_agg(CAST(o.event_id AS VARCHAR), ',' ORDER BY o.n) FILTER (o.n > f.n AND o.ts < f.ts + INTERVAL 6 HOUR), '') AS after
+  FROM f JOIN o ON o.user_id = f.user_id AND o.n BETWEEN f.n - 9 AND f.n + 10 GROUP BY f.event_id""")
+def event_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a user did up to an error, and in the six hours after it."""
+    seen = events(spark, sf_dir).select("source", "ts", F.col("event_id").alias("seq"), "event_type")
+    found = seen.filter("event_type = 'error'").select(F.col("seq").alias("event_id"), "source", "ts", F.col("seq").alias("first_seq"))
+    near = correlate.event_context(found, seen, 6 * 3600)
+    return near.select("event_id", F.array_join("before", ",").alias("before"), F.array_join("after", ",").alias("after"))
+
+
 @query("""WITH g AS (SELECT user_id, ts, CASE WHEN ts <= lag(ts) OVER w + INTERVAL 6 HOUR THEN 0 ELSE 1 END AS opens FROM events WHERE event_type = 'signup' WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
   n AS (SELECT *, sum(opens) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM g)
   SELECT 'user/' || user_id AS source, min(ts) AS session_start, max(ts) + INTERVAL 6 HOUR AS session_end, count(*) AS n_changes FROM n GROUP BY user_id, k""")
