@@ -19,6 +19,99 @@ def test_miner_merges_and_creates():
     assert m.match("cache warm".split(), "always").id == 2
 
 
+class PlainMiner:
+    """The same rules written down anew: clusters in a list by use, a leaf is a path of branches taken when a template came."""
+
+    def __init__(self, config):
+        self.c, self.used, self.paths, self.children, self.next = config, [], {}, {}, 1
+
+    def walk(self, words, grow):
+        path = (len(words),)
+        for word in words[: max(0, min(self.c.depth - 3, len(words) - 1))]:
+            below = self.children.setdefault(path, []) if grow else self.children.get(path, [])
+            if word in below:
+                branch = word
+            elif not grow:
+                branch = "<*>" if "<*>" in below else None
+            elif any(x.isdecimal() for x in word):
+                branch = "<*>"
+            else:
+                others = [b for b in below if b != "<*>"]
+                branch = word if len(others) + 1 < self.c.max_children else "<*>"
+            if branch is None:
+                return None
+            if grow and branch not in below:
+                below.append(branch)
+            path += (branch,)
+        return path
+
+    def add(self, words):
+        path, found = self.walk(words, False), []
+        for cluster in self.used:
+            if path is not None and self.paths[cluster["id"]] == path and len(cluster["t"]) == len(words):
+                same = sum(a == b and a != "<*>" for a, b in zip(cluster["t"], words, strict=True))
+                found.append((same / len(words) if words else 1.0, cluster["t"].count("<*>"), -cluster["id"], cluster))
+        best = max(found, key=lambda f: f[:3], default=None)
+        if best and best[0] >= self.c.similarity:
+            cluster = best[3]
+            new = [a if a == b else "<*>" for a, b in zip(cluster["t"], words, strict=True)]
+            change = SAME if new == cluster["t"] else CHANGED
+            self.used.remove(cluster)
+            self.used.append(cluster | {"t": new, "n": cluster["n"] + 1})
+            return cluster["id"], change, new
+        if self.c.max_clusters and len(self.used) >= self.c.max_clusters:
+            self.used.pop(0)
+        self.used.append({"id": self.next, "t": list(words), "n": 1})
+        self.paths[self.next] = self.walk(words, True)
+        self.next += 1
+        return self.next - 1, CREATED, list(words)
+
+
+@pytest.mark.parametrize("depth, children, cap, similarity", [(4, 100, 0, 0.4), (4, 3, 8, 0.4), (5, 4, 20, 0.5), (6, 100, 15, 0.3), (3, 2, 0, 0.7), (8, 3, 0, 0.4)])
+def test_miner_brute_force(depth, children, cap, similarity):
+    import random
+
+    rng = random.Random(depth * 100 + children)
+    shapes = ["link {} is up", "link {} is down", "sent {} bytes to {}", "job {} of {} done in <NUM> ms", "cache", "{}", "{} {}", "retry {} <*> {}", "", "disk {} has {} blocks left on {}"]
+    pool = ["eth0", "eth1", "7", "a1", "web", "db", "x", "<*>", "<NUM>"]
+    config = MinerConfig(depth, similarity, children, cap)
+    mine, plain = Miner(config), PlainMiner(config)
+    for _ in range(3000):
+        shape = rng.choice(shapes)
+        words = shape.format(*(rng.choice(pool) for _ in range(shape.count("{}")))).split()
+        cluster, change = mine.add(words)
+        assert (cluster.id, change, cluster.template) == plain.add(words)
+
+
+def test_miner_deep_trees_keep_the_last_word_free():
+    m = Miner(MinerConfig(depth=5))
+    assert [" ".join(m.add(x.split())[0].template) for x in ("user bob", "user eve", "user ann")] == ["user bob", "user <*>", "user <*>"]
+
+
+def test_drain_query_brute_force(spark):
+    """The registered query against the plain miner over all lines of the table."""
+    import re
+
+    from tidemark.functions.templates import MASKS, MAX_TOKENS
+    from tidemark.plans import catalogue
+
+    want = {}
+    miners = {}
+    for d in sorted(spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect(), key=lambda r: r["doc_id"]):
+        for line in d["text"].split("\n"):
+            if line.strip(" ") == "":
+                continue
+            for name, pattern in MASKS:
+                line = re.sub(pattern, f"<{name}>", line, flags=re.A)
+            words = line.split()
+            words = [*words[: MAX_TOKENS - 1], "<TRUNCATED>"] if len(words) > MAX_TOKENS else words
+            miner = miners.setdefault(d["source"], PlainMiner(MinerConfig()))
+            id_, _, template = miner.add(words)
+            want[d["source"], str(id_)] = (" ".join(template), want.get((d["source"], str(id_)), ("", 0))[1] + 1)
+    got = {(r["source"], r["template_id"]): (r["template"], r["size"]) for r in catalogue.drain_templates(spark, "/root/testdata/sf0.001").collect()}
+    assert got == want
+
+
 def test_miner_evicts_least_recent():
     m = Miner(MinerConfig(max_clusters=2))
     for line in ("a x", "b y", "a x", "c z"):

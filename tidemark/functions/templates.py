@@ -23,11 +23,28 @@ _WORD = "[A-Za-z0-9_]"
 ASCII_BORDER = f"(?:(?<!{_WORD})(?={_WORD})|(?<={_WORD})(?!{_WORD}))"
 
 
+#: What a text has if any of MASKS fits it: a digit, an address's sign, or a run of hexadecimal letters.
+MASKABLE = r"[0-9@]|[a-fA-F]{8}"
+
+
+def _bordered(pattern: str) -> str:
+    """``pattern`` with ASCII borders, which need look only one way beside a class of word characters."""
+    word = (r"\d", "[0-9a-fA-F]")
+    if pattern.startswith(tuple(rf"\b{w}" for w in word)):
+        pattern = f"(?<!{_WORD})" + pattern[2:]
+    if re.search(r"(?:\\d|\[0-9a-fA-F\]|\[A-Za-z\])(?:\+|\{[\d,]+\})\\b$", pattern):
+        pattern = pattern[:-2] + f"(?!{_WORD})"
+    return pattern.replace(r"\b", ASCII_BORDER)
+
+
 def mask(text: Column, masks: Sequence[tuple[str, str]] = MASKS) -> Column:
+    out = text
     for name, pattern in masks:
         replacement = re.sub(r"([\\$])", r"\\\1", f"<{name}>")
-        text = F.regexp_replace(text, pattern.replace(r"\b", ASCII_BORDER), replacement)
-    return text
+        out = F.regexp_replace(out, _bordered(pattern), replacement)
+    if {p for _, p in masks} <= {p for _, p in MASKS}:
+        return F.when(text.rlike(MASKABLE), out).otherwise(text)
+    return out
 
 
 def tokens(text: Column, max_tokens: int = MAX_TOKENS, delimiters: Sequence[str] = ()) -> Column:

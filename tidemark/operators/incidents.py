@@ -10,11 +10,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.series import severity_name, severity_rank
 from tidemark.operators.folds import keyed_fold, micros
+from tidemark.shared import running, written
 
 MINUTE = 60_000_000
 
@@ -61,19 +62,12 @@ class Grouping:
 
 
 def islands(events: DataFrame, gap_us: int) -> DataFrame:
-    """``events`` with island: the first slot of each run of slots of ``gap_us`` that all have events."""
-    slot = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / gap_us)
-    rows = events.withColumn("_slot", slot)
-    runs = rows.select(F.col("_slot").alias("slot")).distinct()
-    # a run's slots all differ from their rank among a block of slots by the same number; blocks are joined at their borders
-    block = F.floor(F.col("slot") / 4096)
-    w = Window.partitionBy(block).orderBy("slot")
-    runs = runs.withColumn("block", block).withColumn("run", F.col("slot") - F.row_number().over(w))
-    pieces = runs.groupBy("block", "run").agg(F.min("slot").alias("lo"), F.max("slot").alias("hi"))
-    over = Window.orderBy("lo")  # one row for each run of slots, 4096 slots at most each
-    first = F.when(F.coalesce(F.col("lo") - F.lag("hi").over(over) > 1, F.lit(True)), F.col("lo"))
-    pieces = pieces.withColumn("island", F.last(first, ignorenulls=True).over(over.rowsBetween(Window.unboundedPreceding, 0)))
-    named = runs.join(pieces.select("block", "run", "island"), ["block", "run"]).select(F.col("slot").alias("_slot"), "island")
+    """``events`` with island: the number of the run of slots of ``gap_us`` that all have events."""
+    rows = events.withColumn("_slot", F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / gap_us))
+    slots = written(rows.select(F.col("_slot").alias("slot")).distinct())
+    follows = slots.select((F.col("slot") + 1).alias("slot"), F.lit(0).alias("opens"))
+    opening = slots.join(follows, "slot", "left").withColumn("opens", F.coalesce("opens", F.lit(1)).cast("long"))
+    named = running(opening, ["slot"], {"island": F.col("opens")}).select(F.col("slot").alias("_slot"), "island")
     return rows.join(named, "_slot").drop("_slot")
 
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections import OrderedDict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from operator import eq
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -40,6 +41,10 @@ class Cluster:
     id: int
     template: list[str]
     size: int = 1
+    holes: int = 0
+
+    def __post_init__(self) -> None:
+        self.holes = self.template.count(PARAM)
 
 
 class Miner:
@@ -64,7 +69,9 @@ class Miner:
             return cluster, CREATED
         template = [a if a == b else PARAM for a, b in zip(cluster.template, words, strict=True)]
         change = SAME if template == cluster.template else CHANGED
-        cluster.template, cluster.size = template, cluster.size + 1
+        cluster.size += 1
+        if change == CHANGED:
+            cluster.template, cluster.holes = template, template.count(PARAM)
         self.clusters.move_to_end(cluster.id)
         return cluster, change
 
@@ -80,7 +87,8 @@ class Miner:
         return found
 
     def _steps(self, words: list[str]) -> list[str]:
-        return words[: max(0, self.config.depth - 3)]
+        """The words that lead through the tree; the last word never does."""
+        return words[: max(0, min(self.config.depth - 3, len(words) - 1))]
 
     def _leaf(self, words: list[str]) -> _Node | None:
         node = self.lengths.get(len(words))
@@ -91,14 +99,27 @@ class Miner:
         return node
 
     def _closest(self, ids: list[int], words: list[str], least: float, count_parameters: bool = False) -> Cluster | None:
-        best, best_rank = None, (-1.0, -1)
-        for cluster in filter(None, map(self.clusters.get, ids)):
-            holes = sum(t == PARAM for t in cluster.template)
-            equal = sum(a == b != PARAM or (count_parameters and a == PARAM) for a, b in zip(cluster.template, words, strict=True))
-            rank = (equal / len(words) if words else 1.0, holes)
-            if rank > best_rank:
-                best, best_rank = cluster, rank
-        return best if best_rank[0] >= least else None
+        """The cluster with the most words equal, of these the one with the most parameters, of these the first; None under ``least``."""
+        n, both = len(words), PARAM in words
+        best, most, most_holes = None, -1, -1
+        # the fewest equal words that reach the limit, as the quotient does
+        needed = next((k for k in range(n + 1) if k / n >= least), n + 1) if n else 0
+        for id_ in ids:
+            cluster = self.clusters.get(id_)
+            if cluster is None:
+                continue
+            holes = cluster.holes
+            # no more words can be equal than the template has, but those counted as such
+            if not count_parameters and n - holes < max(most, needed):
+                continue
+            equal = sum(map(eq, cluster.template, words))
+            if both:
+                equal -= sum(a == PARAM == b for a, b in zip(cluster.template, words, strict=True))
+            if count_parameters:
+                equal += holes
+            if equal > most or (equal == most and holes > most_holes):
+                best, most, most_holes = cluster, equal, holes
+        return best if most >= needed else None
 
     def _insert(self, cluster: Cluster) -> None:
         node = self.lengths.setdefault(len(cluster.template), _Node())
