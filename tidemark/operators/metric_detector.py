@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.series import MIN_DELTAS, min_delta
+from tidemark.functions.templates import path_glob
 from tidemark.operators.folds import keyed_fold, micros
 
 DAY = 86_400_000_000
@@ -128,15 +129,30 @@ def judge(
 
     ``keys``: columns that name a series, all of which come along.
 
-    ``rules``: (highest, lowest) allowed value by metric; ``ignored``: metrics that learn but never signal.
+    ``rules``: (highest, lowest) allowed value by metric; ``ignored``: globs of metrics or series that learn but never signal.
     """
-    rules = rules or {}
-    limit = lambda k: F.coalesce(*[F.when(F.col("metric") == m, F.lit(r[k]).cast("double")) for m, r in rules.items()], F.lit(None).cast("double"))
-    rows = samples.select(
-        *keys, "event_id", micros("ts"), "value", min_delta(F.col("metric"), deltas).alias("least"), limit(0).alias("high"), limit(1).alias("low"),
-        F.col("metric").isin(*(ignored or [""])).alias("ignored"),
+    rows = prepared(samples, rules, ignored, deltas, keys)
+    return keyed_fold(rows, keys, ["ts", "event_id"], STEP, lambda: Series(config), _sample(samples))
+
+
+#: What a series is stepped with.
+STEP = ["event_id", "ts", "value", "least", "high", "low", "ignored"]
+
+
+def prepared(
+    samples: DataFrame, rules: dict[str, tuple[float | None, float | None]] | None = None, ignored: list[str] | None = None,
+    deltas: dict[str, float] = MIN_DELTAS, keys: tuple[str, ...] = ("series",),
+) -> DataFrame:
+    """``keys`` and the columns of STEP, in batch and streams."""
+    limit = lambda k: F.coalesce(*[F.when(F.col("metric") == m, F.lit(r[k]).cast("double")) for m, r in (rules or {}).items()], F.lit(None).cast("double"))
+    silent = F.lit(False)
+    for glob in ignored or ():
+        for c in ("metric", "series"):
+            silent = silent | F.coalesce(path_glob(F.col(c), glob), F.lit(False))
+            silent = silent | (F.col(c) == glob)
+    return samples.select(
+        *keys, "event_id", micros("ts"), "value", min_delta(F.col("metric"), deltas).alias("least"), limit(0).alias("high"), limit(1).alias("low"), silent.alias("ignored")
     )
-    return keyed_fold(rows, keys, ["ts", "event_id"], ["event_id", "ts", "value", "least", "high", "low", "ignored"], lambda: Series(config), _sample(samples))
 
 
 def signals(judged: DataFrame) -> DataFrame:

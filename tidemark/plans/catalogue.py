@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import series, templates, text
 from tidemark.operators import correlate, dampening, incidents, log_detector, metric_detector, mining, readapi
+from tidemark.sources import documents, lines
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -227,8 +228,35 @@ def metric_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT 'prod/' || user_id || '/value' AS series, event_id, value, 0.9 ::DOUBLE AS score FROM events WHERE value > 150 UNION ALL
   SELECT 'prod/' || user_id || '/value', event_id, value, 0.9 FROM events WHERE value < 0.5""")
 def metric_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rules = F.explode(F.filter(F.array(F.when(F.col("value") > 150, F.lit(0.9)), F.when(F.col("value") < 0.5, F.lit(0.9))), lambda x: x.isNotNull()))
-    return samples(spark, sf_dir).select("series", "event_id", "value", rules.alias("score"))
+    judged = metric_detector.judge(samples(spark, sf_dir), metric_detector.MetricConfig(warmup=1 << 30), {"value": (150.0, 0.5)})
+    return metric_detector.signals(judged).filter(F.col("kind") == metric_detector.THRESHOLD).select("series", "event_id", "value", "score")
+
+
+_DEVIATIONS = f"""{_EWMA}, z AS (SELECT series, event_id, epoch_us(ts) AS us, row_number() OVER (PARTITION BY series ORDER BY rn) AS k FROM f
+    WHERE n >= 30 AND variance > 0 AND abs((value - mean) / sqrt(variance)) >= 2),
+  d AS (
+    SELECT series, k, event_id, us, 0 AS days, [us] AS seen FROM z WHERE k = 1
+    UNION ALL
+    SELECT z.series, z.k, z.event_id, z.us, CASE WHEN len(list_filter(seen, lambda x: abs(x - (z.us - 86400000000)) <= 21600000000)) = 0 THEN 0
+        WHEN len(list_filter(seen, lambda x: abs(x - (z.us - 172800000000)) <= 21600000000)) = 0 THEN 1 ELSE 2 END,
+      CASE WHEN abs(z.us - seen[-1]) > 21600000000 THEN list_append(seen, z.us)[-32:] ELSE seen END
+    FROM d JOIN z ON z.series = d.series AND z.k = d.k + 1)"""
+
+
+@query(f"{_DEVIATIONS} SELECT series, event_id, CAST(days AS INTEGER) AS days, days < 2 AS told FROM d")
+def metric_recurring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Deviations, and on how many days in a row before one came at about that time; the third day's isn't told."""
+    config = metric_detector.MetricConfig(z_threshold=2.0, trend=1e18, tolerance_us=6 * 3_600_000_000)
+    judged = metric_detector.judge(samples(spark, sf_dir), config).filter(F.abs("z") >= 2)
+    return judged.select("series", "event_id", F.col("recurring_days").alias("days"), (F.size("kinds") > 0).alias("told"))
+
+
+@query("""SELECT 'prod/' || user_id || '/value' AS series, event_id FROM events WHERE value > 150 AND user_id % 10 <> 7 AND user_id NOT IN (3, 5)""")
+def metric_ignored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Limits passed by series that no glob of ignored ones fits."""
+    config, ignored = metric_detector.MetricConfig(warmup=1 << 30), ["prod/*7/value", "prod/[35]/value"]
+    judged = metric_detector.judge(samples(spark, sf_dir), config, {"value": (150.0, None)}, ignored)
+    return metric_detector.signals(judged).select("series", "event_id")
 
 
 @query("""WITH d AS (SELECT event_type, event_id, ts FROM events WHERE value > 150)
@@ -284,28 +312,47 @@ def hourly_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 _TEMPLATE = "event_type || ' ' || (CAST(json_extract(props, '$.k') AS BIGINT) % 3)"
 
 
+def _detected(spark: SparkSession, sf_dir: str, config: log_detector.LogConfig, **how) -> DataFrame:
+    """Signals of the log detector over events as matched lines, all of which say enough."""
+    change = F.when(F.row_number().over(Window.partitionBy("source", "template").orderBy("ts", "seq")) == 1, mining.CREATED).otherwise(mining.SAME)
+    found = log_detector.detect(log_rows(spark, sf_dir).withColumn("change_type", change), config, min_literals=0, max_ratio=1.0, **how)
+    return found.withColumn("ts", F.timestamp_micros("ts_us").cast("timestamp_ntz"))
+
+
 @query(f"""WITH t AS (SELECT user_id, {_TEMPLATE} AS template, ts, event_id FROM events), s AS (SELECT user_id, min(ts) AS start FROM events GROUP BY 1)
   SELECT 'prod/' || user_id AS source, template, event_id, ts FROM (SELECT *, row_number() OVER (PARTITION BY user_id, template ORDER BY ts, event_id) AS n FROM t) JOIN s USING (user_id)
   WHERE n = 1 AND ts >= start + INTERVAL 5 MINUTE""")
 def new_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """First occurrences after the learning period of their source."""
-    rows = log_rows(spark, sf_dir)
-    first = rows.groupBy("source", "template").agg(F.min(F.struct("ts", "seq")).alias("f"))
-    start = rows.groupBy("source").agg(F.min("ts").alias("start"))
-    new = first.join(start, "source").filter(F.col("f.ts") >= F.col("start") + F.expr("INTERVAL 5 MINUTES"))
-    return new.select("source", "template", F.col("f.seq").alias("event_id"), F.col("f.ts").alias("ts"))
+    found = _detected(spark, sf_dir, log_detector.LogConfig()).filter(F.col("kind") == log_detector.NEW)
+    return found.select("source", "template", F.col("seq").alias("event_id"), "ts")
 
 
-@query(f"""SELECT source, event_id, template, n FROM (SELECT 'prod/' || user_id AS source, event_id, {_TEMPLATE} AS template, row_number() OVER (PARTITION BY user_id, {_TEMPLATE} ORDER BY ts, event_id) AS n,
+@query(f"""SELECT source, event_id, template FROM (SELECT 'prod/' || user_id AS source, event_id, {_TEMPLATE} AS template, row_number() OVER (PARTITION BY user_id, {_TEMPLATE} ORDER BY ts, event_id) AS n,
     row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS total FROM events) WHERE n BETWEEN 2 AND 3 AND total >= 30""")
 def rare_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Second and third occurrences once their source has 30 rows."""
-    order = ("ts", "seq")
-    rows = log_rows(spark, sf_dir).select(
-        "source", F.col("seq").alias("event_id"), "template",
-        F.row_number().over(Window.partitionBy("source", "template").orderBy(*order)).cast("long").alias("n"), F.row_number().over(Window.partitionBy("source").orderBy(*order)).alias("total"),
-    )
-    return rows.filter("n between 2 and 3 and total >= 30").drop("total")
+    config = log_detector.LogConfig(learning_us=0, rare_total=30, rare_interval_s=0)
+    return _detected(spark, sf_dir, config).filter(F.col("kind") == log_detector.RARE).select("source", F.col("seq").alias("event_id"), "template")
+
+
+@query(f"""SELECT 'prod/' || user_id AS source, event_id, template, score FROM (SELECT user_id, event_id, {_TEMPLATE} AS template, 0.9::DOUBLE AS score FROM events) WHERE template LIKE 'error %'""")
+def symptomatic_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of templates that a glob marks as symptoms."""
+    found = _detected(spark, sf_dir, log_detector.LogConfig(), patterns={"error *": "symptomatic"}).filter(F.col("kind") == log_detector.SYMPTOM)
+    return found.select("source", F.col("seq").alias("event_id"), "template", "score")
+
+
+@query(f"""WITH RECURSIVE r AS (SELECT user_id, event_id, {_TEMPLATE} AS template, epoch_us(ts) // 86400000000 AS day, row_number() OVER (PARTITION BY user_id, {_TEMPLATE}, epoch_us(ts) // 86400000000 ORDER BY ts, event_id) AS i FROM events),
+  b AS (SELECT user_id, template, day, max(i) AS n, row_number() OVER (PARTITION BY user_id, template ORDER BY day) AS k FROM r GROUP BY 1, 2, 3),
+  f AS (SELECT user_id, template, day, n, k, 0.0::DOUBLE AS usual FROM b WHERE k = 1 UNION ALL
+    SELECT b.user_id, b.template, b.day, b.n, b.k, list_reduce(list_prepend(f.usual + 0.3::DOUBLE * (f.n - f.usual), list_transform(range(least(b.day - f.day - 1, 60)), lambda x: 0.7::DOUBLE)), lambda x, y: x * y)
+    FROM f JOIN b ON b.user_id = f.user_id AND b.template = f.template AND b.k = f.k + 1)
+  SELECT 'prod/' || user_id AS source, arg_min(event_id, i) AS event_id, template FROM r JOIN f USING (user_id, template, day) WHERE usual > 0 AND i >= greatest(3, 2 * usual) GROUP BY user_id, template, day""")
+def burst_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows with which a template comes twice as often a day as usual, and three times at least."""
+    config = log_detector.LogConfig(learning_us=0, bucket_us=24 * log_detector.HOUR, spike_count=3, spike_factor=2.0, hourly=False)
+    return _detected(spark, sf_dir, config).filter(F.col("kind") == log_detector.SPIKE).select("source", F.col("seq").alias("event_id"), "template")
 
 
 @query("""SELECT user_id, event_id, gap_s FROM (SELECT user_id, event_id, epoch_us(lead(ts) OVER w) / 1e6 - epoch_us(ts) / 1e6 AS gap_s FROM events
@@ -575,12 +622,52 @@ def directory_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
   p AS (SELECT *, lag(image) OVER w AS image0, lag(restarted) OVER w AS restarted0, lag(replicas) OVER w AS replicas0, lag(o_orderkey) OVER w AS key0 FROM o WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey))
   SELECT o_custkey, o_orderkey, CASE WHEN image <> image0 THEN 'deployment' WHEN restarted <> restarted0 THEN 'restart' WHEN replicas <> replicas0 THEN 'scale' ELSE 'config' END AS type FROM p WHERE key0 IS NOT NULL""")
 def workload_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each generation of a workload against the one before."""
-    w = Window.partitionBy("o_custkey").orderBy("o_orderkey")
-    o = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", F.col("o_orderpriority").alias("image"), F.col("o_orderstatus").alias("restarted"), F.round(F.col("o_totalprice") / 100000).cast("long").alias("replicas"))
-    changed = lambda c: F.col(c) != F.lag(c).over(w)
-    kind = F.when(changed("image"), "deployment").when(changed("restarted"), "restart").when(changed("replicas"), "scale").otherwise("config")
-    return o.select("o_custkey", "o_orderkey", kind.alias("type"), F.lag("o_orderkey").over(w).alias("before")).filter("before is not null").drop("before")
+    """Each generation of a workload against the one before, from documents of its state."""
+    o = table(spark, sf_dir, "orders")
+    name = F.lit("main").alias("name")
+    meta = F.struct(F.struct(F.col("o_orderstatus").alias("kubectl.kubernetes.io/restartedAt")).alias("annotations"))
+    template = F.struct(meta.alias("metadata"), F.struct(F.array(F.struct(name, F.col("o_orderpriority").alias("image"))).alias("containers")).alias("spec"))
+    state = F.struct(
+        F.struct(F.col("o_custkey").cast("string").alias("uid"), name, F.col("o_orderkey").alias("generation")).alias("metadata"),
+        F.struct(F.round(F.col("o_totalprice") / 100000).cast("long").alias("replicas"), template.alias("template")).alias("spec"),
+    )
+    found = documents.workload_changes(o.select(F.to_json(state).alias("value")))
+    return found.select(F.col("uid").cast("long").alias("o_custkey"), F.col("generation").alias("o_orderkey"), "type")
+
+
+@query(f"WITH l AS ({_LINES}) SELECT doc_id, line_no, md5(line) AS line_md5 FROM l")
+def response_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines as the responses of two polls that overlap give them, each once."""
+    lines = F.transform(F.split("text", "\n"), lambda line, at: F.array((at.cast("long") * 1_000_000).cast("string"), line))
+    stream = F.struct(F.create_map(F.lit("doc"), F.col("doc_id").cast("string")).alias("stream"), lines.alias("values"))
+    answer = table(spark, sf_dir, "documents").select(F.to_json(F.struct(F.struct(F.array(stream).alias("result")).alias("data"))).alias("value"))
+    found = documents.log_responses(answer.union(answer))
+    line_no = F.round(F.unix_micros("timestamp") / 1000).cast("int")
+    return found.select(F.col("labels")["doc"].cast("long").alias("doc_id"), line_no.alias("line_no"), F.md5(F.col("line").cast("binary")).alias("line_md5"))
+
+
+@query("""WITH s AS (SELECT user_id, ts, event_id % 1000 AS user, CAST(json_extract(props, '$.k') AS BIGINT) AS system, epoch_us(ts) // 1000000 AS idle, event_id % 7 AS wait FROM events),
+  d AS (SELECT user_id, ts, user + system + idle + wait - lag(user + system + idle + wait) OVER w AS total, idle + wait - lag(idle + wait) OVER w AS idle FROM s WINDOW w AS (PARTITION BY user_id ORDER BY ts))
+  SELECT user_id, ts, round(100.0::DOUBLE * (total - idle) / total, 6) AS cpu_percent FROM d WHERE total > 0""")
+def host_cpu(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Share of time busy, from kernel counters of hosts."""
+    e = events(spark, sf_dir)
+    seconds_ = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1_000_000)
+    line = F.concat_ws(" ", F.lit("cpu "), F.col("event_id") % 1000, F.lit(0), k_of(), seconds_, F.col("event_id") % 7, F.lit(0), F.lit(0), F.lit(0), F.lit(99), F.lit(0))
+    found = documents.host_cpu(e.select(F.col("user_id").alias("host"), "ts", line.alias("line")))
+    return found.select(F.col("host").alias("user_id"), "ts", F.round("cpu_percent", 6).alias("cpu_percent"))
+
+
+@query("""WITH s AS (SELECT user_id, ts, event_id AS used, epoch_us(ts) AS system, CAST(json_extract(props, '$.k') AS DOUBLE) AS k FROM events),
+  d AS (SELECT *, used - lag(used) OVER w AS du, system - lag(system) OVER w AS ds FROM s WINDOW w AS (PARTITION BY user_id ORDER BY ts))
+  SELECT user_id, ts, CASE WHEN ds > 0 THEN round(100.0::DOUBLE * du / ds * 4, 6) END AS cpu_percent, 2000 - k AS memory, round(100 * (2000 - k) / 4000, 6) AS memory_percent FROM d""")
+def container_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Processor and memory of containers, from documents of their counters."""
+    e = events(spark, sf_dir)
+    cpu = F.struct(F.struct(F.col("event_id").alias("total_usage")).alias("cpu_usage"), F.unix_micros(F.col("ts").cast("timestamp")).alias("system_cpu_usage"), F.lit(4).alias("online_cpus"))
+    memory = F.struct(F.lit(2000).alias("usage"), F.lit(4000).alias("limit"), F.struct(k_of().alias("inactive_file")).alias("stats"))
+    found = documents.container_usage(e.select(F.col("user_id").alias("container"), "ts", F.to_json(F.struct(cpu.alias("cpu_stats"), memory.alias("memory_stats"))).alias("stats")))
+    return found.select(F.col("container").alias("user_id"), "ts", F.round("cpu_percent", 6).alias("cpu_percent"), "memory", F.round("memory_percent", 6).alias("memory_percent"))
 
 
 @query(f"WITH l AS ({_LINES}) SELECT md5(line) AS line_md5, min(doc_id) AS doc_id, count(*) AS n FROM l GROUP BY line")
@@ -593,7 +680,7 @@ def cursor_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def union_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events").select(F.lit("event").alias("modality"), F.col("event_id").alias("id"), "ts", "value")
     o = table(spark, sf_dir, "orders").select(F.lit("order").alias("modality"), F.col("o_orderkey").alias("id"), F.col("o_orderdate").alias("ts"), F.col("o_totalprice").alias("value"))
-    return e.unionByName(o)
+    return lines.union(e, o)
 
 
 @query("""WITH g AS (SELECT user_id, epoch_us(max(ts)) - epoch_us(min(ts)) AS us FROM events GROUP BY 1), s AS (SELECT user_id, us / 1e6 AS s, CAST(round(us / 3.6e9) AS BIGINT) AS h FROM g)
