@@ -40,6 +40,36 @@ def test_metric_stream_equals_batch_over_a_restart(spark, provider, tmp_path):
     assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
 
 
+def test_metric_stream_knows_limits_and_ignored_series(spark, provider, tmp_path):
+    events = spark.read.parquet(f"{SF}/events.parquet")
+    events.coalesce(1).write.parquet(str(tmp_path / "in"))
+    how = {"rules": {"value": (100.0, 1.0)}, "ignored": ["prod/sign*"]}
+    stream = samples(spark.readStream.schema(events.schema).parquet(str(tmp_path / "in")))
+    q = queries.metric_judgements(stream, **how, ttl_s=3600).writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "cp")).option("path", str(tmp_path / "out"))
+    q.trigger(availableNow=True).start().awaitTermination(120)
+    want = metric_detector.judge(samples(events), **how)
+    got = spark.read.parquet(str(tmp_path / "out")).select(want.columns)
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    found = metric_detector.signals(got).filter(F.col("kind") == metric_detector.THRESHOLD).select("series").distinct()
+    assert {r[0] for r in found.collect()} and not any(r[0].startswith("prod/sign") for r in found.collect())
+
+
+def test_event_log_batch_again(spark, tmp_path):
+    """A batch that comes again, as after a failure before its commit, is there once, beside others; the half of one is made whole."""
+    df = spark.createDataFrame([("a", "2026-08-24T10:00:00Z", 1), ("b", "2026-08-25T10:00:00Z", 1), ("c", "2026-08-25T11:00:00Z", 2)], "id string, timestamp string, part int")
+    df = df.withColumn("timestamp", F.to_timestamp("timestamp"))
+    path = str(tmp_path / "log")
+    df.filter("part = 1").coalesce(1).write.mode("append").json(str(tmp_path / "in"))
+    stream = spark.readStream.schema(df.schema).json(str(tmp_path / "in"))
+    queries.to_event_log(stream, path, str(tmp_path / "cp")).awaitTermination(120)
+    df.filter("part = 2").coalesce(1).write.mode("append").json(str(tmp_path / "in"))
+    for again in ("cp", "cp2"):  # a new checkpoint runs all batches again
+        queries.to_event_log(stream, path, str(tmp_path / again)).awaitTermination(120)
+    schema = "id string, timestamp timestamp"
+    assert sorted(r["id"] for r in event_log.query(spark, path, schema).collect()) == ["a", "b", "c"]
+    assert sorted(r["id"] for r in event_log.query(spark, path, schema, since="2026-08-25").collect()) == ["b", "c"]
+
+
 def test_bucket_counts_close_with_the_watermark(spark, tmp_path):
     rows = spark.read.parquet(f"{SF}/events.parquet").select(F.lit("s").alias("source"), F.col("event_type").alias("template_id"), F.col("ts").cast("timestamp").alias("ts"))
     rows.coalesce(1).write.parquet(str(tmp_path / "in"))

@@ -28,6 +28,15 @@ def query(spark: SparkSession, path: str, schema: str, since: str | None = None,
     return log.drop("day")
 
 
+def stored_ids(spark: SparkSession, path: str, days: list[str] | None = None) -> DataFrame:
+    """The ids in the log, in the folders of ``days`` if given; none before the log's first event."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not root.getFileSystem(spark._jsc.hadoopConfiguration()).exists(root):
+        return spark.createDataFrame([], "id string")
+    log = spark.read.schema("id string, day string").option("mode", "DROPMALFORMED").json(path)
+    return (log if days is None else log.filter(F.col("day").isin(days))).select("id")
+
+
 def prune(spark: SparkSession, path: str, before_day: str) -> list[str]:
     """Deletes the folders of days before ``before_day``; gives their days."""
     jvm = spark._jvm

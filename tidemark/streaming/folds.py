@@ -17,14 +17,18 @@ PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProv
 class FoldProcessor(StatefulProcessor):
     """Keeps a fold per key; the rows of a micro-batch are taken in order, batches as they come.
 
-    A fold's state is bounded by the fold's own limits, as in batch.
+    A fold's state is bounded by the fold's own limits, as in batch; with ``ttl_s``, a key that isn't heard of for so long
+    leaves the state store, and begins anew if it comes back.
     """
 
-    def __init__(self, make: Callable[[], Fold], keys: Sequence[str], order: Sequence[str], columns: Sequence[str], names: Sequence[str]) -> None:
-        self.make, self.keys, self.order, self.columns, self.names = make, keys, order, columns, names
+    def __init__(
+        self, make: Callable[[], Fold], keys: Sequence[str], order: Sequence[str], columns: Sequence[str], names: Sequence[str], ttl_s: float | None = None
+    ) -> None:
+        self.make, self.keys, self.order, self.columns, self.names, self.ttl_s = make, keys, order, columns, names, ttl_s
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("fold", "fold binary")
+        ttl = {} if self.ttl_s is None else {"ttlDurationMs": int(self.ttl_s * 1000)}
+        self.state = handle.getValueState("fold", "fold binary", **ttl)
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         fold = pickle.loads(self.state.get()[0]) if self.state.exists() else self.make()
@@ -38,10 +42,10 @@ class FoldProcessor(StatefulProcessor):
 
 
 def stream_fold(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], columns: Sequence[str], make: Callable[[], Fold], ddl: str, time_mode: str = "None"
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], columns: Sequence[str], make: Callable[[], Fold], ddl: str, ttl_s: float | None = None
 ) -> DataFrame:
-    """As ``keyed_fold``, over a streaming DataFrame."""
+    """As ``keyed_fold``, over a streaming DataFrame; ``ttl_s``: seconds of processing time after which an idle key is forgotten."""
     kinds = ", ".join(f"{k} {df.schema[k].dataType.simpleString()}" for k in keys)
     schema = StructType.fromDDL(f"{kinds}, {ddl}")
-    processor = FoldProcessor(make, list(keys), list(order), list(columns), schema.names)
-    return df.groupBy(*keys).transformWithState(processor, schema, "Append", time_mode)
+    processor = FoldProcessor(make, list(keys), list(order), list(columns), schema.names, ttl_s)
+    return df.groupBy(*keys).transformWithState(processor, schema, "Append", "None" if ttl_s is None else "ProcessingTime")

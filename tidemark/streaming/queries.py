@@ -6,20 +6,26 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from tidemark.functions.series import min_delta
+from tidemark.functions.series import MIN_DELTAS
 from tidemark.functions.templates import best_marking, informative, mask, tokens
 from tidemark.operators import correlate, dampening, log_detector, metric_detector, mining
 from tidemark.operators.folds import micros
+from tidemark.shared import written
 from tidemark.sources import event_log
 from tidemark.streaming.folds import stream_fold
 
 
-def metric_judgements(samples: DataFrame, config: metric_detector.MetricConfig = metric_detector.MetricConfig()) -> DataFrame:
-    """``samples`` (series, metric, event_id, ts, value) as ``metric_detector.judge`` has them."""
-    rows = samples.select("series", "event_id", micros("ts"), "value", min_delta(F.col("metric")).alias("least"))
-    return stream_fold(
-        rows, ["series"], ["ts", "event_id"], ["event_id", "ts", "value", "least"], lambda: metric_detector.Series(config), metric_detector.SAMPLE
-    )
+def metric_judgements(
+    samples: DataFrame,
+    config: metric_detector.MetricConfig = metric_detector.MetricConfig(),
+    rules: dict[str, tuple[float | None, float | None]] | None = None,
+    ignored: list[str] | None = None,
+    deltas: dict[str, float] = MIN_DELTAS,
+    ttl_s: float | None = None,
+) -> DataFrame:
+    """``samples`` (series, metric, event_id, ts, value) as ``metric_detector.judge`` has them; series idle for ``ttl_s`` leave the state."""
+    rows = metric_detector.prepared(samples, rules, ignored, deltas)
+    return stream_fold(rows, ["series"], ["ts", "event_id"], metric_detector.STEP, lambda: metric_detector.Series(config), metric_detector.SAMPLE, ttl_s)
 
 
 def mined(lines: DataFrame, config: mining.MinerConfig = mining.MinerConfig()) -> DataFrame:
@@ -43,9 +49,10 @@ def log_signals(rows: DataFrame, config: log_detector.LogConfig = log_detector.L
     return stream_fold(own, ["source"], ["ts", "seq"], columns, lambda: log_detector.Source(config), log_detector.SIGNALS)
 
 
-def dampened(signals: DataFrame, config: dampening.DampenConfig = dampening.DampenConfig()) -> DataFrame:
+def dampened(signals: DataFrame, config: dampening.DampenConfig = dampening.DampenConfig(), ttl_s: float | None = None) -> DataFrame:
+    """As ``dampening.dampen``; ``ttl_s``, more than the longest silence, is when a pattern that doesn't come again is evicted."""
     rows = signals.select("kind", "source", "pattern", "seq", micros("ts"), "score")
-    return stream_fold(rows, ["kind", "source", "pattern"], ["ts", "seq"], ["seq", "ts", "score"], lambda: dampening.Pattern(config), dampening.REPORTED)
+    return stream_fold(rows, ["kind", "source", "pattern"], ["ts", "seq"], ["seq", "ts", "score"], lambda: dampening.Pattern(config), dampening.REPORTED, ttl_s)
 
 
 def bucket_counts(rows: DataFrame, width: str = "1 minute", late: str = "0 seconds") -> DataFrame:
@@ -57,13 +64,19 @@ def bucket_counts(rows: DataFrame, width: str = "1 minute", late: str = "0 secon
 
 
 def to_event_log(events: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Appends all that is there to the event log; a batch that is written again replaces nothing but repeats no id in itself."""
-    return (
-        events.writeStream.foreachBatch(lambda batch, _: event_log.append(batch.dropDuplicates(["id"]), path))
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
+    """Appends all that is there to the event log, each id once: a batch that runs again after a failure adds what is missing.
+
+    Events with a ``timestamp`` go to the folder of its day, so that ids are looked for in the batch's days only.
+    """
+    dated = "timestamp" in events.columns
+
+    def write(batch: DataFrame, _: int) -> None:
+        day = F.to_date("timestamp") if dated else F.current_date()
+        days = [str(r[0]) for r in batch.select(day).distinct().collect()] if dated else None
+        stored = event_log.stored_ids(batch.sparkSession, path, days)
+        event_log.append(written(event_log.append_new(batch, stored)), path, day)  # read before the log is written to
+
+    return events.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def windows(signals: DataFrame, width_s: float = correlate.WINDOW_S) -> DataFrame:
