@@ -1,4 +1,8 @@
-"""From raw documents to a training mix: stages that each read what the one before wrote."""
+"""From raw documents to a training mix: stages that each read what the one before wrote.
+
+Every stage takes any documents: null, empty and very long texts, null and repeated ids, rows that repeat as a whole,
+columns of any other name, and none at all; what each does with them stands in its docstring and its operator's.
+"""
 
 from __future__ import annotations
 
@@ -10,12 +14,16 @@ from tidemark.llm.common import table, written
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Quality rules: documents that a rule rejects go."""
+    """Quality rules: documents that a rule rejects go, null, empty and short texts among them; rows that repeat are judged alike."""
     return quality.quality_filter(docs)
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Line dedup: lines that an earlier one goes before leave the texts; documents of which no line stays go."""
+    """Line dedup: lines that an earlier one goes before leave the texts; documents of which no line stays go.
+
+    Texts without a line (null, blank) stay as they are; rows that repeat an id and a text are one document and keep the
+    same lines; null ids come last.  ``n_chars`` follows the text where lines went.
+    """
     out = linededup.dedup_lines(docs).filter("n_kept > 0 or n_lines = 0")
     changed = F.col("n_kept") < F.col("n_lines")
     if "n_chars" in docs.columns:
@@ -24,17 +32,24 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """SimHash near-dedup: of each group of near copies the document with the smallest id stays."""
+    """SimHash near-dedup: of each group of near copies the document with the smallest id stays, null ids last.
+
+    Null and blank texts are copies of each other; rows that repeat an id and a text stay or go together, those without
+    an id count each.
+    """
     return simhash.keep_one(docs)
 
 
 def decontaminate_docs(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Benchmark decontamination: documents that hold a test item go."""
+    """Benchmark decontamination: documents that hold a test item go, by row and not by id; null and empty texts hold none."""
     return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Mixing sources to target weights: documents with the copies that the mix takes, those without any go."""
+    """Mixing sources to target weights: documents with the copies that the mix takes, those without any go, texts without a word too.
+
+    The null source is one; rows that repeat draw each for itself.
+    """
     return mixing.mix_sources(docs).filter("copies > 0")
 
 
