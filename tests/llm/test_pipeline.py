@@ -72,3 +72,26 @@ def test_mix(stages, tmp_path):
 
 def test_run_gives_the_last_stage(stages, spark):
     assert sorted(corpus_pipeline.run(spark, SF).collect()) == sorted(stages["mix_sources"][1].collect())
+
+
+def test_stages_on_odd_documents(spark):
+    """Nulls in any column, empty and long texts, ties, repeated rows and clashing columns go through the whole chain; so does an empty table."""
+    words = lambda k, n=40: " ".join(f"w{(k * 7919 + i * 104729) % 100003}" for i in range(n))
+    rows = [
+        (None, words(1), "en", "a", None), (1, None, None, None, None), (2, "", "en", "a", 0), (3, " \n\t", "en", None, 3), (4, words(4, 30_000), "en", "b", 1),
+        (5, words(5), "en", "b", 5), (5, words(5), "en", "b", 5), (6, words(5) + " ", "en", "a", 6), (None, words(7), None, None, None), (None, words(7), None, None, None),
+        (8, words(8) + "\n" + words(5), "en", "a", 8), (9, words(9), "en", "a", 9),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    docs = docs.withColumns({c: F.lit(c) for c in ("row", "key", "id", "th", "at", "kept", "line", "fp", "size", "copies", "digest", "n_kept", "_row")})
+    for frame in (docs, docs.limit(0)):
+        for name, stage in corpus_pipeline.STAGES:
+            before, frame = frame, written(stage(spark, frame, SF))
+            if name != "mix_sources":
+                assert frame.columns == before.columns
+            if name == "line_dedup" and before.count():
+                kept = Counter((r["doc_id"], r["text"]) for r in frame.select("doc_id", "text").collect())
+                # rows 5 repeat and stay alike; 6 has but their line; 8 keeps its own line; unnamed ones keep theirs
+                assert kept == Counter([(None, words(1)), (4, words(4, 30_000)), (5, words(5)), (5, words(5)), (None, words(7)), (None, words(7)), (8, words(8)), (9, words(9))])
+            if name == "simhash_dedup" and before.count():
+                assert Counter(r["doc_id"] for r in frame.collect()) == Counter([None, None, 4, 5, 5, 8, 9])

@@ -13,8 +13,9 @@ Texts that don't hold enough of a template's words at all drop out before they a
 
 Beside that, the base phrases are found wherever their words stand consecutively in the text.
 
-Defined results: a null text is empty; rows that repeat an id and a text get the same result each;
-no labels make an empty string.
+Defined results: a null text is empty; rows that repeat an id and a text get the same result each; no labels make an
+empty string; a long text is one row of words, cut into windows only for the templates whose words it holds; columns
+other than key and text don't matter; an empty table gives an empty table.
 """
 
 from __future__ import annotations

@@ -12,7 +12,8 @@ fingerprints are linked by breadth-first search, which gives one link for each,
 
 Defined results: a null text or one without words has fingerprint 0, linked like any other; a
 component's id is its smallest doc_id, null only where all are; repeated rows are members like any.
-Deletion goes by row (id and text), never by id alone.
+Deletion goes by row (id and text), never by id alone; a long text is fingerprinted as a whole, a part of its shingles
+at a time; columns of any other name come along; an empty table gives an empty table.
 """
 
 from __future__ import annotations
