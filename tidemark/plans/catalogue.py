@@ -457,13 +457,13 @@ _ECHOES = """s AS (SELECT event_id AS seq, user_id, ts, CASE WHEN value > 60 THE
   x AS (SELECT of, session, least(0.99, 1 - exp(sum(ln(1 - least(score, 0.99))))) AS confidence, count(*) AS n FROM m GROUP BY 1, 2),
   y AS (SELECT of, session, min(ts) AS ts, count(*) AS instances, array_to_string(list_sort(list(DISTINCT 'user/' || user_id)), ',') AS sources FROM e GROUP BY 1, 2),
   z AS (SELECT user_id AS of, session, least(count(*), 64) AS n_changes FROM n GROUP BY 1, 2)
-  SELECT 'user/' || of AS source, 'anomaly.change_echo' AS kind, ts, CASE WHEN confidence < 0.6 THEN 'info' ELSE 'warning' END AS severity, round(confidence, 6) AS confidence, n AS n_signals,
+  SELECT 'user/' || of AS source, 'anomaly.change_echo' AS kind, ts, CASE WHEN confidence < 0.6 THEN 'info' ELSE 'warning' END AS severity, round(confidence + 1e-9::DOUBLE, 6) AS confidence, n AS n_signals,
     CAST(instances AS VARCHAR) AS instances, sources, CAST(n_changes AS INTEGER) AS n_changes FROM x JOIN y USING (of, session) JOIN z USING (of, session)""")
 def echo_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Errors in the wake of other users' signups, an event for each session of signups."""
+    """Errors in the wake of other users' signups, an event for each session of signups; confidences are shifted off the ties of rounding."""
     found = correlate.echo_events(user_signals(spark, sf_dir), user_changes(spark, sf_dir))
     return found.select(
-        "source", "kind", F.col("ts").cast("timestamp_ntz").alias("ts"), "severity", F.round("confidence", 6).alias("confidence"), "n_signals",
+        "source", "kind", F.col("ts").cast("timestamp_ntz").alias("ts"), "severity", F.round(F.col("confidence") + 1e-9, 6).alias("confidence"), "n_signals",
         F.col("attributes")["signal_instances"].alias("instances"), F.col("attributes")["sources"].alias("sources"), F.size("related_changes").alias("n_changes"),
     )
 
