@@ -24,6 +24,7 @@ import math
 import re
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -108,6 +109,11 @@ def _strings(values: Sequence[str]) -> Column:
     return F.array(*[F.lit(v) for v in values])
 
 
+def has_any(low: Column, words: Sequence[str]) -> Column:
+    """Whether one of ``words`` is in ``low``, be it as a part of a word; far quicker than a pattern of alternatives."""
+    return reduce(Column.__or__, [F.contains(low, F.lit(w)) for w in words])
+
+
 def word_ranks(lines: DataFrame, vocabulary: Sequence[str]) -> list[str]:
     """``vocabulary`` by the number of ``lines`` (low) that have the word, then by name; counted over all lines."""
     held = F.array_intersect(_strings(vocabulary), F.split("low", BETWEEN))
@@ -130,7 +136,7 @@ def similar_blocks(lines: DataFrame, templates: Sequence[tuple[str, str]] = TEMP
     starts = sorted({w for t in ranked for w in t.prefix})
     least = min(t.needed for t in ranked)
     blocks = (
-        lines.filter(F.col("low").rlike("|".join(starts)))  # words of ASCII letters and digits; others drop out below
+        lines.filter(has_any(F.col("low"), starts))  # words of which these are parts drop out below
         .withColumn("own", F.array_intersect(_strings(order), F.split("low", BETWEEN)))
         .filter(F.size("own") >= least)
         .select("id", "th", "at", "own", F.size("own").alias("n"), F.posexplode(F.slice("own", F.lit(1), F.size("own") - least + 1)).alias("q", "word"))
@@ -158,7 +164,7 @@ def wrapped_blocks(rows: DataFrame, templates: Sequence[tuple[str, str]] = TEMPL
     # a template with t of its m words in the text has one of any m - t + 1 there
     starts = sorted({w for _, words, _ in own for w in sorted(words, key=lambda w: (-len(w), w))[: len(words) - math.ceil(CONTAINMENT * len(words) - 1e-9) + 1]})
     held = (
-        rows.filter(F.col("low").rlike("|".join(map(re.escape, starts))))
+        rows.filter(F.col("low").rlike("|".join(map(re.escape, starts))))  # one look at the expression that lower-cases
         .withColumn("held", F.array_intersect(_strings(vocabulary), F.split("low", BETWEEN)))
         .filter(F.size("held") >= min(math.ceil(CONTAINMENT * len(words) - 1e-9) for _, words, _ in own))
     )
