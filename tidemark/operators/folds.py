@@ -6,7 +6,9 @@ results.  The order within a key is what the operator is about, so a key can't b
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Callable, Iterable, Iterator, Sequence
+from dataclasses import dataclass
 from typing import Protocol
 
 import pyarrow as pa
@@ -15,9 +17,23 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
+from tidemark.shared import written
+
 BATCH_ROWS = 10_000
 
 
+@dataclass(frozen=True)
+class Resume:
+    """A table of folds' states in the folder ``after``, one row a key, begun from that in ``before`` (none: from the start).
+
+    Runs over parts of the rows, one part after the other in order, give together what one run over all rows gives.  Keys that
+    a run has no rows of keep their state.  States are pickles of this library's own classes: read only tables that it wrote.
+    """
+
+    after: str
+    before: str | None = None
+
+
 class Fold(Protocol):
     def step(self, *row) -> Iterable[tuple]: ...
 
@@ -46,12 +62,14 @@ def map_rows(df: DataFrame, rows_of: Callable[[Iterator[tuple]], Iterator[tuple]
 
 
 def keyed_fold(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], columns: Sequence[str], make: Callable[[], Fold], ddl: str
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], columns: Sequence[str], make: Callable[[], Fold], ddl: str, resume: Resume | None = None
 ) -> DataFrame:
     """Keys and what ``make()`` gives for ``columns`` of each key's rows in ``order``; ``ddl`` names the fold's columns.
 
     Times reach the fold as microseconds since 1970 if cast so before; ``micros`` does that.
     """
+    if resume is not None:
+        return _resumed_fold(df, keys, order, columns, make, ddl, resume)
     n = len(keys)
 
     def run(rows: Iterator[tuple]) -> Iterator[tuple]:
@@ -70,6 +88,37 @@ def keyed_fold(
     return map_rows(ordered, run, f"{kinds}, {ddl}")
 
 
+def _resumed_fold(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], columns: Sequence[str], make: Callable[[], Fold], ddl: str, resume: Resume
+) -> DataFrame:
+    """As ``keyed_fold``, the rows computed once and kept; folds aren't finished, since their keys go on."""
+    n, width = len(keys), len(StructType.fromDDL(ddl))
+
+    def run(rows: Iterator[tuple]) -> Iterator[tuple]:
+        now, fold = None, None
+        state = lambda: (*now, *(None,) * width, pickle.dumps(fold))
+        for row in rows:
+            if fold is None or row[:n] != now:
+                if fold is not None:
+                    yield state()
+                now, fold = row[:n], make() if row[n] is None else pickle.loads(row[n])
+            if row[n] is None:
+                yield from ((*now, *out, None) for out in fold.step(*row[n + 1 :]))
+        if fold is not None:
+            yield state()
+
+    kinds = ", ".join(f"{k} {df.schema[k].dataType.simpleString()}" for k in keys)
+    rows = df.withColumn("_state", F.lit(None).cast("binary"))
+    if resume.before is not None:
+        saved = df.sparkSession.read.parquet(resume.before).withColumnRenamed("state", "_state")
+        rows = rows.unionByName(saved, allowMissingColumns=True)
+    first = F.col("_state").isNull()  # a key's state goes before its rows
+    ordered = rows.repartition(*keys).sortWithinPartitions(*keys, first, *order).select(*keys, "_state", *columns)
+    both = written(map_rows(ordered, run, f"{kinds}, {ddl}, _state binary"))
+    both.filter("_state is not null").select(*keys, F.col("_state").alias("state")).write.mode("errorifexists").parquet(resume.after)
+    return both.filter("_state is null").drop("_state")
+
+
 def micros(column: str):
     """Microseconds since 1970 of a time, with or without a zone (taken as UTC)."""
     return F.unix_micros(F.col(column).cast("timestamp")).alias(column)

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.templates import best_marking, informative
-from tidemark.operators.folds import keyed_fold, micros
+from tidemark.operators.folds import Resume, keyed_fold, micros
 from tidemark.operators.mining import CREATED
 
 SECOND = 1_000_000
@@ -161,12 +161,13 @@ def detect(
     patterns: dict[str, str] | None = None,
     min_literals: int = 8,
     max_ratio: float = 0.6,
+    resume: Resume | None = None,
 ) -> DataFrame:
-    """Signals over ``mined`` (source, seq, ts, template_id, template, change_type), in the order of ts and seq."""
+    """Signals over ``mined`` (source, seq, ts, template_id, template, change_type), in the order of ts and seq; ``resume``: goes on where an earlier run ended."""
     rows = mined.select(
         "source", "seq", micros("ts"), "template_id", "template", "change_type",
         best_marking(F.col("template"), markings or {}, patterns or {}).alias("marking"),
         informative(F.col("template"), min_literals, max_ratio).alias("says"),
     )
     ddl = SIGNALS.replace("seq long", f"seq {mined.schema['seq'].dataType.simpleString()}")
-    return keyed_fold(rows, ["source"], ["ts", "seq"], ["seq", "ts", "template_id", "template", "change_type", "marking", "says"], lambda: Source(config), ddl)
+    return keyed_fold(rows, ["source"], ["ts", "seq"], ["seq", "ts", "template_id", "template", "change_type", "marking", "says"], lambda: Source(config), ddl, resume)

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.series import MIN_DELTAS, min_delta
 from tidemark.functions.templates import path_glob
-from tidemark.operators.folds import keyed_fold, micros
+from tidemark.operators.folds import Resume, keyed_fold, micros
 
 DAY = 86_400_000_000
 ZSCORE, DRIFT, THRESHOLD = "metric.zscore", "metric.trend_drift", "metric.threshold"
@@ -124,15 +124,16 @@ def judge(
     ignored: list[str] | None = None,
     deltas: dict[str, float] = MIN_DELTAS,
     keys: tuple[str, ...] = ("series",),
+    resume: Resume | None = None,
 ) -> DataFrame:
     """``samples`` (series, metric, event_id, ts, value): every sample with the state before it and the signals it gives.
 
-    ``keys``: columns that name a series, all of which come along.
+    ``keys``: columns that name a series, all of which come along; ``resume``: goes on where an earlier run ended.
 
     ``rules``: (highest, lowest) allowed value by metric; ``ignored``: globs of metrics or series that learn but never signal.
     """
     rows = prepared(samples, rules, ignored, deltas, keys)
-    return keyed_fold(rows, keys, ["ts", "event_id"], STEP, lambda: Series(config), _sample(samples))
+    return keyed_fold(rows, keys, ["ts", "event_id"], STEP, lambda: Series(config), _sample(samples), resume)
 
 
 #: What a series is stepped with.

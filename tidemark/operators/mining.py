@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.templates import PARAM, mask, parameters, tokens
-from tidemark.operators.folds import keyed_fold
+from tidemark.operators.folds import Resume, keyed_fold
 
 CREATED, CHANGED, SAME = "cluster_created", "cluster_template_changed", "none"
 MATCHED = "cluster_id long, change_type string, template array<string>, size long"
@@ -166,17 +166,17 @@ class _Mining:
         return iter(())
 
 
-def mine(lines: DataFrame, order: list[str], seq: str, config: MinerConfig = MinerConfig(), masks=None, carry: tuple[str, ...] = ()) -> DataFrame:
+def mine(lines: DataFrame, order: list[str], seq: str, config: MinerConfig = MinerConfig(), masks=None, carry: tuple[str, ...] = (), resume: Resume | None = None) -> DataFrame:
     """``lines`` (source, message, ``order``, ``seq``): per row its template after the row, and its parameters.
 
-    ``seq`` identifies a row within its source; the columns of ``carry`` come along.
+    ``seq`` identifies a row within its source; the columns of ``carry`` come along.  ``resume``: goes on where an earlier run ended.
     """
     masked = mask(F.col("message")) if masks is None else mask(F.col("message"), masks)
     rows = lines.withColumn("words", F.coalesce(tokens(masked), F.array().cast("array<string>")))
     kind = lines.schema[seq].dataType.simpleString()
     more = "".join(f", {c} {lines.schema[c].dataType.simpleString()}" for c in carry)
     found = keyed_fold(
-        rows, ["source"], order, [seq, "words", *carry], lambda: _Mining(config), f"{seq} {kind}, words array<string>, {MATCHED}{more}"
+        rows, ["source"], order, [seq, "words", *carry], lambda: _Mining(config), f"{seq} {kind}, words array<string>, {MATCHED}{more}", resume
     )
     return found.select(
         "source",

@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import series, templates, text
 from tidemark.operators import correlate, dampening, incidents, log_detector, metric_detector, mining, readapi
+from tidemark.operators.folds import Resume
+from tidemark.shared import new_path
 from tidemark.sources import documents, lines
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -204,13 +206,28 @@ _EWMA = """WITH RECURSIVE s AS (
 @query(f"""{_EWMA}, z AS (SELECT *, (value - mean) / sqrt(variance) AS z FROM f WHERE n >= 30 AND variance > 0)
   SELECT series, event_id, ts, value, round(mean, 6) AS mean, round(z, 6) AS z, round(least(0.95, 0.5 + abs(z) / 10), 6) AS score FROM z WHERE abs(z) >= 3""")
 def metric_zscore(spark: SparkSession, sf_dir: str) -> DataFrame:
-    judged = metric_detector.judge(samples(spark, sf_dir), metric_detector.MetricConfig(daily=False))
+    return zscores(metric_detector.judge(samples(spark, sf_dir), metric_detector.MetricConfig(daily=False)))
+
+
+def zscores(judged: DataFrame) -> DataFrame:
     found = metric_detector.signals(judged).filter(F.col("kind") == metric_detector.ZSCORE)
     return found.select(
         "series", "event_id", F.timestamp_micros("ts_us").cast("timestamp_ntz").alias("ts"), "value", F.round("mean", 6).alias("mean"), F.round("z", 6).alias("z"), F.round("score", 6).alias("score")
     )
 
 
+@query(SQL["metric_zscore"])
+def resumed_zscore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two runs over the events before and after the middle of their time, the second going on with what the first has learned."""
+    e = samples(spark, sf_dir)
+    us = F.unix_micros(F.col("ts").cast("timestamp"))
+    middle = e.agg(F.avg(us)).first()[0] or 0  # one number
+    first, second = new_path(spark), new_path(spark)
+    config = metric_detector.MetricConfig(daily=False)
+    runs = [metric_detector.judge(e.filter(us < middle), config, resume=Resume(first)), metric_detector.judge(e.filter(us >= middle), config, resume=Resume(second, first))]
+    return zscores(runs[0].union(runs[1]))
+
+
 @query(f"""{_EWMA}, last AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY series ORDER BY rn DESC) = 1)
   SELECT series, CAST(n2 AS BIGINT) AS samples, round(mean2, 6) AS mean, round(sqrt(variance2), 6) AS std_dev, round(fast2, 6) AS recent, n2 < 30 AS warmup FROM last""")
 def metric_series(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -658,6 +675,32 @@ def host_cpu(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("host").alias("user_id"), "ts", F.round("cpu_percent", 6).alias("cpu_percent"))
 
 
+@query("""SELECT user_id AS host, event_id AS ts, 'system.memory.used_percent' AS name, round(100.0::DOUBLE * (1 - CAST(json_extract(props, '$.k') AS DOUBLE) / (1000 + event_id)), 6) AS value, '' AS path FROM events
+  UNION ALL SELECT user_id, event_id, 'system.load1', round(value, 6), '' FROM events
+  UNION ALL SELECT user_id, event_id, 'system.disk.used_percent', round(100.0::DOUBLE * (1 - (event_id % 1000) / (event_id % 5 * 1000.0::DOUBLE)), 6), '/' || event_type FROM events WHERE event_id % 5 > 0""")
+def host_gauges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Memory, load and disks of hosts, from the kernel's tables."""
+    e = events(spark, sf_dir).select(F.col("user_id").alias("host"), F.col("event_id").alias("ts"), "value", "event_type", k_of().alias("k"))
+    table_ = F.concat(F.lit("MemTotal:  "), (F.col("ts") + 1000).cast("string"), F.lit(" kB\nMemFree: 1 kB\nMemAvailable: "), F.col("k").cast("string"), F.lit(" kB\nBuffers: 2 kB"))
+    disks = e.select("host", "ts", F.concat(F.lit("/"), "event_type").alias("path"), (F.col("ts") % 5 * 1000).alias("blocks"), (F.col("ts") % 1000).alias("available"))
+    load = e.select("host", "ts", F.concat_ws(" ", F.col("value").cast("string"), F.lit("0.50 0.25 1/200 4711")).alias("line"))
+    cpu = e.limit(0).select("host", "ts", F.lit(0.0).alias("cpu_percent"))  # host_cpu has a query of its own
+    found = documents.host_samples(cpu, documents.host_memory(e.select("host", "ts", table_.alias("text"))), documents.host_load(load), documents.host_disks(disks))
+    return found.select("host", "ts", "name", F.round("value", 6).alias("value"), F.coalesce(F.col("labels")["path"], F.lit("")).alias("path"))
+
+
+@query("""WITH s AS (SELECT user_id % 50 AS resource, CAST(ts AS DATE) AS day, user_id, avg(value) AS cpu, count(*) AS n FROM events GROUP BY ALL),
+  w AS (SELECT resource, day, avg(cpu) AS cpu, CAST(sum(n) AS DOUBLE) AS requests FROM s GROUP BY ALL)
+  SELECT resource, day, 'serverless.cpu.percent' AS name, round(cpu, 6) AS value FROM w UNION ALL SELECT resource, day, 'serverless.requests_per_second', requests FROM w""")
+def resource_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A container's instances as one series."""
+    e = table(spark, sf_dir, "events").groupBy((F.col("user_id") % 50).alias("resource"), F.to_date("ts").alias("ts"), "user_id").agg(F.avg("value").alias("cpu"), F.count("*").cast("double").alias("n"))
+    labels = F.create_map(F.lit("resource_id"), F.col("resource").cast("string"), F.lit("region"), F.lit("here"), F.lit("resource_instance"), F.col("user_id").cast("string")).alias("labels")
+    rows = [e.select("ts", F.lit(f"serverless_container_{name}").alias("name"), F.col(c).alias("value"), labels) for name, c in (("cpu_usage_ratio", "cpu"), ("requests_per_second", "n"))]
+    found = documents.resource_metrics(rows[0].union(rows[1]))
+    return found.select(F.col("resource_id").cast("long").alias("resource"), F.col("ts").alias("day"), "name", F.round("value", 6).alias("value"))
+
+
 @query("""WITH s AS (SELECT user_id, ts, event_id AS used, epoch_us(ts) AS system, CAST(json_extract(props, '$.k') AS DOUBLE) AS k FROM events),
   d AS (SELECT *, used - lag(used) OVER w AS du, system - lag(system) OVER w AS ds FROM s WINDOW w AS (PARTITION BY user_id ORDER BY ts))
   SELECT user_id, ts, CASE WHEN ds > 0 THEN round(100.0::DOUBLE * du / ds * 4, 6) END AS cpu_percent, 2000 - k AS memory, round(100 * (2000 - k) / 4000, 6) AS memory_percent FROM d""")

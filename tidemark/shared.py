@@ -31,6 +31,11 @@ def _own_tables(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/tidemark-{spark.sparkContext.applicationId}"
 
 
+def new_path(spark: SparkSession) -> str:
+    """A path in the shared folder that nothing is at; ``clear_written`` clears it too."""
+    return f"{_own_tables(spark)}/{uuid.uuid4().hex}"
+
+
 def clear_written(spark: SparkSession) -> None:
     """Deletes what ``written`` has left; results that aren't computed yet are lost."""
     path = spark._jvm.org.apache.hadoop.fs.Path(_own_tables(spark))
@@ -42,8 +47,7 @@ def written(df: DataFrame) -> DataFrame:
 
     Results are computed later from such tables, so they stay until ``clear_written`` or the folder's owner takes them away.
     """
-    spark = df.sparkSession
-    path = f"{_own_tables(spark)}/{uuid.uuid4().hex}"
+    spark, path = df.sparkSession, new_path(df.sparkSession)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

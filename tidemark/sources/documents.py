@@ -117,6 +117,70 @@ def host_cpu(stat: DataFrame) -> DataFrame:
     return rows.select("host", "ts", F.when(d_total > 0, 100 * (d_total - d_idle) / d_total).alias("cpu_percent")).filter("cpu_percent is not null")
 
 
+def host_memory(info: DataFrame) -> DataFrame:
+    """``info`` (host, ts, text; the kernel's whole memory table): percent that isn't available; tables without a total go."""
+    kb = lambda name: F.regexp_extract("text", rf"(?m)^{name}:\s+(\d+)", 1).try_cast("double")
+    rows = info.select("host", "ts", kb("MemTotal").alias("total"), F.coalesce(kb("MemAvailable"), F.lit(0.0)).alias("free"))
+    return rows.filter("total > 0").select("host", "ts", (100 * (1 - F.col("free") / F.col("total"))).alias("memory_percent"))
+
+
+def host_load(averages: DataFrame) -> DataFrame:
+    """``averages`` (host, ts, line; the kernel's load averages): the load of the last minute; lines without one go."""
+    return averages.select("host", "ts", F.split(F.trim("line"), r"\s+")[0].try_cast("double").alias("load1")).filter("load1 is not null")
+
+
+def host_disks(volumes: DataFrame) -> DataFrame:
+    """``volumes`` (host, ts, path, blocks, available): percent of each that isn't available; those without blocks go."""
+    used = 100 * (1 - F.col("available") / F.col("blocks"))
+    return volumes.filter("blocks > 0").select("host", "ts", "path", used.alias("disk_percent"))
+
+
+def host_samples(cpu: DataFrame, memory: DataFrame, load: DataFrame, disks: DataFrame) -> DataFrame:
+    """(host, ts, name, value, labels) of what ``host_cpu``, ``host_memory``, ``host_load`` and ``host_disks`` give."""
+    none = F.lit(None).cast("map<string, string>")
+    # fixed values: the metrics' names
+    named = lambda df, column, name, labels=none: df.select("host", "ts", F.lit(name).alias("name"), F.col(column).alias("value"), labels.alias("labels"))
+    return (
+        named(cpu, "cpu_percent", "system.cpu.percent")
+        .union(named(memory, "memory_percent", "system.memory.used_percent"))
+        .union(named(load, "load1", "system.load1"))
+        .union(named(disks, "disk_percent", "system.disk.used_percent", F.create_map(F.lit("path"), F.col("path"))))
+    )
+
+
+def resource_metrics(samples: DataFrame) -> DataFrame:
+    """``samples`` (ts, name, value, labels) of containers' instances: one sample a resource, region, time and metric.
+
+    Instances come and go with the load, so a series by instance would never have a baseline.  Processor and memory are
+    averages over instances (memory as a percentage of each one's limit), their number the largest, requests a sum.
+    """
+    label = lambda name: F.col("labels")[name]
+    of = lambda name: F.when(F.col("name") == name, F.col("value"))
+    each = samples.groupBy(label("resource_id").alias("resource_id"), label("region").alias("region"), "ts", label("resource_instance").alias("instance")).agg(
+        *[F.avg(of(f"serverless_container_{n}")).alias(n) for n in ("cpu_usage_ratio", "memory_usage_bytes", "memory_limit_bytes", "instances_total", "requests_per_second")]
+    )
+    share = F.when(F.col("memory_limit_bytes") > 0, 100 * F.col("memory_usage_bytes") / F.col("memory_limit_bytes"))
+    # fixed values: the metrics' names
+    found = {
+        "serverless.cpu.percent": F.avg("cpu_usage_ratio"), "serverless.memory.used_percent": F.avg(share),
+        "serverless.instances": F.max("instances_total"), "serverless.requests_per_second": F.sum("requests_per_second"),
+    }
+    named = F.array(*[F.struct(F.lit(name).alias("name"), value.alias("value")) for name, value in found.items()])
+    wide = each.groupBy("resource_id", "region", "ts").agg(named.alias("all"))
+    return wide.select("resource_id", "region", "ts", F.inline("all")).filter("value is not null")
+
+
+def sample_service(labels: Column, label: str | None, query_service: str | None, default: str) -> Column:
+    """Of a query's sample: the label that the query names, where it says something, else the query's service, else the default."""
+    named = F.lit(query_service or default)
+    return F.coalesce(F.when(labels[label] != "", labels[label]), named) if label else named
+
+
+def by_time(entries: DataFrame) -> DataFrame:
+    """Entries of ``log_responses`` in order of their nanoseconds; of equal ones by labels and line, so that reruns agree."""
+    return entries.orderBy(F.col("ns").cast("bigint"), F.to_json("labels"), "line")
+
+
 def log_responses(docs: DataFrame, doc: str = "value") -> DataFrame:
     """(labels, ns, line, message) of range responses; equal entries, as inclusive borders give again, once; blank ones go."""
     schema = "struct<data: struct<result: array<struct<stream: map<string, string>, values: array<array<string>>>>>>"

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import time
 import urllib.request
 from collections.abc import Iterator
 
@@ -11,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: Days by which an event's own day may lie before or after the day it was written.
 SLACK_BEFORE, SLACK_AFTER = 2, 1
+#: The longest pause between attempts of a sink.
+MAX_PAUSE_S = 30.0
 
 
 def append(events: DataFrame, path: str, day: Column | None = None) -> None:
@@ -68,23 +71,38 @@ def write_jdbc(events: DataFrame, url: str, table: str, **properties: str) -> No
     rows.select("id", "source", "timestamp", F.to_json(F.struct(*events.columns)).alias("payload")).write.jdbc(url, table, "append", properties)
 
 
-def post(events: DataFrame, url: str, timeout_s: float = 10.0, attempts: int = 5) -> None:
-    """Posts each event; an answer of 300 or more, or none, is tried again, then fails the task, which Spark retries."""
+def post(events: DataFrame, url: str, timeout_s: float = 10.0, attempts: int = 5, pause_s: float = 1.0, drop: bool = False) -> int:
+    """Posts each event; an answer of 300 or more, or none, is tried again after pauses that double up to MAX_PAUSE_S.
+
+    After the last attempt the task fails, and Spark retries it (events before that one are posted again); with ``drop`` the event
+    is left out instead.  Gives the number of events left out; those of tasks that ran twice count twice.
+    """
+    dropped = events.sparkSession.sparkContext.accumulator(0)
+
+    def sent(body: bytes) -> bool:
+        pause = pause_s
+        for left in range(attempts - 1, -1, -1):
+            try:
+                request = urllib.request.Request(url, body, {"Content-Type": "application/json"})
+                with urllib.request.urlopen(request, timeout=timeout_s) as answer:
+                    if answer.status < 300:
+                        return True
+                    raise OSError(f"status {answer.status}")
+            except OSError:
+                if not left and not drop:
+                    raise
+            if left:
+                time.sleep(pause)
+                pause = min(2 * pause, MAX_PAUSE_S)
+        return False
 
     def send(rows: Iterator) -> None:
         for row in rows:
-            for left in range(attempts - 1, -1, -1):
-                try:
-                    request = urllib.request.Request(url, row["value"].encode(), {"Content-Type": "application/json"})
-                    with urllib.request.urlopen(request, timeout=timeout_s) as answer:
-                        if answer.status >= 300:
-                            raise OSError(f"status {answer.status}")
-                    break
-                except OSError:
-                    if not left:
-                        raise
+            if not sent(row["value"].encode()):
+                dropped.add(1)
 
     json_lines(events).foreachPartition(send)
+    return dropped.value
 
 
 def document(line: str) -> dict:

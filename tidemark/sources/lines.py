@@ -10,8 +10,10 @@ from tidemark.functions.text import parse_lines, rfc3339
 from tidemark.schema import CHANGE, LOG, METRIC
 
 
-def _text(spark: SparkSession, path: str, stream: bool) -> DataFrame:
-    return (spark.readStream if stream else spark.read).text(path)
+def _text(spark: SparkSession, path: str, stream: bool, max_files: int | None = None) -> DataFrame:
+    """``max_files``: files that a stream takes in one micro-batch, all that are there if not given."""
+    reader = spark.readStream if stream else spark.read
+    return (reader.option("maxFilesPerTrigger", max_files) if stream and max_files else reader).text(path)
 
 
 def _observation(rows: DataFrame, modality: str, service: Column, environment: Column, **payload: Column) -> DataFrame:
@@ -38,26 +40,26 @@ def log_struct(raw: Column, message: Column, level: Column) -> Column:
     )
 
 
-def log_lines(spark: SparkSession, path: str, service: str, environment: str = "default", stream: bool = False) -> DataFrame:
+def log_lines(spark: SparkSession, path: str, service: str, environment: str = "default", stream: bool = False, max_files: int | None = None) -> DataFrame:
     """Text lines that aren't blank, parsed."""
     none = lambda kind: F.lit(None).cast(kind)
-    rows = _text(spark, path, stream).filter(F.trim("value") != "").select(
+    rows = _text(spark, path, stream, max_files).filter(F.trim("value") != "").select(
         F.col("value").alias("raw"), none("string").alias("message"), none("string").alias("level"), none("timestamp").alias("timestamp")
     )
     rows = parse_lines(rows).withColumn("attributes", F.when(F.col("log_process").isNotNull(), F.create_map(F.lit("log.process"), "log_process")))
     return _observation(rows, "log", F.lit(service), F.lit(environment), log=log_struct(F.col("raw"), F.col("message"), F.col("level")))
 
 
-def metric_lines(spark: SparkSession, path: str, service: str, environment: str = "default", stream: bool = False) -> DataFrame:
+def metric_lines(spark: SparkSession, path: str, service: str, environment: str = "default", stream: bool = False, max_files: int | None = None) -> DataFrame:
     """Lines of text exposition; malformed ones, comments and blanks are left out."""
-    rows = _text(spark, path, stream).select(prometheus_sample(F.col("value")).alias("s")).filter("s is not null")
+    rows = _text(spark, path, stream, max_files).select(prometheus_sample(F.col("value")).alias("s")).filter("s is not null")
     rows = rows.withColumn("timestamp", F.col("s.timestamp"))
     return _observation(rows, "metric", F.lit(service), F.lit(environment), metric=F.struct("s.name", "s.value", "s.labels"))
 
 
-def change_lines(spark: SparkSession, path: str, service: str, environment: str = "default", stream: bool = False) -> DataFrame:
+def change_lines(spark: SparkSession, path: str, service: str, environment: str = "default", stream: bool = False, max_files: int | None = None) -> DataFrame:
     """JSON lines of time, type, version and summary; malformed ones are left out."""
-    rows = _text(spark, path, stream).select(F.from_json("value", "time string, type string, version string, summary string").alias("c"))
+    rows = _text(spark, path, stream, max_files).select(F.from_json("value", "time string, type string, version string, summary string").alias("c"))
     rows = rows.filter("c is not null and (c.time is not null or c.type is not null or c.version is not null or c.summary is not null)")
     rows = rows.withColumn("timestamp", rfc3339(F.col("c.time")))
     return _observation(rows, "change", F.lit(service), F.lit(environment), change=F.struct("c.type", "c.version", "c.summary"))
