@@ -5,6 +5,8 @@ from datetime import datetime, timedelta
 from pyspark.sql import functions as F
 
 from tidemark.config import load
+from tidemark.operators import incidents, reports
+from tidemark.operators.folds import Resume
 from tidemark.plans import analysis
 from tidemark.schema import CHANGE, LOG, METRIC
 
@@ -66,3 +68,31 @@ def test_echo_of_another_source(spark):
     alone = analysis.analyze(frame.filter(F.col("modality") == "log"), CONFIG).events.collect()
     assert [(e["service"], e["environment"], len(e["before"]), len(e["after"])) for e in alone] == [("kernel", "prod", 10, 0)]
     assert analysis.incidents_of(analysis.analyze(frame, CONFIG).events)[1].count() == 1
+
+
+def test_runs_that_resume(spark, tmp_path):
+    """Two runs over the parts of the observations find what one run over all of them does, where nothing reaches over the cut."""
+    rows = [log(k, f"request {k} handled in {k * 7} ms") for k in range(200)] + [metric(k, "lag", 5.0 + k % 3) for k in range(200)]
+    rows += [log(2000, "request 9 handled in 63 ms"), log(2010, "FATAL disk failure on /dev/sda1"), metric(2020, "lag", 500.0)]
+    frame = spark.createDataFrame(rows, ROW)
+    early = F.col("timestamp") < F.lit(T0 + timedelta(seconds=1000))
+    told = lambda a: [(r["kind"], r["ts"], r["summary"]) for r in a.signals.orderBy("ts", "kind").collect()]
+    first = analysis.analyze(frame.filter(early), CONFIG, Resume(str(tmp_path / "1")))
+    second = analysis.analyze(frame.filter(~early), CONFIG, Resume(str(tmp_path / "2"), str(tmp_path / "1")))
+    assert told(first) + told(second) == told(analysis.analyze(frame, CONFIG))
+    assert {r[0] for r in told(second)} == {"log.new_template", "metric.zscore"}
+    # without rows of its own a run keeps what is known
+    third = analysis.analyze(frame.limit(0), CONFIG, Resume(str(tmp_path / "3"), str(tmp_path / "2")))
+    assert third.signals.count() == 0 and {spark.read.parquet(str(tmp_path / f"3/{p}")).count() for p in ("miner", "logs", "metrics")} == {1}
+
+
+def test_whole_report(spark):
+    a = analysis.analyze(spark.createDataFrame([log(k, f"line | {k}") for k in range(3)] + [metric(5, "pool_usage_percent", 97.0)], ROW), CONFIG)
+    members, table = analysis.incidents_of(a.events)
+    signals = a.signals.crossJoin(table.select("incident_id"))  # one incident
+    excerpt = reports.excerpts(a.events, members, a.observations, 2)
+    text = reports.render(table, incidents.evidence(signals), reports.incident_changes(a.events, members), True, excerpt).first()["report"]
+    assert "```\n2026-08-24 14:00:00  line | 0\n2026-08-24 14:00:01  line | 1\n```\n1 more lines" in text and "| metric.threshold | 1 |" in text
+    head = reports.preamble(table, "2026-08-24").first()["report"]
+    assert head.startswith("# Incidents\n\n## Scope\n\n- Period: since 2026-08-24\n- Incidents: 1\n") and "`metric.zscore`" in head and "None:" not in head
+    assert "None: nothing" in reports.preamble(table.limit(0), glossary=False).first()["report"]

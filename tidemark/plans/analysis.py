@@ -12,6 +12,7 @@ from tidemark.functions.series import series_key
 from tidemark.functions.templates import MASKS
 from tidemark.functions.text import normalize
 from tidemark.operators import correlate, dampening, incidents, log_detector, metric_detector, mining
+from tidemark.operators.folds import Resume
 from tidemark.shared import written
 
 SECOND = 1_000_000
@@ -50,13 +51,17 @@ def metric_config(config: Config) -> metric_detector.MetricConfig:
     )
 
 
-def _log_signals(logs: DataFrame, config: Config) -> tuple[DataFrame, DataFrame]:
+def _part(resume: Resume | None, name: str) -> Resume | None:
+    return resume and Resume(f"{resume.after}/{name}", resume.before and f"{resume.before}/{name}")
+
+
+def _log_signals(logs: DataFrame, config: Config, resume: Resume | None) -> tuple[DataFrame, DataFrame]:
     d = config.logs
     masks = [(m.mask_with, m.pattern) for m in d.drain.masking] or MASKS
     message = F.coalesce(F.when(F.col("log.message") != "", F.col("log.message")), F.col("log.raw"))
     rows = logs.select("source", F.col("id").alias("seq"), F.col("timestamp").cast("timestamp_ntz").alias("ts"), message.alias("message"))
-    mined = mining.mine(rows, ["ts", "seq"], "seq", miner_config(config), masks, carry=("ts",))
-    found = log_detector.detect(mined, log_config(config), d.detection.markings, d.detection.patterns, d.detection.min_template_literals, d.detection.max_placeholder_ratio)
+    mined = mining.mine(rows, ["ts", "seq"], "seq", miner_config(config), masks, carry=("ts",), resume=_part(resume, "miner"))
+    found = log_detector.detect(mined, log_config(config), d.detection.markings, d.detection.patterns, d.detection.min_template_literals, d.detection.max_placeholder_ratio, _part(resume, "logs"))
     what = F.regexp_replace(F.split_part("kind", F.lit("."), F.lit(2)), "_", " ")
     return mined, found.select(
         "source", "seq", F.timestamp_micros("ts_us").alias("ts"), "kind", F.lit("log").alias("modality"), "score", F.concat(what, F.lit(": "), "template").alias("summary"),
@@ -64,13 +69,13 @@ def _log_signals(logs: DataFrame, config: Config) -> tuple[DataFrame, DataFrame]
     )
 
 
-def _metric_signals(metrics: DataFrame, config: Config) -> DataFrame:
+def _metric_signals(metrics: DataFrame, config: Config, resume: Resume | None) -> DataFrame:
     d = config.metrics.detection
     rows = metrics.select(
         "source", series_key(F.col("source"), F.col("metric.name"), F.col("metric.labels")).alias("series"), F.col("metric.name").alias("metric"), F.col("id").alias("event_id"),
         F.col("timestamp").alias("ts"), F.col("metric.value").alias("value"),
     )
-    judged = metric_detector.judge(rows, metric_config(config), {t.metric: (t.max, t.min) for t in d.thresholds}, d.ignored, d.min_deltas, ("source", "metric", "series"))
+    judged = metric_detector.judge(rows, metric_config(config), {t.metric: (t.max, t.min) for t in d.thresholds}, d.ignored, d.min_deltas, ("source", "metric", "series"), _part(resume, "metrics"))
     named = metric_detector.signals(judged)
     summary = F.concat(F.col("metric"), F.lit(" = "), F.round("value", 4).cast("string"), F.lit(": "), F.regexp_replace(F.split_part("kind", F.lit("."), F.lit(2)), "_", " "))
     return named.select(
@@ -79,13 +84,17 @@ def _metric_signals(metrics: DataFrame, config: Config) -> DataFrame:
     )
 
 
-def analyze(observations: DataFrame, config: Config = Config()) -> Analysis:
-    """``observations`` as of ``schema.OBSERVATION``; rejected ones are left out."""
+def analyze(observations: DataFrame, config: Config = Config(), resume: Resume | None = None) -> Analysis:
+    """``observations`` as of ``schema.OBSERVATION``; rejected ones are left out.
+
+    ``resume``: folders of what templates, logs and metrics have learned, before and after this run.  Cooldowns, windows and
+    incidents don't reach over runs.
+    """
     own = normalize(observations).filter("rejected is null")
-    mined, from_logs = _log_signals(own.filter("modality = 'log'"), config)
+    mined, from_logs = _log_signals(own.filter("modality = 'log'"), config, resume)
     parts = [from_logs] if config.logs.detection.enabled else []
     if config.metrics.detection.enabled:
-        parts.append(_metric_signals(own.filter("modality = 'metric'"), config))
+        parts.append(_metric_signals(own.filter("modality = 'metric'"), config, resume))
     signals = parts[0] if parts else from_logs.limit(0)
     for more in parts[1:]:
         signals = signals.unionByName(more)
