@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import metric_detector
+from tidemark.operators import correlate, metric_detector
 from tidemark.sources import event_log
 from tidemark.streaming import queries
 from tidemark.streaming.folds import PROVIDER
@@ -54,6 +54,28 @@ def test_metric_stream_knows_limits_and_ignored_series(spark, provider, tmp_path
     assert {r[0] for r in found.collect()} and not any(r[0].startswith("prod/sign") for r in found.collect())
 
 
+def test_events_of_streams_equal_those_of_batches(spark, provider, tmp_path):
+    """Over a restart amid open windows; ticks close the last ones."""
+    e = spark.read.parquet(f"{SF}/events.parquet").select(
+        F.concat(F.lit("s"), F.col("user_id") % 3).alias("source"), F.col("event_id").alias("seq"), "event_type", F.timestamp_seconds(F.col("event_id") * 7).alias("ts"), "value"
+    )
+    kind = F.when(F.col("value") > 60, "log.rare_template").otherwise("metric.zscore")
+    signals = e.filter("event_type = 'error'").select("source", "seq", "ts", kind.alias("kind"), F.split(kind, "[.]")[0].alias("modality"), F.lit(0.6).alias("score"), kind.alias("merge_key"), F.lit("x").alias("summary"))
+    changes = e.filter("event_type = 'signup'").select("source", F.col("seq").alias("change_id"), "ts", F.lit("deployment").alias("type"))
+    ticks = e.groupBy("source").agg((F.max("ts") + F.expr("INTERVAL 1 DAY")).alias("ts"))
+    path, half = str(tmp_path / "log"), F.timestamp_seconds(F.lit(500 * 7))
+    frames = {"signals": signals, "changes": changes, "ticks": ticks}
+    for part in (F.col("ts") < half, F.col("ts") >= half):
+        for name, df in frames.items():
+            df.filter(part).coalesce(1).write.mode("append").parquet(str(tmp_path / name))
+        streams = {name: spark.readStream.schema(df.schema).parquet(str(tmp_path / name)) for name, df in frames.items()}
+        queries.events_to_log(streams["signals"], streams["changes"], path, str(tmp_path / "cp"), streams["ticks"], horizon_s=600).awaitTermination(120)
+    want = correlate.build_events(signals, changes, horizon_s=600).withColumnRenamed("event_id", "id")
+    got = event_log.query(spark, path, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in want.schema))
+    told = lambda df: sorted((r["id"], r["kind"], r["severity"], r["n_signals"], r["summary"], [c["change_id"] for c in r["related_changes"] or ()]) for r in df.collect())
+    assert told(got) == told(want) and any(x[-1] for x in told(want)) and len({x[3] for x in told(want)}) > 1
+
+
 def test_event_log_batch_again(spark, tmp_path):
     """A batch that comes again, as after a failure before its commit, is there once, beside others; the half of one is made whole."""
     df = spark.createDataFrame([("a", "2026-08-24T10:00:00Z", 1), ("b", "2026-08-25T10:00:00Z", 1), ("c", "2026-08-25T11:00:00Z", 2)], "id string, timestamp string, part int")
