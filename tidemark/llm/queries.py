@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import chat, decontaminate, language, licenses, linededup, mixing, quality, secrets, simhash, urls
+from tidemark.llm import chat, decontaminate, language, licenses, linededup, mixing, negatives, neighbours, quality, secrets, simhash, spelling, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": linededup.op1_line_dedup,
@@ -19,6 +19,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_secret_scan": secrets.op8_secret_scan,
     "op9_chat_formatting": chat.op9_chat_formatting,
     "op10_quality_rules": quality.op10_quality_rules,
+    "op11_hard_negatives": negatives.op11_hard_negatives,
+    "op12_spelling_variants": spelling.op12_spelling_variants,
+    "op13_nearest_neighbours": neighbours.op13_nearest_neighbours,
 }
 
 SQL: dict[str, str] = {
@@ -27,4 +30,6 @@ SQL: dict[str, str] = {
     "op7_mix_sources": mixing.OP7_SQL,
     "op9_chat_formatting": chat.OP9_SQL,
     "op10_quality_rules": quality.OP10_SQL,
+    "op11_hard_negatives": negatives.OP11_SQL,
+    "op12_spelling_variants": spelling.OP12_SQL,
 }
