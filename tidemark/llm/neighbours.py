@@ -7,8 +7,8 @@ are the nearest by inner product for a longest vector; the graph is built on the
   group of near copies meets in one task; nodes of a leaf are compared.
 * **NN-descent**: each round joins every node's neighbours, and some that it is a neighbour of, with their vectors,
   compares the neighbours with each other where one of the two is new, and keeps each node's best.  It ends once few change.
-* **Search**: a query keeps its best ``beam`` nodes.  A round joins those not yet visited with the graph, whose rows carry the
-  neighbours' bytes, and takes in what is better than the worst kept; it ends when every query has visited all it keeps.
+* **Search**: a query keeps its best ``beam`` nodes.  In a round it visits the best of those it hasn't yet: queries meet a node's
+  neighbours, which its row carries as bytes, and take in what is better than the worst they keep.  It ends when every query has visited all it keeps.
 * **Result**: scores of the kept nodes from the original vectors in double precision, then copies back in their place.
 
 Everything is keyed by node or query, so work per query doesn't grow with the table but for its logarithm, and tables of each
@@ -33,8 +33,8 @@ from tidemark.llm.common import table, written
 DEGREE, DEALS, LEAF, ROUNDS, SETTLED, BEAM = 40, 4, 200, 8, 0.08, 160
 #: Nodes of the longest vectors at which each query begins too, and results a query.
 LONGEST, NEAREST = 8, 20
-#: Rows that a task compares at once.
-TOGETHER = 4096
+#: Nodes that a query visits in a round, queries at one node in a task, and rows that a task has at once, asking ones and others.
+STEP, CROWD, ASKED, TOGETHER = 48, 4096, 512, 4096
 
 _LIST = "node long, nbrs array<long>, sims array<float>, old boolean"
 _LIST_SCHEMA = pa.schema([("node", pa.int64()), ("nbrs", pa.list_(pa.int64())), ("sims", pa.list_(pa.float32())), ("old", pa.bool_())])
@@ -162,6 +162,17 @@ def _coded(nodes: DataFrame, d: int, longest: float) -> DataFrame:
     return nodes.select("node", "vec").mapInArrow(run, "node long, code binary, scale float")
 
 
+def _asked(nodes: DataFrame, d: int, longest: float) -> DataFrame:
+    """(query, asked): bytes of single-precision vectors to multiply with coded ones; what makes up for lengths doesn't count."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x = np.concatenate([_dense(b.column(1), d) / longest, np.zeros((len(b), 1))], axis=1).astype(np.float32)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([r.tobytes() for r in x], pa.binary())], names=["query", "asked"])
+
+    return nodes.select("node", "vec").mapInArrow(run, "query long, asked binary")
+
+
 def _dense(lists: pa.Array | pa.ChunkedArray, d: int) -> np.ndarray:
     lists = lists.combine_chunks() if isinstance(lists, pa.ChunkedArray) else lists
     out = np.zeros((len(lists), d))
@@ -212,43 +223,74 @@ def neighbour_graph(coded: DataFrame, d: int, n: int, degree: int = DEGREE, deal
     return graph
 
 
+def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (key, node, code, scale) in order of keys: per key its nodes and their bytes, one after the other."""
+    for t in _groups(batches, 1):
+        cut = _starts(t["key"].to_numpy())
+        code = t["code"].to_pylist()
+        n = np.diff(cut)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(t["key"].to_numpy()[cut[:-1]]), _lists(t["node"].to_numpy(), n, pa.int64()), pa.array([b"".join(code[i:j]) for i, j in zip(cut[:-1], cut[1:], strict=True)], pa.binary()), _lists(t["scale"].to_numpy(), n, pa.float32())],
+            names=["node", "ids", "codes", "scales"],
+        )
+
+
 def _links(graph: DataFrame, coded: DataFrame, degree: int) -> DataFrame:
     """(node, ids, codes, scales): neighbours both ways with their bytes, one after the other."""
-    near = _both_ways(graph, degree).join(coded.withColumnRenamed("node", "nbr"), "nbr")
-    return near.groupBy("node").agg(F.collect_list(F.struct("nbr", "code", "scale")).alias("l")).select(
-        "node", F.transform("l", lambda x: x["nbr"]).alias("ids"), F.transform("l", lambda x: x["code"]).alias("codes"), F.transform("l", lambda x: x["scale"]).alias("scales")
-    )
+    near = _both_ways(graph, degree).join(coded.withColumnRenamed("node", "nbr"), "nbr").select(F.col("node").alias("key"), F.col("nbr").alias("node"), "code", "scale")
+    return _keyed(near, ["key"], _linked, "node long, ids array<long>, codes binary, scales array<float>")
 
 
 def _better(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (query, least, asked, ids, codes, scales): the neighbours whose product with what is asked is above ``least``."""
-    for whole in batches:
-        for at in range(0, len(whole), TOGETHER // 4):
-            b = whole.slice(at, TOGETHER // 4)
-            ids = b.column(3)
-            sizes = ids.value_lengths().to_numpy()
-            row = np.repeat(np.arange(len(b)), sizes)
-            vec = _vectors(pa.chunked_array([b.column(4).flatten()]), b.column(5).flatten().to_numpy())
-            asked = b.column(2).flatten().to_numpy().reshape(len(b), -1)
-            score = np.einsum("ij,ij->i", vec, asked[row])
-            keep = score > b.column(1).to_numpy()[row]
-            yield pa.RecordBatch.from_arrays([pa.array(b.column(0).to_numpy()[row[keep]]), pa.array(ids.flatten().to_numpy()[keep]), pa.array(score[keep])], names=["query", "node", "score"])
-
-
-def greedy_search(queries: DataFrame, begin: DataFrame, links: DataFrame, beam: int = BEAM) -> DataFrame:
+    """Rows (node, part, query, least, asked, ids, codes, scales) in order of node and part, of each first its links and then who asks for them: the
+    linked nodes whose product with what is asked is above ``least``."""
+    for t in _groups(batches, 2):
+        query = t["query"].combine_chunks()
+        asks = np.flatnonzero(query.is_valid().to_numpy(zero_copy_only=False))
+        links = np.flatnonzero(~query.is_valid().to_numpy(zero_copy_only=False))
+        own = t.take(links)
+        lists = own["ids"].combine_chunks()
+        ids, sizes = lists.flatten().to_numpy(), lists.value_lengths().to_numpy()
+        scale = own["scales"].combine_chunks().flatten().to_numpy()
+        code = np.frombuffer(b"".join(own["codes"].to_pylist()), np.int8).reshape(len(ids), -1)
+        begins = np.cumsum(sizes) - sizes
+        of = np.searchsorted(links, asks) - 1  # the links that an asking row follows
+        some = t.take(asks)
+        asked = np.frombuffer(b"".join(some["asked"].to_pylist()), np.float32).reshape(len(asks), -1)
+        query, least = some["query"].to_numpy(), some["least"].to_numpy()
+        for at in range(0, len(asks), ASKED):
+            to = min(at + ASKED, len(asks))
+            n = sizes[of[at:to]]
+            row = np.repeat(np.arange(at, to), n)
+            link = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(begins[of[at:to]], n)
+            score = np.einsum("ij,ij->i", code[link].astype(np.float32), asked[row]) * scale[link]
+            keep = score > least[row]
+            yield pa.RecordBatch.from_arrays([pa.array(query[row[keep]]), pa.array(ids[link[keep]]), pa.array(score[keep])], names=["query", "node", "score"])
+
+
+def greedy_search(queries: DataFrame, begin: DataFrame, links: DataFrame, beam: int = BEAM, step: int = STEP) -> DataFrame:
     """``queries`` (query, asked), ``begin`` (query, node): (query, node), the about ``beam`` best nodes of each query."""
     kept = written(begin.select("query", "node", F.lit(float("-inf")).cast("float").alias("score"), F.lit(False).alias("done")).distinct())
+    best = Window.partitionBy("query").orderBy(F.col("score").desc(), "node")
     while True:
-        ahead = kept.filter("not done")
+        ahead = kept.filter("not done").withColumn("k", F.row_number().over(best)).filter(F.col("k") <= step).select("query", "node")
         if ahead.isEmpty():
             return kept.select("query", "node")
         worst = kept.groupBy("query").agg(F.when(F.count("*") >= beam, F.min("score")).otherwise(float("-inf")).cast("float").alias("least"))
-        asked = ahead.select("query", "node").join(worst.join(queries, "query"), "query")
-        found = asked.join(links, "node").select("query", "least", "asked", "ids", "codes", "scales").mapInArrow(_better, "query long, node long, score float")
-        both = kept.select("query", "node", "score", F.lit(True).alias("done")).union(found.select("query", "node", "score", F.lit(False)))
-        each = both.groupBy("query", "node").agg(F.max("score").alias("score"), F.bool_or("done").alias("done"))
-        order = Window.partitionBy("query").orderBy(F.col("score").desc(), "node")
-        kept = written(each.withColumn("k", F.row_number().over(order)).filter(F.col("k") <= beam).drop("k"))
+        # links go to where they are asked for; what very many ask for is dealt out with the askers
+        crowd = ahead.groupBy("node").agg(F.ceil(F.count("*") / CROWD).cast("int").alias("parts"))
+        none = lambda kind: F.lit(None).cast(kind)
+        asks = ahead.join(crowd, "node").join(worst.join(queries, "query"), "query").select(
+            "node", F.pmod(F.xxhash64("query"), "parts").cast("int").alias("part"), "query", "least", "asked", none("array<bigint>").alias("ids"), none("binary").alias("codes"), none("array<float>").alias("scales")
+        )
+        asked = links.join(crowd, "node").select(
+            "node", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), none("bigint").alias("query"), none("float").alias("least"), none("binary").alias("asked"), "ids", "codes", "scales"
+        )
+        met = asked.union(asks).repartition("node", "part").sortWithinPartitions("node", "part", F.col("query").asc_nulls_first())
+        found = met.mapInArrow(_better, "query long, node long, score float")
+        both = kept.join(ahead.withColumn("now", F.lit(True)), ["query", "node"], "left").select("query", "node", "score", (F.col("done") | F.col("now").isNotNull()).alias("done"))
+        each = both.union(found.select("query", "node", "score", F.lit(False))).groupBy("query", "node").agg(F.max("score").alias("score"), F.bool_or("done").alias("done"))
+        kept = written(each.withColumn("k", F.row_number().over(best)).filter(F.col("k") <= beam).drop("k"))
 
 
 def _exact(pairs: DataFrame, d: int) -> DataFrame:
@@ -285,8 +327,7 @@ def nearest(
     links = written(_links(graph, coded, degree))
     few = [r[0] for r in nodes.orderBy(square.desc(), "node").limit(LONGEST).select("node").collect()]
     own = nodes.filter("asked")
-    fill = F.array_repeat(F.lit(0.0), F.greatest(F.lit(0), d + 1 - F.size("vec")))
-    queries = written(own.select(F.col("node").alias("query"), F.transform(F.concat("vec", fill), lambda x: (x / longest).cast("float")).alias("asked")))
+    queries = written(_asked(own, d, longest))
     begin = own.select(F.col("node").alias("query"), F.explode(F.array_distinct(F.concat(F.array("node"), F.array(*map(F.lit, few))))).alias("node"))
     kept = written(greedy_search(queries, begin, links, beam))
 
