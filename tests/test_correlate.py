@@ -145,10 +145,30 @@ def test_islands_equal_one_fold(spark):
         t += rng.choice((5, 40, 600, 1799, 1801, 4000, 9000))
         rows.append((f"e{k:03}", t, f"s{rng.randrange(4)}", [f"c{rng.randrange(6)}"] if rng.random() < 0.3 else None, "info", 0.5, "x"))
     fold = incidents.Grouping()
-    want = dict(x for i, ts, s, c, *_ in rows for x in fold.step(i, ts * 1_000_000, s, c))
+    want = dict(x for i, ts, s, c, *_ in rows for x in fold.step(i, i, ts * 1_000_000, ts * 1_000_000, s, c))
     assert {r["event_id"]: r["incident_id"] for r in incidents.group_events(events(spark, rows)).collect()} == want
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_incidents_of_a_stream_without_pause(spark, seed):
+    """Hours of events that follow each other closely, equal times among them, as one fold has them; few pieces stand for many events."""
+    import random
+
+    rng = random.Random(seed)
+    t, rows = 0.0, []
+    for k in range(3000):
+        t += rng.choice((0, 0, 1, 10, 29, 30, 30)) if rng.random() < 0.985 else rng.choice((30.5, 31, 200, 1500, 1900))
+        rows.append((f"e{rng.randrange(10)}{k:05}", t, f"s{rng.randrange(5)}", [f"c{rng.randrange(9)}"] if rng.random() < 0.1 else None, "info", 0.5, "x"))
+    rows.sort(key=lambda r: (r[1], r[0]))
+    fold = incidents.Grouping()
+    want = dict(x for i, ts, s, c, *_ in rows for x in fold.step(i, i, int(ts * 1_000_000), int(ts * 1_000_000), s, c))
+    df = events(spark, rows)
+    assert {r["event_id"]: r["incident_id"] for r in incidents.group_events(df).collect()} == want
+    assert len(set(want.values())) > 12
+    heads = incidents._heads(df.select("event_id", F.unix_micros("ts").alias("us")), incidents.GroupConfig())
+    assert 0 < heads.filter("head").count() < 400
+
+
 def test_evidence_last_of_equals(spark):
     rows = [("i", "k", "s", 0.8, "first", at(0), 0), ("i", "k", "s", 0.8, "second", at(5), 1), ("i", "k", "s", 0.3, "third", at(9), 2)]
     got = incidents.evidence(spark.createDataFrame(rows, "incident_id string, kind string, source string, score double, summary string, ts timestamp, seq long")).first()

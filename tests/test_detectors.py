@@ -1,5 +1,6 @@
 """Scenarios of the miner, the detectors and dampening."""
 
+import random
 from datetime import datetime, timedelta
 
 import pytest
@@ -9,6 +10,7 @@ from tidemark.operators import dampening, log_detector, metric_detector, mining
 from tidemark.operators.mining import CHANGED, CREATED, SAME, Miner, MinerConfig
 
 S = 1_000_000
+NONE = [("NUM", r"(?!)")]
 
 
 def test_miner_merges_and_creates():
@@ -150,6 +152,28 @@ def test_mine_and_match(spark):
     assert {len(r["words"]): r["template_id"] for r in mining.match_templates(words, table).collect()} == {5: "1", 2: None}
 
 
+@pytest.mark.parametrize("limit", [0, 400, 25, 6])
+def test_mining_by_length_equals_one_miner(spark, limit):
+    """Numbers and the limit on clusters reach over all lengths of a source: they give what one miner gives, where the limit is hit often too."""
+    rng = random.Random(limit)
+    shapes = [["job", "{w}", "done"], ["open", "{w}", "by", "{w}"], ["a{r}", "x"], ["b{r}", "y", "z"], ["c{r}", "{w}", "q", "r", "s"], ["{w}"]]
+    rows = []
+    for k in range(1500):
+        r = int(rng.paretovariate(0.7)) % 60
+        rows.append((rng.choice("st"), k, " ".join(rng.choice(shapes)).format(w=rng.choice(["u", "v", "w", "x1"]), r=chr(97 + r % 26) * (1 + r // 26))))
+    config = MinerConfig(max_clusters=limit)
+    miners, want = {"s": Miner(config), "t": Miner(config)}, {}
+    for source, k, line in rows:
+        cluster, change = miners[source].add(line.split())
+        want[source, k] = (str(cluster.id), change, " ".join(cluster.template), cluster.size)
+    lines = spark.createDataFrame(rows, "source string, k long, message string").withColumn("seq", F.struct("k")).withColumn("ts", F.timestamp_seconds("k"))
+    mined = mining.mine(lines, ["ts"], "seq", config, masks=NONE, carry=("k",))
+    got = {(r["source"], r["k"]): (r["template_id"], r["change_type"], r["template"], r["cluster_size"]) for r in mined.collect()}
+    assert got == want
+    if limit == 6:
+        assert max(int(x[0]) for x in want.values()) > 300  # clusters come and go
+
+
 def run(series, samples, **kw):
     out = []
     for k, (ts, v) in enumerate(samples):

@@ -195,18 +195,25 @@ def echo_events(signals: DataFrame, changes: DataFrame, horizon_s: int = HORIZON
     """
     of = session_members(changes, echo_s)
     found = echoes(signals, changes, horizon_s, echo_s).join(of.select("change_id", F.col("session_start")), "change_id")
+    return wakes(found.select("seq", F.col("echo_source").alias("changed"), "session_start").join(signals, "seq"), of)
+
+
+def wakes(signals: DataFrame, of: DataFrame) -> DataFrame:
+    """Echo events of ``signals`` with ``changed`` and ``session_start``: the source and session of the change that each follows; ``of``: changes with their session."""
+    told = _told(of)
     own = [c for c in ("summary", "marking") if c in signals.columns]
-    rows = signals.select("seq", F.col("source").alias("from"), "kind", "modality", "score", "ts", *own, F.concat_ws("\0", "source", "merge_key").alias("merge_key"))
-    rows = found.select("seq", F.col("echo_source").alias("source"), "session_start").join(rows, "seq")
+    rows = signals.select(
+        "seq", F.col("changed").alias("source"), "session_start", F.col("source").alias("from"), "kind", "modality", "score", "ts", *own, F.concat_ws("\0", "source", "merge_key").alias("merge_key")
+    )
     by = ["source", "session_start"]
     sources = rows.groupBy(*by).agg(F.array_sort(F.collect_set("from")).alias("sources"), F.min("ts").alias("ts"), F.count("*").alias("instances"))
     events = combine(merge_signals(rows, by), by).join(sources, by)
-    pairs = of.select(*by, "change_id", F.col("ts").alias("c_ts"), *_told(changes)).join(events.select(*by, "ts"), by)
+    pairs = of.select(*by, "change_id", F.col("ts").alias("c_ts"), *told).join(events.select(*by, "ts"), by)
     pairs = pairs.withColumn("offset_seconds", F.round(seconds(F.col("c_ts")) - seconds(F.col("ts")), 6))
-    out = events.join(_latest_changes(pairs, by, _told(changes)), by)
+    out = events.join(_latest_changes(pairs, by, told), by)
     n, names = F.size("signals"), F.array_join("sources", ", ")
     latest = F.element_at("related_changes", -1)
-    what = F.concat(F.coalesce(latest["type"], F.lit("change")), F.lit(" ")) if "type" in changes.columns else F.lit("")
+    what = F.concat(F.coalesce(latest["type"], F.lit("change")), F.lit(" ")) if "type" in told else F.lit("")
     return out.select(
         F.substring(F.sha2(F.concat_ws("\x1f", F.lit("echo"), "source", F.unix_micros(F.col("session_start").cast("timestamp")).cast("string")), 256), 1, 32).alias("event_id"),
         F.lit("anomaly.change_echo").alias("kind"),
@@ -249,9 +256,9 @@ def build_events(signals: DataFrame, changes: DataFrame, window_s: float = WINDO
     """From signals to events: windows, merging, combination, related changes and severity.
 
     Events carry what their signals do: summary, service and environment if there; with ``observations`` (source, ts, seq) also
-    the context of their first signal's.
+    the context of their first signal's.  Signals that come with window_us, as of ``anchored_windows``, keep their windows.
     """
-    windows = anchored_windows(signals, window_s)
+    windows = signals if "window_us" in signals.columns else anchored_windows(signals, window_s)
     by = ["source", "window_us"]
     named = [c for c in ("service", "environment") if c in signals.columns]
     firsts = windows.groupBy(*by).agg(F.min(F.struct("ts", "seq", *named)).alias("first"), F.count("*").alias("instances"))

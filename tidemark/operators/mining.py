@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections import OrderedDict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 from operator import eq
 
 from pyspark.sql import Column, DataFrame
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.templates import PARAM, mask, parameters, tokens
 from tidemark.operators.folds import Resume, keyed_fold
+from tidemark.shared import running, written
 
 CREATED, CHANGED, SAME = "cluster_created", "cluster_template_changed", "none"
 MATCHED = "cluster_id long, change_type string, template array<string>, size long"
@@ -166,18 +168,128 @@ class _Mining:
         return iter(())
 
 
+class _OneLength:
+    """The miner of a source's messages of one number of words; clusters go when they are told to as well.
+
+    What the limit takes here would go under the limit of the whole source too, at that time or before.
+    """
+
+    def __init__(self, config: MinerConfig) -> None:
+        self.miner = Miner(config)
+
+    def step(self, gone: int | None, seq, words: list[str], *carried) -> Iterator[tuple]:
+        if gone is not None:
+            self.miner.clusters.pop(gone, None)
+            return
+        cluster, change = self.miner.add(words)
+        yield seq, words, cluster.id, change, list(cluster.template), cluster.size, *carried
+
+    def finish(self) -> Iterator[tuple]:
+        return iter(())
+
+
+class _Recency:
+    """Which cluster of a source goes when another begins: the one that was used least recently."""
+
+    def __init__(self, limit: int) -> None:
+        self.limit = limit
+        self.used: OrderedDict[tuple[int, int], None] = OrderedDict()
+
+    def step(self, n: int, cluster: int, *at) -> Iterator[tuple]:
+        if (n, cluster) not in self.used and len(self.used) >= self.limit:
+            yield *self.used.popitem(last=False)[0], *at
+        self.used[n, cluster] = None
+        self.used.move_to_end((n, cluster))
+
+    def finish(self) -> Iterator[tuple]:
+        return iter(())
+
+
+#: Times that sources over the limit of clusters are mined by lengths, before what isn't settled is mined source by source.
+ROUNDS = 4
+
+
+def _typed(df: DataFrame, columns: list[str], names: list[str] | None = None) -> str:
+    return "".join(f", {name} {df.schema[c].dataType.simpleString()}" for c, name in zip(columns, names or columns, strict=True))
+
+
+class _Parallel:
+    """Mining by source and number of words: messages of different lengths never meet in a tree.
+
+    What lengths share is the numbering of clusters and the limit on how many there are.  Numbers follow from the order of first
+    messages.  Where a source has more clusters than the limit, a pass over (length, cluster) in order tells which of
+    them go when, and the lengths are mined again with that told; up to the first message that it concerns the result was right before, so each round is right for longer, and
+    one that tells the same as the round before is the result.
+    """
+
+    def __init__(self, rows: DataFrame, order: list[str], seq: str, config: MinerConfig, carry: tuple[str, ...]) -> None:
+        self.seq, self.config, self.carry = seq, config, carry
+        self.at = [f"_at{k}" for k in range(len(order) + 1)]  # the place of a message in its source
+        self.rows = rows.select(
+            "source", F.size("words").alias("_n"), F.lit(None).cast("int").alias("_gone"), seq, "words", *carry, *[F.col(c).alias(a) for c, a in zip([*order, seq], self.at, strict=True)]
+        )
+        kind = rows.schema[seq].dataType.simpleString()
+        self.ddl = f"{seq} {kind}, words array<string>, {MATCHED}{_typed(rows, list(carry))}{_typed(self.rows, self.at)}"
+
+    def by_length(self, rows: DataFrame) -> DataFrame:
+        config, columns = self.config, ["_gone", self.seq, "words", *self.carry, *self.at]
+        return keyed_fold(rows, ["source", "_n"], [*self.at, "_gone"], columns, lambda: _OneLength(config), self.ddl)
+
+    def goes(self, found: DataFrame) -> DataFrame:
+        limit = self.config.max_clusters
+        kinds = _typed(self.rows, self.at)
+        rows = found.select("source", "_n", "cluster_id", *self.at)
+        return keyed_fold(rows, ["source"], self.at, ["_n", "cluster_id", *self.at], lambda: _Recency(limit), f"n int, gone long{kinds}")
+
+    def result(self) -> DataFrame:
+        found = written(self.by_length(self.rows))
+        if self.config.max_clusters > 0:
+            created = found.filter(F.col("change_type") == CREATED).groupBy("source").count()
+            over = written(created.filter(F.col("count") > self.config.max_clusters).select("source"))
+            if not over.isEmpty():
+                found = self.limited(found, over)
+        # numbers by first messages, over all lengths of a source
+        begun = found.filter(F.col("change_type") == CREATED).select("source", "_n", "cluster_id", *self.at)
+        placed = written(running(begun, ["source", *self.at], {"_k": F.lit(1).cast("long")}))
+        first = placed.groupBy("source").agg(F.min("_k").alias("_first"))
+        numbered = placed.join(first, "source").select("source", "_n", "cluster_id", (F.col("_k") - F.col("_first") + 1).alias("_id"))
+        return found.join(numbered, ["source", "_n", "cluster_id"]).drop("cluster_id", *self.at).withColumnRenamed("_id", "cluster_id")
+
+    def limited(self, found: DataFrame, over: DataFrame) -> DataFrame:
+        done, open_ = [found.join(over, "source", "left_anti")], over
+        found = found.join(over, "source", "left_semi")
+        told = written(self.goes(found))
+        for _ in range(ROUNDS):
+            marks = told.select("source", F.col("n").alias("_n"), F.col("gone").cast("int").alias("_gone"), *self.at)
+            lines = self.rows.join(open_, "source", "left_semi").unionByName(marks, allowMissingColumns=True)
+            found = written(self.by_length(lines))
+            before, told = told, written(self.goes(found))
+            same = lambda t: t.groupBy("source").agg(F.count("*").alias("n"), F.sum(F.xxhash64("n", "gone", *self.at).cast("decimal(38,0)")).alias("sum"))
+            settled = written(same(told).join(same(before), ["source", "n", "sum"]).select("source"))
+            done.append(found.join(settled, "source", "left_semi"))
+            open_ = written(open_.join(settled, "source", "left_anti"))
+            if open_.isEmpty():
+                return reduce(DataFrame.unionByName, done)
+            told = written(told.join(open_, "source", "left_semi"))
+        config, carried = self.config, [*self.carry, *self.at]
+        rest = self.rows.join(open_, "source", "left_semi")
+        whole = keyed_fold(rest, ["source"], self.at, [self.seq, "words", *carried], lambda: _Mining(config), self.ddl)
+        return reduce(DataFrame.unionByName, [*done, written(whole.withColumn("_n", F.size("words")))])
+
+
 def mine(lines: DataFrame, order: list[str], seq: str, config: MinerConfig = MinerConfig(), masks=None, carry: tuple[str, ...] = (), resume: Resume | None = None) -> DataFrame:
     """``lines`` (source, message, ``order``, ``seq``): per row its template after the row, and its parameters.
 
-    ``seq`` identifies a row within its source; the columns of ``carry`` come along.  ``resume``: goes on where an earlier run ended.
+    ``seq`` identifies a row within its source; the columns of ``carry`` come along.  A source's lines are mined by number of words, in a task each.
+    ``resume``: goes on where an earlier run ended; the miner's state is that of a source, so one task mines it.
     """
     masked = mask(F.col("message")) if masks is None else mask(F.col("message"), masks)
     rows = lines.withColumn("words", F.coalesce(tokens(masked), F.array().cast("array<string>")))
-    kind = lines.schema[seq].dataType.simpleString()
-    more = "".join(f", {c} {lines.schema[c].dataType.simpleString()}" for c in carry)
-    found = keyed_fold(
-        rows, ["source"], order, [seq, "words", *carry], lambda: _Mining(config), f"{seq} {kind}, words array<string>, {MATCHED}{more}", resume
-    )
+    if resume is None:
+        found = _Parallel(rows, order, seq, config, carry).result()
+    else:
+        ddl = f"{seq} {lines.schema[seq].dataType.simpleString()}, words array<string>, {MATCHED}{_typed(lines, list(carry))}"
+        found = keyed_fold(rows, ["source"], order, [seq, "words", *carry], lambda: _Mining(config), ddl, resume)
     return found.select(
         "source",
         seq,

@@ -6,7 +6,7 @@ import functools
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -68,3 +68,23 @@ def running(df: DataFrame, order: list, sums: dict) -> DataFrame:
     inside = Window.partitionBy(part).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     joined = ranged.join(F.broadcast(starts), part)  # one row a range
     return joined.select(*df.columns, *[(F.col(f"{c}_before") + F.sum(c).over(inside)).alias(name) for c, name in zip(own, sums, strict=True)])
+
+
+def carried(df: DataFrame, order: list[str], name: str, value: Column) -> DataFrame:
+    """``df`` with ``name``: the last ``value`` that isn't null of the rows before each in ``order``, null if there is none.
+
+    ``order`` names columns, with ``-`` before those that fall.
+
+    As ``running``, over ranges: what crosses from one to the next is one row a range.
+    """
+    part, own = "_range", "_own"
+    onwards, back = ([F.col(c.lstrip("-")).asc() if c.startswith("-") == turned else F.col(c.lstrip("-")).desc() for c in order] for turned in (False, True))
+    ranged = written(df.withColumn(own, value).repartitionByRange(*onwards).withColumn(part, F.spark_partition_id()))
+    last = ranged.filter(F.col(own).isNotNull()).withColumn("_k", F.row_number().over(Window.partitionBy(part).orderBy(*back))).filter("_k = 1").select(part, F.col(own).alias("_last"))
+    parts = ranged.select(part).distinct().join(last, part, "left")  # one row a range
+    before = Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    starts = parts.select(part, F.last("_last", ignorenulls=True).over(before).alias("_start"))
+    inside = Window.partitionBy(part).orderBy(*onwards).rowsBetween(Window.unboundedPreceding, -1)
+    joined = ranged.join(F.broadcast(starts), part)
+    return joined.select(*df.columns, F.coalesce(F.last(own, ignorenulls=True).over(inside), F.col("_start")).alias(name))
+

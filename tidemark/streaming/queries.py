@@ -2,12 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.types import LongType, StructField, StructType
 
 from tidemark.functions.series import MIN_DELTAS
 from tidemark.functions.templates import best_marking, informative, mask, tokens
@@ -66,7 +63,7 @@ def bucket_counts(rows: DataFrame, width: str = "1 minute", late: str = "0 secon
     )
 
 
-def _append_once(events: DataFrame, path: str) -> None:
+def append_once(events: DataFrame, path: str) -> None:
     """Events that the log doesn't have yet, to the folder of their day if they have a ``timestamp``, else of today."""
     dated = "timestamp" in events.columns
     day = F.to_date("timestamp") if dated else F.current_date()
@@ -80,77 +77,10 @@ def to_event_log(events: DataFrame, path: str, checkpoint: str) -> StreamingQuer
 
     Events with a ``timestamp`` go to the folder of its day, so that ids are looked for in the batch's days only.
     """
-    write = lambda batch, _: _append_once(batch, path)
+    write = lambda batch, _: append_once(batch, path)
     return events.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-class _Windows:
-    """The open windows of a source's signals, and its changes near them; a window comes out once its time has passed."""
-
-    def __init__(self, width: int, horizon: int) -> None:
-        self.width, self.horizon = width, horizon
-        self.open: list[tuple[int, list[str]]] = []
-        self.changes: list[tuple[int, str]] = []
-
-    def step(self, ts: int, signal: str | None, change: str | None) -> Iterator[tuple]:
-        while self.open and ts > self.open[0][0] + self.width:
-            start, own = self.open.pop(0)
-            yield start, own, [c for at, c in self.changes if start - self.horizon <= at <= start + self.width]
-        if change is not None:
-            self.changes = [x for x in self.changes if x[0] >= ts - self.horizon - self.width] + [(ts, change)]
-        if signal is not None:
-            if self.open and ts - self.open[-1][0] < self.width:
-                self.open[-1][1].append(signal)
-            else:
-                self.open.append((ts, [signal]))
-
-    def finish(self) -> Iterator[tuple]:
-        return iter(())
-
-
-def closed_windows(
-    signals: DataFrame, changes: DataFrame, ticks: DataFrame | None = None, window_s: float = correlate.WINDOW_S, horizon_s: int = correlate.HORIZON_S
-) -> DataFrame:
-    """(source, window_us, signals, changes) of every window of ``signals`` (source, seq, ts, ...) that has closed, with the ``changes``
-    (source, change_id, ts, ...) near it, both as JSON.
-
-    A window closes when something later comes of its source: a signal, a change, or a row of ``ticks`` (source, ts), such as its observations.
-    """
-    none = F.lit(None).cast("string")
-    told = lambda df: F.to_json(F.struct(*[micros("ts") if c == "ts" else F.col(c) for c in df.columns]))
-    rows = changes.select("source", micros("ts"), F.lit(0).alias("what"), none.alias("signal"), told(changes).alias("change"))
-    rows = rows.union(signals.select("source", micros("ts"), F.lit(1), told(signals), none))
-    if ticks is not None:
-        rows = rows.union(ticks.select("source", micros("ts"), F.lit(2), none, none))
-    make = lambda: _Windows(int(window_s * 1_000_000), int(horizon_s * 1_000_000))
-    return stream_fold(rows, ["source"], ["ts", "what", "signal", "change"], ["ts", "signal", "change"], make, "window_us long, signals array<string>, changes array<string>")
-
-
-def events_to_log(
-    signals: DataFrame, changes: DataFrame, path: str, checkpoint: str, ticks: DataFrame | None = None,
-    window_s: float = correlate.WINDOW_S, horizon_s: int = correlate.HORIZON_S,
-) -> StreamingQuery:
-    """Correlates streams as ``correlate.build_events`` does batches, and appends the events to the event log, from which incidents are made.
-
-    Each micro-batch builds the events of the windows that it closes.  Echoes, which look at all sources at once, are for batches.
-    """
-
-    def parsed(closed: DataFrame, column: str, like: DataFrame) -> DataFrame:
-        schema = StructType([StructField(f.name, LongType() if f.name == "ts" else f.dataType) for f in like.schema])
-        rows = closed.select(F.explode(column).alias("x")).select(F.from_json("x", schema).alias("x")).select("x.*")
-        return rows.withColumn("ts", F.timestamp_micros("ts"))
-
-    def write(batch: DataFrame, _: int) -> None:
-        closed = written(batch)
-        if not closed.isEmpty():
-            near = parsed(closed, "changes", changes).dropDuplicates(["source", "change_id"])
-            events = correlate.build_events(parsed(closed, "signals", signals), near, window_s, horizon_s)
-            _append_once(written(events.withColumnsRenamed({"event_id": "id", "ts": "timestamp"})), path)
-
-    closed = closed_windows(signals, changes, ticks, window_s, horizon_s)
-    return closed.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
 def windows(signals: DataFrame, width_s: float = correlate.WINDOW_S) -> DataFrame:
     """``signals`` (source, seq, ts): (source, seq, window_us), the window of 30 seconds that each falls in."""
     width = int(width_s * 1_000_000)
