@@ -32,7 +32,7 @@ def odd(spark):
         (5, "the same words in a row of ten words or more here", "s2"), (5, "the same words in a row of ten words or more here", "s2"),
         (6, "the same words in a row of ten words or more here", "s3"), (7, "the same words in a line of ten words or more here", "s3"), (8, "ß É 漢字 \U0001f600", "s3"),
     ]
-    own = ("row", "key", "id", "th", "at", "fp", "kept", "line", "size", "rank", "item", "w", "n_lines", "text_", "x", "a", "b", "_gone")
+    own = ("row", "key", "id", "th", "at", "fp", "kept", "line", "size", "rank", "item", "w", "n_lines", "text_", "x", "a", "b", "_gone", "a.b", "q`r")
     return documents(spark, rows).withColumns({c: F.lit(c) for c in own})
 
 

@@ -1,5 +1,6 @@
 """The pipeline's stages against brute force, each on what the one before kept."""
 
+import re
 from collections import Counter
 
 import corpus_pipeline
@@ -25,8 +26,8 @@ def stages(spark):
 
 def test_columns(stages):
     for name, (before, after) in stages.items():
-        if name != "mix_sources":
-            assert after.columns == before.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+        assert before.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+        assert after.columns == before.columns + ["copies"] * (name == "mix_sources")
 
 
 def test_quality(stages, duck):
@@ -67,7 +68,10 @@ def test_mix(stages, tmp_path):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/d/*.parquet'")
     want = {r[0]: r[1] for r in con.execute(f"SELECT doc_id, taken FROM ({OP7_SQL}) WHERE taken > 0").fetchall()}
-    assert want == {r["doc_id"]: r["taken"] for r in after.collect()}
+    words = {r["doc_id"]: r["copies"] * len(re.findall(r"[^\x20\x09-\x0D]+", r["text"])) for r in after.collect()}
+    assert want == words
+    # the mix is of the documents as they were
+    assert after.drop("copies").exceptAll(before).isEmpty()
 
 
 def test_run_gives_the_last_stage(stages, spark):
@@ -83,12 +87,13 @@ def test_stages_on_odd_documents(spark):
         (8, words(8) + "\n" + words(5), "en", "a", 8), (9, words(9), "en", "a", 9),
     ]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
-    docs = docs.withColumns({c: F.lit(c) for c in ("row", "key", "id", "th", "at", "kept", "line", "fp", "size", "copies", "digest", "n_kept", "_row")})
+    docs = docs.withColumns({c: F.lit(c) for c in ("row", "key", "id", "th", "at", "kept", "line", "fp", "size", "copies", "digest", "n_kept", "_row", "a.b", "q`r", "_doc")})
     for frame in (docs, docs.limit(0)):
         for name, stage in corpus_pipeline.STAGES:
             before, frame = frame, written(stage(spark, frame, SF))
-            if name != "mix_sources":
-                assert frame.columns == before.columns
+            assert frame.columns == [c for c in before.columns if name != "mix_sources" or c != "copies"] + ["copies"] * (name == "mix_sources")
+            if name == "mix_sources" and before.count():
+                assert frame.drop("copies").exceptAll(before.drop("copies")).isEmpty() and not frame.filter("copies < 1 or text is null").count()
             if name == "line_dedup" and before.count():
                 kept = Counter((r["doc_id"], r["text"]) for r in frame.select("doc_id", "text").collect())
                 # rows 5 repeat and stay alike; 6 has but their line; 8 keeps its own line; unnamed ones keep theirs

@@ -39,6 +39,11 @@ def word_count(text: Column) -> Column:
     return F.size(words_of(text)).cast("long")
 
 
+def all_columns(df: DataFrame) -> list[Column]:
+    """The columns of ``df`` under their own names, dots and quotes among them."""
+    return [F.col("`" + c.replace("`", "``") + "`").alias(c) for c in df.columns]
+
+
 def dealt(df: DataFrame) -> DataFrame:
     """``df``, dealt out to all cores where it comes in fewer pieces than half of them."""
     cores = df.sparkSession.sparkContext.defaultParallelism

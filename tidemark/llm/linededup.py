@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import dealt, let, map_rows, table, trimmed, written
+from tidemark.llm.common import all_columns, dealt, let, map_rows, table, trimmed, written
 
 MIN_UNITS = 10
 #: Bits of the filter of places, a constant 8 MB, and how many each place sets.
@@ -302,7 +302,7 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_un
     """
     per = kept_lines(docs, key, text, min_units).groupBy("nul", "id", "th").agg(F.sort_array(F.collect_list("at")).alias("kept"))
     rows = docs.select(
-        F.struct(*docs.columns).alias("row"), F.col(key).alias("rid"), F.col(text).alias("t"), F.xxhash64(text).alias("rth")
+        F.struct(*all_columns(docs)).alias("row"), F.col(key).alias("rid"), F.col(text).alias("t"), F.xxhash64(text).alias("rth")
     )
     joined = rows.join(per, F.col("rid").eqNullSafe(F.col("id")) & (F.col("rth") == F.col("th")), "left")
     lines = F.split(F.coalesce(F.col("t"), F.lit("")), "\n")
@@ -313,7 +313,7 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_un
     )
     out = joined.withColumn("n_lines", n_lines.cast("long")).withColumn("n_kept", F.size(kept).cast("long"))
     own = [c for c in docs.columns if c not in ("n_lines", "n_kept")]
-    return out.select(*[(new if c == text else F.col("row")[c]).alias(c) for c in own], "n_lines", "n_kept")
+    return out.select(*[(new if c == text else F.col("row").getField(c)).alias(c) for c in own], "n_lines", "n_kept")
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

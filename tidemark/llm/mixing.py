@@ -23,7 +23,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import running, table, word_count, written
+from tidemark.llm.common import all_columns, running, table, word_count, written
 
 WEIGHTS = (1, 2, 3)
 CAP = 3
@@ -190,13 +190,28 @@ def mix_plan(sizes: DataFrame, cap: int = CAP, weights: tuple[int, ...] = WEIGHT
 
 def mix_sources(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", seed: str = SEED, **how) -> DataFrame:
     """doc_id, source, size, source_size, target, taken (words) and copies of every row of ``docs``."""
+    return _mixed(docs, [], key, text, source, seed, **how)
+
+
+def mix_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", seed: str = SEED, **how) -> DataFrame:
+    """The rows of ``docs`` that the mix takes, all columns as they were, and ``copies``, how often; a column of that name gives way.
+
+    Texts are written once, beside what the draw needs, and not shuffled: what is known of the sources comes to them.
+    """
+    whole = F.struct(*all_columns(docs)).alias("_doc")
+    mixed = _mixed(docs, [whole], key, text, source, seed, **how).filter("copies > 0")
+    return mixed.select(*[F.col("_doc").getField(c).alias(c) for c in docs.columns if c != "copies"], "copies")
+
+
+def _mixed(docs: DataFrame, carried: list[Column], key: str, text: str, source: str, seed: str, **how) -> DataFrame:
     t = F.col(text)
     rows = docs.select(
-        F.col(key).alias("doc_id"), F.col(source).alias("source"), word_count(t).alias("size"), F.md5(F.coalesce(t, F.lit("")).cast("binary")).alias("text_md5")
+        F.col(key).alias("doc_id"), F.col(source).alias("source"), word_count(t).alias("size"), F.md5(F.coalesce(t, F.lit("")).cast("binary")).alias("text_md5"), *carried
     )
     named = numbered(rows).withColumn("digest", digest(F.col("doc_id"), F.col("text_md5"), F.col("nth"), seed))
-    plan = mix_plan(written(named.select("doc_id", "source", "size", "digest")), **how)
-    return plan.drop("digest")
+    sized = named.drop("text_md5", "nth")
+    # numbered rows are a written table already; without texts a smaller one is worth it
+    return mix_plan(sized if carried else written(sized), **how).drop("digest")
 
 
 def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import row_identity, table, without_rows, written
+from tidemark.llm.common import all_columns, row_identity, table, without_rows, written
 from tidemark.llm.components import components
 
 SHINGLE, SEED, RADIUS = 3, 42, 3
@@ -172,9 +172,9 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     """
     identity = row_identity(F.col(key), F.col(text))
     kept = without_rows(docs, identity, near_duplicates(docs, key, text).filter(~F.col("first")).select("key", "t", "u"))
-    unnamed = kept.filter(F.col(key).isNull()).select(identity[1].alias("t"), identity[2].alias("u"), F.struct(*docs.columns).alias("row"))
+    unnamed = kept.filter(F.col(key).isNull()).select(identity[1].alias("t"), identity[2].alias("u"), F.struct(*all_columns(docs)).alias("row"))
     one = unnamed.groupBy("t", "u").agg(F.min_by("row", F.xxhash64("row")).alias("row"))
-    return kept.filter(F.col(key).isNotNull()).union(one.select(*[F.col("row")[c].alias(c) for c in docs.columns]))
+    return kept.filter(F.col(key).isNotNull()).union(one.select(*[F.col("row").getField(c).alias(c) for c in docs.columns]))
 
 
 def op6_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
