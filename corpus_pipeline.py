@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import decontaminate, linededup, mixing, quality, simhash
-from tidemark.llm.common import table, written
+from tidemark.llm.common import all_columns, table, written
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,7 +28,7 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     changed = F.col("n_kept") < F.col("n_lines")
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(changed, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+    return out.select(*all_columns(docs))
 
 
 def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,11 +46,11 @@ def decontaminate_docs(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Mixing sources to target weights: documents with the copies that the mix takes, those without any go, texts without a word too.
+    """Mixing sources to target weights: the documents that the mix takes, all columns as they were, and ``copies``, how often each.
 
-    The null source is one; rows that repeat draw each for itself.
+    Texts without a word go; the null source is one; rows that repeat draw each for itself; a column named copies gives way.
     """
-    return mixing.mix_sources(docs).filter("copies > 0")
+    return mixing.mix_documents(docs)
 
 
 STAGES = [
