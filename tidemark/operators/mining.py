@@ -12,6 +12,7 @@ from dataclasses import dataclass, field
 from functools import reduce
 from operator import eq
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,10 +33,26 @@ class MinerConfig:
     numbers_are_parameters: bool = True
 
 
+class _Table:
+    """The templates of a crowded node as rows of word numbers, so that a message is compared with all of them at once."""
+
+    def __init__(self, width: int) -> None:
+        self.words = np.zeros((16, width), np.int32)
+        self.holes, self.alive = np.zeros(16, np.int32), np.zeros(16, bool)
+        self.n = 0
+
+    def append(self, words: list[int], holes: int) -> None:
+        if self.n == len(self.holes):
+            self.words, self.holes, self.alive = (np.concatenate([x, np.zeros_like(x)]) for x in (self.words, self.holes, self.alive))
+        self.words[self.n], self.holes[self.n], self.alive[self.n] = words, holes, True
+        self.n += 1
+
+
 @dataclass
 class _Node:
     children: dict[str, _Node] = field(default_factory=dict)
     ids: list[int] = field(default_factory=list)
+    table: _Table | None = None
 
 
 @dataclass
@@ -44,28 +61,35 @@ class Cluster:
     template: list[str]
     size: int = 1
     holes: int = 0
+    home: tuple[_Node, int] | None = field(default=None, repr=False, compare=False)  # its node and place, if the node has a table
 
     def __post_init__(self) -> None:
         self.holes = self.template.count(PARAM)
 
 
+#: Templates of a node from which on it has a table, and word numbers that no other word has: a parameter in a template, one in a message, a word of no template.
+CROWDED = 12
+_HOLE, _PARAM, _UNKNOWN = -1, -2, -3
+
+
 class Miner:
     """Clusters by recency of use, and a prefix tree over their templates."""
 
     def __init__(self, config: MinerConfig = MinerConfig()) -> None:
         self.config = config
+        self.numbers: dict[str, int] = {}  # of the words of templates in tables
         self.clusters: OrderedDict[int, Cluster] = OrderedDict()
         self.lengths: dict[int, _Node] = {}
         self.last_id = 0
 
     def add(self, words: list[str]) -> tuple[Cluster, str]:
         leaf = self._leaf(words)
-        cluster = self._closest(leaf.ids, words, self.config.similarity) if leaf else None
+        cluster = self._nearest(leaf, words, self.config.similarity) if leaf else None
         if cluster is None:
             self.last_id += 1
             cluster = Cluster(self.last_id, list(words))
             if 0 < self.config.max_clusters <= len(self.clusters):
-                self.clusters.popitem(last=False)
+                self.drop(next(iter(self.clusters)))
             self.clusters[cluster.id] = cluster
             self._insert(cluster)
             return cluster, CREATED
@@ -74,6 +98,9 @@ class Miner:
         cluster.size += 1
         if change == CHANGED:
             cluster.template, cluster.holes = template, template.count(PARAM)
+            if cluster.home:
+                node, at = cluster.home
+                node.table.words[at], node.table.holes[at] = self._numbered(template), cluster.holes
         self.clusters.move_to_end(cluster.id)
         return cluster, change
 
@@ -82,7 +109,7 @@ class Miner:
         found = None
         if strategy != "always":
             leaf = self._leaf(words)
-            found = self._closest(leaf.ids, words, 1.0, True) if leaf else None
+            found = self._nearest(leaf, words, 1.0, True) if leaf else None
         if found is None and strategy != "never":
             same_length = [c.id for c in self.clusters.values() if len(c.template) == len(words)]
             found = self._closest(same_length, words, 1.0, True)
@@ -100,6 +127,27 @@ class Miner:
             node = node.children.get(word) or node.children.get(PARAM)
         return node
 
+    def drop(self, id_: int) -> None:
+        """Forgets a cluster."""
+        cluster = self.clusters.pop(id_, None)
+        if cluster is not None and cluster.home:
+            cluster.home[0].table.alive[cluster.home[1]] = False
+
+    def _numbered(self, template: list[str]) -> list[int]:
+        return [_HOLE if w == PARAM else self.numbers.setdefault(w, len(self.numbers)) for w in template]
+
+    def _nearest(self, node: _Node, words: list[str], least: float, count_parameters: bool = False) -> Cluster | None:
+        """As ``_closest`` over the clusters of a node."""
+        if node.table is None:
+            return self._closest(node.ids, words, least, count_parameters)
+        n, t = len(words), node.table
+        asked = np.array([_PARAM if w == PARAM else self.numbers.get(w, _UNKNOWN) for w in words], np.int32)
+        equal = np.count_nonzero(t.words[: t.n] == asked, axis=1)
+        if count_parameters:
+            equal = equal + t.holes[: t.n]
+        at = int(np.argmax(np.where(t.alive[: t.n], equal * (n + 1) + t.holes[: t.n], -1)))
+        return self.clusters[node.ids[at]] if t.alive[at] and equal[at] / n >= least else None
+
     def _closest(self, ids: list[int], words: list[str], least: float, count_parameters: bool = False) -> Cluster | None:
         """The cluster with the most words equal, of these the one with the most parameters, of these the first; None under ``least``."""
         n, both = len(words), PARAM in words
@@ -130,7 +178,32 @@ class Miner:
             return
         for word in self._steps(cluster.template):
             node = node.children.setdefault(self._branch(node, word), _Node())
-        node.ids = [i for i in node.ids if i in self.clusters] + [cluster.id]
+        self._place(node, cluster)
+
+    def _place(self, node: _Node, cluster: Cluster) -> None:
+        if node.table is not None and 2 * np.count_nonzero(node.table.alive) >= node.table.n:
+            node.ids.append(cluster.id)
+            node.table.append(self._numbered(cluster.template), cluster.holes)
+            cluster.home = (node, node.table.n - 1)
+            return
+        node.ids, node.table = [i for i in node.ids if i in self.clusters] + [cluster.id], None
+        crowded = len(node.ids) >= CROWDED
+        if crowded:
+            node.table = _Table(len(cluster.template))
+        for at, id_ in enumerate(node.ids):
+            own = self.clusters[id_]
+            own.home = (node, at) if crowded else None
+            if crowded:
+                node.table.append(self._numbered(own.template), own.holes)
+        if len(self.numbers) > 64 * (1000 + len(self.clusters)):
+            self._renumber()
+
+    def _renumber(self) -> None:
+        """Words of templates that are gone have their numbers no longer."""
+        self.numbers = {}
+        for cluster in self.clusters.values():
+            if cluster.home:
+                cluster.home[0].table.words[cluster.home[1]] = self._numbered(cluster.template)
 
     def _branch(self, node: _Node, word: str) -> str:
         """The child of ``node`` that a new template's word goes to."""
@@ -179,7 +252,7 @@ class _OneLength:
 
     def step(self, gone: int | None, seq, words: list[str], *carried) -> Iterator[tuple]:
         if gone is not None:
-            self.miner.clusters.pop(gone, None)
+            self.miner.drop(gone)
             return
         cluster, change = self.miner.add(words)
         yield seq, words, cluster.id, change, list(cluster.template), cluster.size, *carried
@@ -189,15 +262,18 @@ class _OneLength:
 
 
 class _Recency:
-    """Which cluster of a source goes when another begins: the one that was used least recently."""
+    """Which cluster of a source goes when another begins: the one that was used least recently; and which were used after they had gone."""
 
     def __init__(self, limit: int) -> None:
         self.limit = limit
         self.used: OrderedDict[tuple[int, int], None] = OrderedDict()
 
-    def step(self, n: int, cluster: int, *at) -> Iterator[tuple]:
-        if (n, cluster) not in self.used and len(self.used) >= self.limit:
-            yield *self.used.popitem(last=False)[0], *at
+    def step(self, n: int, cluster: int, created: bool, *at) -> Iterator[tuple]:
+        if (n, cluster) not in self.used:
+            if not created:
+                yield n, None, *at
+            if len(self.used) >= self.limit:
+                yield *self.used.popitem(last=False)[0], *at
         self.used[n, cluster] = None
         self.used.move_to_end((n, cluster))
 
@@ -218,8 +294,8 @@ class _Parallel:
 
     What lengths share is the numbering of clusters and the limit on how many there are.  Numbers follow from the order of first
     messages.  Where a source has more clusters than the limit, a pass over (length, cluster) in order tells which of
-    them go when, and the lengths are mined again with that told; up to the first message that it concerns the result was right before, so each round is right for longer, and
-    one that tells the same as the round before is the result.
+    them go when.  A cluster that no message joins after it has gone makes no difference; lengths in which one does are mined
+    again, with what goes when told.  Up to the first such message a round is right, so each is right for longer, and once what was told is what follows it is the result.
     """
 
     def __init__(self, rows: DataFrame, order: list[str], seq: str, config: MinerConfig, carry: tuple[str, ...]) -> None:
@@ -236,10 +312,10 @@ class _Parallel:
         return keyed_fold(rows, ["source", "_n"], [*self.at, "_gone"], columns, lambda: _OneLength(config), self.ddl)
 
     def goes(self, found: DataFrame) -> DataFrame:
+        """(source, n, gone, _at...): the clusters that go, and where; without ``gone``, messages that join a cluster that has gone."""
         limit = self.config.max_clusters
-        kinds = _typed(self.rows, self.at)
-        rows = found.select("source", "_n", "cluster_id", *self.at)
-        return keyed_fold(rows, ["source"], self.at, ["_n", "cluster_id", *self.at], lambda: _Recency(limit), f"n int, gone long{kinds}")
+        rows = found.select("source", "_n", "cluster_id", (F.col("change_type") == CREATED).alias("_new"), *self.at)
+        return keyed_fold(rows, ["source"], self.at, ["_n", "cluster_id", "_new", *self.at], lambda: _Recency(limit), f"n int, gone long{_typed(self.rows, self.at)}")
 
     def result(self) -> DataFrame:
         found = written(self.by_length(self.rows))
@@ -256,26 +332,42 @@ class _Parallel:
         return found.join(numbered, ["source", "_n", "cluster_id"]).drop("cluster_id", *self.at).withColumnRenamed("_id", "cluster_id")
 
     def limited(self, found: DataFrame, over: DataFrame) -> DataFrame:
+        group = ["source", "_n"]
         done, open_ = [found.join(over, "source", "left_anti")], over
-        found = found.join(over, "source", "left_semi")
-        told = written(self.goes(found))
-        for _ in range(ROUNDS):
-            marks = told.select("source", F.col("n").alias("_n"), F.col("gone").cast("int").alias("_gone"), *self.at)
-            lines = self.rows.join(open_, "source", "left_semi").unionByName(marks, allowMissingColumns=True)
-            found = written(self.by_length(lines))
-            before, told = told, written(self.goes(found))
-            same = lambda t: t.groupBy("source").agg(F.count("*").alias("n"), F.sum(F.xxhash64("n", "gone", *self.at).cast("decimal(38,0)")).alias("sum"))
-            settled = written(same(told).join(same(before), ["source", "n", "sum"]).select("source"))
-            done.append(found.join(settled, "source", "left_semi"))
-            open_ = written(open_.join(settled, "source", "left_anti"))
+        found = written(found.join(over, "source", "left_semi"))
+        told = written(self.goes(found).withColumnRenamed("n", "_n"))
+        heard = self._sums(told.limit(0))
+        for turn in range(ROUNDS + 1):
+            # lengths that were told something else than what follows, or nothing though it matters
+            late = told.filter("gone is null").select(*group).distinct().withColumn("_late", F.lit(True))
+            now = self._sums(told.filter("gone is not null"))
+            both = now.join(heard.withColumnsRenamed({"n": "h_n", "sum": "h_sum"}), group, "full").join(late, group, "full")
+            wrong = written(both.filter(F.col("_late") | (F.col("h_n").isNotNull() & ~(F.col("n").eqNullSafe(F.col("h_n")) & F.col("sum").eqNullSafe(F.col("h_sum"))))).select(*group))
+            unsettled = written(wrong.select("source").distinct())
+            done.append(found.join(unsettled, "source", "left_anti").join(open_, "source", "left_semi"))
+            open_ = unsettled
             if open_.isEmpty():
                 return reduce(DataFrame.unionByName, done)
-            told = written(told.join(open_, "source", "left_semi"))
+            if turn == ROUNDS:
+                break
+            marks = told.filter("gone is not null").join(wrong, group, "left_semi").select(*group, F.col("gone").cast("int").alias("_gone"), *self.at)
+            again = self.by_length(self._lines(found).join(wrong, group, "left_semi").unionByName(marks, allowMissingColumns=True))
+            found = written(found.join(open_, "source", "left_semi").join(wrong, group, "left_anti").unionByName(again))
+            heard = written(heard.join(open_, "source", "left_semi").join(wrong, group, "left_anti").unionByName(now.join(wrong, group, "left_semi")))
+            told = written(self.goes(found).withColumnRenamed("n", "_n"))
         config, carried = self.config, [*self.carry, *self.at]
-        rest = self.rows.join(open_, "source", "left_semi")
+        rest = self._lines(found).join(open_, "source", "left_semi")
         whole = keyed_fold(rest, ["source"], self.at, [self.seq, "words", *carried], lambda: _Mining(config), self.ddl)
         return reduce(DataFrame.unionByName, [*done, written(whole.withColumn("_n", F.size("words")))])
 
+    def _lines(self, found: DataFrame) -> DataFrame:
+        """The messages again, from what was written of them."""
+        return found.select("source", "_n", F.lit(None).cast("int").alias("_gone"), self.seq, "words", *self.carry, *self.at)
+
+    def _sums(self, told: DataFrame) -> DataFrame:
+        """What lengths are told, in a row each that differs if it does."""
+        return told.groupBy("source", "_n").agg(F.count("*").alias("n"), F.sum(F.xxhash64("gone", *self.at).cast("decimal(38,0)")).alias("sum"))
+
 
 def mine(lines: DataFrame, order: list[str], seq: str, config: MinerConfig = MinerConfig(), masks=None, carry: tuple[str, ...] = (), resume: Resume | None = None) -> DataFrame:
     """``lines`` (source, message, ``order``, ``seq``): per row its template after the row, and its parameters.
