@@ -86,6 +86,37 @@ def test_runs_that_resume(spark, tmp_path):
     assert third.signals.count() == 0 and {spark.read.parquet(str(tmp_path / f"3/{p}")).count() for p in ("miner", "logs", "metrics")} == {1}
 
 
+def test_edits_of_what_was_learned(spark, tmp_path):
+    """Marks, ignored series and forgetting are made on a saved state; the next run goes by them, and hands them on."""
+    from tidemark.operators import state
+
+    at = lambda n: str(tmp_path / str(n))
+    rows = [log(k, f"request {k} handled in {k * 7} ms") for k in range(40)] + [metric(k, "lag", 5.0 + k % 3) for k in range(60)]
+    later = [log(2000, "request 9 handled in 63 ms"), log(2010, "FATAL disk failure on /dev/sda1"), metric(2020, "lag", 500.0)]
+    early, late = spark.createDataFrame(rows, ROW), spark.createDataFrame(later, ROW)
+    run = lambda frame, after, before=None: sorted(r["kind"] for r in analysis.analyze(frame, CONFIG, Resume(at(after), before and at(before))).signals.collect())
+    run(early, 1)
+    assert run(late, 2, 1) == ["log.new_template", "metric.zscore"]
+    text = "request <NUM> handled in <NUM> ms"
+    assert [(r["template"], r["size"]) for r in state.templates(spark, at(1)).collect()] == [(text, 40)]
+    assert [(r["samples"], r["warmup"]) for r in state.series(spark, at(1)).collect()] == [(60, False)]
+    # marked: a symptom each time it comes; ignored: no signal, though it learns
+    state.mark(spark, at(1), at(3), "template", text, "symptomatic")
+    assert [(r["template"], r["marking"]) for r in state.marked_templates(spark, at(3), marking="any").collect()] == [(text, "symptomatic")]
+    assert run(late, 4, 3) == ["log.new_template", "log.symptomatic_template", "metric.zscore"]
+    state.ignore(spark, at(4), at(5), "lag")
+    again = late.withColumn("timestamp", F.col("timestamp") + F.expr("INTERVAL 1 HOUR")).withColumn("id", F.concat("id", F.lit("-2")))
+    assert run(again, 6, 5) == ["log.symptomatic_template"] and state.series(spark, at(6)).first()["samples"] == 62
+    state.mark(spark, at(6), at(7), "template", text, None)
+    state.ignore(spark, at(7), at(8), "lag", False)
+    assert state.part(spark, at(8), "markings").count() == state.part(spark, at(8), "ignored").count() == 0
+    # forgotten: templates are new again, series warm up again
+    assert state.forget_templates(spark, at(1), at(9), "FATAL*") == 0 and state.forget_templates(spark, at(1), at(10), "request *") == 1
+    assert state.templates(spark, at(10)).count() == 0
+    assert run(late, 11, 10) == ["log.new_template", "log.new_template", "metric.zscore"]
+    assert state.forget_series(spark, at(1), at(12), "*/lag*") + state.forget_series(spark, at(1), at(13), "*lag*") + state.forget_series(spark, at(1), at(14), "*/*/*lag*") >= 1
+
+
 def test_whole_report(spark):
     a = analysis.analyze(spark.createDataFrame([log(k, f"line | {k}") for k in range(3)] + [metric(5, "pool_usage_percent", 97.0)], ROW), CONFIG)
     members, table = analysis.incidents_of(a.events)

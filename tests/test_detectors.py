@@ -140,6 +140,24 @@ def test_miner_restores():
     assert [(c.id, ch, c.template, c.size) for c, ch in map(again.add, map(str.split, lines[3:]))] == [(c.id, ch, c.template, c.size) for c, ch in map(m.add, map(str.split, lines[3:]))]
 
 
+@pytest.mark.parametrize("limit", [0, 8])
+def test_miner_goes_on_from_its_state(limit):
+    """A saved miner goes on as if it hadn't been saved, nodes that are full and clusters that have gone among what it knows."""
+    rng = random.Random(limit)
+    config = MinerConfig(max_clusters=limit, max_children=3)
+    lines = [[rng.choice("abcdef") * 2, rng.choice("xyz1"), *rng.choices("pqrstuv", k=rng.randrange(5))] for _ in range(600)]
+    whole, fold = mining._Mining(config), mining._Mining(config)
+    want = [list(whole.step(k, w))[0][2:] for k, w in enumerate(lines)]
+    got = []
+    for k, w in enumerate(lines):
+        if k % 97 == 50:
+            saved = dict(zip(("last_id", "clusters", "ways"), fold.state()))
+            fold = mining._Mining(config)
+            fold.restore(saved)
+        got += [x[2:] for x in fold.step(k, w)]
+    assert got == want and sum(x[1] == CREATED for x in want) > 20
+
+
 def test_mine_and_match(spark):
     rows = [("s", k, f"GET /p{k} took {k} ms") for k in range(5)] + [("s", 9, "")]
     lines = spark.createDataFrame(rows, "source string, seq long, message string")

@@ -171,6 +171,64 @@ def test_polling_source(spark, tmp_path):
     assert sorted(r["n"] for r in spark.table("numbers").collect()) == [0, 1, 2, 3, 4]
 
 
+def test_partitioned_source_is_read_by_tasks(spark, tmp_path):
+    """Partitions with string cursors, read by tasks over restarts; new ones are taken up, and one whose cursor has expired is listed again."""
+    import os
+
+    from tidemark.sources import polling
+
+    class Journals:
+        def __init__(self, options):
+            self.folder = options["folder"]
+
+        def partitions(self):
+            return sorted(os.listdir(self.folder))
+
+        def _entries(self, partition):
+            with open(f"{self.folder}/{partition}") as f:
+                return [line.split() for line in f]
+
+        def latest(self, partition):
+            return next((cursor for cursor, _ in reversed(self._entries(partition))), None)
+
+        def read(self, partition, after, until):
+            entries = self._entries(partition)
+            cursors = [c for c, _ in entries]
+            if after is not None and after not in cursors:
+                raise polling.Expired
+            begin = 0 if after is None else cursors.index(after) + 1
+            for cursor, text in entries[begin : cursors.index(until) + 1]:
+                yield partition, cursor, text, os.getpid()
+
+    def put(name, mode, *entries):
+        with open(folder / name, mode) as f:
+            f.writelines(f"{c} {t}\n" for c, t in entries)
+
+    folder, out = tmp_path / "journals", str(tmp_path / "out")
+    folder.mkdir()
+    polling.register(spark, "journals", "unit string, cursor string, text string, pid int", Journals)
+
+    def run():
+        stream = spark.readStream.format("journals").option("folder", str(folder)).load()
+        q = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+        q.awaitTermination(120)
+        rows = spark.read.parquet(out).collect()
+        assert os.getpid() not in {r["pid"] for r in rows}
+        return sorted((r["unit"], r["cursor"], r["text"]) for r in rows)
+
+    put("a", "w", ("s=a;i=1", "one"), ("s=a;i=2", "two"))
+    put("b", "w", ("s=b;i=9", "nine"))
+    put("empty", "w")
+    assert run() == [("a", "s=a;i=1", "one"), ("a", "s=a;i=2", "two"), ("b", "s=b;i=9", "nine")]
+    put("a", "a", ("s=a;i=3", "three"))
+    put("c", "w", ("s=c;i=1", "new"))
+    assert run()[2:] == [("a", "s=a;i=3", "three"), ("b", "s=b;i=9", "nine"), ("c", "s=c;i=1", "new")]
+    put("b", "w", ("s=b;i=20", "twenty"), ("s=b;i=21", "more"))  # rotated: the cursor of nine is gone
+    assert [r for r in run() if r[0] == "b"] == [("b", "s=b;i=20", "twenty"), ("b", "s=b;i=21", "more"), ("b", "s=b;i=9", "nine")]
+    batch = spark.read.format("journals").option("folder", str(folder)).load()
+    assert batch.rdd.getNumPartitions() == 3 and batch.count() == 6
+
+
 def test_container_rows(spark):
     df = spark.createDataFrame([("web.1", "web"), ("web.1.upcoming-12", "web"), ("tidemark-x", "own")], "name string, service string")
     assert documents.excluded(df, ["name"], ["tidemark*"]).count() == 2 and documents.measured(df).count() == 2

@@ -229,3 +229,19 @@ def test_stream_to_event_log(spark, tmp_path):
     for _ in range(2):
         queries.to_event_log(stream, str(tmp_path / "log"), str(tmp_path / "cp")).awaitTermination(120)
     assert event_log.query(spark, str(tmp_path / "log"), "id string, kind string").count() == 2
+
+
+def test_live_events(spark, provider, tmp_path):
+    """The newest, oldest first, a marker, then what follows; what comes again over micro-batches is told once."""
+    from tidemark.streaming import live
+
+    batch = lambda *seconds: spark.createDataFrame([(f"e{s:03}", s) for s in seconds], "id string, s long").withColumn("ts", F.timestamp_seconds("s"))
+    out = str(tmp_path / "out")
+
+    def start(events):
+        return live.live(events, 10).writeStream.format("parquet").option("path", out).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+
+    played(spark, tmp_path, [{"events": batch(*range(60), 55, 56)}, {"events": batch(59, 61, 60, 61)}, {"events": batch(58, 61, 62)}], start)
+    rows = sorted((r["n"], r["what"], r["id"]) for r in spark.read.parquet(out).collect())
+    want = [(live.RECENT, f"e{s:03}") for s in range(50, 60)] + [(live.MARKER, None)] + [(live.LIVE, f"e{s:03}") for s in (60, 61, 62)]
+    assert rows == [(n, *x) for n, x in enumerate(want)]

@@ -30,6 +30,14 @@ def seconds(c: Column) -> Column:
 class _Anchored:
     """Numbers windows that open with a signal and close ``width`` after it."""
 
+    STATE = "start long"
+
+    def state(self) -> tuple:
+        return (self.start,)
+
+    def restore(self, state: dict) -> None:
+        self.start = state["start"]
+
     def __init__(self, width_us: int) -> None:
         self.width, self.start = width_us, None
 

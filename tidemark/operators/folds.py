@@ -6,7 +6,6 @@ results.  The order within a key is what the operator is about, so a key can't b
 
 from __future__ import annotations
 
-import pickle
 from collections.abc import Callable, Iterable, Iterator, Sequence
 from dataclasses import dataclass
 from typing import Protocol
@@ -27,7 +26,8 @@ class Resume:
     """A table of folds' states in the folder ``after``, one row a key, begun from that in ``before`` (none: from the start).
 
     Runs over parts of the rows, one part after the other in order, give together what one run over all rows gives.  Keys that
-    a run has no rows of keep their state.  States are pickles of this library's own classes: read only tables that it wrote.
+    a run has no rows of keep their state.  States are columns, as each fold's STATE names them, so tables of them can be read and
+    edited as any others (``operators.state``).
     """
 
     after: str
@@ -35,6 +35,13 @@ class Resume:
 
 
 class Fold(Protocol):
+    #: Columns of what the fold knows, for folds that runs or streams go on with.
+    STATE: str
+
+    def state(self) -> tuple: ...
+
+    def restore(self, state: dict) -> None: ...
+
     def step(self, *row) -> Iterable[tuple]: ...
 
     def finish(self) -> Iterable[tuple]: ...
@@ -93,29 +100,33 @@ def _resumed_fold(
 ) -> DataFrame:
     """As ``keyed_fold``, the rows computed once and kept; folds aren't finished, since their keys go on."""
     n, width = len(keys), len(StructType.fromDDL(ddl))
+    kind = StructType.fromDDL(make().STATE)
+    names = kind.names
 
     def run(rows: Iterator[tuple]) -> Iterator[tuple]:
         now, fold = None, None
-        state = lambda: (*now, *(None,) * width, pickle.dumps(fold))
+        state = lambda: (*now, *(None,) * width, dict(zip(names, fold.state(), strict=True)))
         for row in rows:
             if fold is None or row[:n] != now:
                 if fold is not None:
                     yield state()
-                now, fold = row[:n], make() if row[n] is None else pickle.loads(row[n])
+                now, fold = row[:n], make()
+                if row[n] is not None:
+                    fold.restore(row[n])
             if row[n] is None:
                 yield from ((*now, *out, None) for out in fold.step(*row[n + 1 :]))
         if fold is not None:
             yield state()
 
     kinds = ", ".join(f"{k} {df.schema[k].dataType.simpleString()}" for k in keys)
-    rows = df.withColumn("_state", F.lit(None).cast("binary"))
+    rows = df.withColumn("_state", F.lit(None).cast(kind))
     if resume.before is not None:
-        saved = df.sparkSession.read.parquet(resume.before).withColumnRenamed("state", "_state")
+        saved = df.sparkSession.read.parquet(resume.before).withColumn("_state", F.struct(*names)).drop(*names)
         rows = rows.unionByName(saved, allowMissingColumns=True)
     first = F.col("_state").isNull()  # a key's state goes before its rows
     ordered = rows.repartition(*keys).sortWithinPartitions(*keys, first, *order).select(*keys, "_state", *columns)
-    both = written(map_rows(ordered, run, f"{kinds}, {ddl}, _state binary"))
-    both.filter("_state is not null").select(*keys, F.col("_state").alias("state")).write.mode("errorifexists").parquet(resume.after)
+    both = written(map_rows(ordered, run, f"{kinds}, {ddl}, _state {kind.simpleString()}"))
+    both.filter("_state is not null").select(*keys, "_state.*").write.mode("errorifexists").parquet(resume.after)
     return both.filter("_state is null").drop("_state")
 
 

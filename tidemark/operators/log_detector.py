@@ -87,9 +87,26 @@ class _Template:
         self.in_bucket += 1
 
 
+_TEMPLATE = (
+    "last_seen:bigint,bucket:bigint,text:string,marking:string,count:bigint,mean:double,variance:double,intervals:bigint,in_bucket:bigint,baseline:double,"
+    "spiked:boolean,missing:boolean,by_hour:array<bigint>,hour_baseline:array<double>,hour_folds:array<bigint>"
+)
+
+
 class Source:
     """The state of one source."""
 
+    STATE = f"first_seen long, last_scan long, total long, hours array<long>, templates array<struct<template_id:string,{_TEMPLATE}>>"
+
+    def state(self) -> tuple:
+        return self.first_seen, self.last_scan, self.total, self.hours, [{"template_id": k, **vars(t)} for k, t in self.templates.items()]
+
+    def restore(self, state: dict) -> None:
+        self.first_seen, self.last_scan, self.total, self.hours = state["first_seen"], state["last_scan"], state["total"], list(state["hours"])
+        for t in state["templates"]:
+            own = {k: list(v) if isinstance(v, list) else v for k, v in t.items() if k != "template_id"}
+            self.templates[t["template_id"]] = _Template(**own)
+
     def __init__(self, config: LogConfig = LogConfig()) -> None:
         self.config = config
         self.first_seen: int | None = None

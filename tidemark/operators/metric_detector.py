@@ -9,6 +9,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from typing import ClassVar
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -51,6 +52,15 @@ class Series:
     drifting: bool = False
     deviations: list[int] = field(default_factory=list)
 
+    STATE: ClassVar[str] = "n long, mean double, variance double, fast double, slow double, last_seen long, drifting boolean, deviations array<long>"
+
+    def state(self) -> tuple:
+        return self.n, self.mean, self.variance, self.fast, self.slow, self.last_seen, self.drifting, self.deviations
+
+    def restore(self, state: dict) -> None:
+        for name, value in state.items():
+            setattr(self, name, list(value) if name == "deviations" else value)
+
     def step(self, event_id, ts: int, value: float | None, least: float, high: float | None = None, low: float | None = None, ignored: bool = False) -> Iterator[tuple]:
         if value is None or not math.isfinite(value):
             return

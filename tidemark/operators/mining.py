@@ -61,6 +61,7 @@ class Cluster:
     template: list[str]
     size: int = 1
     holes: int = 0
+    branch: list[str] = field(default_factory=list, repr=False, compare=False)  # the words that lead to its node
     home: tuple[_Node, int] | None = field(default=None, repr=False, compare=False)  # its node and place, if the node has a table
 
     def __post_init__(self) -> None:
@@ -176,8 +177,10 @@ class Miner:
         if not cluster.template:
             node.ids = [cluster.id]
             return
+        cluster.branch = []
         for word in self._steps(cluster.template):
-            node = node.children.setdefault(self._branch(node, word), _Node())
+            cluster.branch.append(self._branch(node, word))
+            node = node.children.setdefault(cluster.branch[-1], _Node())
         self._place(node, cluster)
 
     def _place(self, node: _Node, cluster: Cluster) -> None:
@@ -230,9 +233,40 @@ class Miner:
 
 
 class _Mining:
+    #: Clusters from the least to the most recently used, and all ways through the tree, those to nodes without clusters too.
+    STATE = "last_id long, clusters array<struct<id:bigint,template:array<string>,size:bigint,branch:array<string>>>, ways array<struct<n:int,branch:array<string>>>"
+
     def __init__(self, config: MinerConfig) -> None:
         self.miner = Miner(config)
 
+    def state(self) -> tuple:
+        ways: list[dict] = []
+
+        def walk(n: int, node: _Node, branch: list[str]) -> None:
+            if not node.children:
+                ways.append({"n": n, "branch": branch})
+            for word, child in node.children.items():
+                walk(n, child, [*branch, word])
+
+        for n, node in self.miner.lengths.items():
+            walk(n, node, [])
+        return self.miner.last_id, [{"id": c.id, "template": c.template, "size": c.size, "branch": c.branch} for c in self.miner.clusters.values()], ways
+
+    def restore(self, state: dict) -> None:
+        m = self.miner
+        m.last_id = state["last_id"]
+        for way in state["ways"]:
+            node = m.lengths.setdefault(way["n"], _Node())
+            for word in way["branch"]:
+                node = node.children.setdefault(word, _Node())
+        for c in state["clusters"]:
+            m.clusters[c["id"]] = Cluster(c["id"], list(c["template"]), c["size"], branch=list(c["branch"]))
+        for cluster in sorted(m.clusters.values(), key=lambda c: c.id):  # as they came into their nodes
+            node = m.lengths.setdefault(len(cluster.template), _Node())
+            for word in cluster.branch:
+                node = node.children.setdefault(word, _Node())
+            node.ids.append(cluster.id)
+
     def step(self, seq, words: list[str], *carried) -> Iterator[tuple]:
         cluster, change = self.miner.add(words)
         yield seq, words, cluster.id, change, list(cluster.template), cluster.size, *carried

@@ -11,7 +11,7 @@ from tidemark.config import Config
 from tidemark.functions.series import series_key
 from tidemark.functions.templates import MASKS
 from tidemark.functions.text import normalize
-from tidemark.operators import correlate, dampening, incidents, log_detector, metric_detector, mining
+from tidemark.operators import correlate, dampening, incidents, log_detector, metric_detector, mining, state
 from tidemark.operators.folds import Resume
 from tidemark.shared import written
 
@@ -57,11 +57,13 @@ def _part(resume: Resume | None, name: str) -> Resume | None:
 
 def _log_signals(logs: DataFrame, config: Config, resume: Resume | None) -> tuple[DataFrame, DataFrame]:
     d = config.logs
+    set_ = state.part(logs.sparkSession, resume.before, "markings").collect() if resume and resume.before else []  # as many as people have set
+    own = lambda kind: {r["name"]: r["marking"] for r in set_ if r["kind"] == kind}
     masks = [(m.mask_with, m.pattern) for m in d.drain.masking] or MASKS
     message = F.coalesce(F.when(F.col("log.message") != "", F.col("log.message")), F.col("log.raw"))
     rows = logs.select("source", F.col("id").alias("seq"), F.col("timestamp").cast("timestamp_ntz").alias("ts"), message.alias("message"))
     mined = mining.mine(rows, ["ts", "seq"], "seq", miner_config(config), masks, carry=("ts",), resume=_part(resume, "miner"))
-    found = log_detector.detect(mined, log_config(config), d.detection.markings, d.detection.patterns, d.detection.min_template_literals, d.detection.max_placeholder_ratio, _part(resume, "logs"))
+    found = log_detector.detect(mined, log_config(config), {**d.detection.markings, **own("template")}, {**d.detection.patterns, **own("pattern")}, d.detection.min_template_literals, d.detection.max_placeholder_ratio, _part(resume, "logs"))
     what = F.regexp_replace(F.split_part("kind", F.lit("."), F.lit(2)), "_", " ")
     return mined, found.select(
         "source", "seq", F.timestamp_micros("ts_us").alias("ts"), "kind", F.lit("log").alias("modality"), "score", F.concat(what, F.lit(": "), "template").alias("summary"),
@@ -71,11 +73,12 @@ def _log_signals(logs: DataFrame, config: Config, resume: Resume | None) -> tupl
 
 def _metric_signals(metrics: DataFrame, config: Config, resume: Resume | None) -> DataFrame:
     d = config.metrics.detection
+    set_ = state.part(metrics.sparkSession, resume.before, "ignored").collect() if resume and resume.before else []
     rows = metrics.select(
         "source", series_key(F.col("source"), F.col("metric.name"), F.col("metric.labels")).alias("series"), F.col("metric.name").alias("metric"), F.col("id").alias("event_id"),
         F.col("timestamp").alias("ts"), F.col("metric.value").alias("value"),
     )
-    judged = metric_detector.judge(rows, metric_config(config), {t.metric: (t.max, t.min) for t in d.thresholds}, d.ignored, d.min_deltas, ("source", "metric", "series"), _part(resume, "metrics"))
+    judged = metric_detector.judge(rows, metric_config(config), {t.metric: (t.max, t.min) for t in d.thresholds}, [*d.ignored, *(r["glob"] for r in set_)], d.min_deltas, ("source", "metric", "series"), _part(resume, "metrics"))
     named = metric_detector.signals(judged)
     summary = F.concat(F.col("metric"), F.lit(" = "), F.round("value", 4).cast("string"), F.lit(": "), F.regexp_replace(F.split_part("kind", F.lit("."), F.lit(2)), "_", " "))
     return named.select(
@@ -87,8 +90,8 @@ def _metric_signals(metrics: DataFrame, config: Config, resume: Resume | None) -
 def analyze(observations: DataFrame, config: Config = Config(), resume: Resume | None = None) -> Analysis:
     """``observations`` as of ``schema.OBSERVATION``; rejected ones are left out.
 
-    ``resume``: folders of what templates, logs and metrics have learned, before and after this run.  Cooldowns, windows and
-    incidents don't reach over runs.
+    ``resume``: folders of what templates, logs and metrics have learned, before and after this run; the run goes by the markings and
+    ignored globs that were set there (``operators.state``).  Cooldowns, windows and incidents don't reach over runs.
     """
     own = normalize(observations).filter("rejected is null")
     mined, from_logs = _log_signals(own.filter("modality = 'log'"), config, resume)
@@ -118,6 +121,8 @@ def analyze(observations: DataFrame, config: Config = Config(), resume: Resume |
     seen = own.select("source", F.col("timestamp").alias("ts"), F.col("id").alias("seq"))
     events = correlate.build_events(kept, changes, c.window, int(c.change_horizon), seen)
     wakes = correlate.echo_events(signals, changes, int(c.change_horizon), int(c.echo_window))
+    if resume and resume.before:
+        state.keep_settings(own.sparkSession, resume.before, resume.after)
     return Analysis(own, mined, signals, written(events.unionByName(wakes, allowMissingColumns=True)))
 
 
