@@ -6,7 +6,8 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import correlate, incidents, metric_detector
+from tidemark.operators import correlate, incidents, metric_detector, mining
+from tidemark.operators.mining import MinerConfig
 from tidemark.sources import event_log
 from tidemark.streaming import correlation, queries
 from tidemark.streaming.folds import PROVIDER
@@ -245,3 +246,21 @@ def test_live_events(spark, provider, tmp_path):
     rows = sorted((r["n"], r["what"], r["id"]) for r in spark.read.parquet(out).collect())
     want = [(live.RECENT, f"e{s:03}") for s in range(50, 60)] + [(live.MARKER, None)] + [(live.LIVE, f"e{s:03}") for s in (60, 61, 62)]
     assert rows == [(n, *x) for n, x in enumerate(want)]
+
+
+def test_mined_stream_equals_batch_over_a_restart(spark, provider, tmp_path):
+    """The miner's nested state goes through the state store, where Spark's reader shows it."""
+    rng = random.Random(3)
+    rows = [(rng.choice("ab"), k, f"{rng.choice(['open', 'close', 'read'])} {rng.choice(['x', 'y', 'z', 'w1'])} {rng.choice(['by', 'of'])} " + "q " * rng.randrange(3)) for k in range(300)]
+    lines = spark.createDataFrame(rows, "source string, seq long, message string").withColumn("ts", F.timestamp_seconds("seq"))
+    out, cp = str(tmp_path / "out"), str(tmp_path / "cp")
+
+    def start(lines):
+        return queries.mined(lines, MinerConfig(max_clusters=6)).writeStream.format("parquet").option("path", out).option("checkpointLocation", cp).trigger(availableNow=True).start()
+
+    played(spark, tmp_path, [{"lines": lines.filter("seq < 130")}, {"lines": lines.filter("seq >= 130")}], start)
+    want = mining.mine(lines, ["ts", "seq"], "seq", MinerConfig(max_clusters=6)).select("source", "seq", "template_id", "template", "change_type", "cluster_size")
+    got = spark.read.parquet(out).select(want.columns)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and want.filter("template_id > 6").count()
+    stored = spark.read.format("statestore").option("stateVarName", "fold").load(cp)
+    assert {len(r[0]) for r in stored.select("value.clusters").collect()} == {6}
