@@ -12,10 +12,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import series, templates, text
-from tidemark.operators import correlate, dampening, incidents, log_detector, metric_detector, mining, readapi
+from tidemark.operators import correlate, dampening, incidents, log_detector, metric_detector, mining, readapi, state
 from tidemark.operators.folds import Resume
 from tidemark.shared import new_path
-from tidemark.sources import documents, lines
+from tidemark.sources import documents, event_log, lines
+from tidemark.streaming import correlation
+from tidemark.streaming.folds import PROVIDER
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -732,3 +734,124 @@ def active_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     us = F.unix_micros(F.col("ts").cast("timestamp"))
     g = table(spark, sf_dir, "events").groupBy("user_id").agg(((F.max(us) - F.min(us)) / 1e6).alias("s"))
     return g.filter("s >= 86400").select("user_id", series.humanized(F.col("s")).alias("span"))
+
+
+# ---- decoders, stored events, what was learned, and streams, through the library's operators
+
+
+@query("""SELECT event_id, event_type || ' took ' || CAST(json_extract(props, '$.k') AS BIGINT) || ' ms' AS message,
+    CASE user_id % 3 WHEN 0 THEN 'app-' || user_id WHEN 1 THEN 'session' ELSE 'cron' END AS service, CASE event_id % 3 WHEN 0 THEN 'error' WHEN 1 THEN 'warn' ELSE 'info' END AS level, ts FROM events""")
+def journal_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as export documents of a journal: texts or bytes, units that stay or come and go, or none."""
+    e = events(spark, sf_dir)
+    message = F.concat_ws(" ", "event_type", F.lit("took"), k_of().cast("string"), F.lit("ms"))
+    user = F.col("user_id").cast("string")
+    unit = F.when(F.col("user_id") % 3 == 0, F.concat(F.lit("app-"), user, F.lit(".service"))).when(F.col("user_id") % 3 == 1, F.concat(F.lit("session-"), user, F.lit(".scope")))
+    common = [
+        unit.alias("_SYSTEMD_UNIT"), F.lit("CRON").alias("SYSLOG_IDENTIFIER"), F.element_at(F.array(F.lit("3"), F.lit("4"), F.lit("6")), (F.col("event_id") % 3 + 1).cast("int")).alias("PRIORITY"),
+        F.unix_micros(F.col("ts").cast("timestamp")).cast("string").alias("__REALTIME_TIMESTAMP"), F.col("event_id").cast("string").alias("__CURSOR"),
+    ]
+    bytes_ = F.transform(F.split(message, ""), lambda c: F.ascii(c))
+    odd = F.col("event_id") % 2 == 1
+    docs = e.filter(~odd).select(F.to_json(F.struct(message.alias("MESSAGE"), *common)).alias("value")).union(e.filter(odd).select(F.to_json(F.struct(bytes_.alias("MESSAGE"), *common)).alias("value")))
+    return documents.journal_entries(docs).select(F.col("cursor").cast("long").alias("event_id"), "message", "service", "level", F.col("timestamp").cast("timestamp_ntz").alias("ts"))
+
+
+@query("""SELECT event_id, 'pod-' || user_id AS service, 'prod' AS namespace, event_type || ' Pod/pod-' || user_id || ': number ' || event_id AS message,
+    CASE WHEN event_type = 'error' THEN 'warn' ELSE 'info' END AS level FROM events WHERE event_id % 5 > 0""")
+def cluster_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as watch frames of a cluster; those that delete say nothing."""
+    e = events(spark, sf_dir)
+    pod = F.concat(F.lit("pod-"), F.col("user_id").cast("string"))
+    frame = F.struct(
+        F.when(F.col("event_id") % 5 == 0, "DELETED").when(F.col("event_id") % 2 == 0, "ADDED").otherwise("MODIFIED").alias("type"),
+        F.struct(
+            F.struct(pod.alias("name"), F.lit("Pod").alias("kind")).alias("involvedObject"), F.struct(F.lit("prod").alias("namespace")).alias("metadata"), F.col("event_type").alias("reason"),
+            F.concat(F.lit("number "), F.col("event_id").cast("string")).alias("message"), F.when(F.col("event_type") == "error", "Warning").otherwise("Normal").alias("type"),
+            F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("lastTimestamp"),
+        ).alias("object"),
+    )
+    found = documents.cluster_events(e.select(F.to_json(frame).alias("value")))
+    return found.select(F.regexp_extract("message", r"number (\d+)$", 1).cast("long").alias("event_id"), "service", "namespace", "message", "level")
+
+
+@query("""SELECT user_id, event_type AS service, max(value) AS value FROM events GROUP BY ALL UNION ALL SELECT NULL, 'all', CAST(count(*) AS DOUBLE) FROM events""")
+def metric_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The greatest value of users by type as a vector of answers to a metric query, and the number of events as a scalar; the label that the query names is the service."""
+    e = events(spark, sf_dir).groupBy("user_id", "event_type").agg(F.max("value").alias("value"))
+    result = lambda kind, value: F.to_json(F.struct(F.struct(F.lit(kind).alias("resultType"), value.alias("result")).alias("data"))).alias("value")
+    labels = F.create_map(F.lit("user"), F.col("user_id").cast("string"), F.lit("type"), F.col("event_type"))
+    vector = e.select(result("vector", F.array(F.struct(labels.alias("metric"), F.array(F.lit("1700000000.5"), F.col("value").cast("string")).alias("value")))))
+    scalar = events(spark, sf_dir).agg(F.count("*").alias("n")).select(result("scalar", F.array(F.lit("1700000000"), F.col("n").cast("string"))))
+    found = documents.metric_responses(vector.union(scalar))
+    return found.select(F.col("labels")["user"].cast("long").alias("user_id"), documents.sample_service(F.col("labels"), "type", "all", "none").alias("service"), "value")
+
+
+@query("""SELECT CAST(event_id AS VARCHAR) AS id, ts AS timestamp, event_type AS kind FROM events WHERE ts >= TIMESTAMP '2024-01-10' AND ts <= TIMESTAMP '2024-01-20'""")
+def stored_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events in the log, appended in two batches that overlap, and read back between two times."""
+    e = events(spark, sf_dir).select(F.col("event_id").cast("string").alias("id"), F.col("ts").cast("timestamp").alias("timestamp"), F.col("event_type").alias("kind"), F.col("event_id") % 3 < 2)
+    path, part = new_path(spark), e.columns[-1]
+    event_log.append(e.filter(F.col(part)).drop(part), path, F.to_date("timestamp"))
+    event_log.append(event_log.append_new(e.drop(part), event_log.stored_ids(spark, path)), path, F.to_date("timestamp"))
+    found = event_log.query(spark, path, "id string, timestamp timestamp, kind string", "2024-01-10", "2024-01-20")
+    return found.select("id", F.col("timestamp").cast("timestamp_ntz").alias("timestamp"), "kind")
+
+
+@query("""WITH t AS (SELECT 'prod/' || user_id AS source, event_type || ' ' || CAST(json_extract(props, '$.k') AS BIGINT) % 3 AS template, count(*) AS size FROM events GROUP BY ALL)
+  SELECT source, template, size, CASE template WHEN 'error 1' THEN 'symptomatic' ELSE 'heartbeat' END AS marking FROM t WHERE template IN ('error 1', 'view 0') AND (contains(template, 'error') OR contains(source, 'error'))""")
+def template_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Templates that are marked and contain a text, in any case."""
+    t = log_rows(spark, sf_dir).groupBy("source", "template_id", "template").agg(F.count("*").alias("size"))
+    marks = spark.createDataFrame([("template", "error 1", "symptomatic"), ("template", "view 0", "heartbeat"), ("pattern", "view*", "normal")], "kind string, name string, marking string")
+    return readapi.template_rows(t, marks, "ERROR", "any").select("source", "template", "size", "marking")
+
+
+@query(f"""{_EWMA}, last AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY series ORDER BY rn DESC) = 1)
+  SELECT series, CAST(n2 AS BIGINT) AS samples, round(mean2, 6) AS mean, n2 < 30 AS warmup,
+    CASE WHEN n2 < 30 THEN NULL WHEN variance2 > 0 THEN round(abs(fast2 - mean2) / sqrt(variance2), 6) WHEN fast2 <> mean2 THEN 'inf'::DOUBLE ELSE 0 END AS deviation FROM last""")
+def learned_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the metric detector has learned, read from the tables that a run leaves."""
+    folder = new_path(spark)
+    metric_detector.judge(samples(spark, sf_dir), metric_detector.MetricConfig(daily=False), resume=Resume(f"{folder}/metrics"))
+    return state.series(spark, folder).select("series", "samples", F.round("mean", 6).alias("mean"), "warmup", F.round("deviation", 6).alias("deviation"))
+
+
+@query(f"""{_EWMA}, last AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY series ORDER BY rn DESC) = 1)
+  SELECT series, CAST(n2 AS BIGINT) AS samples FROM last WHERE NOT regexp_full_match(series, 'prod/1[^/]*/value')""")
+def forgotten_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of what was learned after some series are forgotten."""
+    before, after = new_path(spark), new_path(spark)
+    metric_detector.judge(samples(spark, sf_dir), metric_detector.MetricConfig(daily=False), resume=Resume(f"{before}/metrics"))
+    state.forget_series(spark, before, after, "prod/1*/value")
+    return state.series(spark, after).select("series", "samples")
+
+
+@query("""WITH e AS (SELECT event_id, 'prod/' || user_id AS source, event_type AS a, CAST(CAST(json_extract(props, '$.k') AS BIGINT) % 3 AS VARCHAR) AS b FROM events)
+  SELECT event_id, CASE WHEN b = '1' AND a = 'error' THEN '2' WHEN a = 'error' THEN '2' WHEN b = '1' THEN '3' WHEN a = 'view' AND b = '0' THEN '1' END AS template_id FROM e""")
+def matched_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines and the template of their source that they fit: of several the one with the most parameters, then the smallest number."""
+    rows = log_rows(spark, sf_dir).select("source", F.col("seq").alias("event_id"), F.split("template", " ").alias("words"))
+    each = F.explode(F.array(*[F.struct(F.lit(str(k + 1)).alias("template_id"), F.lit(t).alias("template")) for k, t in enumerate(("view 0", "error <*>", "<*> 1", "click 9"))])).alias("t")
+    own = rows.select("source").distinct().select("source", each).select("source", "t.*")
+    return mining.match_templates(rows, own).select("event_id", "template_id")
+
+
+@query(f"{_INCIDENTS} SELECT event_id, incident_id FROM f")
+def streamed_incidents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Members of incidents as a stream gives them, which takes all events and ends; a later row moves the watermark past the last."""
+    a = _anomalies(spark, sf_dir).select(F.col("event_id").cast("string").alias("event_id"), F.col("ts").cast("timestamp").alias("ts"), "service", "change_keys")
+    end = a.agg((F.max("ts") + F.expr("INTERVAL 1 DAY")).alias("ts")).filter("ts is not null").select(F.lit("end").alias("event_id"), "ts", F.lit("").alias("service"), F.lit(None).cast("array<string>").alias("change_keys"))
+    source, out = new_path(spark), new_path(spark)
+    a.union(end).write.parquet(source)
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, PROVIDER)
+    try:
+        found = correlation.incident_members(spark.readStream.schema(a.schema).parquet(source))
+        sink = found.writeStream.format("parquet").option("path", out).option("checkpointLocation", new_path(spark))
+        sink.trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+    rows = spark.read.schema(found.schema).parquet(out).filter("not closed and event_id <> 'end'")
+    return rows.select(F.col("event_id").cast("long").alias("event_id"), F.col("incident_id").cast("long").alias("incident_id"))

@@ -18,7 +18,9 @@ MAX_PAUSE_S = 30.0
 
 def append(events: DataFrame, path: str, day: Column | None = None) -> None:
     day = F.current_date() if day is None else day
-    events.withColumn("day", day.cast("string")).write.mode("append").partitionBy("day").json(path)
+    # microseconds, which Spark's own format cuts off
+    log = events.withColumn("day", day.cast("string")).write.mode("append").partitionBy("day")
+    log.option("timestampFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX").json(path)
 
 
 def query(spark: SparkSession, path: str, schema: str, since: str | None = None, until: str | None = None) -> DataFrame:
