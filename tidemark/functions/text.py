@@ -7,10 +7,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+RFC3339 = r"^\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d(\.\d+)?(Z|[+-]\d\d:\d\d)$"
+#: What counts as a terminal's escape sequence and as a process before a message, keys that JSON envelopes may have, in
+#: order, and words for levels.
 ANSI = r"\x1b\[[0-9;?]*[@-~]"
 PROCESS_PREFIX = r"^([A-Za-z0-9_.-]+)\[([^\]\s]+)\]:\s+"
-RFC3339 = r"^\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d(\.\d+)?(Z|[+-]\d\d:\d\d)$"
-#: Keys that JSON envelopes may have, in order, and words for levels.
 MESSAGE_KEYS = ("message", "msg", "log")
 LEVEL_KEYS = ("level", "severity", "lvl", "loglevel")
 TIME_KEYS = ("time", "ts", "timestamp", "@timestamp")

@@ -18,6 +18,8 @@ from tidemark.shared import running, written
 WINDOW_S, HORIZON_S, ECHO_S, CONTEXT = 30, 900, 600, 10
 #: Changes that an event names at most, the latest ones.
 MAX_CHANGES = 64
+#: The wording of an echo's summary.
+ECHO_SIGNALS, ECHO_SOURCES = " signals from ", " sources in the wake of "
 INTENDED = ("log.symptomatic_template", "metric.threshold")
 SLOT_S = HORIZON_S
 
@@ -232,7 +234,7 @@ def wakes(signals: DataFrame, of: DataFrame) -> DataFrame:
         n.cast("long").alias("n_signals"),
         "signals",
         "related_changes",
-        F.concat(n.cast("string"), F.lit(" signals from "), F.size("sources").cast("string"), F.lit(" sources in the wake of "), what, "source", F.lit(": "), names).alias("summary"),
+        F.concat(n.cast("string"), F.lit(ECHO_SIGNALS), F.size("sources").cast("string"), F.lit(ECHO_SOURCES), what, "source", F.lit(": "), names).alias("summary"),
         _attributes(signal_count=n, signal_instances=F.col("instances"), multimodal=F.col("multimodal"), sources=F.array_join("sources", ",")).alias("attributes"),
     )
 
