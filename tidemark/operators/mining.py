@@ -368,7 +368,7 @@ class _Parallel:
     def limited(self, found: DataFrame, over: DataFrame) -> DataFrame:
         group = ["source", "_n"]
         done, open_ = [found.join(over, "source", "left_anti")], over
-        found = written(found.join(over, "source", "left_semi"))
+        found = found.join(over, "source", "left_semi")
         told = written(self.goes(found).withColumnRenamed("n", "_n"))
         heard = self._sums(told.limit(0))
         for turn in range(ROUNDS + 1):
@@ -386,7 +386,7 @@ class _Parallel:
                 break
             marks = told.filter("gone is not null").join(wrong, group, "left_semi").select(*group, F.col("gone").cast("int").alias("_gone"), *self.at)
             again = self.by_length(self._lines(found).join(wrong, group, "left_semi").unionByName(marks, allowMissingColumns=True))
-            found = written(found.join(open_, "source", "left_semi").join(wrong, group, "left_anti").unionByName(again))
+            found = found.join(open_, "source", "left_semi").join(wrong, group, "left_anti").unionByName(written(again))
             heard = written(heard.join(open_, "source", "left_semi").join(wrong, group, "left_anti").unionByName(now.join(wrong, group, "left_semi")))
             told = written(self.goes(found).withColumnRenamed("n", "_n"))
         config, carried = self.config, [*self.carry, *self.at]
