@@ -17,7 +17,8 @@ def shared_dir(spark: SparkSession) -> str:
     error, since executors would write to their own disks and later reads would miss their rows.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not named and not spark.sparkContext.master.startswith("local["):
+    master = spark.sparkContext.master
+    if not named and master != "local" and not master.startswith("local["):
         raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return (named or _own_dir()).rstrip("/")
 
