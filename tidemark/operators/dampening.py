@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.operators import caps
 from tidemark.operators.folds import keyed_fold, micros
 
 HOUR = 3_600_000_000
@@ -19,6 +20,7 @@ class DampenConfig:
     cooldown_us: int = HOUR
     longest_us: int = 12 * HOUR
     escalation: float = 0.1
+    max_tracked: int = 0  # patterns remembered at most, of which the oldest tenth goes for a new one; 0: no limit
 
 
 class Pattern:
@@ -31,7 +33,9 @@ class Pattern:
     def silence(self) -> int:
         return min(self.config.longest_us, self.config.cooldown_us << min(self.streak, 40))
 
-    def step(self, seq: int, ts: int, score: float) -> Iterator[tuple]:
+    def step(self, seq: int, ts: int, score: float, fresh: bool = False) -> Iterator[tuple]:
+        if fresh:
+            self.__init__(self.config)
         if self.config.cooldown_us <= 0:
             yield seq, ts, score, True, 0, 0, None
             return
@@ -74,4 +78,7 @@ def dampen(signals: DataFrame, config: DampenConfig = DampenConfig()) -> DataFra
     """``signals`` (kind, source, pattern, seq, ts, score): whether each is reported, and what a report stands for."""
     rows = signals.select("kind", "source", "pattern", "seq", micros("ts"), "score")
     ddl = REPORTED.replace("seq long", f"seq {signals.schema['seq'].dataType.simpleString()}")
-    return keyed_fold(rows, ["kind", "source", "pattern"], ["ts", "seq"], ["seq", "ts", "score"], lambda: Pattern(config), ddl)
+    keys, columns, most = ["kind", "source", "pattern"], ["seq", "ts", "score"], config.max_tracked
+    if most > 0 and config.cooldown_us > 0:
+        rows, columns = caps.marked(rows, keys, ["ts", "seq"], most, most // 10 + 1), [*columns, "fresh"]
+    return keyed_fold(rows, keys, ["ts", "seq"], columns, lambda: Pattern(config), ddl)

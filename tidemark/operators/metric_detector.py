@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.series import MIN_DELTAS, min_delta
 from tidemark.functions.templates import path_glob
+from tidemark.operators import caps
 from tidemark.operators.folds import Resume, keyed_fold, micros
 
 DAY = 86_400_000_000
@@ -36,6 +37,7 @@ class MetricConfig:
     days: int = 3
     remembered: int = 32
     ttl_us: int = 7 * DAY
+    max_series: int = 0  # remembered at most, the least recently seen go; 0: no limit
 
 
 @dataclass
@@ -61,11 +63,11 @@ class Series:
         for name, value in state.items():
             setattr(self, name, list(value) if name == "deviations" else value)
 
-    def step(self, event_id, ts: int, value: float | None, least: float, high: float | None = None, low: float | None = None, ignored: bool = False) -> Iterator[tuple]:
+    def step(self, event_id, ts: int, value: float | None, least: float, high: float | None = None, low: float | None = None, ignored: bool = False, fresh: bool = False) -> Iterator[tuple]:
         if value is None or not math.isfinite(value):
             return
         c = self.config
-        if self.last_seen is not None and ts - self.last_seen > c.ttl_us:
+        if fresh or self.last_seen is not None and ts - self.last_seen > c.ttl_us:
             self.__init__(c)
         self.last_seen = ts
         before = (self.n, self.mean, self.variance, self.fast, self.slow)
@@ -143,7 +145,20 @@ def judge(
     ``rules``: (highest, lowest) allowed value by metric; ``ignored``: globs of metrics or series that learn but never signal.
     """
     rows = prepared(samples, rules, ignored, deltas, keys)
-    return keyed_fold(rows, keys, ["ts", "event_id"], STEP, lambda: Series(config), _sample(samples), resume)
+    if config.max_series <= 0:
+        return keyed_fold(rows, keys, ["ts", "event_id"], STEP, lambda: Series(config), _sample(samples), resume)
+    rows = _remembered(rows, keys, config.max_series, resume)
+    return keyed_fold(rows, keys, ["ts", "event_id"], [*STEP, "fresh"], lambda: Series(config), _sample(samples), resume)
+
+
+def _remembered(rows: DataFrame, keys: tuple[str, ...], most: int, resume: Resume | None) -> DataFrame:
+    """``rows`` that count, with ``fresh`` where the series has been forgotten; what an earlier run knew was last seen when it says."""
+    rows = rows.filter(F.abs("value") < float("inf"))  # neither null nor, since it sorts above infinity, NaN
+    if resume is None or resume.before is None:
+        return caps.marked(rows, keys, ["ts", "event_id"], most)
+    saved = rows.sparkSession.read.parquet(resume.before).select(*keys, F.col("last_seen").alias("ts"), F.lit(True).alias("_saved"))
+    both = rows.withColumn("_saved", F.lit(False)).unionByName(saved, allowMissingColumns=True)
+    return caps.marked(both, keys, ["ts", "event_id"], most).filter("not _saved").drop("_saved")
 
 
 #: What a series is stepped with.

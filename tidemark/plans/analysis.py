@@ -47,7 +47,7 @@ def metric_config(config: Config) -> metric_detector.MetricConfig:
     d = config.metrics.detection
     return metric_detector.MetricConfig(
         warmup=d.warmup_samples, alpha=d.alpha, z_threshold=d.z_threshold, fast=d.trend_fast_alpha, slow=d.trend_slow_alpha, trend=d.trend_threshold,
-        daily=d.seasonality == "daily", tolerance_us=int(d.seasonal_tolerance * SECOND), days=d.seasonal_days, ttl_us=int(d.series_ttl * SECOND),
+        daily=d.seasonality == "daily", tolerance_us=int(d.seasonal_tolerance * SECOND), days=d.seasonal_days, ttl_us=int(d.series_ttl * SECOND), max_series=d.max_series,
     )
 
 
@@ -103,7 +103,7 @@ def analyze(observations: DataFrame, config: Config = Config(), resume: Resume |
         signals = signals.unionByName(more)
     signals = written(signals)  # few beside the observations, and read more than once
     d = config.dampening
-    limits = dampening.DampenConfig(int(d.cooldown * SECOND), int(d.max_cooldown * SECOND), d.escalation)
+    limits = dampening.DampenConfig(int(d.cooldown * SECOND), int(d.max_cooldown * SECOND), d.escalation, d.max_tracked)
     # a signal belongs to the service and environment of its observation
     signals = signals.join(own.select(F.col("id").alias("seq"), "service", "environment"), "seq", "left")
     told = dampening.dampen(signals, limits).filter("reported").select("kind", "source", "pattern", "seq", "suppressed", "repeats", "escalated_from")
