@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import series, templates, text
-from tidemark.operators import correlate, dampening, incidents, log_detector, metric_detector, mining, readapi, state
+from tidemark.operators import caps, correlate, dampening, incidents, log_detector, metric_detector, mining, readapi, state
 from tidemark.operators.folds import Resume
 from tidemark.shared import new_path
 from tidemark.sources import documents, event_log, lines
@@ -855,3 +855,34 @@ def streamed_incidents(spark: SparkSession, sf_dir: str) -> DataFrame:
         spark.conf.unset(name) if before is None else spark.conf.set(name, before)
     rows = spark.read.schema(found.schema).parquet(out).filter("not closed and event_id <> 'end'")
     return rows.select(F.col("event_id").cast("long").alias("event_id"), F.col("incident_id").cast("long").alias("incident_id"))
+
+
+#: Of each event of a user and type, in order of time, how many other such series came since that series' last (none: 1e9).
+_DISTANCES = """e AS (SELECT event_id, user_id || '/' || event_type AS key, row_number() OVER (ORDER BY ts, event_id) AS i FROM events WHERE isfinite(value)),
+  p AS (SELECT *, lag(i) OVER (PARTITION BY key ORDER BY i) AS prev FROM e),
+  d AS (SELECT a.i, a.event_id, a.key, a.prev, if(count(a.prev) = 0, 1000000000, count(b.i)) AS distance
+    FROM p a LEFT JOIN p b ON b.i > a.prev AND b.i < a.i AND (b.prev IS NULL OR b.prev < a.prev) GROUP BY a.i, a.event_id, a.key, a.prev)"""
+
+
+def _typed_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    series = F.concat_ws("/", "user_id", "event_type")
+    return events(spark, sf_dir).select(series.alias("series"), F.lit("value").alias("metric"), "event_id", "ts", "value")
+
+
+@query(f"""WITH {_DISTANCES}, g AS (SELECT *, sum(CAST(distance >= 60 AS INT)) OVER (PARTITION BY key ORDER BY i) AS life FROM d)
+  SELECT event_id, key AS series, CAST(row_number() OVER (PARTITION BY key, life ORDER BY i) - 1 AS BIGINT) AS n FROM g""")
+def limited_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many samples each series had when a sample came, with 60 series remembered at most."""
+    judged = metric_detector.judge(_typed_series(spark, sf_dir), metric_detector.MetricConfig(max_series=60, ttl_us=1 << 60))
+    return judged.select("event_id", "series", "n")
+
+
+@query(f"""WITH RECURSIVE {_DISTANCES}, r AS (SELECT 0::BIGINT AS i, 0::BIGINT AS held, false AS fresh
+    UNION ALL SELECT d.i, CASE WHEN distance < held THEN held WHEN held >= 60 THEN 60 - 7 + 1 ELSE held + 1 END, distance >= held FROM r JOIN d ON d.i = r.i + 1)
+  SELECT event_id, key AS series FROM r JOIN d USING (i) WHERE fresh AND prev IS NOT NULL""")
+def forgotten_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where patterns come again that were forgotten, with 60 remembered at most, of which the oldest tenth and one go for a new one."""
+    rows = _typed_series(spark, sf_dir).filter(F.abs("value") < float("inf"))
+    found = caps.marked(rows, ["series"], ["ts", "event_id"], 60, 60 // 10 + 1)
+    first = F.row_number().over(Window.partitionBy("series").orderBy("ts", "event_id")) == 1
+    return found.withColumn("first", first).filter("fresh and not first").select("event_id", "series")
