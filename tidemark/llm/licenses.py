@@ -1,15 +1,18 @@
 """Operator 2: license scans as an exact set-similarity join of text blocks with templates.
 
-A block is a line, as the set of its words.  A template is found where the block holds at least
-``CONTAINMENT`` of the template's words.  Words are ordered by how many blocks of all texts have them,
-rarest first.  With m words in a template and t of them to be found, one of its first m - t + 1 words
-must be among the block's first n - t + 1 (prefix filter; n counts the block's words that any template
-has), n must reach t (length filter), and what stands behind two equal words must suffice (positional
-filter).  Blocks and templates meet on such words; candidates are then counted in full.
+A block is a set of words.  A template is met where a block holds at least ``CONTAINMENT`` of its words.  Words are
+ordered by how many lines of all texts have them, rarest first.  With m words in a template and t of them to be found,
+one of its first m - t + 1 words must be among the block's first n - t + 1 (prefix filter; n counts the block's words
+that any template has), n must reach t (length filter), and what stands behind two equal words must suffice (positional
+filter).  Blocks and templates meet on such words alone; what is left is counted in full.
 
-Files wrap templates over lines, so blocks are also windows of a text's words, line feeds or not: twice as long
-as the template, each starting one length after the one before, so that a whole template lies in one of them.
-Texts that don't hold enough of a template's words at all drop out before they are cut into its windows.
+Lines are blocks, up to twice a template's length.  Since files wrap templates over lines and lines may be longer, whole
+texts are joined with templates in the same way, and a text that holds enough of a template's words is cut into windows,
+line feeds or not: twice as long as the template, each starting one length after the one before, so that a whole
+template lies in one of them.
+
+Common words strewn over a block aren't a notice, so ``ORDERED`` of the template's pairs of neighbouring words must
+be neighbours in the block too; a replaced word takes two pairs.
 
 Beside that, the base phrases are found wherever their words stand consecutively in the text.
 
@@ -50,6 +53,8 @@ TEMPLATES = (
     ("reserved", "All rights reserved"),
 )
 CONTAINMENT = 0.9
+#: Share of a template's pairs of neighbouring words that must be neighbours in the block.
+ORDERED = 0.6
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -90,19 +95,32 @@ def phrase_places(low: Column, words: Column, phrases: Sequence[tuple[str, str]]
 class Template:
     label: str
     words: tuple[str, ...]  # distinct, rarest first
+    neighbours: tuple[str, ...]  # distinct pairs of words that follow each other
+    length: int
 
     @property
     def needed(self) -> int:
         return math.ceil(CONTAINMENT * len(self.words) - 1e-9)
 
+    @property
+    def ordered(self) -> int:
+        return math.ceil(ORDERED * len(self.neighbours) - 1e-9)
+
     @property
     def prefix(self) -> tuple[str, ...]:
         return self.words[: len(self.words) - self.needed + 1]
 
 
-def template_words(text: str) -> set[str]:
-    low = text.translate(str.maketrans(UPPER, LOWER))
-    return set("".join(c if c.isascii() and c.isalnum() or not c.isascii() else " " for c in low).split())
+def template_words(text: str) -> list[str]:
+    return [w for w in re.split(BETWEEN, text.translate(str.maketrans(UPPER, LOWER))) if w]
+
+
+def ranked_templates(templates: Sequence[tuple[str, str]], order: Sequence[str]) -> list[Template]:
+    out = []
+    for label, text in templates:
+        words = template_words(text)
+        out.append(Template(label, tuple(w for w in order if w in set(words)), tuple(sorted({f"{a} {b}" for a, b in zip(words, words[1:])})), len(words)))
+    return out
 
 
 def _strings(values: Sequence[str]) -> Column:
@@ -114,76 +132,79 @@ def has_any(low: Column, words: Sequence[str]) -> Column:
     return reduce(Column.__or__, [F.contains(low, F.lit(w)) for w in words])
 
 
-def word_ranks(lines: DataFrame, vocabulary: Sequence[str]) -> list[str]:
-    """``vocabulary`` by the number of ``lines`` (low) that have the word, then by name; counted over all lines."""
+def word_ranks(lines: DataFrame, templates: Sequence[tuple[str, str]]) -> list[str]:
+    """The templates' words by the number of ``lines`` (low) that have the word, then by name; counted over all lines."""
+    vocabulary = sorted({w for _, t in templates for w in template_words(t)})
     held = F.array_intersect(_strings(vocabulary), F.split("low", BETWEEN))
     counts = lines.select(F.explode(held).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
     by_word = {r["word"]: r["n"] for r in counts.collect()}  # words of templates only
     return sorted(vocabulary, key=lambda w: (by_word.get(w, 0), w))
 
 
-def similar_blocks(lines: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLATES) -> DataFrame:
-    """``lines`` (id, th, at, low): (id, th, at, label, containment) of every block and template that meet the threshold."""
-    spark = lines.sparkSession
-    vocabulary = sorted(set().union(*(template_words(t) for _, t in templates)))
-    order = word_ranks(lines, vocabulary)
-    ranked = [Template(label, tuple(w for w in order if w in template_words(t))) for label, t in templates]
+def holding(blocks: DataFrame, ranked: Sequence[Template], order: Sequence[str]) -> DataFrame:
+    """``blocks`` (low, others) with every template of which they hold enough words, once each: label, words, neighbours, t, m, ordered, length.
+
+    Blocks meet templates on words of both prefixes; of the words that they share only the first one counts, and only it
+    is asked for what may follow, so that no pair comes twice and nothing is shuffled.
+    """
+    spark, own = blocks.sparkSession, blocks.columns
     index = spark.createDataFrame(
-        [(w, k, p, len(t.words), t.needed) for k, t in enumerate(ranked) for p, w in enumerate(t.prefix)],
-        "word string, template int, p int, m int, t int",
+        [(w, p, t.label, list(t.words), list(t.neighbours), t.needed, len(t.words), t.ordered, t.length) for t in ranked for p, w in enumerate(t.prefix)],
+        "word string, p int, label string, words array<string>, neighbours array<string>, t int, m int, ordered int, length int",
     )
-    known = spark.createDataFrame([(k, t.label, list(t.words)) for k, t in enumerate(ranked)], "template int, label string, words array<string>")
-    starts = sorted({w for t in ranked for w in t.prefix})
-    least = min(t.needed for t in ranked)
-    blocks = (
-        lines.filter(has_any(F.col("low"), starts))  # words of which these are parts drop out below
-        .withColumn("own", F.array_intersect(_strings(order), F.split("low", BETWEEN)))
+    starts, least = sorted({w for t in ranked for w in t.prefix}), min(t.needed for t in ranked)
+    prefix = F.slice("own", F.lit(1), F.size("own") - least + 1)
+    held = (
+        blocks.withColumn("own", F.array_intersect(_strings(order), F.split("low", BETWEEN)))
         .filter(F.size("own") >= least)
-        .select("id", "th", "at", "own", F.size("own").alias("n"), F.posexplode(F.slice("own", F.lit(1), F.size("own") - least + 1)).alias("q", "word"))
-    )
-    candidates = (
-        blocks.join(F.broadcast(index), "word")  # m - t + 1 rows a template
-        .filter("n >= t and q <= n - t and 1 + least(m - p - 1, n - q - 1) >= t")
-        .select("id", "th", "at", "own", "template", "m", "t")
-        .dropDuplicates(["id", "th", "at", "template"])
-    )
-    found = F.size(F.array_intersect("own", "words"))
-    return (
-        candidates.join(F.broadcast(known), "template").filter(found >= F.col("t")).select("id", "th", "at", "label", (found / F.col("m")).alias("containment"))
+        .select(*own, "own", F.size("own").alias("n"), F.explode(F.array_intersect(prefix, _strings(starts))).alias("word"))
+        .withColumn("q", F.array_position("own", F.col("word")) - 1)
     )
+    met = held.join(F.broadcast(index), "word")  # m - t + 1 rows a template
+    bounds = F.expr("n >= t and q <= n - t and 1 + least(m - p - 1, n - q - 1) >= t")
+    first = ~F.arrays_overlap(F.slice("words", F.lit(1), F.col("p")), "own")
+    enough = F.size(F.array_intersect("own", "words")) >= F.col("t")
+    return met.filter(bounds).filter(first & enough).select(*own, "label", "words", "neighbours", "t", "m", "ordered", "length")
 
 
-def wrapped_blocks(rows: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLATES) -> DataFrame:
-    """``rows`` (id, th, low): (id, th, at, label, containment) of windows and templates that meet the threshold; ``at``: the line of the first of its words."""
-    spark = rows.sparkSession
-    own = [(label, sorted(template_words(t)), len([w for w in re.split(BETWEEN, t.translate(str.maketrans(UPPER, LOWER))) if w])) for label, t in templates]
-    known = spark.createDataFrame(
-        [(label, words, math.ceil(CONTAINMENT * len(words) - 1e-9), len(words), n) for label, words, n in own], "label string, words array<string>, t int, m int, length int"
-    )
-    vocabulary = sorted({w for _, words, _ in own for w in words})
-    # a template with t of its m words in the text has one of any m - t + 1 there
-    starts = sorted({w for _, words, _ in own for w in sorted(words, key=lambda w: (-len(w), w))[: len(words) - math.ceil(CONTAINMENT * len(words) - 1e-9) + 1]})
-    held = (
-        rows.filter(F.col("low").rlike("|".join(map(re.escape, starts))))  # one look at the expression that lower-cases
-        .withColumn("held", F.array_intersect(_strings(vocabulary), F.split("low", BETWEEN)))
-        .filter(F.size("held") >= min(math.ceil(CONTAINMENT * len(words) - 1e-9) for _, words, _ in own))
-    )
-    pairs = held.join(F.broadcast(known), F.size(F.array_intersect("held", "words")) >= F.col("t"))  # a row for each template
+def told(words: Column) -> Column:
+    """Of a block's ``words``, in order, whether they are a notice of the template beside them and not its words strewn about."""
+    pairs = F.when(F.size(words) > 1, F.zip_with(F.slice(words, F.lit(1), F.size(words) - 1), F.slice(words, F.lit(2), F.size(words) - 1), lambda a, b: F.concat_ws(" ", a, b)))
+    near = F.size(F.array_intersect("neighbours", F.coalesce(pairs, F.array().cast("array<string>"))))
+    return (F.size(F.array_intersect("words", words)) >= F.col("t")) & (near >= F.col("ordered"))
+
+
+def similar_blocks(lines: DataFrame, ranked: Sequence[Template], order: Sequence[str]) -> DataFrame:
+    """``lines`` (id, th, at, low): (id, th, at, label, containment) of every line of at most twice a template's length that tells it."""
+    starts = sorted({w for t in ranked for w in t.prefix})
+    met = holding(lines.filter(has_any(F.col("low"), starts)), ranked, order)  # words of which these are parts drop out there
+    words = words_of(F.col("low"))
+    own = met.withColumn("block", words).filter((F.size("block") <= 2 * F.col("length")) & told(F.col("block")))
+    return own.select("id", "th", "at", "label", (F.size(F.array_intersect("words", "block")) / F.col("m")).alias("containment"))
+
+
+def wrapped_blocks(rows: DataFrame, ranked: Sequence[Template], order: Sequence[str]) -> DataFrame:
+    """``rows`` (id, th, low): (id, th, at, label, containment) of every window that tells a template; ``at``: the line of the first of its words."""
+    starts = sorted({w for t in ranked for w in t.prefix})
+    met = holding(rows.filter(F.col("low").rlike("|".join(map(re.escape, starts)))), ranked, order)  # one look at the expression that lower-cases
     placed = F.flatten(F.transform(F.split("low", "\n"), lambda line, at: F.transform(words_of(line), lambda w: F.struct(at.alias("at"), w.alias("word")))))
     windows = let(
         placed, lambda ws: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(ws) - F.col("length")), F.col("length")), lambda k: F.slice(ws, k, 2 * F.col("length")))
     )
-    cut = pairs.select("id", "th", "label", "words", "t", "m", F.explode(windows).alias("window"))
-    found = F.size(F.array_intersect("words", F.transform("window", lambda w: w["word"])))
+    cut = met.select("id", "th", "label", "words", "neighbours", "t", "m", "ordered", F.explode(windows).alias("window"))
+    block = F.transform("window", lambda w: w["word"])
     first = F.filter("window", lambda w: F.array_contains(F.col("words"), w["word"]))[0]["at"]
-    return cut.filter(found >= F.col("t")).select("id", "th", first.alias("at"), "label", (found / F.col("m")).alias("containment"))
+    found = F.size(F.array_intersect("words", block)) / F.col("m")
+    return cut.filter(told(block)).select("id", "th", first.alias("at"), "label", found.alias("containment"))
 
 
 def scan_licenses(docs: DataFrame, key: str = "doc_id", text: str = "text", templates: Sequence[tuple[str, str]] = TEMPLATES) -> DataFrame:
     """(key, n_words, places, matches) of every row: base phrases, and blocks (lines and windows) as array<struct<at, label, containment>>."""
     rows = docs.select(F.col(key).alias("id"), F.xxhash64(text).alias("th"), lowered(F.col(text)).alias("low"))
     lines = rows.select("id", "th", F.posexplode(F.split("low", "\n")).alias("at", "low"))
-    blocks = similar_blocks(lines, templates).union(wrapped_blocks(rows, templates))
+    order = word_ranks(lines, templates)
+    ranked = ranked_templates(templates, order)
+    blocks = similar_blocks(lines, ranked, order).union(wrapped_blocks(rows, ranked, order))
     matches = blocks.groupBy("id", "th").agg(F.sort_array(F.collect_set(F.struct("at", "label", "containment"))).alias("matches"))
     both = let(words_of(F.col("low")), lambda w: F.struct(F.size(w).cast("bigint").alias("n"), phrase_places(F.col("low"), w).alias("places")))
     base = rows.select("id", "th", both.alias("x")).select("id", "th", F.col("x.n").alias("n_words"), F.col("x.places").alias("places"))
@@ -226,13 +247,20 @@ WITH d AS (
 ), base AS (
   SELECT doc_id, count(*) AS n, min(place) AS first_word, max(place) AS last_word, list(DISTINCT label) AS labels FROM places GROUP BY doc_id
 ), t AS (
-  SELECT label, list_distinct(list_filter(string_split_regex(translate(text, '{UPPER}', '{LOWER}'), '{BETWEEN}'), lambda x: x <> '')) AS tw
-  FROM (VALUES {_values()}) v(k, label, text)
+  SELECT label, tl, list_distinct(tl) AS tw, len(tl) AS length, list_distinct(list_transform(generate_series(1, len(tl) - 1), lambda i: tl[i] || ' ' || tl[i + 1])) AS tn
+  FROM (SELECT label, list_filter(string_split_regex(translate(text, '{UPPER}', '{LOWER}'), '{BETWEEN}'), lambda x: x <> '') AS tl FROM (VALUES {_values()}) v(k, label, text))
+), lines AS (
+  SELECT doc_id, list_filter(string_split_regex(line, '{BETWEEN}'), lambda x: x <> '') AS bw FROM (SELECT doc_id, unnest(string_split(low, chr(10))) AS line FROM d)
+), windows AS (
+  SELECT doc_id, label, tw, tn, ws[k:k + 2 * length - 1] AS bw
+  FROM (SELECT doc_id, ws, t.*, unnest(generate_series(1, greatest(1, len(ws) - length), length)) AS k FROM w JOIN t ON len(list_intersect(tw, ws)) >= ceil({CONTAINMENT} * len(tw) - 1e-9))
 ), b AS (
-  SELECT doc_id, string_split_regex(unnest(string_split(low, chr(10))), '{BETWEEN}') AS bw FROM d
+  SELECT doc_id, label, tw, tn, bw FROM windows
+  UNION ALL SELECT doc_id, label, tw, tn, bw FROM lines JOIN t ON len(bw) <= 2 * length AND len(list_intersect(tw, bw)) >= ceil({CONTAINMENT} * len(tw) - 1e-9)
 ), found AS (
-  SELECT doc_id, label, len(list_intersect(tw, bw)) / CAST(len(tw) AS DOUBLE) AS containment
-  FROM b JOIN t ON len(list_intersect(tw, bw)) >= ceil({CONTAINMENT} * len(tw) - 1e-9)
+  SELECT doc_id, label, len(list_intersect(tw, bw)) / CAST(len(tw) AS DOUBLE) AS containment FROM b
+  WHERE len(list_intersect(tw, bw)) >= ceil({CONTAINMENT} * len(tw) - 1e-9)
+    AND len(list_intersect(tn, list_transform(generate_series(1, len(bw) - 1), lambda i: bw[i] || ' ' || bw[i + 1]))) >= ceil({ORDERED} * len(tn) - 1e-9)
 ), own AS (
   SELECT doc_id, list(DISTINCT label) AS labels, max(containment) AS best FROM found GROUP BY doc_id
 )
