@@ -4,8 +4,10 @@ Base patterns find assigned values, access keys and hexadecimal runs.  The metho
 ordinary text takes few tokens of a byte-level BPE vocabulary for its length, random characters take many,
 so a run of ``RUN_CHARS`` or more characters of an encoded value with under ``CHARS_PER_TOKEN`` characters a
 token is a secret unless it is a known digest or identifier (a UUID, a hexadecimal digest, a number, a date)
-or lies in a base span.  Runs of under ``LONG_RUN`` characters that are spelled as words are (letters of one
-case, or with a capital first) need under ``WORDLIKE_PER_TOKEN``, since a rare word can take as many tokens.
+or lies in a base span.  Rare words can take as many tokens, so runs that are spelled as words are (letters of one case,
+or with a capital first, any marks between) must also have letters that follow each other as those of words don't: the
+odds of drawing them blindly against those of the vocabulary's own words must be over e to the ``BLIND_ODDS``.  Odds
+grow with a run's length by themselves, so one bound serves all lengths.
 
 The vocabulary file is read by the driver and sent to the tasks, so that executors need no copy of it.
 
@@ -19,7 +21,7 @@ from __future__ import annotations
 
 import base64
 import functools
-import hashlib
+import math
 import re
 from collections.abc import Iterator
 
@@ -30,7 +32,7 @@ from tidemark.llm.common import map_rows, table
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 RUN_CHARS, CHARS_PER_TOKEN = 12, 2.2
-LONG_RUN, WORDLIKE_PER_TOKEN = 20, 1.72
+BLIND_ODDS = 6.0
 #: The base patterns.  Only ASCII letters of the names ignore case.
 ASSIGN = re.compile(r"""(?ai:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -75,6 +77,28 @@ def count_tokens(run: str, vocabulary: bytes) -> int:
     return sum(len(encode(run[at : at + PIECE_CHARS])) for at in range(0, len(run), PIECE_CHARS))
 
 
+@functools.lru_cache(maxsize=4)
+def _letter_odds(vocabulary: bytes) -> dict[str, float]:
+    """For each pair of letters: the log of a blind draw's probability against that of the second after the first in the vocabulary's words."""
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    counts = {a + b: 0.5 for a in letters for b in letters}
+    for line in vocabulary.splitlines():
+        token = base64.b64decode(line.split()[0]).strip().lower()
+        if token.isalpha():  # of bytes: ASCII letters
+            word = token.decode()
+            for a, b in zip(word, word[1:]):
+                counts[a + b] += 1
+    after = {a: sum(counts[a + b] for b in letters) for a in letters}
+    return {ab: math.log(after[ab[0]] / (len(letters) * n)) for ab, n in counts.items()}
+
+
+def blind_odds(run: str, vocabulary: bytes) -> float:
+    """The log odds that the letters of ``run`` were drawn blindly rather than as words have them; marks don't count."""
+    odds = _letter_odds(vocabulary)
+    letters = [c for c in run.lower() if c.isalpha()]
+    return sum(odds[a + b] for a, b in zip(letters, letters[1:]))
+
+
 def base_spans(text: str) -> list[Span]:
     """Matches, leftmost and not overlapping in each kind, less those too short."""
     out = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if len(m[1]) >= 12]
@@ -92,8 +116,9 @@ def random_spans(text: str, base: list[Span], vocabulary: bytes) -> list[Span]:
             covered, at = max(covered, base[at][2]), at + 1
         if covered > m.start() or KNOWN.fullmatch(run):
             continue
-        limit = WORDLIKE_PER_TOKEN if len(run) < LONG_RUN and WORDLIKE.fullmatch(run) else CHARS_PER_TOKEN
-        if len(run) < limit * count_tokens(run, vocabulary):
+        if WORDLIKE.fullmatch(run) and blind_odds(run, vocabulary) <= BLIND_ODDS:
+            continue
+        if len(run) < CHARS_PER_TOKEN * count_tokens(run, vocabulary):
             out.append((m.start(), 3, m.end()))
     return out
 
