@@ -244,6 +244,19 @@ def brute_urls(url, rules):
     return max(fits, default=(0, None, "allow"))[1:]
 
 
+def test_urls_contract(spark, tmp_path):
+    """The query against the contract's own list, written out here; a rule of the contract decides before the method's."""
+    contract = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/")]
+    hosts = ["com", "example.com", "a.EXAMPLE.com", "xexample.com", "net", "b.net", "example.net", "spam-farm.example.net", "org", "c.org", "xnet"]
+    pages = [(i, f"s://{h}{p}") for i, (h, p) in enumerate((h, p) for h in hosts for p in ("/en/", "/en/7x", "/de/", "/de/8", "/de/9?q", "/es/#f"))]
+    spark.createDataFrame(pages, "page_id long, url string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r["page_id"]: r for r in urls.op3_url_filters(spark, str(tmp_path)).collect()}
+    for i, u in pages:
+        rule, verdict = brute_urls(u, contract)
+        own = "block" if "spam-farm" in u else "allow"
+        assert (got[i]["rule"], got[i]["verdict"]) == (rule, verdict if rule else own), u
+
+
 @pytest.mark.parametrize("small", [8 << 20, 0])
 def test_urls_long_and_none(spark, monkeypatch, small):
     """Long hosts and paths, many rules, broadcast or not; no rows; no rules."""
