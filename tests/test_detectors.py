@@ -192,6 +192,44 @@ def test_mining_by_length_equals_one_miner(spark, limit):
         assert max(int(x[0]) for x in want.values()) > 300  # clusters come and go
 
 
+def test_drain_query_mines_crowded_sources_once(spark, monkeypatch, tmp_path):
+    """A source over the limit of 2,000 clusters, whose lines come back after theirs have gone: one miner's clusters, by two folds in all."""
+    from tidemark.plans import catalogue
+
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choices("abcdefgh", k=4))
+    lines = [" ".join(word() for _ in range(rng.randrange(1, 9))) for _ in range(2600)]
+    lines += [rng.choice(lines) for _ in range(600)] + [" ".join([x.split()[0], word(), *x.split()[2:]]) for x in rng.sample(lines, 400)]
+    rows = [(k, "crowded", x) for k, x in enumerate(lines)] + [(k, rng.choice(["calm", None]), f"job {k % 3} of {word()} is done\n\n{word()}") for k in range(90)]
+    spark.createDataFrame(rows, "doc_id long, source string, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    miners, want = {}, {}
+    for _, source, text in rows:
+        for line in filter(None, text.split("\n")):
+            words = ["<NUM>" if w.isdecimal() else w for w in line.split()]
+            cluster, _ = miners.setdefault(source, Miner()).add(words)
+            want[source, str(cluster.id)] = (" ".join(cluster.template), cluster.size)
+    folds, fold = [], mining.keyed_fold
+    monkeypatch.setattr(mining, "keyed_fold", lambda *a, **b: (folds.append(a[1]), fold(*a, **b))[1])
+    got = catalogue.drain_templates(spark, str(tmp_path)).collect()
+    assert {(r["source"], r["template_id"]): (r["template"], r["size"]) for r in got} == want and len(got) == len(want)
+    assert len(miners["crowded"].clusters) == 2000 and miners["crowded"].last_id > 2500
+    assert folds == [["source", "_n"], ["source"]]
+
+
+@pytest.mark.parametrize("limit", [0, 5])
+def test_templates_told_once_equal_the_table_of_lines(spark, limit):
+    """Each cluster once, as the rows of ``mine`` leave it; lines at one place go by their words."""
+    rng = random.Random(limit)
+    rows = [(rng.choice("st"), k, " ".join(rng.choices(["up", "down", "link", "<*>"], k=rng.randrange(4)))) for k in range(300)]
+    lines = spark.createDataFrame(rows, "source string, seq long, message string")
+    config = MinerConfig(max_clusters=limit)
+    told = lambda df: sorted((r["source"], r["template_id"], r["template"], r["size"]) for r in df.collect())
+    want = told(mining.template_table(mining.mine(lines, ["seq"], "seq", config), F.struct("cluster_size", "template")))
+    assert told(mining.mined_templates(lines, ["seq"], config)) == want
+    both = lines.withColumn("seq", F.lit(1))
+    assert told(mining.mined_templates(both, ["seq"], config)) == told(mining.mined_templates(both.orderBy(F.rand(7)), ["seq"], config))
+
+
 def run(series, samples, **kw):
     out = []
     for k, (ts, v) in enumerate(samples):
