@@ -1,5 +1,6 @@
 """Windows, severity, changes, echoes and incidents."""
 
+import random
 from datetime import datetime, timedelta
 
 import pytest
@@ -52,6 +53,30 @@ def test_related_changes_at_the_edges(spark):
     assert sorted(r["change_id"] for r in correlate.related_changes(events, changes).collect()) == [1, 2, 3]
 
 
+@pytest.mark.parametrize("horizon, window", [(86400, 30), (900, 3600), (0, 0), (7, 0.5)])
+def test_related_changes_over_long_horizons(spark, horizon, window):
+    """Every pair once, to the microsecond, in few rows: no row is spread over more slots of time than three, and no side goes through the driver."""
+    rng = random.Random(horizon)
+    span = round((horizon + window) * 1_000_000) or 1
+    start = 1_790_000_000_000_000 // span * span  # where a slot begins
+    places = [start + k * span + d for k in range(4) for d in (-1, 0, 1)] + [start + rng.randrange(4 * span) for _ in range(30)]
+    e = [(k, s, t) for k, (s, t) in enumerate((s, t) for s in "ab" for t in places)]
+    near = [t + d for t in places for d in (0, round(-horizon * 1e6), round(-horizon * 1e6) - 1, round(window * 1e6), round(window * 1e6) + 1)]
+    c = [(k, s, t) for k, (s, t) in enumerate((s, t) for s in "ac" for t in near)]
+    table = lambda rows, name: spark.createDataFrame(rows, f"{name} long, source string, us long").withColumn("ts", F.timestamp_micros("us")).drop("us")
+    found = correlate.related_changes(table(e, "event_id"), table(c, "change_id"), horizon, window)
+    want = sorted((i, j, round((u - t) / 1e6, 6)) for i, s, t in e for j, r, u in c if s == r and -horizon * 1_000_000 <= u - t <= window * 1_000_000)
+    assert sorted(map(tuple, found.collect())) == want
+    plan = found._jdf.queryExecution()
+    assert "Broadcast" not in plan.executedPlan().toString()
+    spread, nodes = [], [plan.optimizedPlan()]
+    for node in nodes:
+        nodes += [node.children().apply(k) for k in range(node.children().size())]
+        if node.nodeName() == "Generate":
+            spread.append(spark._jvm.org.apache.spark.sql.classic.Dataset.ofRows(spark._jsparkSession, node).count())
+    assert len(spread) == 1 and spread[0] <= 3 * max(len(e), len(c))
+
+
 def test_echoes(spark):
     s = signals(spark, [("kernel", 30, "log.new_template", 0.8), ("host", 40, "metric.threshold", 0.9), ("own", 50, "log.new_template", 0.8), ("late", 700, "log.new_template", 0.8), ("udevd", 35, "metric.zscore", 0.7)])
     changes = spark.createDataFrame([("own", 1, at(0)), ("zz", 2, at(0)), ("other", 3, at(20))], "source string, change_id long, ts timestamp")

@@ -21,7 +21,6 @@ MAX_CHANGES = 64
 #: The wording of an echo's summary.
 ECHO_SIGNALS, ECHO_SOURCES = " signals from ", " sources in the wake of "
 INTENDED = ("log.symptomatic_template", "metric.threshold")
-SLOT_S = HORIZON_S
 
 
 def seconds(c: Column) -> Column:
@@ -105,20 +104,24 @@ def combine(merged: DataFrame, by: list[str]) -> DataFrame:
 
 
 def _slots(lo: Column, hi: Column, width: int) -> Column:
-    """The time slots that [lo, hi] seconds touch."""
+    """The time slots of ``width`` that [lo, hi] touch."""
     return F.sequence(F.floor(lo / width), F.floor(hi / width))
 
 
 def related_changes(events: DataFrame, changes: DataFrame, horizon_s: int = HORIZON_S, window_s: float = WINDOW_S) -> DataFrame:
     """(event_id, change_id, offset_seconds): changes of the event's source from the horizon before to the window after.
 
-    Both sides meet on source and slots of time, so that a source with many events and changes is split by time.
+    Both sides meet on source and slots of time, so that a source with many events and changes is split by time.  A slot is as
+    wide as the time that a change is near, so a change comes to two, however long the horizon.  Spark expects as many rows from
+    that step as go in, and by such an estimate might send a side through the driver; so the join is by merging.
     """
-    e = events.select("event_id", "source", F.col("ts").alias("e_ts"), seconds(F.col("ts")).alias("e_s"))
-    e = e.withColumn("slot", F.explode(_slots(F.col("e_s") - horizon_s, F.col("e_s") + window_s, SLOT_S)))
-    c = changes.select("change_id", "source", seconds(F.col("ts")).alias("c_s")).withColumn("slot", F.floor(F.col("c_s") / SLOT_S))
-    offset = F.round(F.col("c_s") - F.col("e_s"), 6)
-    return e.join(c, ["source", "slot"]).filter((offset >= -horizon_s) & (offset <= window_s)).select("event_id", "change_id", offset.alias("offset_seconds"))
+    back, on = round(horizon_s * 1_000_000), round(window_s * 1_000_000)
+    width = max(back + on, 1)
+    e = events.select("event_id", "source", micros("ts").alias("e_us")).withColumn("slot", F.floor(F.col("e_us") / width))
+    c = changes.select("change_id", "source", micros("ts").alias("c_us")).withColumn("slot", F.explode(_slots(F.col("c_us") - on, F.col("c_us") + back, width)))
+    offset = F.col("c_us") - F.col("e_us")
+    near = e.join(c.hint("merge"), ["source", "slot"]).filter(offset.between(-back, on))
+    return near.select("event_id", "change_id", F.round(offset / 1_000_000, 6).alias("offset_seconds"))
 
 
 def _latest_change(signals: DataFrame, changes: DataFrame, width_s: float, own: bool) -> DataFrame:
